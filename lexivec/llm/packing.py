@@ -16,6 +16,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ END_ID = 1
 OPEN_WINDOWS = 32
 MERGE_WIDTH = 32
 #: Units a worker remembers, and the longest one it does.
-CACHE_UNITS = 300_000
+CACHE_UNITS = 600_000
 CACHE_LENGTH = 48
 
 PIECE = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
@@ -54,6 +55,10 @@ class UnitEncoder:
             path = public_tokenizers.path("byte_bpe_50k.json")
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        vocab = self.tokenizer.get_vocab()
+        self.bytes_in = np.zeros(max(vocab.values()) + 1, np.int64)  # a byte-level token has a character per byte
+        for token, i in vocab.items():
+            self.bytes_in[i] = len(token)
         self.known: dict[str, bytes] = {}
 
     @staticmethod
@@ -63,21 +68,34 @@ class UnitEncoder:
         head, *rest = text.split(" ")
         return [head, *[" " + x for x in rest]] if head else [" " + x for x in rest]
 
+    def learn(self, units: list[str]) -> dict[str, bytes]:
+        """The ids of units. Those that may follow each other in a text are encoded in runs and cut apart by their bytes."""
+        out: dict[str, bytes] = {}
+        plain = [u for u in units if len(u) > 1 and u[0] == " " and not u[1].isspace() and not u[-1].isspace()]
+        runs = [plain[i : i + 512] for i in range(0, len(plain), 512)]
+        for run, e in zip(runs, self.tokenizer.encode_batch_fast(["".join(r) for r in runs], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            ends = np.cumsum([len(u.encode()) for u in run])
+            cuts = (4 * (np.searchsorted(np.cumsum(self.bytes_in[ids]), ends) + 1)).tolist()
+            data = ids.tobytes()
+            out.update(zip(run, map(data.__getitem__, map(slice, [0, *cuts], cuts)), strict=False))
+        other = [u for u in units if u not in out]
+        for u, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
+            out[u] = np.array(e.ids, "<u4").tobytes()
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         split = [self.units(x) if x else [] for x in texts]
         if len(self.known) > CACHE_UNITS:
             self.known = {}
-        known = self.known
-        new = list({u for units in split for u in units if u not in known})
-        fresh = {}
-        for i in range(0, len(new), 4096):
-            some = new[i : i + 4096]
-            for u, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                (known if len(u) <= CACHE_LENGTH else fresh)[u] = np.array(e.ids, "<u4").tobytes()
-        if fresh:
-            return [b"".join([known[u] if u in known else fresh[u] for u in units]) for units in split]
-        return [b"".join([known[u] for u in units]) for units in split]
+        new = set(chain.from_iterable(split)).difference(self.known)
+        self.known.update(self.learn([*new]))
+        out = [b"".join(map(self.known.__getitem__, units)) for units in split]
+        for u in new:
+            if len(u) > CACHE_LENGTH:
+                del self.known[u]
+        return out
 
 
 class Packer:
