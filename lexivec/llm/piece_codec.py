@@ -20,6 +20,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from lexivec.llm.runtime import full_text, short_batches
 SPACE = "▁"
 NORMAL, BYTE = 1, 6
 #: Units a worker remembers; longer units are neither remembered nor stepped, and relaxed by a heap.
-CACHE_UNITS, LONG_UNIT = 400_000, 192
+CACHE_UNITS, LONG_UNIT = 500_000, 192
 _CUT = re.compile(f"(?<=[^{SPACE}])(?={SPACE})")
 _SEPARATOR = 0x10FFFF + 1
 
@@ -91,20 +92,28 @@ class Codec:
         for i, (t, _) in enumerate(long):
             self.codes[i, : len(t)] = np.frombuffer(t.encode("utf-32-le"), np.int32) + 1
         self.lengths, self.ranks = np.array([len(t) for t, _ in long]), np.array([r for _, r in long], np.int64)
+        self.piece_ids = np.array([self.id_of[t] for t, _ in long])
         self.known: dict[str, bytes] = {}
 
     # Matching
 
     def suffixes(self, codes: np.ndarray) -> np.ndarray:
-        """Positions by their suffixes' first ``width`` characters: ranks of prefixes, doubled in length each time."""
-        _, rank = np.unique(codes, return_inverse=True)
-        step, n = 1, len(codes)
-        while step < self.width:
-            after = np.zeros(n, np.int64)
-            after[: n - step] = rank[step:] + 1
-            _, rank = np.unique(rank.astype(np.int64) * (n + 1) + after, return_inverse=True)
+        """Positions by their suffixes' first ``width`` characters, at least. As many characters as fit a key are ranked first; ranks are
+        then doubled in length until they reach the width."""
+        letters, rank = np.unique(codes, return_inverse=True)
+        n, bits = len(codes), max(1, int(len(letters)).bit_length())
+        step = max(1, 62 // bits)
+        key = np.zeros(n, np.int64)
+        for i in range(step):
+            key <<= bits
+            key[: n - i] |= rank[i:] + 1
+        while True:
+            if step >= self.width:
+                return np.argsort(key)
+            _, rank = np.unique(key, return_inverse=True)
+            key = rank.astype(np.int64) * (n + 1)
+            key[: n - step] += rank[step:] + 1
             step *= 2
-        return np.argsort(rank, kind="stable")
 
     def ranges(self, codes: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each piece the range of suffixes in ``order`` that begin with it, by binary search of all pieces at once."""
@@ -132,15 +141,15 @@ class Codec:
         return out[0], out[1]
 
     def edges(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(start * width + length - 1, rank) of every occurrence of a piece, ascending."""
+        """(start * width + length - 1, piece) of every occurrence of a piece, ascending."""
         order = self.suffixes(codes)
         lo, hi = self.ranges(codes, order)
         count = hi - lo
         of = np.repeat(np.arange(len(count)), count)
         within = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
         key = order[lo[of] + within] * self.width + self.lengths[of] - 1
-        by = np.argsort(key, kind="stable")
-        return key[by], self.ranks[of[by]]
+        by = np.argsort(key)
+        return key[by], of[by]
 
     # Relaxation
 
@@ -210,41 +219,66 @@ class Codec:
         return np.array(out, "<u4").tobytes()
 
     def learn(self, units: list[str]) -> dict[str, bytes]:
-        """The ids of units, found together."""
-        short = [u for u in units if len(u) <= LONG_UNIT]
-        out = {u: self.ids_of(u, self.relax_long(u)) for u in units if len(u) > LONG_UNIT}
+        """The ids of units (given without the U+2581 in front), found together."""
+        short = [u for u in units if len(u) < LONG_UNIT]
+        out = {u: self.ids_of(SPACE + u, self.relax_long(SPACE + u)) for u in units if len(u) >= LONG_UNIT}
         if not short:
             return out
-        sizes = np.array([len(u) for u in short])
-        code = np.frombuffer("".join(short).encode("utf-32-le"), np.int32) + 1
-        unit = np.repeat(np.arange(len(short)), sizes + 1)[:-1]
-        ends = np.cumsum(sizes + 1) - 1
-        codes = np.full(len(unit), _SEPARATOR, np.int32)
-        inner = np.ones(len(unit) + 1, bool)
+        sizes = np.array([len(u) + 2 for u in short])  # with the mark in front and the separator behind
+        ends = np.cumsum(sizes) - 1
+        joined = SPACE + f"\0{SPACE}".join(short) + "\0"
+        codes = np.frombuffer(joined.encode("utf-32-le"), np.int32) + 1
+        codes[ends] = _SEPARATOR
+        unit = np.repeat(np.arange(len(short)), sizes)
+        inner = np.ones(len(codes), bool)
         inner[ends] = False
-        codes[inner[:-1]] = code
-        key, rank = self.edges(codes)
-        begins = self.relax(unit, inner[:-1], ends, key, rank)
-        starts = np.flatnonzero(begins)
-        splits = np.searchsorted(starts, ends)
-        at = 0
-        for u, stop, size, end in zip(short, splits.tolist(), sizes.tolist(), ends.tolist(), strict=True):
-            out[u] = self.ids_of(u, (starts[at:stop] - (end - size)).tolist())
-            at = stop
+        key, piece = self.edges(codes)
+        starts = np.flatnonzero(self.relax(unit, inner, ends, key, self.ranks[piece]))
+        stops = np.append(starts[1:], len(codes))
+        stops = np.where(np.isin(stops - 1, ends), stops - 1, stops)
+        span = stops - starts
+        ids = np.zeros(len(starts), np.int64)
+        many = np.flatnonzero(span > 1)
+        ids[many] = self.piece_ids[piece[np.searchsorted(key, starts[many] * self.width + span[many] - 1)]]
+        single = np.flatnonzero(span == 1)
+        letters, which = np.unique(codes[starts[single]], return_inverse=True)
+        found = np.array([self.id_of.get(chr(c - 1), -1) for c in letters.tolist()], np.int64)
+        ids[single] = found[which] if len(letters) else 0
+        firsts = np.searchsorted(starts, np.append(0, ends))
+        odd = set(unit[starts[ids < 0]].tolist())  # units with characters that are no pieces
+        data, at = ids.astype("<u4").tobytes(), (4 * firsts).tolist()
+        for i, u in enumerate(short):
+            if i in odd:
+                base = ends[i] - sizes[i] + 1
+                out[u] = self.ids_of(SPACE + u, (starts[firsts[i] : firsts[i + 1]] - base).tolist())
+            else:
+                out[u] = data[at[i] : at[i + 1]]
         return out
 
     # Texts
 
+    @staticmethod
+    def units(text: str) -> list[str]:
+        """The text's units, without the U+2581 in front of each."""
+        if not text:
+            return []
+        if "  " in text or SPACE in text or text[0] == " ":
+            return [u[1:] for u in _CUT.split(SPACE + text.replace(" ", SPACE))]
+        return text.split(" ")
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        split = [_CUT.split(SPACE + x.replace(" ", SPACE)) if x else [] for x in texts]
+        split = [self.units(x) for x in texts]
         if len(self.known) > CACHE_UNITS:
             self.known = {}
-        known = self.known
-        new = {u for units in split for u in units if u not in known}
-        fresh = self.learn([*new]) if new else {}
-        known.update((u, ids) for u, ids in fresh.items() if len(u) <= LONG_UNIT)
-        return [b"".join([known[u] if u in known else fresh[u] for u in units]) for units in split]
+        new = set(chain.from_iterable(split)).difference(self.known)
+        if new:
+            self.known.update(self.learn([*new]))
+        out = [b"".join(map(self.known.__getitem__, units)) for units in split]
+        for u in new:
+            if len(u) >= LONG_UNIT:
+                del self.known[u]
+        return out
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids; the space put in front by encoding is taken off. Bytes that are no UTF-8 become U+FFFD."""
