@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexivec.llm.runtime import full_text, short_batches
-from lexivec.llm.words import WordHash, shingles
+from lexivec.llm.words import bounds, shingles, word_hashes
 
 SAMPLES = 64
 CELLS = 1 << 16
@@ -41,7 +41,6 @@ class Sampler:
         self.r, self.c, self.beta = rng.gamma(2, 1, CELLS), rng.gamma(2, 1, CELLS), rng.random(CELLS)
         self.odd = (rng.integers(0, 1 << 31, (2, samples, 1), dtype=np.uint64) * 2 + 1).astype(np.uint32)
         self.table = np.concatenate([self.value(np.full(CELLS, w), np.arange(CELLS)) for w in range(1, TABLED + 1)])
-        self.words = WordHash()
 
     def value(self, w: np.ndarray, cell: np.ndarray) -> np.ndarray:
         """ln a of a term of weight w whose variates are those of the cell."""
@@ -50,10 +49,12 @@ class Sampler:
         return (np.log(self.c[cell]) - r * (t - self.beta[cell] + 1)).astype(np.float32)
 
     def terms(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        words = text.lower().split()
-        if len(text) > LONG_WORD * max(1, len(words)) or (words and max(map(len, words)) > LONG_WORD):
-            words = [x[i : i + CUT] for x in words for i in range(0, len(x), CUT if len(x) > LONG_WORD else len(x))]
-        return np.unique(shingles(self.words.of(words), 2), return_counts=True)
+        data = text.lower().encode()
+        start, end = bounds(data)
+        if len(start) and (end - start).max() > LONG_WORD:
+            words = text.lower().split()
+            data = " ".join(x[i : i + CUT] for x in words for i in range(0, len(x), CUT if len(x) > LONG_WORD else len(x))).encode()
+        return np.unique(shingles(word_hashes(data), 2), return_counts=True)
 
     def sample(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """The fingerprint: a 16-bit mark of the drawn (term, t) for each sample."""

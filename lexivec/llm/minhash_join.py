@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexivec.llm.runtime import durable, short_batches
-from lexivec.llm.words import WordHash, mixed, shingles
+from lexivec.llm.words import mixed, shingles, word_hashes
 
 WORDS = 5
 SYMBOLS, CHUNKS, DISTANCE = 64, 11, 21
@@ -46,9 +46,9 @@ _PLACE = _rng.integers(0, 1 << 63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np
 _PARTS = np.array_split(np.arange(SYMBOLS), CHUNKS)
 
 
-def shingle_set(text: bytes, words: WordHash) -> np.ndarray:
-    """Ascending hashes of the distinct shingles. bytes.lower and bytes.split know ASCII letters and white space alone."""
-    return np.unique(shingles(words.of(text.lower().split()), WORDS))
+def shingle_set(text: bytes) -> np.ndarray:
+    """Ascending hashes of the distinct shingles. bytes.lower knows ASCII letters alone."""
+    return np.unique(shingles(word_hashes(text.lower()), WORDS))
 
 
 def signature(own: np.ndarray) -> np.ndarray:
@@ -72,11 +72,10 @@ def index_keys(signatures: np.ndarray) -> np.ndarray:
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words = WordHash()
     for batch in batches:
         sizes, marks, signed = [], [], []
         for text in batch.column(1).to_pylist():
-            own = shingle_set(text, words)
+            own = shingle_set(text)
             sizes.append(len(own))
             marks.append(xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None)
             signed.append(signature(own).tobytes() if len(own) else None)
@@ -100,11 +99,10 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words = WordHash()
     for batch in batches:
         ids, sets = [], []
         for cid, mark, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            own = shingle_set(text, words)
+            own = shingle_set(text)
             if xxhash.xxh3_128_digest(own.tobytes()) == mark:  # doc_ids may repeat
                 ids.append(cid)
                 sets.append(own.view(np.int64))

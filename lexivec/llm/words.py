@@ -1,27 +1,77 @@
-"""Word hashes shared by the operators that work on words."""
+"""Word and shingle hashes of whole texts, as array operations over their UTF-8 bytes."""
 
 from __future__ import annotations
 
 import numpy as np
 import xxhash
 
-#: Words a worker remembers.
-CACHE_WORDS = 400_000
-_ODD = np.random.default_rng(20_240_229).integers(1 << 62, 1 << 63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Bytes hashed at a time; a piece ends between words.
+PIECE = 1 << 20
+_rng = np.random.default_rng(20_240_229)
+_ODD = _rng.integers(1 << 62, 1 << 63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
+_LETTER = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_powers: list[np.ndarray] = []
 
 
-class WordHash(dict):
-    """64-bit hashes of words, each computed once."""
+def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base and of its inverse modulo 2 ** 64, for n places at least."""
+    if not _powers or len(_powers[0]) < n:
+        base = 0x9E3779B97F4A7C15
+        size = max(n, 1 << 14)
+        made = []
+        for b in (base, pow(base, -1, 1 << 64)):
+            p = np.empty(size, np.uint64)
+            p[0] = 1
+            done = 1
+            while done < size:  # doubling
+                step = np.uint64(pow(b, done, 1 << 64))
+                more = min(done, size - done)
+                p[done : done + more] = p[:more] * step
+                done += more
+            made.append(p)
+        _powers[:] = made
+    return _powers[0], _powers[1]
 
-    def __missing__(self, word) -> int:
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
 
-    def of(self, words: list) -> np.ndarray:
-        if len(self) > CACHE_WORDS:
-            self.clear()
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+def bounds(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where each run of bytes other than ASCII white space starts and ends."""
+    word = np.empty(len(data) + 2, bool)
+    word[0] = word[-1] = False
+    np.logical_not(_SPACE[np.frombuffer(data, np.uint8)], out=word[1:-1])
+    edge = np.flatnonzero(word[1:] != word[:-1])
+    return edge[::2], edge[1::2]
+
+
+def _hashes(data: bytes) -> np.ndarray:
+    start, end = bounds(data)
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    if len(data) > PIECE:  # one word longer than a piece, and perhaps white space
+        return np.array([xxhash.xxh3_64_intdigest(data[a:b]) for a, b in zip(start, end, strict=True)], np.uint64)
+    power, inverse = _tables(len(data))
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_LETTER[np.frombuffer(data, np.uint8)] * power[: len(data)], out=total[1:])
+    return mixed((total[end] - total[start]) * inverse[start])
+
+
+def word_hashes(data: bytes) -> np.ndarray:
+    """A 64-bit hash for each word of a text, in order: a polynomial of its bytes. Equal words have equal hashes wherever they stand."""
+    if len(data) <= PIECE:
+        return _hashes(data)
+    out, at = [], 0
+    while at < len(data):
+        stop = at + PIECE
+        if stop < len(data):
+            cut = max(data.rfind(bytes([c]), at, stop) for c in b" \t\n\v\f\r")
+            if cut < 0:  # the word goes on past the piece
+                cut = min((i for c in b" \t\n\v\f\r" if (i := data.find(bytes([c]), stop)) >= 0), default=len(data))
+            stop = cut
+        out.append(_hashes(data[at:stop]))
+        at = max(stop, at + 1)
+    return np.concatenate(out)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
