@@ -61,4 +61,4 @@ def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
 
 def first_sightings(events: DataFrame, watermark: str = "10 minutes") -> DataFrame:
     """A stream of events without those whose event_id came before, within the watermark."""
-    return events.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["event_id"])
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["event_id"])
