@@ -30,9 +30,9 @@ from pyspark.sql import functions as F
 from lexivec.llm.runtime import full_text, short_batches
 
 SAMPLE_DOCS, SAMPLE_CHARS = 3000, 12_000_000
-GRAMS = (4, 7)
+GRAMS = (5, 5)
 #: A feature needs so many positives, and at least this chance that a document holding it is toxic.
-LEAST_POSITIVES, LEAST_CHANCE = 4, 0.4
+LEAST_POSITIVES, LEAST_CHANCE = 4, 0.7
 #: -ln of how likely a feature's surplus in positives may be by chance; there are some hundred thousand to choose from.
 LEAST_EVIDENCE = 11
 FEATURES, BUCKETS = 8192, 1 << 22
