@@ -8,7 +8,7 @@ along a line in three classes of size, largest first, and the line is cut where
 small document.
 
 No group, shard or class is ever gathered in a task: positions on a line come from sums over a fixed number of
-cells (hash buckets) and running sums within one cell. A group's members spread over ``SPLITS`` cells.
+cells (hash buckets), which the driver adds up, and running sums within one cell. A group's members spread over ``SPLITS`` cells.
 
 Defined cases: a null text has no bytes, size 1, and is linked with empty texts; a null doc_id hashes as
 null; repeated rows are documents of their own; other columns are ignored; an empty table gives no rows.
@@ -16,6 +16,8 @@ null; repeated rows are documents of their own; other columns are ignored; an em
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -36,16 +38,24 @@ def _split(row: Column) -> Column:
 
 
 def _line(rows: DataFrame, keys: list[str], size: str = "size") -> DataFrame:
-    """``rows`` with ``at``: the sizes of all rows before it with equal ``keys`` in the order of (cell, split, row).
+    """``rows`` with ``at``: the sizes of all rows before it with equal ``keys`` (shard numbers) in the order of (cell, split, row).
 
-    Sums of cells are at most CELLS * SPLITS rows for each key; only those go through one window.
+    The sums of cells, at most CELLS * SPLITS for each key whatever the input, are added up on the driver and broadcast.
     """
-    cells = rows.groupBy(*keys, "cell", "split").agg(F.sum(size).alias("own"))
-    before = Window.partitionBy(*keys).orderBy("cell", "split").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.withColumn("base", F.coalesce(F.sum("own").over(before), F.lit(0))).drop("own")
+    sums = rows.groupBy(*keys, "cell", "split").agg(F.sum(size).cast("bigint").alias("own")).toArrow()
+    by = [sums.column(c).to_numpy() for c in (*keys, "cell", "split")]
+    order = np.lexsort(by[::-1])
+    own = sums.column("own").to_numpy()[order]
+    base = np.cumsum(own) - own
+    if keys and len(own):
+        key = by[0][order]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        base -= np.repeat(base[first], np.diff(np.append(first, len(key))))
+    table = pa.table({c: pa.array(v[order], pa.int32()) for c, v in zip((*keys, "cell", "split"), by, strict=True)} | {"base": pa.array(base, pa.int64())})
+    cells = F.broadcast(rows.sparkSession.createDataFrame(table))
     within = Window.partitionBy(*keys, "cell", "split").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("_in", F.coalesce(F.sum(size).over(within), F.lit(0)))
-    return placed.join(F.broadcast(cells), [*keys, "cell", "split"]).withColumn("at", F.col("base") + F.col("_in")).drop("_in", "base")
+    return placed.join(cells, [*keys, "cell", "split"]).withColumn("at", F.col("base") + F.col("_in")).drop("_in", "base")
 
 
 def _loads(rows: DataFrame, shards: int) -> list[int]:
@@ -61,7 +71,7 @@ def propagate(linked: DataFrame, room: int, shards: int, rounds: int) -> DataFra
     """``linked`` (row, g, size, shard, cell, split) after the rounds; no shard takes linked documents beyond ``room``."""
     for _ in range(rounds):
         quota = [room - n for n in _loads(linked, shards)]
-        able = [s for s, q in enumerate(quota) if q > 0]
+        able = [s for s, q in enumerate(quota) if q * 50 > room]  # one that is full but for a fiftieth takes no more
         if not able:
             return linked
         is_open = F.array_contains(F.array(*[F.lit(s) for s in able]), F.col("shard"))
@@ -69,11 +79,15 @@ def propagate(linked: DataFrame, room: int, shards: int, rounds: int) -> DataFra
         target = held.where(is_open).groupBy("g").agg(F.max_by("shard", F.struct("held", F.xxhash64("g", "shard"))).alias("target"))
         # a large part of a group that sits in a full shard stays: at most 8 such parts to a shard
         stays = held.where(~is_open & (F.col("held") * 8 > room)).select("g", "shard")
-        moves = linked.join(target, "g").where("target <> shard").join(F.broadcast(stays), ["g", "shard"], "left_anti")
-        line = _line(moves, ["target"]).where(F.col("at") + F.col("size") <= _by_shard(quota, F.col("target"))).select("row", F.col("target").alias("to"))
-        moved = durable(linked.join(line, "row", "left"))
-        linked = moved.withColumn("shard", F.coalesce("to", "shard")).drop("to")
-        if moved.where("to is not null").isEmpty():
+        aimed = linked.join(target, "g", "left").join(F.broadcast(stays.withColumn("stays", F.lit(True))), ["g", "shard"], "left")
+        aimed = aimed.withColumn("moves", F.coalesce((F.col("target") != F.col("shard")) & F.col("stays").isNull(), F.lit(False)))
+        aimed = aimed.withColumn("target", F.coalesce("target", "shard")).withColumn("moved_size", F.when(F.col("moves"), F.col("size")).otherwise(F.lit(0)))
+        line = _line(aimed, ["target"], "moved_size")
+        accepted = F.col("moves") & (F.col("at") + F.col("size") <= _by_shard(quota, F.col("target")))
+        linked = durable(line.withColumn("moved", accepted).withColumn("shard", F.when(accepted, F.col("target")).otherwise(F.col("shard"))).select(*linked.columns, "moved"))
+        still = linked.where("moved").isEmpty()
+        linked = linked.drop("moved")
+        if still:
             return linked
     return linked
 
@@ -85,14 +99,14 @@ def _fill(pool: DataFrame, loads: list[int], goal: list[float], shards: int) ->
     for x in lack:
         total += x
         ends.append(total)
-    line = _line(pool.withColumn("all", F.lit(0)), ["all"]).drop("all")
+    line = _line(pool.withColumn("cell", _cell(F.col("row"))).withColumn("split", _split(F.col("row"))), [])
     # a document goes where its middle lies; what lies beyond the last end starts over, evenly
     mid = F.col("at") + F.expr("size div 2")
     over = F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int")
     place = F.when(mid >= F.lit(total), over)
     for s, e in enumerate(ends):
         place = place.when(mid < F.lit(e), F.lit(s))
-    return pool.drop("shard").join(line.select("row", place.alias("shard")), "row")
+    return line.withColumn("shard", place).select(*pool.columns)
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
@@ -108,10 +122,9 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS)
     loose = rows.join(several, "g", "left_anti")
     linked = propagate(linked, room, shards, rounds)
     # linked documents beyond an even share, if chance put them there, are levelled with the loose ones
-    spare = _line(linked, ["shard"]).where(F.col("at") + F.col("size") > room).select("row", F.lit(True).alias("spare"))
-    linked = linked.join(spare, "row", "left")
-    pool = durable(loose.unionByName(linked.where("spare").select(*loose.columns)))
-    parts = [linked.where("spare is null").select(*loose.columns)]
+    linked = durable(_line(linked, ["shard"]).withColumn("spare", F.col("at") + F.col("size") > room).select(*loose.columns, "spare"))
+    pool = durable(loose.unionByName(linked.where("spare").drop("spare")))
+    parts = [linked.where("not spare").drop("spare")]
     loads = _loads(parts[0], shards)
     mean = sums["size"] / max(1, sums["n"])
     for low, high, last in ((mean, None, False), (mean / 6, mean, False), (0, mean / 6, True)):
@@ -127,6 +140,6 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS)
     placed = parts[0]
     for part in parts[1:]:
         placed = placed.unionByName(part)
-    placed = placed.withColumn("cell", _cell(F.col("row"))).withColumn("split", F.lit(0)).withColumn("one", F.lit(1).cast("bigint"))
+    placed = placed.withColumn("cell", _cell(F.col("row"))).withColumn("split", _split(F.col("row"))).withColumn("one", F.lit(1).cast("bigint"))
     slots = _line(placed, ["shard"], "one").withColumnRenamed("at", "slot")
     return slots.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("bigint").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
