@@ -20,7 +20,7 @@ def test_whole_table(spark, sf_dir):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     got = queries.op5_sharding(spark, sf_dir).collect()
     load = check(rows, got)
-    assert max(load) < 1.02 * min(load)
+    assert max(load) - min(load) < sum(load) / len(rows)  # within one mean document
     groups = defaultdict(set)
     for r in got:
         groups[r.text_crc32, r["size"]].add(r.shard)
