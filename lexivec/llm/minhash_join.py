@@ -6,11 +6,12 @@ of symbols that differ. ``CHUNKS`` chunks split the signature; of two signatures
 apart, some chunk has at most DISTANCE // CHUNKS = 1 wrong symbol, so every class is indexed under
 each chunk with each one of its symbols masked, and all such pairs share a key. Similarity is confirmed on full sets.
 
-A key that many classes share never gives all its pairs. Each round takes a few pivots per key, most
-central first, compares the others with them only where that can join two components, and drops keys that lie
-within one component. Rounds go on, with more pivots each, until every pair of a key was compared or lies in
-one component, so no link that joins components is lost. After the first round, documents with too many shingles
-that no one else has are let go: their similarity to anything is bounded below the threshold.
+A key that many classes share never gives all its pairs. First each key's most central class is compared with the key's
+others, and the links found make components; keys that lie within one component are done. Of the other keys, classes
+with too many shingles that no one else has are let go: their similarity to anything is bounded below the threshold. What is outside a key's
+largest component then meets the key's classes of other components, and a pair leaves that join only if its bitmaps
+allow the threshold: a shingle whose bit the other set lacks isn't in the other set, which bounds the intersection from above.
+So no link that joins components is lost, and few pairs are confirmed in vain.
 
 Defined cases: a null text is empty; a set without shingles is linked with nothing; a null doc_id takes part and
 sorts first as nothing (its component is null unless others share it); repeated rows share a class; other columns are ignored;
@@ -26,7 +27,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lexivec.llm.runtime import durable, short_batches
 from lexivec.llm.words import mixed, shingles, word_hashes
@@ -37,8 +37,8 @@ SYMBOLS, CHUNKS, DISTANCE = 64, 11, 21
 SHARE = 85
 #: Tables of at most this many (id, id) rows, as counted, are broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
-#: Pivots per key grow by this factor from round to round.
-GROWTH = 4
+#: A set's bitmap has so many 64-bit words.
+WORDS_OF_BITS = 16
 
 _rng = np.random.default_rng(11)
 _PERMUTE = (_rng.integers(0, 1 << 31, (2, SYMBOLS, 1), dtype=np.uint64) * 2 + 1).astype(np.uint32)
@@ -98,15 +98,30 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(near), batch.column(1).filter(near)], names=["a", "b"])
 
 
+def bitmap(own: np.ndarray) -> np.ndarray:
+    """Bits of a set's shingles, as WORDS_OF_BITS integers."""
+    bits = np.zeros(64 * WORDS_OF_BITS, np.uint8)
+    bits[own % np.uint64(64 * WORDS_OF_BITS)] = 1
+    return np.packbits(bits).view(np.int64)
+
+
+_BITS = [f"b{i}" for i in range(WORDS_OF_BITS)]
+_SETS = "cid bigint, own array<bigint>, n bigint, ones bigint, " + ", ".join(f"{b} bigint" for b in _BITS)
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, sets = [], []
+        ids, sets, maps = [], [], []
         for cid, mark, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             own = shingle_set(text)
             if xxhash.xxh3_128_digest(own.tobytes()) == mark:  # doc_ids may repeat
                 ids.append(cid)
                 sets.append(own.view(np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["cid", "own"])
+                maps.append(bitmap(own))
+        bits = np.array(maps, np.int64).reshape(len(ids), WORDS_OF_BITS)
+        ones = np.unpackbits(bits.view(np.uint8), axis=1).sum(1, dtype=np.int64)
+        columns = [pa.array(ids, pa.int64()), pa.array(sets, pa.list_(pa.int64())), pa.array([len(x) for x in sets], pa.int64()), pa.array(ones), *[pa.array(bits[:, i]) for i in range(WORDS_OF_BITS)]]
+        yield pa.RecordBatch.from_arrays(columns, names=["cid", "own", "n", "ones", *_BITS])
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,16 +135,21 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
 
+def _sent(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` marked for broadcast if the count of its rows allows."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
 def components(links: DataFrame) -> DataFrame:
     """(cid, label) of all that is linked: label is the least cid reachable. Rounds of neighbours' least labels and pointer jumps."""
     edges = durable(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("cid"), F.least("a", "m").alias("label"))
-    labels = durable(labels)
+    n = edges.count()
+    labels = durable(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("cid"), F.least("a", "m").alias("label")), n)
     while True:
-        told = edges.join(labels.select(F.col("cid").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("m"))
-        nearer = labels.join(told, labels["cid"] == told["a"]).select("cid", F.col("label").alias("old"), F.least("label", "m").alias("label"))
+        told = edges.join(_sent(labels.select(F.col("cid").alias("b"), "label"), n), "b").groupBy("a").agg(F.min("label").alias("m"))
+        nearer = told.join(_sent(labels, n), labels["cid"] == told["a"]).select("cid", F.col("label").alias("old"), F.least("label", "m").alias("label"))
         roots = labels.select(F.col("cid").alias("label"), F.col("label").alias("root"))
-        labels = durable(nearer.join(roots, "label", "left").select("cid", "old", F.least("label", F.coalesce("root", "label")).alias("label")))
+        labels = durable(nearer.join(_sent(roots, n), "label", "left").select("cid", "old", F.least("label", F.coalesce("root", "label")).alias("label")), n)
         if labels.where(F.col("old") != F.col("label")).isEmpty():
             return labels.drop("old")
         labels = labels.drop("old")
@@ -145,6 +165,7 @@ class _Join:
         grouped = self.rows.where("mark is not null").groupBy("mark").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("signed").alias("signed"))
         self.classes = durable(grouped.withColumn("cid", F.monotonically_increasing_id()))
         self.labels: DataFrame | None = None
+        self.n_labels = 0
 
     def members(self) -> DataFrame:
         """(key, cid, score) of keys with two classes or more; score adds up how many share each of a class's keys."""
@@ -158,7 +179,7 @@ class _Join:
         wanted = durable(members.select("cid").distinct().join(self.classes.select("cid", "mark", "first_id"), "cid"))
         wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
         texts = self.texts.join(wanted, self.texts["doc_id"].eqNullSafe(wanted["first_id"])).select("cid", "mark", "text")
-        return durable(texts.mapInArrow(_sets, "cid bigint, own array<bigint>")).dropDuplicates(["cid"])
+        return durable(texts.mapInArrow(_sets, _SETS).dropDuplicates(["cid"]))
 
     def confirmed(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """The pairs (a < b) that are near by signature and linked by their full sets."""
@@ -173,7 +194,23 @@ class _Join:
     def labelled(self, members: DataFrame) -> DataFrame:
         if self.labels is None:
             return members.withColumn("label", F.col("cid"))
-        return members.join(self.labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+        return members.join(_sent(self.labels, self.n_labels), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+
+    def join_components(self, links: DataFrame) -> None:
+        """Take up new links: components of the labels they join, then each label's new one."""
+        if self.labels is None:
+            self.labels = components(links)
+        else:
+            known = _sent(self.labels, self.n_labels)
+            for side in ("a", "b"):
+                told = known.select(F.col("cid").alias(side), F.col("label").alias("_label"))
+                links = links.join(told, side, "left").withColumn(side, F.coalesce("_label", side)).drop("_label")
+            moved = components(links.where("a <> b"))
+            fresh = moved.join(_sent(self.labels.select("cid"), self.n_labels), "cid", "left_anti")
+            after = moved.select(F.col("cid").alias("label"), F.col("label").alias("_label"))
+            old = self.labels.join(_sent(after, self.n_labels), "label", "left").select("cid", F.coalesce("_label", "label").alias("label"))
+            self.labels = durable(old.unionByName(fresh))
+        self.n_labels = self.labels.count()
 
     def active(self, members: DataFrame) -> DataFrame:
         """Members of keys that still hold more than one component, with their labels."""
@@ -190,32 +227,43 @@ class _Join:
         fit = own.join(alone, "cid", "left").where(100 * (n - F.coalesce("alone", F.lit(0))) >= SHARE * n).select("cid")
         return members.join(fit, "cid")
 
-    def pairs(self, members: DataFrame, after: int, upto: int) -> DataFrame:
-        """Each key's pivots ranked ``after`` < rank <= ``upto`` against its members of other components."""
-        best = Window.partitionBy("key").orderBy(F.desc("score"), "cid")
-        pivots = members.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= upto).where(F.col("rank") > after)
-        pivots = pivots.select("key", F.col("cid").alias("pivot"), F.col("label").alias("pivot_label"))
-        met = members.join(pivots, "key").where("label <> pivot_label")
+    def pivot_pairs(self, members: DataFrame) -> DataFrame:
+        """Each key's most central class with its others."""
+        pivots = members.groupBy("key").agg(F.min_by("cid", F.struct(-F.col("score"), "cid")).alias("pivot"))
+        met = members.join(pivots, "key").where("cid <> pivot")
         return met.select(F.least("cid", "pivot").alias("a"), F.greatest("cid", "pivot").alias("b")).distinct()
 
+    def open_pairs(self, members: DataFrame, sets: DataFrame) -> DataFrame:
+        """Pairs of a key in different components that their bitmaps allow to be linked."""
+        held = members.groupBy("key", "label").agg(F.count("*").alias("n"))
+        largest = held.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("largest"))
+        every = members.select("key", "cid", "label").join(sets.drop("own"), "cid")
+        names = ["cid", "label", "n", "ones", *_BITS]
+        other = every.select("key", *[F.col(c).alias(f"{c}_") for c in names])
+        rest = every.join(largest, "key").where("label <> largest")
+        once = (F.col("label_") == F.col("largest")) | (F.col("cid") < F.col("cid_"))
+        sized = 100 * F.least("n", "n_") >= SHARE * F.greatest("n", "n_")
+        common = sum((F.bit_count(F.col(b).bitwiseAND(F.col(f"{b}_"))) for b in _BITS[1:]), F.bit_count(F.col("b0").bitwiseAND(F.col("b0_"))))
+        most = F.least(F.col("n") - F.col("ones"), F.col("n_") - F.col("ones_")) + common
+        able = 100 * most >= SHARE * (F.col("n") + F.col("n_") - most)
+        met = rest.join(other, (rest["key"] == other["key"]) & (F.col("label") != F.col("label_")) & once & sized & able)
+        return met.select(F.least("cid", "cid_").alias("a"), F.greatest("cid", "cid_").alias("b")).distinct()
+
     def run(self) -> None:
         members = durable(self.members())
         if members.isEmpty():
             return
         sets = self.set_table(members)
-        left, links, after, upto = self.labelled(members), None, 0, 1
-        while True:
-            new = durable(self.confirmed(self.pairs(left, after, upto), sets))
-            if not new.isEmpty():
-                links = new if links is None else links.unionByName(new)
-                self.labels = components(links)
-            left = self.active(left)
-            if after == 0:
-                left = self.active(self.may_link(left, sets))
-            most = left.groupBy("key").count().agg(F.max("count")).first()[0] or 0
-            if most <= upto:
-                return
-            after, upto = upto, upto * GROWTH
+        self.take(self.pivot_pairs(members), sets)
+        left = self.active(members)
+        left = self.active(self.may_link(left, sets))
+        if not left.isEmpty():
+            self.take(self.open_pairs(left, sets), sets)
+
+    def take(self, pairs: DataFrame, sets: DataFrame) -> None:
+        links = durable(self.confirmed(pairs, sets))
+        if not links.isEmpty():
+            self.join_components(links)
 
     def result(self) -> DataFrame:
         known = self.classes.select("mark", "cid", "first_id", "copies")

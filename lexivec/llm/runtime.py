@@ -6,12 +6,18 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import lexivec
+
 #: Rows handed to Python at a time. Texts may be long, so batches stay short.
 ARROW_ROWS = 512
+#: Short rows (a few numbers each) that go to one file.
+ROWS_A_FILE = 100_000
 
 _own_dir: str | None = None
 
@@ -33,20 +39,40 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir
 
 
-def durable(df: DataFrame) -> DataFrame:
+def durable(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts the lineage; what was written outlives the executor that wrote it. Later readers
-    all see the same rows, whatever the plan above would give a second time.
+    all see the same rows, whatever the plan above would give a second time. Where a bound on its (short) rows is known, they
+    are gathered into one file for each ``ROWS_A_FILE``.
     """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(1 + rows // ROWS_A_FILE)
     path = f"{shared_dir(spark)}/lexivec-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _ship(spark: SparkSession) -> None:
+    """Send this library to the Python workers, once for each application."""
+    context = spark.sparkContext
+    if getattr(context, "_lexivec_shipped", False):
+        return
+    root = Path(lexivec.__file__).parent
+    folder = tempfile.mkdtemp(prefix="lexivec-")  # on the driver, which serves the file to executors as they come
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = f"{folder}/lexivec-{uuid.uuid4().hex}.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for path in sorted(root.rglob("*.py")):
+            out.write(path, path.relative_to(root.parent))
+    context.addPyFile(archive)
+    context._lexivec_shipped = True
+
+
 def short_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Bound what one Arrow batch of texts can take in a Python worker."""
+    """Make the Python workers ready: the library is there, and one Arrow batch of texts takes a bounded share of memory."""
+    _ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 

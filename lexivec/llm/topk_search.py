@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexivec.llm.runtime import durable
+from lexivec.llm.runtime import durable, short_batches
 
 CANDIDATES, QUERIES = 4096, 1024
 DEPTHS = (0.5, 0.8, 1.0)
@@ -112,6 +112,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
         out = df.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
         return out.where(F.col("vec_id").isNotNull() & (F.size(F.coalesce("embedding", F.array().cast("array<double>"))) > 0)).where(fine)
 
+    short_batches(vectors.sparkSession, 4096)
     candidates = durable(blocks(usable(vectors), CANDIDATES, "c"))
     asked = usable(queries).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     asked = durable(blocks(asked.repartition(1 + queries.count() // QUERIES), QUERIES, "q"))
