@@ -328,9 +328,9 @@ def full_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Stored rows: all documents that aren't English. A batch: all that are English or Spanish, with upper-case text."""
+    """Stored rows: all documents that aren't English. A batch: all that are English or Spanish, with changed text."""
     d = documents(spark, sf_dir)
-    return d.where("lang <> 'en'"), d.where("lang in ('en', 'es')").withColumn("content", F.upper("content")).withColumn("seq", F.col("seq") + 1_000_000)
+    return d.where("lang <> 'en'"), d.where("lang in ('en', 'es')").withColumn("content", F.concat(F.lit("new: "), "content")).withColumn("seq", F.col("seq") + 1_000_000)
 
 
 def _digest(df: DataFrame) -> DataFrame:

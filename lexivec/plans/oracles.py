@@ -49,7 +49,7 @@ LINES = r"list_filter(list_transform(string_split_regex({0}, '\r\n|[\n\x0b\f\r]'
 STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
 RANKED = f"""{C}, {B}, {_jaccard("c", "q", 10)}, ranked AS (SELECT qid, seq, seq AS chunk_id, doc_id, start_char, end_char, content, score, rank FROM jac JOIN c USING (seq))"""
 POSED = "SELECT qid, CAST(i - 1 AS INTEGER) AS pos, l[i] AS rewritten FROM (SELECT qid, l, unnest(range(1, len(l) + 1)) AS i FROM ({0}))"
-HALVES = "base AS (SELECT * FROM d WHERE lang <> 'en'), batch AS (SELECT chunk_id, doc_id, upper(content) AS content, lang, source, seq + 1000000 AS seq FROM d WHERE lang IN ('en', 'es'))"
+HALVES = "base AS (SELECT * FROM d WHERE lang <> 'en'), batch AS (SELECT chunk_id, doc_id, 'new: ' || content AS content, lang, source, seq + 1000000 AS seq FROM d WHERE lang IN ('en', 'es'))"
 
 
 def _overlaps(of: str) -> str:
