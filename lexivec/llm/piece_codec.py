@@ -106,13 +106,13 @@ class Codec:
         key = np.zeros(n, np.int64)
         for i in range(step):
             key <<= bits
-            key[: n - i] |= rank[i:] + 1
+            key[: max(0, n - i)] |= rank[i:] + 1
         while True:
             if step >= self.width:
                 return np.argsort(key)
             _, rank = np.unique(key, return_inverse=True)
             key = rank.astype(np.int64) * (n + 1)
-            key[: n - step] += rank[step:] + 1
+            key[: max(0, n - step)] += rank[step:] + 1
             step *= 2
 
     def ranges(self, codes: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
