@@ -37,5 +37,5 @@ def test_round_trip_and_odd_rows(docs_of):
     docs = docs_of([*enumerate(ODD), (None, None), (3, " a")])
     encoded = piece_codec.encode_documents(docs, with_ids=True)
     back = piece_codec.decode_documents(encoded.select("doc_id", "ids")).collect()
-    assert sorted((r.doc_id or 0, r.text) for r in back if r.doc_id is not None) == sorted([*((i, t.replace("▁", " ").removeprefix(" ") if t.startswith("▁") else t.replace("▁", " ")) for i, t in enumerate(ODD)), (3, " a")])
+    assert sorted((r.doc_id or 0, r.text) for r in back if r.doc_id is not None) == sorted([*((i, t.replace("▁", " ")) for i, t in enumerate(ODD)), (3, " a")])
     assert piece_codec.encode_documents(docs_of([])).count() == 0
