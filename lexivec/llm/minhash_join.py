@@ -288,5 +288,5 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """One document of each group stays, with all its columns; of rows that repeat doc_id and text, one stays."""
     gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").withColumn("_text_hash", F.xxhash64("text"))
-    return kept.dropDuplicates(["doc_id", "_text_hash"]).select(*docs.columns)
+    kept = docs.join(gone, "doc_id", "left_anti").withColumn("__lexivec_text_hash", F.xxhash64("text"))
+    return kept.dropDuplicates(["doc_id", "__lexivec_text_hash"]).select(*docs.columns)

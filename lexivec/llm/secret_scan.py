@@ -139,8 +139,8 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
 
     Overlapping spans are replaced together. n_chars, if there, follows the text.
     """
-    added = durable(scan_ledger(docs).where(F.size("spans") > 0).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans")))
-    size = added.agg(F.coalesce(F.sum(96 + 32 * F.size("_spans")), F.lit(0)).alias("bytes")).first()["bytes"]
+    added = durable(scan_ledger(docs).where(F.size("spans") > 0).select(F.col("blob").alias("__lexivec_blob"), F.col("spans").alias("__lexivec_spans")))
+    size = added.agg(F.coalesce(F.sum(96 + 32 * F.size("__lexivec_spans")), F.lit(0)).alias("bytes")).first()["bytes"]
     text = F.col("text").cast("string")
     base = F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at"))
 
@@ -149,9 +149,9 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
         ahead = F.concat(acc["out"], gap, F.lit(mark))
         return F.struct(F.when(s["start"] >= acc["at"], ahead).otherwise(acc["out"]).alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
 
-    done = F.aggregate("_spans", base, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
+    done = F.aggregate("__lexivec_spans", base, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
     known = F.broadcast(added) if size <= BROADCAST_BYTES else added
-    joined = docs.withColumn("_blob", F.sha2(full_text(), 256)).join(known, "_blob", "left")
-    masked = joined.withColumn("_text", F.when(F.col("_spans").isNotNull(), done).otherwise(text))
-    kept = [F.col("_text").alias(c) if c == "text" else F.when(F.col("_spans").isNotNull(), F.length("_text").cast("bigint")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
+    joined = docs.withColumn("__lexivec_blob", F.sha2(full_text(), 256)).join(known, "__lexivec_blob", "left")
+    masked = joined.withColumn("__lexivec_text", F.when(F.col("__lexivec_spans").isNotNull(), done).otherwise(text))
+    kept = [F.col("__lexivec_text").alias(c) if c == "text" else F.when(F.col("__lexivec_spans").isNotNull(), F.length("__lexivec_text").cast("bigint")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
     return masked.select(*kept)
