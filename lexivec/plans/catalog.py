@@ -432,9 +432,13 @@ def events_session(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stream_base(spark: SparkSession) -> str:
-    """A folder for a stream's state: the shared one where the session has one."""
+    """A folder for a stream's state: in the shared one; only a local session may go without it."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="lexivec-stream-")
+    if base:
+        return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
+    return tempfile.mkdtemp(prefix="lexivec-stream-")
 
 
 @query
