@@ -79,3 +79,12 @@ def short_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
 def full_text(column: str = "text"):
     """The whole text; a null text counts as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
+def hash_bound(wanted: int, rows: int) -> int:
+    """A bound on 64-bit hashes that about four times the wanted rows keep (all, if there are no more).
+
+    The least hashes lie under it, so a task need not send its own least ones where they can't be among them.
+    """
+    share = min(1.0, 4 * wanted / max(1, rows))
+    return min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63))

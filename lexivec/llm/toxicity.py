@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexivec.llm.runtime import full_text, short_batches
+from lexivec.llm.runtime import full_text, hash_bound, short_batches
 
 SAMPLE_DOCS, SAMPLE_CHARS = 3000, 12_000_000
 GRAMS = (5, 5)
@@ -162,9 +162,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     text = docs.where(~held_out(F.col("doc_id"))).select("doc_id", full_text().alias("text"))
     rank = F.xxhash64(F.col("doc_id"), F.lit(3))
 
-    def sample(ids: DataFrame) -> list[str]:
+    def sample(ids: DataFrame, n: int) -> list[str]:
         """A fixed random choice: the least hashes of doc_id, then whole texts as far as the bound on code points goes."""
-        chosen = ids.distinct().orderBy(rank, "doc_id").limit(SAMPLE_DOCS)
+        chosen = ids.where(rank <= hash_bound(SAMPLE_DOCS, n)).distinct().orderBy(rank, "doc_id").limit(SAMPLE_DOCS)
         out, left = [], SAMPLE_CHARS
         rows = text.join(F.broadcast(chosen), "doc_id").select(rank.alias("r"), "doc_id", F.length("text").alias("n"))
         sizes = rows.orderBy("r", "doc_id").collect()
@@ -178,8 +178,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
             out.append((r["doc_id"], r["text"]))
         return [t for _, t in sorted(out)]
 
-    positive = sample(marks.where("toxic").select(F.col("marked_id").alias("doc_id")))
-    unlabelled = sample(text.select("doc_id"))
+    positive = sample(marks.where("toxic").select(F.col("marked_id").alias("doc_id")), seen["k"])
+    unlabelled = sample(text.select("doc_id"), docs.count())
     return train(positive, unlabelled, min(0.99, seen["k"] / seen["n"]))
 
 
