@@ -45,6 +45,14 @@ ADDED_RULES = (
     Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
 )
 RULES = BASE_RULES + ADDED_RULES
+
+_PEM = r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"
+#: Up to the END line; without one, as far as the lines of an encrypted key's head and the base64 run go. Space may be written as an escape.
+_PEM_BODY = r"(?:[^-]++|-(?!----))*+-----END [A-Z ]{0,40}PRIVATE KEY-----"
+_GAP = r"(?:\s|\\[nrt])"
+_PEM_REST = rf"(?:{_GAP}++(?:Proc-Type|DEK-Info):[^\n\\]*+)*+(?:{_GAP}++[A-Za-z0-9+/=]{{16,}}+)*+(?:(?:\n|\\n){_GAP}*+[A-Za-z0-9+/=]++(?={_GAP}|$))?+"
+#: What is cut out of texts: as RULES, but a private key goes with its body. A finding (RULES, and its SQL) names the BEGIN line alone.
+REDACTED_RULES = tuple(Rule("pem", 2, f"{_PEM}(?:{_PEM_BODY}|{_PEM_REST})") if r.kind == "pem" else r for r in RULES)
 SPAN = "array<struct<start:bigint,kind:int,end:bigint>>"
 LEDGER = f"blob string, rules array<string>, spans {SPAN}"
 
@@ -135,11 +143,11 @@ BROADCAST_BYTES = 32 << 20
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every span of its secrets replaced by ``mark``; clean documents stay as they are.
+    """``docs`` with every span of its secrets (``REDACTED_RULES``) replaced by ``mark``; clean documents stay as they are.
 
     Overlapping spans are replaced together. n_chars, if there, follows the text.
     """
-    added = durable(scan_ledger(docs).where(F.size("spans") > 0).select(F.col("blob").alias("__lexivec_blob"), F.col("spans").alias("__lexivec_spans")))
+    added = durable(scan_ledger(docs, rules=REDACTED_RULES).where(F.size("spans") > 0).select(F.col("blob").alias("__lexivec_blob"), F.col("spans").alias("__lexivec_spans")))
     size = added.agg(F.coalesce(F.sum(96 + 32 * F.size("__lexivec_spans")), F.lit(0)).alias("bytes")).first()["bytes"]
     text = F.col("text").cast("string")
     base = F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at"))

@@ -60,6 +60,26 @@ def test_redaction(docs_of):
     assert secret_scan.redact(docs).columns == docs.columns
 
 
+def test_private_keys_go_with_their_body(docs_of):
+    body = "\n".join(["MIIEow+/" * 8] * 30 + ["QkVHSU4="])
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    head = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B\n\n"
+    texts = [
+        (f"a\n{begin}\n{body}\n{end}\nb", "a\n[SECRET]\nb"),
+        (f"a {begin}\r\n{head}{body}\r\n{end} b", "a [SECRET] b"),
+        (f"key = '{begin}\\nMIIEow+/MIIEow+/\\n{end}\\n'", "key = '[SECRET]\\n'"),
+        (f"{begin}\n{body}\n\nThe end - of it", "[SECRET]\n\nThe end - of it"),
+        (f"{begin}\n{head}{body}", "[SECRET]"),
+        (f"{begin}\n{body}\n{begin}\n{body}\n{end}!", "[SECRET]\n[SECRET]!"),
+        (f"{begin} x", "[SECRET] x"),
+        (f"{begin}\n" + "- " * 200_000 + "x", "[SECRET]\n" + "- " * 200_000 + "x"),
+    ]
+    out = {r.doc_id: r.text for r in secret_scan.redact(docs_of([(i, t) for i, (t, _) in enumerate(texts)])).collect()}
+    for i, (_, want) in enumerate(texts):
+        assert out[i] == want, (i, out[i][:300])
+    assert {r.name for r in secret_scan.REDACTED_RULES} - {r.name for r in secret_scan.RULES} == {"pem@2"}
+
+
 def test_empty(docs_of):
     found, added = secret_scan.scan_documents(docs_of([]))
     assert found.count() == 0 and added.count() == 0
