@@ -25,10 +25,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexivec.llm.runtime import durable, short_batches
+from lexivec.llm.runtime import durable, full_text, short_batches
 from lexivec.llm.words import mixed, shingles, word_hashes
 
 WORDS = 5
@@ -79,7 +79,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sizes.append(len(own))
             marks.append(xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None)
             signed.append(signature(own).tobytes() if len(own) else None)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(marks, pa.binary()), pa.array(signed, pa.binary())], names=["doc_id", "n_shingles", "mark", "signed"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(marks, pa.binary()), pa.array(signed, pa.binary()), *batch.columns[2:]], names=["doc_id", "n_shingles", "mark", "signed", *batch.schema.names[2:]])
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,13 +155,18 @@ def components(links: DataFrame) -> DataFrame:
         labels = labels.drop("old")
 
 
+def _print() -> Column:
+    """What tells a row's text from the others that have its doc_id."""
+    return F.unhex(F.md5(full_text().cast("binary")))
+
+
 class _Join:
-    def __init__(self, docs: DataFrame):
+    def __init__(self, docs: DataFrame, prints: bool = False):
         spark = docs.sparkSession
         short_batches(spark)
-        bytes_of = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
-        self.texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), bytes_of.alias("text"))
-        self.rows = durable(self.texts.mapInArrow(_read, "doc_id bigint, n_shingles bigint, mark binary, signed binary"))
+        bytes_of = full_text().cast("binary")
+        self.texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), bytes_of.alias("text"), *[_print().alias("print")] * prints)
+        self.rows = durable(self.texts.mapInArrow(_read, "doc_id bigint, n_shingles bigint, mark binary, signed binary" + ", print binary" * prints))
         grouped = self.rows.where("mark is not null").groupBy("mark").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("signed").alias("signed"))
         self.classes = durable(grouped.withColumn("cid", F.monotonically_increasing_id()))
         self.labels: DataFrame | None = None
@@ -278,6 +283,17 @@ class _Join:
         return out.select("doc_id", "n_shingles", group.alias("component_id"), group.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
+    def gone(self) -> DataFrame:
+        """(doc_id, print) of the rows that go: all of a group but the one with the least doc_id (null comes last), then the least print."""
+        place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "print")
+        rows = self.rows.where("mark is not null").select("doc_id", "mark", "print")
+        first = rows.groupBy("mark").agg(F.min(place).alias("first"))
+        told = self.labelled(self.classes.select("mark", "cid", "copies")).join(first, "mark")
+        stays = told.groupBy("label").agg(F.min("first").alias("stays"), F.sum("copies").alias("n")).where("n > 1")
+        met = rows.join(told.select("mark", "label").join(stays, "label").select("mark", "stays"), "mark")
+        return met.where(~(F.col("doc_id").eqNullSafe(F.col("stays.doc_id")) & (F.col("print") == F.col("stays.print")))).select("doc_id", "print").distinct()
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row per document."""
     join = _Join(docs)
@@ -286,7 +302,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One document of each group stays, with all its columns; of rows that repeat doc_id and text, one stays."""
-    gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").withColumn("__lexivec_text_hash", F.xxhash64("text"))
-    return kept.dropDuplicates(["doc_id", "__lexivec_text_hash"]).select(*docs.columns)
+    """One row of each group stays, with all its columns; of rows that repeat doc_id and text, one stays.
+
+    Rows are told apart by doc_id and text, so neither ids that repeat nor null ids drop or keep a row of another group.
+    """
+    join = _Join(docs, prints=True)
+    join.run()
+    gone = join.gone().select(F.col("doc_id").alias("__lexivec_gone_id"), F.col("print").alias("__lexivec_gone"))
+    own = docs.withColumn("__lexivec_print", _print()).withColumn("__lexivec_null", F.col("text").isNull())
+    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("__lexivec_gone_id")) & (F.col("__lexivec_print") == F.col("__lexivec_gone"))
+    kept = own.join(gone, same, "left_anti")
+    return kept.dropDuplicates(["doc_id", "__lexivec_print", "__lexivec_null"]).select(*docs.columns)

@@ -87,6 +87,18 @@ def test_null_ids(docs_of):
     assert sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in out) == [(0, 0, True), (0, 4, False), (4, 4, True)]
 
 
+def test_rows_are_dropped_by_row(docs_of):
+    a, b, c = ("x" + " x".join(f"{k}{i}" for i in range(60)) for k in "abc")
+
+    def left(*rows):
+        return sorted(((r.doc_id, r.text) for r in minhash_join.drop_near_duplicates(docs_of(rows)).collect()), key=repr)
+
+    assert left((0, b), (1, b), (1, a)) == [(0, b), (1, a)]
+    assert left((None, b), (None, b + " y"), (4, b), (None, a)) == sorted([(4, b), (None, a)], key=repr)
+    assert left((None, a), (None, a), (None, c), (None, None), (None, "")) == sorted([(None, a), (None, c), (None, None), (None, "")], key=repr)
+    assert len(left((None, b), (None, b + " y"))) == len(left((2, b), (2, b + " y"), (3, b.upper()))) == 1
+
+
 def test_keys_meet_within_the_distance():
     import numpy as np
 
