@@ -42,7 +42,8 @@ class UnitEncoder:
     """Encodes whole texts with a byte-level BPE file, a unit at a time.
 
     A space that follows a non-space always begins a new pre-token, so the ids of a text are
-    those of its units in turn, and repeated units are encoded once.
+    those of its units in turn, and repeated units are encoded once. The literals of the file's added tokens, which the
+    library finds before all else, are units of their own.
     """
 
     def __init__(self, path: str | None = None):
@@ -54,7 +55,11 @@ class UnitEncoder:
 
             path = public_tokenizers.path("byte_bpe_50k.json")
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.literals = sorted((t.content for t in added), key=lambda x: (-len(x), x))
+        self.literal = re.compile("(" + "|".join(map(re.escape, self.literals)) + ")")
+        #: Whether a literal may take in what is around it or lie across units; texts with one are then encoded whole.
+        self.wide = any(t.lstrip or t.rstrip or t.single_word or re.search(r"\s", t.content) for t in added)
         vocab = self.tokenizer.get_vocab()
         self.bytes_in = np.zeros(max(vocab.values()) + 1, np.int64)  # a byte-level token has a character per byte
         for token, i in vocab.items():
@@ -68,10 +73,17 @@ class UnitEncoder:
         head, *rest = text.split(" ")
         return [head, *[" " + x for x in rest]] if head else [" " + x for x in rest]
 
+    def cut(self, text: str) -> list[str]:
+        if not any(x in text for x in self.literals):
+            return self.units(text) if text else []
+        if self.wide:
+            return [text]
+        return [u for i, part in enumerate(self.literal.split(text)) for u in ([part] if i % 2 else self.units(part) if part else [])]
+
     def learn(self, units: list[str]) -> dict[str, bytes]:
         """The ids of units. Those that may follow each other in a text are encoded in runs and cut apart by their bytes."""
         out: dict[str, bytes] = {}
-        plain = [u for u in units if len(u) > 1 and u[0] == " " and not u[1].isspace() and not u[-1].isspace()]
+        plain = [u for u in units if not self.wide and len(u) > 1 and u[0] == " " and not u[1].isspace() and not u[-1].isspace()]
         runs = [plain[i : i + 512] for i in range(0, len(plain), 512)]
         for run, e in zip(runs, self.tokenizer.encode_batch_fast(["".join(r) for r in runs], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, "<u4")
@@ -86,7 +98,7 @@ class UnitEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        split = [self.units(x) if x else [] for x in texts]
+        split = [self.cut(x) for x in texts]
         if len(self.known) > CACHE_UNITS:
             self.known = {}
         new = set(chain.from_iterable(split)).difference(self.known)

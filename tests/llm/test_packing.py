@@ -60,5 +60,18 @@ def test_sequences(docs_of):
     assert sum(len(r.ids) for r in got) == sum(len(WHOLE.encode(x, add_special_tokens=False).ids) + 1 for x in ODD)
 
 
+LITERALS = ["<|endoftext|>", "a <|endoftext|> a", "a  <|endoftext|>  b c", "<|endoftext|><|endoftext|>x", "end.<|endoftext|>\n\nNew text", " <|endoftext", "it's<|endoftext|>'s 1<|endoftext|>2"]
+
+
+def test_special_tokens_as_the_library_has_them(docs_of):
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = [library.encode(x, add_special_tokens=False).ids for x in LITERALS]
+    assert want[1] == [64, 220, 50256, 257]
+    for text, ids, got in zip(LITERALS, want, packing.UnitEncoder().encode(LITERALS), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == ids, text
+    rows = packing.pack_documents(docs_of(enumerate(LITERALS))).collect()
+    assert {r.doc_id: r.doc_tokens for r in rows} == {i: len(ids) + 1 for i, ids in enumerate(want)}
+
+
 def test_empty(docs_of):
     assert packing.pack_documents(docs_of([])).count() == 0
