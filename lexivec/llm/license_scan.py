@@ -5,7 +5,8 @@ words) tells licence families apart, with a class for what is no licence. It is
 varied by dropped, swapped and added words, against a bounded sample of the corpus' own lines (``NEGATIVES``) and sentences
 that speak of licences without granting one. Its probabilities are calibrated by a temperature fitted on varied sentences
 that training did not see. A prediction counts when it is likely enough and a template of that family confirms it: enough of the template's
-word pairs occur in the paragraph. A paragraph without any of the anchor terms is unknown without being scored.
+word pairs occur in the paragraph. What no template can confirm is not scored: ``ANCHORS``, words derived from the templates such that
+without one of them no template's pairs suffice, are looked for first.
 
 Defined cases: a null text is empty; a text without paragraphs has no findings; a paragraph that no template confirms is unknown;
 equal texts get equal findings; a null doc_id stays null; other columns are ignored; an empty table gives no rows.
@@ -31,8 +32,6 @@ BUCKETS, STEPS, RATE, DECAY = 1 << 14, 250, 0.5, 1e-5
 LEAST_PROBABILITY, LEAST_SHARE = 0.5, 0.6
 UNKNOWN = "unknown"
 
-ANCHORS = re.compile(r"licen[sc]|copyright|redistribut|warrant|permission|public domain|copyleft|spdx|creative commons|\bcc0\b|\bcc[ -]by|dedicat", re.I)
-
 #: Phrases by which texts name their licence.
 TEMPLATES = {
     "mit": (
@@ -144,12 +143,31 @@ def confirms(family: str, words: list[str]) -> float:
 
 
 _PAIRS = {f: [pairs_of(words_of(t)) for t in texts] for f, texts in TEMPLATES.items()}
+_ALL = [(f, t) for f, own in _PAIRS.items() for t in own]
+#: How many pairs of each template are enough, and the templates that hold a pair.
+_ENOUGH = [next(n for n in range(1, len(t) + 1) if n / len(t) >= LEAST_SHARE) for _, t in _ALL]
+_HOLDERS: dict[tuple[str, ...], list[int]] = {}
+for _i, (_, _t) in enumerate(_ALL):
+    for _p in _t:
+        _HOLDERS.setdefault(_p, []).append(_i)
+
+
+def _anchors() -> list[str]:
+    """Words, long ones first, without any of which every template has too few pairs left."""
+    left, chosen = [set(t) for _, t in _ALL], []
+    for word in sorted({w for p in _HOLDERS for w in p}, key=lambda w: (-len(w), w)):
+        hit = [i for i, t in enumerate(left) if len(t) >= _ENOUGH[i] and any(word in p for p in t)]
+        if hit:
+            chosen.append(word)
+            left = [{p for p in t if word not in p} for t in left]
+    return chosen
+
+
+ANCHORS = _anchors()
 
 
 def classify(model: Model, paragraph: str) -> tuple[str, float]:
     """(family, calibrated probability); unknown unless likely and confirmed by a template."""
-    if not ANCHORS.search(paragraph):
-        return UNKNOWN, 1.0
     words = words_of(paragraph)
     p = model.probabilities(features(words))
     best = int(p.argmax())
@@ -250,10 +268,12 @@ def scan_documents(docs: DataFrame, model: Model) -> DataFrame:
             counts, found = [], []
             for text in batch.column(1).to_pylist():
                 n, own = 0, []
-                some = ANCHORS.search(text) is not None
+                low = text.lower()
+                live = [x for x in ANCHORS if x in low]
                 for start, end, line in paragraphs(text):
                     n += 1
-                    if some and ANCHORS.search(line):
+                    low = line.lower() if live else ""
+                    if any(x in low for x in live):
                         if len(known) > 50_000:
                             known.clear()
                         if line not in known:
