@@ -8,6 +8,10 @@ that training did not see. A prediction counts when it is likely enough and a te
 word pairs occur in the paragraph. What no template can confirm is not scored: ``ANCHORS``, words derived from the templates such that
 without one of them no template's pairs suffice, are looked for first.
 
+Texts are often wrapped, so windows of consecutive non-blank lines, joined by a space, are classified, too: for each template the
+least windows that hold enough of its pairs, widened by neighbouring lines that add some. A window counts over
+the findings in its lines if it holds more of its template than they do of theirs.
+
 Defined cases: a null text is empty; a text without paragraphs has no findings; a paragraph that no template confirms is unknown;
 equal texts get equal findings; a null doc_id stays null; other columns are ignored; an empty table gives no rows.
 """
@@ -16,6 +20,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -258,8 +263,85 @@ def paragraphs(text: str) -> Iterator[tuple[int, int, str]]:
         at += len(line) + 1
 
 
+def blocks(text: str) -> Iterator[list[tuple[int, int, str]]]:
+    """The paragraphs between blank lines."""
+    block: list[tuple[int, int, str]] = []
+    for p in paragraphs(text):
+        if block and p[0] != block[-1][1] + 1:
+            yield block
+            block = []
+        block.append(p)
+    if block:
+        yield block
+
+
+def _windows(found: list[tuple[int, int, tuple]], enough: int) -> Iterator[tuple[int, int]]:
+    """(first, last) lines of the least windows that hold ``enough`` different pairs of a template, each widened by
+    neighbouring lines that add some. ``found`` has its pairs as (first line, last line, pair) in order."""
+    held: dict[tuple, int] = {}
+    lo, least = 0, []
+    for hi, (_, last, pair) in enumerate(found):
+        held[pair] = held.get(pair, 0) + 1
+        while len(held) >= enough:
+            first, _, old = found[lo]
+            if least and least[-1][1] == last:
+                least.pop()
+            if not least or first > least[-1][0]:
+                least.append((first, last))
+            held[old] -= 1
+            if not held[old]:
+                del held[old]
+            lo += 1
+    at = [x[0] for x in found]
+    for first, last in least:
+        own = {p for a, b, p in found[bisect_left(at, first) : bisect_right(at, last)] if b <= last}
+        while True:
+            ahead = {p for a, b, p in found[bisect_left(at, last) : bisect_right(at, last + 1)] if b == last + 1} - own
+            behind = {p for a, b, p in found[bisect_left(at, first - 1) : bisect_left(at, first)] if b <= last} - own
+            if not ahead and not behind:
+                break
+            own |= ahead | behind
+            last += bool(ahead)
+            first -= bool(behind)
+        yield first, last
+
+
+def scan_block(model: Model, block: list[tuple[int, int, str]], known: dict[str, str]) -> list[tuple[str, int, int]]:
+    """(family, start, end) of what is found in consecutive lines, by start."""
+    words, line_of, ends = [], [], [0]
+    for k, (_, _, line) in enumerate(block):
+        own = words_of(line)
+        words += own
+        line_of += [k] * len(own)
+        ends.append(len(words))
+    seen: dict[int, list[tuple[int, int, tuple]]] = {}
+    for i, pair in enumerate(zip(words, words[1:])):  # noqa: B905
+        for t in _HOLDERS.get(pair, ()):
+            seen.setdefault(t, []).append((line_of[i], line_of[i + 1], pair))
+    spans = {w for t, x in seen.items() if len({p for _, _, p in x}) >= _ENOUGH[t] for w in _windows(x, _ENOUGH[t])}
+    spans |= {(k, k) for a, b in spans for k in range(a, b + 1)}
+
+    def said(a: int, b: int) -> tuple[str, int]:
+        text = " ".join(line for _, _, line in block[a : b + 1])
+        if len(known) > 50_000:
+            known.clear()
+        if text not in known:
+            known[text] = classify(model, text)[0]
+        own = pairs_of(words[ends[a] : ends[b + 1]])
+        return known[text], max((len(own & t) for t in _PAIRS.get(known[text], ())), default=0)
+
+    best = [(n, a, b, f) for a, b in spans for f, n in [said(a, b)] if f != UNKNOWN]
+    taken, out = set(), []
+    for _, a, b, family in sorted(best, key=lambda x: (-x[0], x[2] - x[1], x[1])):
+        lines = range(a, b + 1)
+        if taken.isdisjoint(lines):
+            taken.update(lines)
+            out.append((family, block[a][0], block[b][1]))
+    return sorted(out, key=lambda x: x[1])
+
+
 def scan_documents(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, n_paragraphs, n_found, families, findings): ``family:start:end`` of each found paragraph, by start."""
+    """(doc_id, n_paragraphs, n_found, families, findings): ``family:start:end`` of each found paragraph or window of lines, by start."""
     short_batches(docs.sparkSession)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,16 +352,13 @@ def scan_documents(docs: DataFrame, model: Model) -> DataFrame:
                 n, own = 0, []
                 low = text.lower()
                 live = [x for x in ANCHORS if x in low]
-                for start, end, line in paragraphs(text):
-                    n += 1
-                    low = line.lower() if live else ""
+                for block in blocks(text) if live else ():
+                    n += len(block)
+                    low = "\n".join(line for _, _, line in block).lower()
                     if any(x in low for x in live):
-                        if len(known) > 50_000:
-                            known.clear()
-                        if line not in known:
-                            known[line] = classify(model, line)[0]
-                        if known[line] != UNKNOWN:
-                            own.append((known[line], start, end))
+                        own += scan_block(model, block, known)
+                if not live:
+                    n = sum(1 for _ in paragraphs(text))
                 counts.append(n)
                 found.append(own)
             yield pa.RecordBatch.from_arrays(

@@ -66,3 +66,32 @@ def test_all_rights_reserved_in_the_whole_table(spark, sf_dir):
     for r in queries.op3_license_scans(spark, sf_dir).collect():
         own = text[r.doc_id].split("\n")
         assert {lines[x] for x in own if x in lines} == set(filter(None, r.families.split(","))) and r.n_found == sum(x in lines for x in own)
+
+
+WRAPPED = {
+    "mit": """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights""",
+    "bsd": """ * Redistribution and use in source and binary forms, with or without
+ * modification, are permitted provided that the following conditions
+ * are met:""",
+    "isc": """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above""",
+    "gpl-3.0": """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.""",
+}
+
+
+@pytest.mark.parametrize("family", WRAPPED)
+def test_wrapped_notices(docs_of, model, family):
+    notice = WRAPPED[family]
+    alone = f"Some prose here\n\n{notice}\n\nmore words"
+    amid = f"int x;\nint y;\n{notice}\nint z;\n"
+    rows = {r.doc_id: r for r in license_scan.scan_documents(docs_of([(0, alone), (1, amid)]), model).collect()}
+    for i, text in enumerate((alone, amid)):
+        assert rows[i].families == family and rows[i].n_found == 1, rows[i]
+        _, start, end = rows[i].findings.split(":")
+        part = text[int(start) : int(end)]
+        assert part in notice and part.count("\n") >= 1
