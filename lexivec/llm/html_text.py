@@ -1,7 +1,7 @@
 """Main text of web pages: site template removal by subtree hashes, and page structure.
 
 Every element subtree of a page is hashed. Per host, Spark counts for each hash the distinct pages (by content) that hold it;
-subtrees that recur across many pages of a host are its template and are deleted. Structure says the
+subtrees that recur across ``LEAST_PAGES`` pages of a host or more are its template and are deleted. Structure says the
 rest: menus, headers and footers of the page, sidebars, notices, adverts, forms, scripts, styles and reader
 comments are left out, and the text is that of the article where the page marks one. Within a marked
 article only containers recur as template; its headings, paragraphs, lists and tables are content, however often they are repeated.
@@ -27,10 +27,11 @@ from pyspark.sql import functions as F
 
 from lexivec.llm.runtime import durable, short_batches
 
-#: A subtree is template if so many distinct pages of the host hold it, and this share of the host's pages.
-LEAST_PAGES, LEAST_SHARE = 5, 0.02
-#: The table of template subtrees is broadcast up to so many rows, as counted; beyond, it is joined by a shuffle.
-BROADCAST_ROWS = 500_000
+#: A subtree is template if so many distinct pages of the host hold it, however many pages the host has.
+LEAST_PAGES = 5
+#: Lists of the hosts' template subtrees are broadcast up to so many rows in all and so many for a host, as counted; beyond, each page
+#: gets those of its own subtrees that are template. Either way the texts are the same.
+BROADCAST_ROWS, HOST_ROWS = 500_000, 10_000
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
@@ -226,24 +227,27 @@ def extract(pages: DataFrame) -> DataFrame:
     def subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hosts, contents, hashes = [], [], []
-            for where, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for where, content, source in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 root = parse(source)
                 set_hashes(root)
                 own = {n.hash for n in removable(root) if n.tag not in VOID}
-                hosts += [where] * (len(own) + 1)
-                contents += [xxhash.xxh3_64_intdigest(source) - (1 << 63)] * (len(own) + 1)
-                hashes += [None, *(h - (1 << 63) for h in own)]  # null stands for the page itself
+                hosts += [where] * len(own)
+                contents += [content] * len(own)
+                hashes += [h - (1 << 63) for h in own]
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(contents, pa.int64()), pa.array(hashes, pa.int64())], names=["host", "content", "subtree"])
 
-    held = base.select("host", "html").mapInArrow(subtrees, "host string, content bigint, subtree bigint").distinct()
-    counts = durable(held.groupBy("host", "subtree").agg(F.count("*").alias("n")).where((F.col("n") >= LEAST_PAGES) | F.col("subtree").isNull()))
-    total = counts.where("subtree is null").select("host", F.col("n").alias("pages"))
-    template = counts.where("subtree is not null").join(total, "host").where(F.col("n") >= LEAST_SHARE * F.col("pages"))
-    template = durable(template.select("host", "subtree"))
-    # at most (subtrees of a page) / LEAST_SHARE for a host, so a host's list is bounded
-    lists = template.groupBy("host").agg(F.collect_list("subtree").alias("template"))
-    lists = F.broadcast(lists) if template.count() <= BROADCAST_ROWS else lists
-    joined = base.join(lists, "host", "left").select("page_id", "url", "html", "template")
+    content = F.xxhash64("html").alias("content")
+    held = base.select("host", content, "html").mapInArrow(subtrees, "host string, content bigint, subtree bigint").distinct()
+    template = durable(held.groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_PAGES).select("host", "subtree"))
+    size = template.groupBy("host").count().agg(F.coalesce(F.sum("count"), F.lit(0)).alias("rows"), F.coalesce(F.max("count"), F.lit(0)).alias("most")).first()
+    if size["rows"] <= BROADCAST_ROWS and size["most"] <= HOST_ROWS:
+        lists = template.groupBy("host").agg(F.collect_list("subtree").alias("template"))
+        joined = base.join(F.broadcast(lists), "host", "left")
+    else:
+        known = F.broadcast(template) if size["rows"] <= BROADCAST_ROWS else template
+        lists = held.join(known, ["host", "subtree"]).groupBy("host", "content").agg(F.collect_list("subtree").alias("template"))
+        joined = base.withColumn("content", content).join(lists, ["host", "content"], "left")
+    joined = joined.select("page_id", "url", "html", "template")
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -64,6 +64,17 @@ def test_template_goes_and_repeated_content_stays(text_of):
     assert all(got[i] == f"The. Body {i}" for i in range(12))
 
 
+@pytest.mark.parametrize("most", [0, 10_000])
+def test_template_does_not_depend_on_the_host_size(text_of, monkeypatch, most):
+    monkeypatch.setattr(html_text, "HOST_ROWS", most)
+    own = ["<article><p>Text {}</p><div>Follow the blog</div></article>".format(i) for i in range(6)]
+    other = ["<article><p>Other {}</p><div>{}</div></article>".format(i, "four pages" if i < 4 else f"d{i}") for i in range(400)]
+    got = text_of(*[("http://a.example/x", x) for x in own + other], *[("http://b.example/x", x) for x in own[:4]])
+    assert [got[i] for i in range(6)] == [f"Text {i}" for i in range(6)]
+    assert all(got[6 + i] == f"Other {i} " + ("four pages" if i < 4 else f"d{i}") for i in range(400))
+    assert [got[406 + i] for i in range(4)] == [f"Text {i} Follow the blog" for i in range(4)]
+
+
 def test_copies_of_a_page_are_no_template(text_of):
     assert set(text_of(*[("http://a.example", "<div><p>Same page</p></div>")] * 20).values()) == {"Same page"}
 
