@@ -9,9 +9,9 @@ each chunk with each one of its symbols masked, and all such pairs share a key.
 A key that many classes share never gives all its pairs. First each key's most central class is compared with the key's
 others, and the links found make components; keys that lie within one component are done. Of the other keys, classes
 with too many shingles that no one else has are let go: their similarity to anything is bounded below the threshold. What is outside a key's
-largest component then meets the key's classes of other components, and a pair leaves that join only if its bitmaps
-allow the threshold: a shingle whose bit the other set lacks isn't in the other set, which bounds the intersection from above.
-So no link that joins components is lost, and few pairs are confirmed in vain.
+largest component then meets the key's classes of other components. A pair leaves that join only at the least of the open keys
+that both have, so once, and only if two bounds on its intersection allow the threshold: the shingles of either that any other class has, and
+its bitmaps (a shingle whose bit the other set lacks isn't in the other set). So no link that joins components is lost, and few pairs are confirmed in vain.
 
 Defined cases: a null text is empty; a set without shingles is linked with nothing; a null doc_id takes part and
 sorts first as nothing (its component is null unless others share it); repeated rows share a class; other columns are ignored;
@@ -28,15 +28,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexivec.llm.runtime import durable, full_text, short_batches
+from lexivec.llm.runtime import discard, durable, full_text, sent, short_batches
 from lexivec.llm.words import mixed, shingles, word_hashes
 
 WORDS = 5
 SYMBOLS, CHUNKS, DISTANCE = 64, 11, 21
 #: intersection * 100 >= SHARE * union
 SHARE = 85
-#: Tables of at most this many (id, id) rows, as counted, are broadcast; larger ones are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Bytes of an (id, id) row, and of one with a mark and an id more, as Spark holds it.
+PAIR, MARKED = 24, 64
 #: A set's bitmap has so many 64-bit words.
 WORDS_OF_BITS = 16
 
@@ -135,22 +135,19 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
 
-def _sent(df: DataFrame, rows: int) -> DataFrame:
-    """``df`` marked for broadcast if the count of its rows allows."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
 def components(links: DataFrame) -> DataFrame:
     """(cid, label) of all that is linked: label is the least cid reachable. Rounds of neighbours' least labels and pointer jumps."""
     edges = durable(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     n = edges.count()
     labels = durable(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("cid"), F.least("a", "m").alias("label")), n)
     while True:
-        told = edges.join(_sent(labels.select(F.col("cid").alias("b"), "label"), n), "b").groupBy("a").agg(F.min("label").alias("m"))
-        nearer = told.join(_sent(labels, n), labels["cid"] == told["a"]).select("cid", F.col("label").alias("old"), F.least("label", "m").alias("label"))
+        told = edges.join(sent(labels.select(F.col("cid").alias("b"), "label"), n, PAIR), "b").groupBy("a").agg(F.min("label").alias("m"))
+        nearer = told.join(sent(labels, n, PAIR), labels["cid"] == told["a"]).select("cid", F.col("label").alias("old"), F.least("label", "m").alias("label"))
         roots = labels.select(F.col("cid").alias("label"), F.col("label").alias("root"))
-        labels = durable(nearer.join(_sent(roots, n), "label", "left").select("cid", "old", F.least("label", F.coalesce("root", "label")).alias("label")), n)
+        before, labels = labels, durable(nearer.join(sent(roots, n, PAIR), "label", "left").select("cid", "old", F.least("label", F.coalesce("root", "label")).alias("label")), n)
+        discard(before)
         if labels.where(F.col("old") != F.col("label")).isEmpty():
+            discard(edges)
             return labels.drop("old")
         labels = labels.drop("old")
 
@@ -182,7 +179,7 @@ class _Join:
     def set_table(self, members: DataFrame) -> DataFrame:
         """(cid, own): full sets of the classes that share a key, from one text of each."""
         wanted = durable(members.select("cid").distinct().join(self.classes.select("cid", "mark", "first_id"), "cid"))
-        wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+        wanted = sent(wanted, wanted.count(), MARKED)
         texts = self.texts.join(wanted, self.texts["doc_id"].eqNullSafe(wanted["first_id"])).select("cid", "mark", "text")
         return durable(texts.mapInArrow(_sets, _SETS).dropDuplicates(["cid"]))
 
@@ -199,38 +196,37 @@ class _Join:
     def labelled(self, members: DataFrame) -> DataFrame:
         if self.labels is None:
             return members.withColumn("label", F.col("cid"))
-        return members.join(_sent(self.labels, self.n_labels), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+        return members.join(sent(self.labels, self.n_labels, PAIR), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
 
     def join_components(self, links: DataFrame) -> None:
         """Take up new links: components of the labels they join, then each label's new one."""
         if self.labels is None:
             self.labels = components(links)
         else:
-            known = _sent(self.labels, self.n_labels)
+            known = sent(self.labels, self.n_labels, PAIR)
             for side in ("a", "b"):
                 told = known.select(F.col("cid").alias(side), F.col("label").alias("_label"))
                 links = links.join(told, side, "left").withColumn(side, F.coalesce("_label", side)).drop("_label")
             moved = components(links.where("a <> b"))
-            fresh = moved.join(_sent(self.labels.select("cid"), self.n_labels), "cid", "left_anti")
+            fresh = moved.join(sent(self.labels.select("cid"), self.n_labels, PAIR), "cid", "left_anti")
             after = moved.select(F.col("cid").alias("label"), F.col("label").alias("_label"))
-            old = self.labels.join(_sent(after, self.n_labels), "label", "left").select("cid", F.coalesce("_label", "label").alias("label"))
+            old = self.labels.join(sent(after, self.n_labels, PAIR), "label", "left").select("cid", F.coalesce("_label", "label").alias("label"))
             self.labels = durable(old.unionByName(fresh))
         self.n_labels = self.labels.count()
 
     def active(self, members: DataFrame) -> DataFrame:
         """Members of keys that still hold more than one component, with their labels."""
-        told = self.labelled(members.select("key", "cid", "score"))
+        told = self.labelled(members)
         open_keys = told.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
         return durable(told.join(open_keys, "key"))
 
     def may_link(self, members: DataFrame, sets: DataFrame) -> DataFrame:
-        """Members whose shingles found in another member, too, are enough to reach the threshold with anything."""
+        """Members whose shingles found in another member, too, are enough to reach the threshold with anything; ``met`` is their number."""
         own = sets.join(members.select("cid").distinct(), "cid")
         alone = own.select("cid", F.explode("own").alias("s")).groupBy("s").agg(F.count("*").alias("n"), F.min("cid").alias("cid")).where("n = 1")
         alone = alone.groupBy("cid").agg(F.count("*").alias("alone"))
-        n = F.size("own")
-        fit = own.join(alone, "cid", "left").where(100 * (n - F.coalesce("alone", F.lit(0))) >= SHARE * n).select("cid")
-        return members.join(fit, "cid")
+        met = own.join(alone, "cid", "left").select("cid", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("met"))
+        return members.join(met.where(100 * F.col("met") >= SHARE * F.col("n")).select("cid", "met"), "cid")
 
     def pivot_pairs(self, members: DataFrame) -> DataFrame:
         """Each key's most central class with its others."""
@@ -239,20 +235,26 @@ class _Join:
         return met.select(F.least("cid", "pivot").alias("a"), F.greatest("cid", "pivot").alias("b")).distinct()
 
     def open_pairs(self, members: DataFrame, sets: DataFrame) -> DataFrame:
-        """Pairs of a key in different components that their bitmaps allow to be linked."""
+        """Pairs of a key in different components that the bounds on their intersection allow to be linked, each at one key."""
         held = members.groupBy("key", "label").agg(F.count("*").alias("n"))
         largest = held.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("largest"))
-        every = members.select("key", "cid", "label").join(sets.drop("own"), "cid")
-        names = ["cid", "label", "n", "ones", *_BITS]
+        # a class has at most SYMBOLS keys
+        own = members.groupBy("cid").agg(F.collect_set("key").alias("keys"), F.first("met").alias("met")).join(sets.drop("own"), "cid")
+        every = members.select("key", "cid", "label").join(own, "cid")
+        names = ["cid", "label", "keys", "met", "n", "ones", *_BITS]
         other = every.select("key", *[F.col(c).alias(f"{c}_") for c in names])
         rest = every.join(largest, "key").where("label <> largest")
         once = (F.col("label_") == F.col("largest")) | (F.col("cid") < F.col("cid_"))
         sized = 100 * F.least("n", "n_") >= SHARE * F.greatest("n", "n_")
         common = sum((F.bit_count(F.col(b).bitwiseAND(F.col(f"{b}_"))) for b in _BITS[1:]), F.bit_count(F.col("b0").bitwiseAND(F.col("b0_"))))
-        most = F.least(F.col("n") - F.col("ones"), F.col("n_") - F.col("ones_")) + common
-        able = 100 * most >= SHARE * (F.col("n") + F.col("n_") - most)
-        met = rest.join(other, (rest["key"] == other["key"]) & (F.col("label") != F.col("label_")) & once & sized & able)
-        return met.select(F.least("cid", "cid_").alias("a"), F.greatest("cid", "cid_").alias("b")).distinct()
+
+        def able(most: Column) -> Column:
+            return 100 * most >= SHARE * (F.col("n") + F.col("n_") - most)
+
+        by_bits = F.least(F.col("n") - F.col("ones"), F.col("n_") - F.col("ones_")) + common
+        least_key = rest["key"] == F.array_min(F.array_intersect("keys", "keys_"))
+        met = rest.join(other, (rest["key"] == other["key"]) & (F.col("label") != F.col("label_")) & once & sized & able(F.least("met", "met_")) & able(by_bits) & least_key)
+        return met.select(F.least("cid", "cid_").alias("a"), F.greatest("cid", "cid_").alias("b"))
 
     def run(self) -> None:
         members = durable(self.members())
@@ -260,15 +262,17 @@ class _Join:
             return
         sets = self.set_table(members)
         self.take(self.pivot_pairs(members), sets)
-        left = self.active(members)
-        left = self.active(self.may_link(left, sets))
+        first = self.active(members)
+        left = self.active(self.may_link(first.drop("label"), sets))
         if not left.isEmpty():
             self.take(self.open_pairs(left, sets), sets)
+        discard(members, sets, first, left)
 
     def take(self, pairs: DataFrame, sets: DataFrame) -> None:
         links = durable(self.confirmed(pairs, sets))
         if not links.isEmpty():
             self.join_components(links)
+        discard(links)
 
     def result(self) -> DataFrame:
         known = self.classes.select("mark", "cid", "first_id", "copies")

@@ -7,15 +7,19 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import lexivec
 
-#: Rows handed to Python at a time. Texts may be long, so batches stay short.
-ARROW_ROWS = 512
+#: Rows and bytes handed to Python at a time, the same for every operator: what one plan sets holds for plans built before it too.
+ARROW_ROWS, ARROW_BYTES = 512, 32 << 20
+#: What a table may take when it is broadcast, as counted rows by the bytes of one; larger ones are joined by a shuffle.
+BROADCAST_BYTES = 16 << 20
 #: Short rows (a few numbers each) that go to one file.
 ROWS_A_FILE = 100_000
 
@@ -49,9 +53,38 @@ def durable(df: DataFrame, rows: int | None = None) -> DataFrame:
     spark = df.sparkSession
     if rows is not None:
         df = df.coalesce(1 + rows // ROWS_A_FILE)
-    path = f"{shared_dir(spark)}/lexivec-{uuid.uuid4().hex}"
+    path = f"{_folder(spark)}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    read = spark.read.schema(df.schema).parquet(path)
+    read.__dict__["_lexivec_path"] = path
+    return read
+
+
+def _folder(spark: SparkSession) -> str:
+    """This application's own folder within the shared one."""
+    return f"{shared_dir(spark)}/lexivec-{spark.sparkContext.applicationId}"
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that ``durable`` wrote and nothing to come reads."""
+    for table in tables:
+        if path := table.__dict__.get("_lexivec_path"):
+            _remove(table.sparkSession, path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove all that ``durable`` wrote in this application. For callers that have written the results they want to keep."""
+    _remove(spark, _folder(spark))
+
+
+def sent(df: DataFrame, rows: int, width: int) -> DataFrame:
+    """``df`` marked for broadcast if its rows, as counted, of ``width`` bytes each stay within ``BROADCAST_BYTES``."""
+    return F.broadcast(df) if rows * width <= BROADCAST_BYTES else df
 
 
 def _ship(spark: SparkSession) -> None:
@@ -70,10 +103,23 @@ def _ship(spark: SparkSession) -> None:
     context._lexivec_shipped = True
 
 
-def short_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
+def short_batches(spark: SparkSession) -> None:
     """Make the Python workers ready: the library is there, and one Arrow batch of texts takes a bounded share of memory."""
     _ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+
+
+def gathered(batches: Iterator[pa.RecordBatch], rows: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Arrow batches joined until they have so many rows or bytes, for work with a cost per call."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows or sum(b.nbytes for b in held) >= size:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
 def full_text(column: str = "text"):
