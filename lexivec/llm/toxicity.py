@@ -6,19 +6,19 @@ the share of positives among the labelled training rows. Features are character
 inflected and compounded forms of an insulting stem are known too; those that are no likelier in positives than in unlabelled text are left out
 before training, so long clean documents gather no weight.
 
-The sample that the classifier is fitted on is bounded by ``SAMPLE_DOCS`` documents of each kind and
-``SAMPLE_CHARS`` code points of each; scores cover every document's whole text.
+The sample that the classifier is fitted on is bounded: ``SAMPLE_DOCS`` documents of each kind in the order of a hash of doc_id, until
+``SAMPLE_CHARS`` code points of that kind are reached, long texts like short ones. Spark counts its n-grams and turns it into sparse rows of the chosen
+ones; the driver sees those rows alone. Scores cover every document's whole text.
 
 Defined cases: a null text is empty; an empty text has the score of no evidence; a null doc_id counts as the id '' (held out); labels
 that are null or contradict each other for one document are not positives; without any positive every score is the
-prior 0; repeated rows are scored each; other columns are ignored; an empty table gives no rows.
+prior 0; repeated rows are scored each, and the least text of a doc_id is fitted on; a very long text is scored whole and remembered word by word; equal texts
+score alike; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexivec.llm.runtime import full_text, hash_bound, short_batches
+from lexivec.llm.runtime import discard, durable, full_text, hash_bound, short_batches
 
 SAMPLE_DOCS, SAMPLE_CHARS = 3000, 12_000_000
 GRAMS = (5, 5)
@@ -35,10 +35,9 @@ GRAMS = (5, 5)
 LEAST_POSITIVES, LEAST_CHANCE = 4, 0.7
 #: -ln of how likely a feature's surplus in positives may be by chance; there are some hundred thousand to choose from.
 LEAST_EVIDENCE = 11
-FEATURES, BUCKETS = 8192, 1 << 22
 STEPS, RATE, DECAY = 300, 0.2, 1e-4
-#: Words a worker remembers.
-CACHE_WORDS = 400_000
+#: Words a worker remembers, and n-grams it counts before it hands them on.
+CACHE_WORDS, HELD_GRAMS = 400_000, 200_000
 _GAP = re.compile(r"[\W\d_]+")
 
 
@@ -81,106 +80,133 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.bias + self.weights[list(self.rows(text))].sum(), -30, 30))))
 
 
-def select_features(positive: list[set[str]], unlabelled: list[set[str]], prior: float) -> list[str]:
-    """n-grams g with P(toxic | g) = prior * P(g | positive) / P(g | unlabelled) surely over the least chance.
+def gram_counts(sample: DataFrame) -> DataFrame:
+    """(gram, a, b): how many positives and how many unlabelled texts of (side, doc_id, text) hold an n-gram."""
 
-    Counted in ``BUCKETS`` hash buckets first; only the n-grams of buckets that pass are counted by name.
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list[int]] = {}
+
+        def out() -> pa.RecordBatch:
+            rows = [pa.array([*held]), pa.array([c[0] for c in held.values()], pa.int64()), pa.array([c[1] for c in held.values()], pa.int64())]
+            held.clear()
+            return pa.RecordBatch.from_arrays(rows, names=["gram", "a", "b"])
+
+        for batch in batches:
+            for side, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for g in {g for w in words_of(text) for g in grams_of(w)}:
+                    held.setdefault(g, [0, 0])[side] += 1
+                if len(held) > HELD_GRAMS:
+                    yield out()
+        if held:
+            yield out()
+
+    found = sample.select("side", "text").mapInArrow(count, "gram string, a bigint, b bigint")
+    return found.groupBy("gram").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+
+
+def telling(n_positive: int, n_unlabelled: int, prior: float) -> Column:
+    """Whether P(toxic | gram) = prior * P(gram | positive) / P(gram | unlabelled) is surely over the least chance, from counts a and b."""
+    a, b = F.col("a"), F.col("b")
+    most = a * (prior / n_positive * n_unlabelled / LEAST_CHANCE)  # the most there may be in unlabelled text
+    by_chance = (b + 1) * (n_positive / n_unlabelled)  # positives that hold it, were it as common as elsewhere
+    evidence = a * F.log(a / by_chance) - (a - by_chance)  # -ln of the chance to see so many (Chernoff)
+    return (a >= LEAST_POSITIVES) & (b + F.sqrt(b) < most) & (a > by_chance) & (evidence > LEAST_EVIDENCE)
+
+
+def sparse_rows(sample: DataFrame, bare: Model) -> DataFrame:
+    """(side, doc_id, found): the features of each text of the sample."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = pa.array([sorted(bare.rows(x)) for x in batch.column(2).to_pylist()], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), found], names=["side", "doc_id", "found"])
+
+    return sample.select("side", "doc_id", "text").mapInArrow(find, "side int, doc_id bigint, found array<int>")
+
+
+def risk_gradient(sides: list[tuple[np.ndarray, np.ndarray, int]], w: np.ndarray, bias: float, prior: float) -> tuple[np.ndarray, float]:
+    """The gradient by which a step of non-negative PU learning goes: that of the risk while the unlabelled part isn't negative, else back out of it.
+
+    ``sides`` are positives and unlabelled: (row of the text, feature) of what they hold, and the number of texts.
     """
-    hashed: dict[str, np.ndarray] = {}
-
-    def buckets(words: set[str]) -> np.ndarray:
-        for w in words:
-            if w not in hashed:
-                hashed[w] = np.array([zlib.crc32(g.encode()) % BUCKETS for g in grams_of(w)], np.uint32)
-        return np.unique(np.concatenate([hashed[w] for w in words])) if words else np.zeros(0, np.uint32)
-
-    def passes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        most = prior * a / len(positive) * len(unlabelled) / LEAST_CHANCE  # the most there may be in unlabelled text
-        by_chance = len(positive) * (b + 1) / len(unlabelled)  # positives that hold it, were it as common as elsewhere
-        evidence = a * np.log(np.maximum(a, 1) / by_chance) - (a - by_chance)  # -ln of the chance to see so many (Chernoff)
-        return (a >= LEAST_POSITIVES) & (b + np.sqrt(b) < most) & (a > by_chance) & (evidence > LEAST_EVIDENCE)
-
-    counts = np.zeros((2, BUCKETS), np.int32)
-    for side, docs in enumerate((positive, unlabelled)):
-        for words in docs:
-            counts[side][buckets(words)] += 1
-    able = passes(*counts)
-    named = {w: {g for g in grams_of(w) if able[zlib.crc32(g.encode()) % BUCKETS]} for w, own in hashed.items() if able[own].any()}
-    tally = [Counter(g for words in docs for g in set().union(*(named[w] for w in words if w in named))) for docs in (positive, unlabelled)]
-    names = sorted(tally[0])
-    a, b = (np.array([t[g] for g in names], float) for t in tally)
-    order = np.argsort(-a, kind="stable")
-    return [names[i] for i in order[passes(a, b)[order]]][:FEATURES]
-
-
-def train(positive: list[str], unlabelled: list[str], prior: float) -> Model:
+    probs = []
+    for row, col, n in sides:
+        z = bias + np.bincount(row, w[col], n)
+        probs.append(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+    p, u = probs
+    negative = -np.log(np.maximum(1 - u, 1e-12)).mean() + prior * np.log(np.maximum(1 - p, 1e-12)).mean()
+    if negative >= 0:
+        gu, gp = u / len(u), -prior * (1 - p) / len(p) - prior * p / len(p)
+    else:
+        gu, gp = -u / len(u), prior * p / len(p)
+    return np.bincount(sides[0][1], gp[sides[0][0]], len(w)) + np.bincount(sides[1][1], gu[sides[1][0]], len(w)), float(gp.sum() + gu.sum())
+
+
+def train(names: list[str], sides: list[tuple[np.ndarray, np.ndarray, int]], prior: float) -> Model:
     """A logistic model minimising the non-negative PU risk by Adam over the whole sample."""
-    if not positive or not unlabelled or not 0 < prior < 1:
-        return Model({}, np.zeros(0), 0.0, prior)
-    chosen = select_features([words_of(x) for x in positive], [words_of(x) for x in unlabelled], prior)
-    model = Model({g: i for i, g in enumerate(chosen)}, np.zeros(len(chosen)), float(np.log(prior / (1 - prior))), prior)
-    if not chosen:
-        return Model({}, np.zeros(0), 0.0, prior)
-
-    def matrix(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        rows = [sorted(model.rows(x)) for x in texts]
-        return np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.array([i for r in rows for i in r], np.int64)
-
-    sides = [(*matrix(x), len(x)) for x in (positive, unlabelled)]
-    w, bias = model.weights, model.bias
+    w, bias = np.zeros(len(names)), float(np.log(prior / (1 - prior)))
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for step in range(1, STEPS + 1):
-        probs = []
-        for row, col, n in sides:
-            z = bias + np.bincount(row, w[col], n)
-            probs.append(1 / (1 + np.exp(-np.clip(z, -30, 30))))
-        p, u = probs
-        negative = -np.log(np.maximum(1 - u, 1e-12)).mean() + prior * np.log(np.maximum(1 - p, 1e-12)).mean()
-        gp = -prior * (1 - p) / len(p)  # of pi R_p(+)
-        gu = np.zeros(len(u))
-        if negative >= 0:
-            gu, gp = u / len(u), gp - prior * p / len(p)
-        else:  # step back from a negative risk of the unlabelled
-            gu, gp = -u / len(u), prior * p / len(p)
-        g = np.bincount(sides[0][1], gp[sides[0][0]], len(w)) + np.bincount(sides[1][1], gu[sides[1][0]], len(w)) + DECAY * w
-        gb = gp.sum() + gu.sum()
+        g, gb = risk_gradient(sides, w, bias, prior)
+        g = g + DECAY * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         a, b = 1 - 0.9**step, 1 - 0.999**step
         w = np.maximum(0, w - RATE * (m / a) / (np.sqrt(v / b) + 1e-8))  # chosen features are evidence for, never against
         bias -= RATE * (mb / a) / (np.sqrt(vb / b) + 1e-8)
-    return Model(model.features, w, float(bias), prior)
+    return Model({g: i for i, g in enumerate(names)}, w, float(bias), prior)
+
+
+def draw(text: DataFrame, positive: DataFrame, n_positive: int) -> DataFrame:
+    """(side, doc_id, text): the bounded sample of positives (side 0) and of any texts (side 1)."""
+    rank = F.xxhash64(F.col("doc_id"), F.lit(3))
+    kinds = ((positive, n_positive), (text.select("doc_id"), text.count()))
+    ids = [x.where(rank <= hash_bound(SAMPLE_DOCS, n)).distinct().orderBy(rank, "doc_id").limit(SAMPLE_DOCS).withColumn("side", F.lit(s)) for s, (x, n) in enumerate(kinds)]
+    chosen = durable(ids[0].unionByName(ids[1]), 2 * SAMPLE_DOCS)
+    found = durable(text.join(F.broadcast(chosen), "doc_id").groupBy("side", "doc_id").agg(F.min("text").alias("text")))
+    sizes = found.select("side", rank.alias("r"), "doc_id", F.length("text").alias("n")).toArrow().to_pylist()
+    within = F.lit(False)
+    for s in (0, 1):
+        held, last = 0, None
+        for x in sorted((x for x in sizes if x["side"] == s), key=lambda x: (x["r"], x["doc_id"])):
+            if held >= SAMPLE_CHARS:
+                break
+            held, last = held + x["n"], x
+        if last:
+            within |= (F.col("side") == s) & (F.struct(rank.alias("r"), "doc_id") <= F.struct(F.lit(last["r"]).cast("bigint").alias("r"), F.lit(last["doc_id"]).cast("bigint").alias("doc_id")))
+    kept = durable(found.where(within))
+    discard(chosen, found)
+    return kept
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Train on bounded samples of documents that are not held out."""
+    short_batches(docs.sparkSession)
     marks = labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.min("toxic").alias("lo"), F.max("toxic").alias("hi"))
-    marks = marks.select(F.col("doc_id").alias("marked_id"), (F.col("lo") == 1).alias("toxic"))
+    marks = marks.select(F.col("doc_id").cast("bigint").alias("doc_id"), (F.col("lo") == 1).alias("toxic"))
     seen = marks.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("toxic").cast("bigint")), F.lit(0)).alias("k")).first()
+    none = Model({}, np.zeros(0), 0.0, 0.0)
     if not seen["k"]:
-        return Model({}, np.zeros(0), 0.0, 0.0)
-    text = docs.where(~held_out(F.col("doc_id"))).select("doc_id", full_text().alias("text"))
-    rank = F.xxhash64(F.col("doc_id"), F.lit(3))
-
-    def sample(ids: DataFrame, n: int) -> list[str]:
-        """A fixed random choice: the least hashes of doc_id, then whole texts as far as the bound on code points goes."""
-        chosen = ids.where(rank <= hash_bound(SAMPLE_DOCS, n)).distinct().orderBy(rank, "doc_id").limit(SAMPLE_DOCS)
-        out, left = [], SAMPLE_CHARS
-        rows = text.join(F.broadcast(chosen), "doc_id").select(rank.alias("r"), "doc_id", F.length("text").alias("n"))
-        sizes = rows.orderBy("r", "doc_id").collect()
-        fit_ids = []
-        for r in sizes:
-            if r["n"] <= left:
-                left -= r["n"]
-                fit_ids.append((r["doc_id"],))
-        some = docs.sparkSession.createDataFrame(fit_ids, "doc_id bigint")
-        for r in text.join(F.broadcast(some), "doc_id").collect():
-            out.append((r["doc_id"], r["text"]))
-        return [t for _, t in sorted(out)]
-
-    positive = sample(marks.where("toxic").select(F.col("marked_id").alias("doc_id")), seen["k"])
-    unlabelled = sample(text.select("doc_id"), docs.count())
-    return train(positive, unlabelled, min(0.99, seen["k"] / seen["n"]))
+        return none
+    prior = min(0.99, seen["k"] / seen["n"])
+    text = docs.where(~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("bigint").alias("doc_id"), full_text().alias("text"))
+    sample = draw(text, marks.where("toxic").select("doc_id"), seen["k"])
+    sizes = {r["side"]: r["count"] for r in sample.groupBy("side").count().collect()}
+    if len(sizes) < 2:
+        return none
+    chosen = gram_counts(sample).where(telling(sizes[0], sizes[1], prior)).orderBy(F.desc("a"), "gram").toArrow()
+    names = chosen.column("gram").to_pylist()
+    if not names:
+        return none
+    found = sparse_rows(sample, Model({g: i for i, g in enumerate(names)}, np.zeros(0), 0.0, prior)).orderBy("side", "doc_id").toArrow()
+    side, lists = found.column("side").to_numpy(), found.column("found").combine_chunks()
+    width = np.diff(lists.offsets.to_numpy())
+    col, sides = lists.values.to_numpy().astype(np.int64), []
+    for s in (0, 1):
+        own = side == s
+        sides.append((np.repeat(np.arange(own.sum()), width[own]), col[np.repeat(own, width)], int(own.sum())))
+    discard(sample)
+    return train(names, sides, prior)
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
