@@ -1,12 +1,13 @@
 """Secret scanning with an incremental blob ledger, in DataFrame and SQL functions only.
 
 Every version of a text is addressed by the SHA-256 of its content. The ledger holds, for each
-blob, the rule versions it has been scanned with and the spans they found. A run scans only the
-(blob, rule version) pairs the ledger lacks, one representative per blob, and joins the findings
-back to every document that holds the blob.
+blob, the rule versions it has been scanned with and the spans each of them found. A run scans only the
+(blob, rule version) pairs the ledger lacks, one representative per blob, and joins the findings of the current rule versions
+back to every document that holds the blob; spans of versions no longer in use stay in the ledger and are not reported.
 
 Defined cases: a null text is empty and has no spans; a null doc_id stays null; documents with equal
-text get equal findings; repeated rows stay repeated; other columns are ignored; an empty table gives no rows.
+text get equal findings; spans that start together stand in the order of the rules; a very long text is scanned whole, its matches in runs of
+``RUN``; repeated rows stay repeated; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexivec.llm.runtime import durable, full_text
+from lexivec.llm.runtime import durable, full_text, sent
 
 
 @dataclass(frozen=True)
@@ -53,37 +54,48 @@ _GAP = r"(?:\s|\\[nrt])"
 _PEM_REST = rf"(?:{_GAP}++(?:Proc-Type|DEK-Info):[^\n\\]*+)*+(?:{_GAP}++[A-Za-z0-9+/=]{{16,}}+)*+(?:(?:\n|\\n){_GAP}*+[A-Za-z0-9+/=]++(?={_GAP}|$))?+"
 #: What is cut out of texts: as RULES, but a private key goes with its body. A finding (RULES, and its SQL) names the BEGIN line alone.
 REDACTED_RULES = tuple(Rule("pem", 2, f"{_PEM}(?:{_PEM_BODY}|{_PEM_REST})") if r.kind == "pem" else r for r in RULES)
-SPAN = "array<struct<start:bigint,kind:int,end:bigint>>"
-LEDGER = f"blob string, rules array<string>, spans {SPAN}"
+#: Places in code points and, for cutting, in UTF-8 bytes; ends are exclusive.
+PLACE = "start:bigint,end:bigint,first:bigint,last:bigint"
+SPAN = f"array<struct<start:bigint,kind:int,{PLACE.split(',', 1)[1]}>>"
+FOUND = f"array<struct<rule:string,{PLACE}>>"
+LEDGER = f"blob string, rules array<string>, spans {FOUND}"
+#: Matches walked together, so that a text with very many does not copy all of them for each. Bytes of a row of unseen blobs.
+RUN, UNSEEN = 512, 256
 
 
-def rule_spans(text: Column, rule: Rule, kind: int) -> Column:
-    """The rule's spans in code points, end exclusive.
+def rule_spans(text: Column, rule: Rule) -> Column:
+    """The rule's spans, in order.
 
     Splitting at the pattern and extracting it walk the same matches, so a match starts where the
     gaps and matches before it end.
     """
     found = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     gaps = F.split(text, rule.pattern, -1)
-    step = F.arrays_zip(F.transform(found, lambda m: F.length(m)).alias("m"), F.transform(F.slice(gaps, 1, F.size(found)), lambda g: F.length(g)).alias("g"), F.transform(found, lambda m: F.length(F.regexp_extract(m, rule.pattern, rule.group))).alias("v"))
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(SPAN).alias("spans"))
+    sizes = F.transform(found, lambda m: F.struct(F.length(m).alias("m"), F.octet_length(m).alias("mb"), F.length(F.regexp_extract(m, rule.pattern, rule.group)).alias("v")))
+    ahead = F.transform(F.slice(gaps, 1, F.size(found)), lambda g: F.struct(F.length(g).alias("g"), F.octet_length(g).alias("gb")))
+    step = F.arrays_zip(sizes.alias("x"), ahead.alias("y"))
+    zero = F.lit(0).cast("bigint")
 
-    def walk(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["g"]
-        span = F.struct(begin.alias("start"), F.lit(kind).alias("kind"), (begin + x["m"]).alias("end"))
-        return F.struct((begin + x["m"]).alias("at"), F.when(x["v"] >= rule.least, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
+    def walk(acc: Column, i: Column) -> Column:
+        def one(own: Column, z: Column) -> Column:
+            begin, first = own["at"] + z["y"]["g"], own["bytes"] + z["y"]["gb"]
+            end, last = begin + z["x"]["m"], first + z["x"]["mb"]
+            span = F.struct(F.lit(rule.name).alias("rule"), begin.alias("start"), end.alias("end"), first.alias("first"), last.alias("last"))
+            return F.struct(end.alias("at"), last.alias("bytes"), F.when(z["x"]["v"] >= rule.least, F.concat(own["spans"], F.array(span))).otherwise(own["spans"]).alias("spans"))
 
-    return F.when(text.rlike(rule.pattern), F.aggregate(step, start, walk, lambda acc: acc["spans"])).otherwise(F.array().cast(SPAN))
+        run = F.aggregate(F.slice(step, i * RUN + 1, RUN), F.struct(acc["at"].alias("at"), acc["bytes"].alias("bytes"), F.array().cast(FOUND).alias("spans")), one)
+        return F.struct(run["at"].alias("at"), run["bytes"].alias("bytes"), F.concat(acc["runs"], F.array(run["spans"])).alias("runs"))
+
+    start = F.struct(zero.alias("at"), zero.alias("bytes"), F.array().cast(f"array<{FOUND}>").alias("runs"))
+    runs = F.sequence(F.lit(0), F.floor((F.size(found) - 1) / RUN).cast("int"))
+    return F.when(text.rlike(rule.pattern), F.aggregate(runs, start, walk, lambda acc: F.flatten(acc["runs"]))).otherwise(F.array().cast(FOUND))
 
 
 def scan_text(text: Column, rules: tuple[Rule, ...] = RULES, wanted: Column | None = None) -> Column:
-    """Spans of all rules (of those in ``wanted``, if given) by start, then rule order."""
-    none = F.array().cast(SPAN)
-    parts = []
-    for k, rule in enumerate(rules):
-        spans = rule_spans(text, rule, k)
-        parts.append(spans if wanted is None else F.when(F.array_contains(wanted, rule.name), spans).otherwise(none))
-    return F.array_sort(F.concat(*parts))
+    """Spans of all rules (of those in ``wanted``, if given), rule after rule."""
+    none = F.array().cast(FOUND)
+    parts = [rule_spans(text, r) for r in rules]
+    return F.concat(*[p if wanted is None else F.when(F.array_contains(wanted, r.name), p).otherwise(none) for p, r in zip(parts, rules, strict=True)])
 
 
 def blob_paths(docs: DataFrame) -> DataFrame:
@@ -94,9 +106,9 @@ def blob_paths(docs: DataFrame) -> DataFrame:
 def scan_ledger(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, paths: DataFrame | None = None) -> DataFrame:
     """The ledger's new entries: blobs of ``docs`` with rule versions that it lacks.
 
-    Only ids and digests move until it is known what is unseen; then the texts of one
-    representative per unseen blob are fetched and scanned. A blob held by a third of all rows is one row
-    after the first partial aggregation.
+    Only ids and digests move until it is known what is unseen. With a ledger, the unseen blobs are counted, and where they are few they go to
+    the texts; without one, or where they are many, the texts go to them, by one shuffle. One representative of each is scanned. A blob held by a
+    third of all rows is one row after the first partial aggregation.
     """
     paths = blob_paths(docs) if paths is None else paths
     names = F.array(*[F.lit(r.name) for r in rules])
@@ -107,21 +119,26 @@ def scan_ledger(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[R
         seen = ledger.select("blob", F.explode("rules").alias("rule")).where(F.col("rule").isin([r.name for r in rules]))
         seen = seen.groupBy("blob").agg(F.collect_set("rule").alias("done"))
         unseen = unseen.join(seen, "blob", "left").withColumn("todo", F.array_except(names, F.coalesce("done", F.array().cast("array<string>"))))
-        unseen = unseen.where(F.size("todo") > 0).drop("done")
+        unseen = durable(unseen.where(F.size("todo") > 0).drop("done"))
+        unseen = sent(unseen, unseen.count(), UNSEEN)
     texts = docs.select("doc_id", full_text().alias("text")).withColumn("own", F.sha2("text", 256))
     fetched = texts.join(unseen, texts["doc_id"].eqNullSafe(unseen["first_id"]) & (texts["own"] == unseen["blob"]))
     found = fetched.select("blob", F.col("todo").alias("rules"), scan_text(F.col("text"), rules, F.col("todo")).alias("spans"))
     return found.dropDuplicates(["blob"])
 
 
-def findings(paths: DataFrame, ledger: DataFrame) -> DataFrame:
-    """(doc_id, spans): what the ledger knows of each document's blob.
+def findings(paths: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(doc_id, blob, spans): what the ledger knows of each document's blob by the rules as they are now, by start, then in the rules' order.
 
     Blobs without a finding are left out of the join's inner side; a blob that many documents hold makes one
     key heavy on the side that adaptive execution can split.
     """
-    some = ledger.where(F.size("spans") > 0).groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
-    return paths.join(some, "blob", "left").select("doc_id", "blob", F.coalesce("spans", F.array().cast(SPAN)).alias("spans"))
+    names = F.array(*[F.lit(r.name) for r in rules])
+    current = F.filter("spans", lambda s: F.array_contains(names, s["rule"]))
+    some = ledger.select("blob", current.alias("spans")).where(F.size("spans") > 0).groupBy("blob").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    kind = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), (F.array_position(names, s["rule"]) - 1).cast("int").alias("kind"), s["end"].alias("end"), s["first"].alias("first"), s["last"].alias("last")))
+    known = some.select("blob", F.array_sort(F.array_distinct(kind)).alias("spans"))
+    return paths.join(known, "blob", "left").select("doc_id", "blob", F.coalesce("spans", F.array().cast(SPAN)).alias("spans"))
 
 
 def span_text(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:
@@ -135,7 +152,7 @@ def scan_documents(docs: DataFrame, ledger: DataFrame | None = None, rules: tupl
     paths = durable(blob_paths(docs))
     added = durable(scan_ledger(docs, ledger, rules, paths))
     known = added if ledger is None else ledger.select(*added.columns).unionByName(added)
-    return findings(paths, known), added
+    return findings(paths, known, rules), added
 
 
 #: A table of findings up to this many bytes, as measured, is broadcast; a larger one is joined by a shuffle.
@@ -147,19 +164,31 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
 
     Overlapping spans are replaced together. n_chars, if there, follows the text.
     """
-    added = durable(scan_ledger(docs, rules=REDACTED_RULES).where(F.size("spans") > 0).select(F.col("blob").alias("__lexivec_blob"), F.col("spans").alias("__lexivec_spans")))
-    size = added.agg(F.coalesce(F.sum(96 + 32 * F.size("__lexivec_spans")), F.lit(0)).alias("bytes")).first()["bytes"]
-    text = F.col("text").cast("string")
-    base = F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at"))
-
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        ahead = F.concat(acc["out"], gap, F.lit(mark))
-        return F.struct(F.when(s["start"] >= acc["at"], ahead).otherwise(acc["out"]).alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
-
-    done = F.aggregate("__lexivec_spans", base, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
+    added = durable(scan_ledger(docs, rules=REDACTED_RULES).where(F.size("spans") > 0).select(F.col("blob").alias("__lexivec_blob"), _kept_parts(F.col("spans")).alias("__lexivec_parts")))
+    size = added.agg(F.coalesce(F.sum(96 + 32 * F.size("__lexivec_parts")), F.lit(0)).alias("bytes")).first()["bytes"]
+    text, raw = F.col("text").cast("string"), F.col("text").cast("string").cast("binary")
+    # places are bytes, so each part is copied from where it lies, and all are joined once
+    parts = F.transform("__lexivec_parts", lambda p: F.substring(raw, (p["first"] + 1).cast("int"), F.when(p["last"].isNull(), F.octet_length(text)).otherwise(p["last"] - p["first"]).cast("int")).cast("string"))
     known = F.broadcast(added) if size <= BROADCAST_BYTES else added
     joined = docs.withColumn("__lexivec_blob", F.sha2(full_text(), 256)).join(known, "__lexivec_blob", "left")
-    masked = joined.withColumn("__lexivec_text", F.when(F.col("__lexivec_spans").isNotNull(), done).otherwise(text))
-    kept = [F.col("__lexivec_text").alias(c) if c == "text" else F.when(F.col("__lexivec_spans").isNotNull(), F.length("__lexivec_text").cast("bigint")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
+    masked = joined.withColumn("__lexivec_text", F.when(F.col("__lexivec_parts").isNotNull(), F.array_join(parts, mark)).otherwise(text))
+    kept = [F.col("__lexivec_text").alias(c) if c == "text" else F.when(F.col("__lexivec_parts").isNotNull(), F.length("__lexivec_text").cast("bigint")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
     return masked.select(*kept)
+
+
+def _kept_parts(spans: Column) -> Column:
+    """What lies between spans, as (first, last) in bytes; the last part goes to the end. Spans that touch others' inside leave nothing between them."""
+    at = F.array_sort(F.transform(spans, lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last"))))
+    zero, part = F.lit(0).cast("bigint"), "array<struct<first:bigint,last:bigint>>"
+
+    def one(own: Column, s: Column) -> Column:
+        gap = F.array(F.struct(own["end"].alias("first"), s["first"].alias("last")))
+        return F.struct(F.greatest(own["end"], s["last"]).alias("end"), F.when(s["first"] >= own["end"], F.concat(own["parts"], gap)).otherwise(own["parts"]).alias("parts"))
+
+    def walk(acc: Column, i: Column) -> Column:
+        run = F.aggregate(F.slice(at, i * RUN + 1, RUN), F.struct(acc["end"].alias("end"), F.array().cast(part).alias("parts")), one)
+        return F.struct(run["end"].alias("end"), F.concat(acc["runs"], F.array(run["parts"])).alias("runs"))
+
+    runs = F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / RUN).cast("int"))
+    start = F.struct(zero.alias("end"), F.array().cast(f"array<{part}>").alias("runs"))
+    return F.aggregate(runs, start, walk, lambda acc: F.concat(F.flatten(acc["runs"]), F.array(F.struct(acc["end"].alias("first"), F.lit(None).cast("bigint").alias("last")))))

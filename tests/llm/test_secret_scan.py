@@ -52,6 +52,33 @@ def test_ledger_is_incremental(spark, docs_of):
     assert {tuple(r.rules) for r in newer.collect()} == {("hex@2",)} and newer.count() == 2
 
 
+def test_a_ledger_of_other_rules(docs_of):
+    """An earlier run's ledger, other versions and another order of rules: as a fresh scan, with unseen pairs alone scanned."""
+    texts = {1: "0123456789abcdef" * 2, 2: "token=abcdef AKIA" + "Z" * 16, 3: "secret: " + "0f" * 40, 4: "none"}
+    first = docs_of([(i, t) for i, t in texts.items() if i < 4])
+    _, ledger = secret_scan.scan_documents(first)
+    newer = (secret_scan.Rule("hex", 2, "[0-9a-f]{64,}"), *secret_scan.RULES[:2], secret_scan.Rule("word", 1, "none"))
+    every = docs_of([*texts.items(), (5, texts[3])])
+    found, added = secret_scan.scan_documents(every, ledger, newer)
+    fresh, _ = secret_scan.scan_documents(every, rules=newer)
+
+    def told(df):
+        return {r.doc_id: r.s for r in df.select("doc_id", secret_scan.span_text(df["spans"], newer).alias("s")).collect()}
+
+    assert told(found) == told(fresh) == {1: "", 2: "assign:0:12,access:13:33", 3: "assign:0:88,hex:8:88", 4: "word:0:4", 5: "assign:0:88,hex:8:88"}
+    scanned = {tuple(sorted(r.rules)) for r in added.collect()}
+    assert added.count() == 4 and scanned == {("hex@2", "word@1"), ("access@1", "assign@1", "hex@2", "word@1")}
+
+
+def test_very_many_matches_in_one_text(docs_of):
+    text = "é token=abcdef\n" * 3000
+    docs = docs_of([(1, text), (2, text + "x")])
+    found, _ = secret_scan.scan_documents(docs)
+    spans = found.where("doc_id = 2").first().spans
+    assert [(s.start, s.end) for s in spans] == [(15 * i + 2, 15 * i + 14) for i in range(3000)]
+    assert {r.doc_id: r.text for r in secret_scan.redact(docs).collect()} == {1: "é [SECRET]\n" * 3000, 2: "é [SECRET]\n" * 3000 + "x"}
+
+
 def test_redaction(docs_of):
     docs = docs_of([(1, "a token=abcdef b " + "0" * 30), (2, "clean"), (3, None), (4, "secret: " + "f" * 24 + "!")])
     out = {r.doc_id: r for r in secret_scan.redact(docs).collect()}
