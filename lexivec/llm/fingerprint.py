@@ -1,15 +1,16 @@
 """Document fingerprints by consistent weighted sampling.
 
-The terms of a text are its pairs of neighbouring words (lower case; a lone word is its own term), weighted by how often they
-occur. For each of ``SAMPLES`` samples, every term has gamma variates r, c and a uniform beta; with
+The terms of a text are its pairs of neighbouring pieces (lower case; a lone piece is its own term), weighted by how often they
+occur. Pieces are words between white space, cut again where their own letters say so (at one place in 32), whatever the text: long runs without white
+space, as in Chinese or encoded data, fall into pieces like all else, and a change alters the pieces around it alone. For each of ``SAMPLES`` samples, every term has gamma variates r, c and a uniform beta; with
 t = floor(ln w / r + beta) the term with the least a = c / (y exp r), y = exp(r (t - beta)), is
 drawn, with its t. Two texts draw the same with a probability equal to their generalised Jaccard similarity
 sum(min w) / sum(max w). The variates come from a fixed table indexed by a hash of term and
 sample; terms that meet in a cell are told apart by their hash.
 
 Defined cases: a null text is empty; texts without words have the fingerprint of the empty set, alike
-among themselves and unlike any other; null doc_ids come first; repeated doc_ids follow each other by text; other
-columns are ignored; an empty table gives no rows; a lone document is its own next one.
+among themselves and unlike any other; very long texts are read in blocks that end between pieces; null doc_ids come first; repeated doc_ids follow each other by text; of
+equal values of two terms the lesser term stands; other columns are ignored; an empty table gives no rows; a lone document is its own next one.
 """
 
 from __future__ import annotations
@@ -23,14 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexivec.llm.runtime import full_text, short_batches
-from lexivec.llm.words import bounds, shingles, word_hashes
+from lexivec.llm.words import piece_hashes, shingles
 
 SAMPLES = 64
 CELLS = 1 << 16
 #: Weights up to this one have their values in the table; those of others are worked out.
 TABLED = 32
-#: A longer run of characters without white space is cut into terms of its own.
-LONG_WORD, CUT = 48, 8
 _FIRST = -(1 << 63)
 
 
@@ -49,12 +48,7 @@ class Sampler:
         return (np.log(self.c[cell]) - r * (t - self.beta[cell] + 1)).astype(np.float32)
 
     def terms(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        data = text.lower().encode()
-        start, end = bounds(data)
-        if len(start) and (end - start).max() > LONG_WORD:
-            words = text.lower().split()
-            data = " ".join(x[i : i + CUT] for x in words for i in range(0, len(x), CUT if len(x) > LONG_WORD else len(x))).encode()
-        return np.unique(shingles(word_hashes(data), 2), return_counts=True)
+        return np.unique(shingles(piece_hashes(text.lower().encode()), 2), return_counts=True)
 
     def sample(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """The fingerprint: a 16-bit mark of the drawn (term, t) for each sample."""

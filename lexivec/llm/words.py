@@ -13,6 +13,9 @@ _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _LETTER = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Words are cut at one in so many places, by what stands there.
+CUT_EVERY = 32
+_CUTS = np.arange(1024) % CUT_EVERY == 1
 _powers: list[np.ndarray] = []
 
 
@@ -45,11 +48,11 @@ def bounds(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
-def _hashes(data: bytes) -> np.ndarray:
-    start, end = bounds(data)
+def _hashes(data: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of each span's bytes."""
     if not len(start):
         return np.zeros(0, np.uint64)
-    if len(data) > PIECE:  # one word longer than a piece, and perhaps white space
+    if len(data) > PIECE:  # one span longer than a piece, and perhaps white space
         return np.array([xxhash.xxh3_64_intdigest(data[a:b]) for a, b in zip(start, end, strict=True)], np.uint64)
     power, inverse = _tables(len(data))
     total = np.zeros(len(data) + 1, np.uint64)
@@ -57,10 +60,47 @@ def _hashes(data: bytes) -> np.ndarray:
     return mixed((total[end] - total[start]) * inverse[start])
 
 
+def pieces(data: bytes, context: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+    """Where the pieces of words start and end. A word is cut where the three bytes before say so (one place in ``CUT_EVERY``), wherever in
+    a text they stand; ``context`` is what precedes ``data``."""
+    whole = context[-3:] + data
+    n, b = len(whole) - len(data), np.frombuffer(whole, np.uint8)
+    word = np.empty(len(data) + 2, bool)
+    word[0] = word[-1] = False
+    np.logical_not(_SPACE[b[n:]], out=word[1:-1])
+    cut = np.zeros(len(data) + 1, bool)  # before each byte
+    if len(b) > 3:
+        three = (b[:-3].astype(np.uint32) << np.uint32(16)) | (b[1:-2].astype(np.uint32) << np.uint32(8)) | b[2:-1]
+        cut[3 - n : len(data)] = _CUTS[(three * np.uint32(0x9E3779B1)) >> np.uint32(22)]
+    cut &= word[1:] & word[:-1]
+    edge = word[1:] != word[:-1]
+    return np.flatnonzero((edge & word[1:]) | cut), np.flatnonzero((edge & word[:-1]) | cut)
+
+
+def piece_hashes(data: bytes) -> np.ndarray:
+    """A 64-bit hash for each piece of a word of a text, in order."""
+    out, at, size = [np.zeros(0, np.uint64)], 0, PIECE
+    while at < len(data):
+        block = data[at : at + size]
+        start, end = pieces(block, data[max(0, at - 3) : at])
+        after = at + len(block)
+        if after < len(data) and len(start) and end[-1] == len(block):  # the last piece may go on
+            if start[-1] == 0:
+                size *= 2
+                continue
+            after = at + int(start[-1])
+            start, end = start[:-1], end[:-1]
+        if size > PIECE:  # the long piece alone
+            after, start, end = at + int(end[0]), start[:1], end[:1]
+        out.append(_hashes(block, start, end))
+        at, size = after, PIECE
+    return np.concatenate(out)
+
+
 def word_hashes(data: bytes) -> np.ndarray:
     """A 64-bit hash for each word of a text, in order: a polynomial of its bytes. Equal words have equal hashes wherever they stand."""
     if len(data) <= PIECE:
-        return _hashes(data)
+        return _hashes(data, *bounds(data))
     out, at = [], 0
     while at < len(data):
         stop = at + PIECE
@@ -69,7 +109,7 @@ def word_hashes(data: bytes) -> np.ndarray:
             if cut < 0:  # the word goes on past the piece
                 cut = min((i for c in b" \t\n\v\f\r" if (i := data.find(bytes([c]), stop)) >= 0), default=len(data))
             stop = cut
-        out.append(_hashes(data[at:stop]))
+        out.append(_hashes(data[at:stop], *bounds(data[at:stop])))
         at = max(stop, at + 1)
     return np.concatenate(out)
 

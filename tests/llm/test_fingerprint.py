@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from lexivec.llm import fingerprint, queries
+from lexivec.llm import fingerprint, queries, words
 
 TEXTS = [None, "", " \n", "one", "one two", "One  two", "a b c d e f g", "a b c d e f g", "\U0001f600" * 5, "x" * 500, "the cat sat on the mat " * 300]
 
@@ -67,3 +67,23 @@ def test_collisions_follow_generalised_jaccard():
         true = sum(min(x.get(k, 0), y.get(k, 0)) for k in {*x, *y}) / sum(max(x.get(k, 0), y.get(k, 0)) for k in {*x, *y})
         found = (sampler.sample(a, n) == sampler.sample(b, m)).mean()
         assert abs(found - true) < 5 * np.sqrt(true * (1 - true) / 4096) + 0.005
+
+
+def test_long_runs_are_cut_by_their_content():
+    rng = random.Random(4)
+    sampler = fingerprint.Sampler()
+    like = lambda a, b: fingerprint.likeness(sampler.fingerprint(a), sampler.fingerprint(b))
+    parts = "\u00a0".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 9))) for _ in range(400))
+    assert like(parts, parts + " " + "y" * 40) > 0.9 and like(parts, parts + " " + "y" * 49) > 0.9
+    chinese = "".join(chr(rng.randint(0x4E00, 0x9FA5)) for _ in range(2000))
+    assert like(chinese, "x" + chinese) > 0.9 and like(chinese, chinese[:1000] + "\u4e00" + chinese[1000:]) > 0.9
+    assert like(chinese, chinese[:1000] + "".join(chr(rng.randint(0x4E00, 0x9FA5)) for _ in range(1000))) < 0.6
+
+
+def test_blocks_do_not_change_pieces(monkeypatch):
+    rng = random.Random(6)
+    data = "".join(rng.choice("abcdefgh \n") if rng.random() < 0.98 else "z" * 300 for _ in range(5000)).encode()
+    whole = words.piece_hashes(data)
+    monkeypatch.setattr(words, "PIECE", 257)
+    cut = words.piece_hashes(data)
+    assert len(cut) == len(whole) and (cut != whole).sum() <= data.count(b"z" * 257)  # pieces longer than a block are hashed otherwise
