@@ -1,16 +1,19 @@
 """Main text of web pages: site template removal by subtree hashes, and page structure.
 
 Every element subtree of a page is hashed. Per host, Spark counts for each hash the distinct pages (by content) that hold it;
-subtrees that recur across ``LEAST_PAGES`` pages of a host or more are its template and are deleted. Structure says the
+subtrees that recur across ``LEAST_PAGES`` pages of a host or more are its template and are deleted (a host with fewer pages has none). Structure says the
 rest: menus, headers and footers of the page, sidebars, notices, adverts, forms, scripts, styles and reader
 comments are left out, and the text is that of the article where the page marks one. Within a marked
 article only containers recur as template; its headings, paragraphs, lists and tables are content, however often they are repeated.
+A class, id or role marks boilerplate by its whole name alone (``sidebar``, ``cookie-notice``; not ``has-sidebar`` or ``notice-period``). Names never
+cost the article: one within a named wrapper is found all the same, and names that would leave nothing of it are not heeded.
 
 Text: character references decoded, white space within a block turned into one space, blocks joined in page
 order by one space.
 
-Defined cases: a null html is empty and gives an empty text; a null url is a host of its own name ''; repeated rows
-are extracted each, and count once for the template; other columns are ignored; an empty table gives no rows.
+Defined cases: a null html is empty and gives an empty text; a null url is a host of its own name ''; a null page_id stays null; repeated rows
+are extracted each, and count once for the template; equal pages get equal texts; very long, deep or malformed pages are read in one pass; other columns are
+ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -41,7 +44,9 @@ INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "dat
 CONTENT = {"article", "main", "body", "html", "p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "dl", "dt", "dd", "table", "thead", "tbody", "tr", "td", "th", "pre", "blockquote", "figure", "figcaption", "br", "hr", "img", *INLINE}
 #: Start tags that end an open paragraph, and those that end an open element of their own kind.
 ENDS_P = {"address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul"}
-SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
+SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
+#: What the end tag of an inline element does not reach beyond.
+BARRIERS = ("article", "main", "td", "th", "body")
 #: Words of a class, id or role that mark what is not the article.
 _WORDS = (
     "ad ads advert adverts advertisement advertising adsense adbox adslot sponsor sponsored promo promoted banner cookie cookies consent gdpr notice notices "
@@ -50,14 +55,25 @@ _WORDS = (
     "commentlist disqus respond reply replies complementary contentinfo search skip"
 )
 MARKS = frozenset(_WORDS.split())
-
-_TAG = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
+#: Words that such a name may have beside them; with any other word in it, it marks nothing.
+_BESIDE = "site page main global top bottom left right primary secondary box bar block list link links area section container wrapper wrap inner outer panel slot unit form message buttons icons posts articles thread module region content"
+BESIDE = frozenset(_BESIDE.split())
+
+#: A comment, a tag (its quotes count only where a value begins; what isn't closed goes on to the end) or a declaration. Each character is read once.
+_TAG = re.compile(
+    r"<!--(?:>|->|.*?(?:--!?>|\Z))"
+    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|=|[^\s/>=]++(?:\s*+=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s>\"'][^\s>]*+)?+)?+)*+)(>|\Z)"
+    r"|<[!?/][^>]*(?:>|\Z)",
+    re.S,
+)
 _ATTR = re.compile(r"(?:^|[\s\"'/])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_PART = re.compile(r"[a-z]+")
+_PART = re.compile(r"[-_]+")
+_MAIN = re.compile(r"role\s*=\s*[\"']?main\b")
+_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for t in RAW}
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 
 
-@dataclass
+@dataclass(slots=True)
 class Node:
     tag: str
     attrs: str = ""
@@ -65,20 +81,44 @@ class Node:
     hash: int = 0
 
 
+class _Open:
+    """The open elements, with where each kind of them was opened last, so that no end tag has to look for its start."""
+
+    def __init__(self, root: Node):
+        self.stack, self.at, self.blocks = [root], {"#root": [0]}, [0]
+
+    def push(self, node: Node) -> None:
+        self.at.setdefault(node.tag, []).append(len(self.stack))
+        if node.tag not in INLINE:
+            self.blocks.append(len(self.stack))
+        self.stack.append(node)
+
+    def last(self, tags) -> int:
+        return max((own[-1] for t in tags if (own := self.at.get(t))), default=0)
+
+    def close(self, i: int) -> None:
+        """End the i-th open element (never the root) and all within it."""
+        while len(self.stack) > max(i, 1):
+            node = self.stack.pop()
+            self.at[node.tag].pop()
+            if self.blocks[-1] == len(self.stack):
+                self.blocks.pop()
+
+
 def parse(source: str) -> Node:
     """A tree after the parts of the HTML rules that matter here: raw text, void elements, implied ends, stray end tags.
 
-    Depth is held in a list, so deeply nested pages are no trouble."""
+    One pass, in time proportional to the source; depth is held in a list, so deeply nested pages are no trouble."""
     root = Node("#root")
-    stack = [root]
+    opened = _Open(root)
     at, n = 0, len(source)
     while at < n:
         m = _TAG.search(source, at)
         if not m:
-            stack[-1].parts.append(source[at:])
+            opened.stack[-1].parts.append(source[at:])
             break
         if m.start() > at:
-            stack[-1].parts.append(source[at : m.start()])
+            opened.stack[-1].parts.append(source[at : m.start()])
         at = m.end()
         if not m[2]:
             continue
@@ -86,39 +126,28 @@ def parse(source: str) -> Node:
             break
         tag = m[2].lower()
         if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-                if stack[i].tag in ("article", "main", "td", "th", "body") and tag in INLINE:
-                    break
+            i = opened.last((tag,))
+            if i and not (tag in INLINE and opened.last(BARRIERS) > i):
+                opened.close(i)
             continue
-        if tag in ENDS_P:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == "p":
-                    del stack[i:]
-                    break
-                if stack[i].tag not in INLINE:
-                    break
+        if tag in ENDS_P and opened.stack[opened.blocks[-1]].tag == "p":
+            opened.close(opened.blocks[-1])
         if tag in SIBLINGS:
             same, limit = SIBLINGS[tag]
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in same and (tag != "tr" or stack[i].tag == "tr"):
-                    del stack[i:]
-                    break
-                if stack[i].tag in limit:
-                    break
+            i = opened.last(same)
+            if i > opened.last(limit):
+                opened.close(i)
         node = Node(tag, m[3])
-        stack[-1].parts.append(node)
+        opened.stack[-1].parts.append(node)
         if tag in VOID:
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(source, at)
+            end = _RAW_END[tag].search(source, at)
             node.parts.append(source[at : end.start() if end else n])
             at = end.end() if end else n
             continue
         if not m[3].endswith("/") or tag not in ("svg", "path"):
-            stack.append(node)
+            opened.push(node)
     return root
 
 
@@ -145,39 +174,42 @@ def set_hashes(root: Node) -> None:
         node.hash = h.intdigest()
 
 
+def _names_boilerplate(name: str) -> bool:
+    words = [w for w in _PART.split(name) if w]
+    return not MARKS.isdisjoint(words) and all(w in MARKS or w in BESIDE for w in words)
+
+
 def _marked(node: Node) -> bool:
+    """Whether a class, id or role of the element is, as a whole, a name of boilerplate."""
     if not node.attrs:
         return False
-    if _HIDDEN.search(node.attrs):
-        return True
-    for m in _ATTR.finditer(node.attrs):
-        if not MARKS.isdisjoint(_PART.findall(html.unescape(m[2] or m[3] or m[4] or "").lower())):
-            return True
-    return False
+    return any(_names_boilerplate(x) for m in _ATTR.finditer(node.attrs) for x in html.unescape(m[2] or m[3] or m[4] or "").lower().split())
 
 
-def boilerplate(node: Node, in_article: bool) -> bool:
+def boilerplate(node: Node, in_article: bool, names: bool = True) -> bool:
     """Whether structure says that the subtree isn't the article's text. A header within an article is its own."""
     if node.tag in ("html", "body", "main"):
         return False
-    return node.tag in DROPPED or (node.tag == "header" and not in_article) or _marked(node)
+    return node.tag in DROPPED or (node.tag == "header" and not in_article) or bool(node.attrs and _HIDDEN.search(node.attrs)) or (names and _marked(node))
 
 
 def articles(root: Node) -> list[Node]:
-    """The outermost article elements that aren't boilerplate; else main; else the body; else all."""
-    found: dict[str, list[Node]] = {"article": [], "main": [], "body": []}
-    stack = [root]
+    """The outermost article elements that aren't boilerplate; else those within or with a name of it; else main; else the body; else all."""
+    found: dict[str, list[Node]] = {"article": [], "wrapped": [], "named": [], "main": [], "body": []}
+    stack = [(root, False)]
     while stack:
-        node = stack.pop()
-        if node is not root and boilerplate(node, False):
+        node, within = stack.pop()
+        if node is not root and boilerplate(node, False, False):
+            continue
+        named = bool(node.attrs) and _marked(node)
+        kind = "main" if node.attrs and _MAIN.search(node.attrs) else node.tag
+        if kind == "article":
+            found["named" if named else "wrapped" if within else "article"].append(node)
             continue
-        kind = "main" if re.search(r"role\s*=\s*[\"']?main\b", node.attrs) else node.tag
         if kind in found:
             found[kind].append(node)
-            if kind == "article":
-                continue
-        stack += [p for p in reversed(node.parts) if isinstance(p, Node)]
-    return found["article"] or found["main"][:1] or found["body"][:1] or [root]
+        stack += [(p, within or (named and kind not in ("html", "body", "main"))) for p in reversed(node.parts) if isinstance(p, Node)]
+    return found["article"] or found["wrapped"] or found["main"][:1] or found["named"] or found["body"][:1] or [root]
 
 
 def removable(root: Node) -> list[Node]:
@@ -198,16 +230,21 @@ def removable(root: Node) -> list[Node]:
 
 def text_of(root: Node, template: set[int]) -> str:
     """The text of the articles without template and boilerplate subtrees."""
-    able = {id(n) for n in removable(root) if n.hash in template} if template else ()
+    able = {id(n) for n in removable(root) if n.hash in template} if template else set()
+    tops = articles(root)
+    return _text(tops, able, True) or _text(tops, able, False)
+
+
+def _text(tops: list[Node], able: set[int], names: bool) -> str:
     pieces: list[str] = []
-    for top in articles(root):
+    for top in tops:
         stack: list = [(top, True)]
         while stack:
             node, first = stack.pop()
             if isinstance(node, str):
                 pieces.append(node)
                 continue
-            if not first and (id(node) in able or boilerplate(node, top.tag == "article")):
+            if not first and (id(node) in able or boilerplate(node, top.tag == "article", names)):
                 pieces.append(" ")
                 continue
             gap = [] if node.tag in INLINE else [(" ", False)]
@@ -220,7 +257,7 @@ HOST = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)"
 
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars), one row per page, of the whole html."""
-    short_batches(pages.sparkSession, 256)
+    short_batches(pages.sparkSession)
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), HOST, 1))
     base = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"), host.alias("host"))
 

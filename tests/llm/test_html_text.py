@@ -1,5 +1,6 @@
 import html as std
 import re
+import time
 
 import pytest
 
@@ -48,6 +49,34 @@ def test_structure(source, want):
     assert one(source) == want
 
 
+KEPT = {
+    "<div class='container has-sidebar'><article><p>kept</p></article></div>": "kept",
+    "<article class='post category-sharing tag-search'><p>kept</p></article>": "kept",
+    "<div id='search-results-study'><p>kept</p></div>": "kept",
+    "<article><p class='notice-period'>kept</p></article>": "kept",
+    "<div class=widget><article><p>kept</p></article></div><article class=comment>reader</article>": "kept",
+    "<article><div class=widget><p>kept</p></div></article>": "kept",
+    "<article><p>kept</p><div class='share-buttons'>s</div><div id=comment-list>c</div><div class='site-footer'>f</div></article>": "kept",
+    "<article class=widget><p>kept</p></article>": "kept",
+    "<p title=a\"b>kept</p><p title='>'>kept</p>": "kept kept",
+}
+
+
+@pytest.mark.parametrize("source,want", KEPT.items())
+def test_names_never_cost_the_article(source, want):
+    assert one(source) == want
+
+
+MALFORMED = ["<a " * 350_000 + '"', "<div>" * 100_000 + "</span>" * 70_000, "<span><article>" + "<div>" * 100_000 + "</span>" * 70_000, "<b>" * 150_000 + "<div></div>" * 50_000, "<" * 1_000_000, "<!--" * 250_000, "<table>" + "<tr><td>" * 120_000, "<p a=" * 200_000, "<script>" * 120_000, "&" * 1_000_000]
+
+
+@pytest.mark.parametrize("source", MALFORMED, ids=lambda s: s[:12])
+def test_malformed_pages_take_linear_time(source):
+    began = time.process_time()
+    one(source)
+    assert time.process_time() - began < 6 and len(source) > 900_000  # a second or two where nothing else runs
+
+
 def test_deep_nesting():
     assert one("<div>" * 50_000 + "x") == "x"
 
