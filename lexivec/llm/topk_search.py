@@ -1,19 +1,19 @@
 """Exact top-k by inner product with no random access.
 
-Vectors are cut into blocks; in a block every component has its values sorted, once from the top and once from
-the bottom. For a query, each component is a list: read from the top where the query's component is
-positive, from the bottom where it is negative. Reading all lists to some depth gives every candidate a lower bound (what was seen, with
-the worst value for the rest) and an upper bound (what was seen, with the last value read for the rest). When no
-candidate outside the best k by lower bound can still reach the k-th lower bound, reading stops and the scores
-of those that can are resolved. Depths grow from step to step; at full depth the bounds are the scores.
+Vectors are cut into blocks; in a block every component has its values sorted. For a query, each component is a list: read from the top where the
+query's component is positive, from the bottom where it is negative. Lists are read in steps, from one entry each on. What was read gives every
+candidate a lower bound (what was seen, with the worst value for the rest) and an upper bound (what was seen, with the last value read for the rest);
+both are carried on from step to step. A candidate whose upper bound falls below the k-th lower bound, or below the k-th score that an
+earlier block of the task has given the query, is out for good. Reading stops when the candidates left are few (``FEW`` for each one wanted, or one in
+``SHARE`` of the block), and their scores are resolved; in the worst case the lists are read to their ends.
 
-All queries of a block read to a depth together, as matrix products over what that depth has seen. Each pair of a query block and a
-candidate block gives at most k rows per query; the best k of these are the answer. Queries meet candidates in blocks
-by an equality join on block numbers.
+Candidate blocks meet the queries' blocks as they lie if the queries are small, as measured, and are then broadcast; else in a grid of query blocks and
+slices of candidate blocks, by an equality join. Each pair gives at most k rows per query; the best k of these are the answer.
 
 Defined cases: vectors that are null or hold a null or non-finite component take no part; vectors of another
 length than a query's are no candidates of it; ties go to the smaller vec_id; repeated vec_ids are candidates of their own, a vec_id asks
-once (with its least vector) and never meets its own rows; null and empty vectors and null vec_ids take no part; other columns are ignored; an empty table gives no rows.
+once (with its least vector) and never meets its own rows; null and empty vectors and null vec_ids take no part; very long vectors make blocks of fewer
+rows; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,64 +26,55 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexivec.llm.runtime import durable, short_batches
+from lexivec.llm.runtime import BROADCAST_BYTES, durable, short_batches
 
-CANDIDATES, QUERIES = 4096, 1024
-DEPTHS = (0.5, 0.8, 1.0)
+#: Rows and bytes of a block. Candidates left per wanted one, and their share of a block, at which reading stops.
+CANDIDATES, QUERIES, BLOCK_BYTES = 4096, 16384, 16 << 20
+FEW, SHARE = 4, 16
+
+
+def depths(n: int) -> list[int]:
+    """How far lists of n entries are read in each step: twice as far each time up to half of them, then a sixteenth more."""
+    first = [1 << i for i in range(max(1, n // 2).bit_length()) if 1 << i < n / 2]
+    return sorted({*first, *(max(1, n * i // 16) for i in range(8, 17))})
 
 
 class Block:
-    """Candidates with their sorted lists: for every value its rank from the top and from the bottom."""
+    """Candidates with their sorted lists."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray):
         self.ids, self.x = ids, x
-        self.down = np.argsort(-x, axis=0, kind="stable")
-        rank = np.empty_like(self.down)
-        np.put_along_axis(rank, self.down, np.arange(len(x))[:, None], 0)
-        self.rank_top, self.rank_bottom = rank, len(x) - 1 - rank
-        self.sorted = np.take_along_axis(x, self.down, 0)
-
-    def bounds(self, up: np.ndarray, down: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-        """Lower and upper bounds, (queries, candidates), after ``depth`` reads of every list."""
-        top, bottom = self.sorted[0], self.sorted[-1]
-        low = high = 0
-        for q, rank, last, worst in ((up, self.rank_top, self.sorted[depth - 1], bottom), (down, self.rank_bottom, self.sorted[len(self.x) - depth], top)):
-            seen = rank < depth
-            low = low + q @ np.where(seen, self.x, worst).T
-            high = high + q @ np.where(seen, self.x, last).T
-        return low, high
-
-    def best(self, query_ids: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row of the query, candidate id, score) of each query's best k here."""
-        own = self.ids[None, :] == query_ids[:, None]
-        n, left = len(self.ids), np.arange(len(q))
-        out: list[tuple[np.ndarray, ...]] = []
-        for depth in sorted({max(1, min(n, int(np.ceil(n * d)))) for d in DEPTHS}):
-            at = q[left]
-            low, high = self.bounds(np.maximum(at, 0), np.minimum(at, 0), depth)
-            low[own[left]], high[own[left]] = -np.inf, -np.inf
-            kth = np.partition(low, max(0, n - k), axis=1)[:, max(0, n - k)]
-            able = (high >= kth[:, None]) & ~own[left]
-            done = np.ones(len(left), bool) if depth == n else able.sum(1) <= 4 * k
-            for i in np.flatnonzero(done):
-                c = np.flatnonzero(able[i])
-                score = self.x[c] @ at[i]
-                order = np.lexsort((self.ids[c], -score))[:k]
-                out.append((np.full(len(order), left[i]), self.ids[c[order]], score[order]))
-            left = left[~done]
-            if not len(left):
+        self.down = np.ascontiguousarray(np.argsort(-x, axis=0, kind="stable").T)  # one row for each component
+        self.sorted = np.take_along_axis(np.ascontiguousarray(x.T), self.down, 1)
+
+    def best(self, query_id: int, q: np.ndarray, k: int, floor: float = -np.inf) -> tuple[np.ndarray, np.ndarray, int]:
+        """(candidate ids, scores, entries read of each list) of the query's best k here that score ``floor`` or more."""
+        n, used = len(self.ids), np.flatnonzero(q)
+        live = np.flatnonzero(self.ids != query_id)
+        down, value = self.down[used], self.sorted[used] * q[used, None]
+        turned = np.flatnonzero(q[used] < 0)  # these lists begin at the bottom
+        down[turned], value[turned] = down[turned, ::-1], value[turned, ::-1]
+        got, seen, at = np.zeros(n), np.zeros((n, len(used))), 0
+        for depth in depths(n) if len(used) else ():
+            new = down[:, at:depth]
+            got += np.bincount(new.ravel(), value[:, at:depth].ravel(), n)
+            np.put_along_axis(seen.T, new, 1.0, 1)
+            at, worst, last = depth, value[:, -1], value[:, depth - 1]
+            known = seen[live] @ np.stack([worst, last], 1)
+            low, high = got[live] + worst.sum() - known[:, 0], got[live] + last.sum() - known[:, 1]
+            if len(live) > k:
+                floor = max(floor, np.partition(low, len(low) - k)[len(low) - k])
+            live = live[high >= floor]
+            if len(live) <= max(FEW * k, n // SHARE):
                 break
-        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
-
-
-def _exact(x: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """x in the narrowest type whose products and sums of integers stay exact."""
-    most = float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) * x.shape[1]
-    return x.astype(np.float32) if most < 1 << 24 else x
+        score = self.x[live] @ q
+        order = np.lexsort((self.ids[live], -score))[:k]
+        order = order[score[order] >= floor]
+        return self.ids[live[order]], score[order], at
 
 
 def blocks(vectors: DataFrame, size: int, name: str) -> DataFrame:
-    """(block, width, ids binary, x binary): vectors of one length, at most ``size`` to a block, packed where they lie."""
+    """(block, width, ids binary, x binary): vectors of one length, at most ``size`` rows or ``BLOCK_BYTES`` to a block, packed where they lie."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
@@ -96,7 +87,7 @@ def blocks(vectors: DataFrame, size: int, name: str) -> DataFrame:
         for batch in batches:
             for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 held.setdefault(len(v), []).append((i, v))
-                if len(held[len(v)]) == size:
+                if len(held[len(v)]) >= max(1, min(size, BLOCK_BYTES // (8 * len(v)))):
                     yield out(len(v))
         for width in [*held]:
             yield out(width)
@@ -104,6 +95,23 @@ def blocks(vectors: DataFrame, size: int, name: str) -> DataFrame:
     return vectors.mapInArrow(pack, "width int, ids binary, x binary").withColumn(name, F.monotonically_increasing_id())
 
 
+def _search(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of blocks (width, c_ids, c_x, q, ids, x), to (query_id, vec_id, score). Later blocks know the scores that earlier ones have given."""
+    best: dict[int, np.ndarray] = {}  # the k best scores so far of each query of a block
+    for batch in batches:
+        for w, c_ids, c_x, block, q_ids, q_x in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+            x, q = (np.frombuffer(v).reshape(-1, w) for v in (c_x, q_x))
+            asks, held = np.frombuffer(q_ids, np.int64), Block(np.frombuffer(c_ids, np.int64), x)
+            tops = best.setdefault(block, np.full((len(asks), k), -np.inf))
+            out = []
+            for i, ask in enumerate(asks.tolist()):
+                ids, score, _ = held.best(ask, q[i], k, tops[i].min())
+                tops[i] = np.sort(np.concatenate([tops[i], score]))[-k:]
+                out.append((np.full(len(ids), ask), ids, score))
+            row, found, score = (np.concatenate(y) for y in zip(*out, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(found, pa.int64()), pa.array(score.astype(np.int64))], names=["query_id", "vec_id", "score"])
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score) over (vec_id, embedding) tables; components are taken as floor(256 * x)."""
 
@@ -112,23 +120,22 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
         out = df.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
         return out.where(F.col("vec_id").isNotNull() & (F.size(F.coalesce("embedding", F.array().cast("array<double>"))) > 0)).where(fine)
 
-    short_batches(vectors.sparkSession, 4096)
+    spark = vectors.sparkSession
+    short_batches(spark)
     candidates = durable(blocks(usable(vectors), CANDIDATES, "c"))
     asked = usable(queries).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     asked = durable(blocks(asked.repartition(1 + queries.count() // QUERIES), QUERIES, "q"))
-    width = asked.select("width", "q").distinct()
-    pairs = candidates.join(width, "width").withColumnsRenamed({"ids": "c_ids", "x": "c_x"}).join(asked.drop("width"), "q")
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for w, c_ids, c_x, q_ids, q_x in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                x, q = (np.frombuffer(v).reshape(-1, w) for v in (c_x, q_x))
-                ids, asks = np.frombuffer(c_ids, np.int64), np.frombuffer(q_ids, np.int64)
-                row, found, score = Block(ids, _exact(x, q)).best(asks, _exact(q, x), k)
-                yield pa.RecordBatch.from_arrays([pa.array(asks[row]), pa.array(found), pa.array(score.astype(np.float64).astype(np.int64))], names=["query_id", "vec_id", "score"])
-
-    paired = pairs.select("width", "c_ids", "c_x", F.col("ids").alias("q_ids"), F.col("x").alias("q_x"))
-    found = paired.repartition(F.xxhash64("c_ids", "q_ids")).mapInArrow(search, "query_id bigint, vec_id bigint, score bigint")
+    sizes = asked.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("ids") + F.length("x")), F.lit(0)).alias("bytes")).first()
+    own = candidates.withColumnsRenamed({"ids": "c_ids", "x": "c_x"})
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if sizes["bytes"] <= BROADCAST_BYTES:
+        pairs = own.repartition(max(1, min(own.count(), 4 * tasks))).join(F.broadcast(asked), "width")
+    else:
+        slices = -(-4 * tasks // sizes["n"])
+        grid = asked.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+        own = own.join(F.broadcast(asked.select("width", "q").distinct()), "width").withColumn("slice", F.pmod(F.xxhash64("c"), F.lit(slices)).cast("int"))
+        pairs = own.join(grid.drop("width"), ["q", "slice"])
+    found = pairs.select("width", "c_ids", "c_x", "q", "ids", "x").mapInArrow(lambda batches: _search(batches, k), "query_id bigint, vec_id bigint, score bigint")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -42,6 +42,27 @@ def test_many_blocks_and_depths(spark, monkeypatch):
     rows = [(i, [rng.gauss(0, 0.2) + (i % 5 == 0) for _ in range(8)]) for i in range(400)]
     df = frame(spark, rows)
     assert got(topk_search.top_k(df, df.where("vec_id % 20 = 0"))) == brute(rows, lambda q: q % 20 == 0)
+    monkeypatch.setattr(topk_search, "BROADCAST_BYTES", 0)
+    assert got(topk_search.top_k(df, df.where("vec_id % 20 = 0"))) == brute(rows, lambda q: q % 20 == 0)
+
+
+def test_reading_stops_early_and_stays_exact():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    x = np.floor(256 * rng.exponential(1, (3000, 6)) ** 2)
+    block = topk_search.Block(np.arange(3000), x)
+    read = []
+    for i in range(0, 3000, 50):
+        ids, score, depth = block.best(i, x[i] * rng.choice([-1, 1], 6, p=[0.2, 0.8]) if i % 100 else x[i], 5)
+        read.append(depth)
+    assert np.mean([d < 3000 for d in read]) > 0.9 and np.median(read) < 1500
+    for i in range(0, 3000, 100):
+        true = sorted((-float(x[j] @ x[i]), j) for j in range(3000) if j != i)[:5]
+        ids, score, _ = block.best(i, x[i], 5)
+        assert [(-s, j) for j, s in zip(ids.tolist(), score.tolist(), strict=True)] == true
+        floor = -true[2][0]
+        assert block.best(i, x[i], 5, floor)[0].tolist()[:3] == [j for _, j in true][:3]
 
 
 def test_large_components_stay_exact(spark):
