@@ -7,9 +7,12 @@ occurrences. Occurrences are edges (start, length, rank); sorted by position the
 up. Relaxation keeps the boundaries of each unit, one per character at first. In each step every unit drops the
 boundary inside its best edge that joins two neighbours (least rank, then leftmost), until no edge joins any: the result of
 merging by rank. Characters that are no pieces become byte pieces.
+All units are matched in this way. Those of ``LONG_UNIT`` characters or more differ in one thing: their edges are relaxed in the order of a heap, the
+same merges one at a time, since a step over all units for each of their merges would take too long. Suffixes are sorted in blocks of at most ``BLOCK``
+characters that overlap by the longest piece, so a text without white space of any length takes bounded memory to match.
 
 Defined cases: a null text is empty and has no ids; a lone surrogate can't occur; a null doc_id stays null; repeated rows are encoded
-each; very long units take a heap instead of steps over all units; other columns are ignored; an empty table gives no rows.
+each; of edges with equal ranks the leftmost is taken; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,12 +30,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexivec.llm.runtime import full_text, short_batches
+from lexivec.llm.runtime import full_text, gathered, short_batches
 
 SPACE = "▁"
 NORMAL, BYTE = 1, 6
-#: Units a worker remembers; longer units are neither remembered nor stepped, and relaxed by a heap.
+#: Units a worker remembers, and the length from which units are not remembered and relaxed by a heap.
 CACHE_UNITS, LONG_UNIT = 500_000, 192
+#: Characters whose suffixes are sorted together.
+BLOCK = 1 << 21
+#: Rows and bytes encoded together: each call searches all pieces once.
+TOGETHER = 2048, 4 << 20
 _CUT = re.compile(f"(?<=[^{SPACE}])(?={SPACE})")
 _SEPARATOR = 0x10FFFF + 1
 
@@ -85,7 +92,6 @@ class Codec:
         pieces.sort()
         ranks = {s: r for r, s in enumerate(sorted({p[0] for p in pieces}))}  # equal scores are equal ranks
         self.id_of = {text: i for _, i, text in pieces}
-        self.rank_of = {text: ranks[s] for s, _, text in pieces}
         long = [(text, ranks[s]) for s, _, text in pieces if len(text) > 1]
         self.width = max(len(t) for t, _ in long)
         self.codes = np.zeros((len(long), self.width), np.int32)
@@ -142,12 +148,21 @@ class Codec:
 
     def edges(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(start * width + length - 1, piece) of every occurrence of a piece, ascending."""
-        order = self.suffixes(codes)
-        lo, hi = self.ranges(codes, order)
+        found = [self._edges(codes, a, min(len(codes), a + BLOCK)) for a in range(0, len(codes), BLOCK)]
+        return np.concatenate([k for k, _ in found]), np.concatenate([p for _, p in found])
+
+    def _edges(self, codes: np.ndarray, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
+        """Those that start from ``first`` to ``last``."""
+        block = codes[first : last + self.width]
+        order = self.suffixes(block)
+        lo, hi = self.ranges(block, order)
         count = hi - lo
         of = np.repeat(np.arange(len(count)), count)
         within = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        key = order[lo[of] + within] * self.width + self.lengths[of] - 1
+        start = order[lo[of] + within]
+        own = np.flatnonzero(start < last - first)
+        start, of = start[own], of[own]
+        key = (start + first) * self.width + self.lengths[of] - 1
         by = np.argsort(key)
         return key[by], of[by]
 
@@ -181,16 +196,22 @@ class Codec:
             live = live[stay & active[own]]
         return begins
 
-    def relax_long(self, text: str) -> list[int]:
-        """Token starts of one long unit, by a heap of the edges that join neighbours."""
-        n = len(text)
-        after, before, end = [*range(1, n + 1)], [*range(-1, n - 1)], [*range(1, n + 1)]
+    def relax_long(self, first: int, last: int, key: np.ndarray, rank: np.ndarray, begins: np.ndarray) -> None:
+        """The same for one long unit, from ``first`` to ``last``: a heap of the edges that join neighbours gives one merge after another."""
+        n, width = last - first, self.width
+        at = memoryview(np.searchsorted(key, np.arange(first, last + 1) * width))
+        a, b = at[0], at[n]
+        places, ranks = memoryview(key[a:b] - first * width), memoryview(rank[a:b])
+        after, before = [*range(1, n + 1)], [*range(-1, n - 1)]
         heap: list[tuple[int, int, int]] = []
 
         def push(i: int) -> None:
-            j = after[i] if i >= 0 else n
-            if 0 <= i and j < n and end[j] - i <= self.width and (r := self.rank_of.get(text[i : end[j]])) is not None:
-                heapq.heappush(heap, (r, i, end[j]))
+            if i >= 0 and (j := after[i]) < n and (stop := after[j]) - i <= width:
+                want = i * width + stop - i - 1
+                for e in range(at[i] - a, at[i + 1] - a):
+                    if places[e] == want:
+                        heapq.heappush(heap, (ranks[e], i, stop))
+                        break
 
         for i in range(n):
             push(i)
@@ -198,15 +219,15 @@ class Codec:
         while heap:
             _, i, stop = heapq.heappop(heap)
             j = after[i]
-            if not alive[i] or j >= n or end[j] != stop:
+            if not alive[i] or j >= n or after[j] != stop:
                 continue
             alive[j] = 0
-            end[i], after[i] = stop, after[j]
-            if after[j] < n:
-                before[after[j]] = i
+            after[i] = stop
+            if stop < n:
+                before[stop] = i
             push(i)
             push(before[i])
-        return [i for i in range(n) if alive[i]]
+        begins[first:last] = np.frombuffer(alive, bool)
 
     def ids_of(self, text: str, starts: list[int]) -> bytes:
         out: list[int] = []
@@ -220,20 +241,24 @@ class Codec:
 
     def learn(self, units: list[str]) -> dict[str, bytes]:
         """The ids of units (given without the U+2581 in front), found together."""
-        short = [u for u in units if len(u) < LONG_UNIT]
-        out = {u: self.ids_of(SPACE + u, self.relax_long(SPACE + u)) for u in units if len(u) >= LONG_UNIT}
-        if not short:
-            return out
-        sizes = np.array([len(u) + 2 for u in short])  # with the mark in front and the separator behind
+        out: dict[str, bytes] = {}
+        sizes = np.array([len(u) + 2 for u in units])  # with the mark in front and the separator behind
         ends = np.cumsum(sizes) - 1
-        joined = SPACE + f"\0{SPACE}".join(short) + "\0"
+        joined = SPACE + f"\0{SPACE}".join(units) + "\0"
         codes = np.frombuffer(joined.encode("utf-32-le"), np.int32) + 1
         codes[ends] = _SEPARATOR
-        unit = np.repeat(np.arange(len(short)), sizes)
+        unit = np.repeat(np.arange(len(units)), sizes)
+        long = np.flatnonzero(sizes >= LONG_UNIT + 2)
         inner = np.ones(len(codes), bool)
         inner[ends] = False
+        for i in long:
+            inner[ends[i] - sizes[i] + 1 : ends[i]] = False
         key, piece = self.edges(codes)
-        starts = np.flatnonzero(self.relax(unit, inner, ends, key, self.ranks[piece]))
+        rank = self.ranks[piece]
+        begins = self.relax(unit, inner, ends, key, rank)
+        for i in long:
+            self.relax_long(int(ends[i] - sizes[i] + 1), int(ends[i]), key, rank, begins)
+        starts = np.flatnonzero(begins)
         stops = np.append(starts[1:], len(codes))
         stops = np.where(np.isin(stops - 1, ends), stops - 1, stops)
         span = stops - starts
@@ -247,7 +272,7 @@ class Codec:
         firsts = np.searchsorted(starts, np.append(0, ends))
         odd = set(unit[starts[ids < 0]].tolist())  # units with characters that are no pieces
         data, at = ids.astype("<u4").tobytes(), (4 * firsts).tolist()
-        for i, u in enumerate(short):
+        for i, u in enumerate(units):
             if i in odd:
                 base = ends[i] - sizes[i] + 1
                 out[u] = self.ids_of(SPACE + u, (starts[firsts[i] : firsts[i + 1]] - base).tolist())
@@ -288,11 +313,11 @@ class Codec:
 
 def encode_documents(docs: DataFrame, model_path: str | None = None, with_ids: bool = False) -> DataFrame:
     """(doc_id, n_pieces, ids_crc32, decoded_sha256[, ids]): the ids of every whole text, decoded again from them."""
-    short_batches(docs.sparkSession, 2048)
+    short_batches(docs.sparkSession)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(model_path)
-        for batch in batches:
+        for batch in gathered(batches, *TOGETHER):
             found = codec.encode(batch.column(1).to_pylist())
             arrays = [np.frombuffer(x, "<u4") for x in found]
             back = [hashlib.sha256(codec.decode(x).encode()).hexdigest() for x in arrays]

@@ -23,6 +23,15 @@ def test_ids_and_texts_match_the_library():
         assert codec.decode(ids) == SP.decode(want)
 
 
+def test_long_units_in_blocks_match_the_library(monkeypatch):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("abcdeéationing日本語") for _ in range(n)) for n in (190, 191, 192, 193, 1000, 20_000)] + ["=" * 5000, "ab" * 3000]
+    codec = piece_codec.Codec()
+    for block in (piece_codec.BLOCK, 700):
+        monkeypatch.setattr(piece_codec, "BLOCK", block)
+        assert [np.frombuffer(x, "<u4").tolist() for x in codec.encode(texts)] == [SP.encode(t) for t in texts]
+
+
 def test_whole_table(spark, sf_dir):
     text = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     rows = queries.op10_piece_codec(spark, sf_dir).collect()
