@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexivec.functions.text import words
+from lexivec.functions.text import prompt, words
+
+ANSWER_PROMPT = "Answer the question from the sources alone.\n\nSources:\n%s\n\nQuestion: %s"
 
 
 def within_budget(ranked: DataFrame, budget: int) -> DataFrame:
@@ -45,6 +49,18 @@ def answer_by_extract(assembled: DataFrame) -> DataFrame:
     return assembled.select("qid", F.array_join(cited, "\n").alias("answer"), "sources")
 
 
+def answer_by_model(assembled: DataFrame, queries: DataFrame, client: Callable[[Column], Column]) -> DataFrame:
+    """A model's answer to each query (qid, query) from its context."""
+    asked = assembled.join(queries.select("qid", "query"), "qid")
+    return asked.select("qid", client(prompt(ANSWER_PROMPT, F.col("context"), F.col("query"))).alias("answer"), "sources")
+
+
+def sources(assembled: DataFrame) -> DataFrame:
+    """(qid, place, doc_id, chunk_id, start_char, score): one row for each source of an answer, in the order of its citations."""
+    flat = assembled.select("qid", F.posexplode("sources").alias("place", "s"))
+    return flat.select("qid", (F.col("place") + 1).alias("place"), *[F.col("s")[c].alias(c) for c in ("doc_id", "chunk_id", "start_char", "score")])
+
+
 def staleness(ranked: DataFrame, year: str = "year", most: int = 2) -> DataFrame:
     """(qid, span, stale): how many years a query's sources span."""
     span = F.max(year) - F.min(year)

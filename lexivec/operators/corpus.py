@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -51,10 +54,11 @@ def list_documents(docs: DataFrame, chunks: DataFrame | None = None) -> DataFram
 
 
 class Corpus:
-    """Documents, chunks, triples and ingest jobs as Parquet tables under one folder, each written as a new version.
+    """Documents, chunks, triples and ingest jobs as Parquet tables under one folder.
 
-    Readers of a version keep reading it; a version counts once its name is in the ``current`` file, so a write that
-    fails half way changes nothing.
+    A version is a file ``commits/<number>`` that names the folders of each table. It is written aside and renamed, so a write that fails half way
+    changes nothing and the version before stays; of two writers of the same version, the later is refused. Tables that a commit doesn't change, and
+    rows it appends to, are named again, not written again. Readers of a version keep reading it until ``vacuum``.
     """
 
     TABLES = {
@@ -67,35 +71,76 @@ class Corpus:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _fs(self):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/current")
+    def _at(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
+    def versions(self) -> list[int]:
+        path, fs = self._at("commits")
+        names = [x.getPath().getName() for x in fs.listStatus(path)] if fs.exists(path) else []
+        return sorted(int(n) for n in names if n.isdigit())
+
     def version(self) -> int:
-        path, fs = self._fs()
-        return int(self.spark.read.text(f"{self.path}/current").first()[0]) if fs.exists(path) else 0
+        return max(self.versions(), default=0)
 
-    def table(self, name: str) -> DataFrame:
-        schema, v = self.TABLES[name], self.version()
+    def _folders(self, v: int) -> dict[str, list[str]]:
+        """The folders of each table at a version."""
         if v == 0:
+            return {name: [] for name in self.TABLES}
+        path, fs = self._at(f"commits/{v:012d}")
+        stream = fs.open(path)
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def table(self, name: str, version: int | None = None) -> DataFrame:
+        schema, folders = self.TABLES[name], self._folders(self.version() if version is None else version)[name]
+        if not folders:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.path}/v{v}/{name}")
+        return self.spark.read.schema(schema).parquet(*[f"{self.path}/{f}" for f in folders])
 
-    def commit(self, **tables: DataFrame) -> int:
-        """Write the given tables, carry over the others, then name the new version the current one."""
+    def commit(self, append: dict[str, DataFrame] | None = None, **tables: DataFrame) -> int:
+        """Write the given tables whole and the appended rows beside what is there, then name the new version."""
         v = self.version() + 1
-        for name, schema in self.TABLES.items():
-            df = tables.get(name)
-            df = self.table(name) if df is None else df
-            columns = [c.split()[0] for c in schema.replace("map<string,string>", "map").split(", ")]
-            df.select(*columns).write.mode("overwrite").parquet(f"{self.path}/v{v}/{name}")
-        self.spark.createDataFrame([(str(v),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/current")
+        named, own = self._folders(v - 1), f"data/{v}-{uuid.uuid4().hex}"
+        for name, df in [*tables.items(), *(append or {}).items()]:
+            columns = [c.split()[0] for c in self.TABLES[name].replace("map<string,string>", "map").split(", ")]
+            df.select(*columns).write.parquet(f"{self.path}/{own}/{name}")
+            named[name] = [*(named[name] if name not in tables else []), f"{own}/{name}"]
+        self._publish(v, named)
         return v
 
+    def staged(self, df: DataFrame) -> DataFrame:
+        """``df`` written once and read back, for rows that several tables of one commit are made from. ``vacuum`` removes it."""
+        path = f"{self.path}/data/staged-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def _publish(self, v: int, named: dict[str, list[str]]) -> None:
+        aside, fs = self._at(f"aside/{uuid.uuid4().hex}")
+        final, _ = self._at(f"commits/{v:012d}")
+        stream = fs.create(aside)
+        stream.write(bytearray(json.dumps(named).encode()))
+        stream.close()
+        fs.mkdirs(final.getParent())
+        if fs.exists(final) or not fs.rename(aside, final):
+            raise RuntimeError(f"another writer has made version {v}; nothing was changed")
+
+    def vacuum(self, keep: int = 1) -> None:
+        """Forget all versions but the last ``keep``, and remove folders that those don't name. Not while a commit is under way."""
+        kept = self.versions()[-keep:]
+        named = {f.split("/")[1] for v in kept for folders in self._folders(v).values() for f in folders}
+        for name, unwanted in (("commits", lambda n: n.isdigit() and int(n) not in kept), ("data", lambda n: n not in named), ("aside", lambda n: True)):
+            path, fs = self._at(name)
+            for x in fs.listStatus(path) if fs.exists(path) else []:
+                if unwanted(x.getPath().getName()):
+                    fs.delete(x.getPath(), True)
+
     def next_seq(self) -> int:
         top = self.table("chunks").agg(F.max("seq")).first()[0]
         return 0 if top is None else top + 1
 
-    def delete(self, doc_ids: list[str]) -> None:
+    def delete(self, doc_ids: DataFrame | list[str]) -> None:
         """From every table at once; unknown ids succeed."""
         self.commit(**{n: delete_documents(self.table(n), doc_ids) for n in ("documents", "chunks", "triples")})

@@ -34,6 +34,20 @@ def recall(ranked: DataFrame, judged: DataFrame, k: int = 5) -> DataFrame:
     return judged.groupBy("qid").agg(F.count("*").alias("n")).join(hits, "qid", "left").select("qid", (F.coalesce("hit", F.lit(0)) / F.col("n")).alias("recall"))
 
 
+def multi_hop_success(pairs: DataFrame, paths: DataFrame) -> DataFrame:
+    """(n, reached, rate): how many of the asked pairs (qid, ...) have a path."""
+    found = paths.select("qid").distinct().withColumn("_found", F.lit(1))
+    told = pairs.select("qid").distinct().join(found, "qid", "left")
+    return told.agg(F.count("*").alias("n"), F.count("_found").alias("reached")).withColumn("rate", F.when(F.col("n") > 0, F.round(F.col("reached") / F.col("n"), 9)).otherwise(F.lit(0.0)))
+
+
+def missing(a: DataFrame, b: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """(qid, missing): the keys of A's results that B's have not, in order."""
+    own, other = (x.groupBy("qid").agg(F.collect_set(key).alias(n)) for x, n in ((a, "a"), (b, "b")))
+    both = own.join(other, "qid", "left")
+    return both.select("qid", F.array_sort(F.array_except("a", F.coalesce("b", F.array().cast(dict(both.dtypes)["b"])))).alias("missing"))
+
+
 def overlap_ratio(a: DataFrame, b: DataFrame, least: float = 0.6, key: str = "chunk_id", digits: int = 9) -> DataFrame:
     """(qid, ratio, passes): |A and B| / min(|A|, |B|) of two results' keys; two empty ones pass with 1."""
     own = a.groupBy("qid").agg(F.collect_set(key).alias("a"))

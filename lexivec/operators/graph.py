@@ -13,8 +13,8 @@ from lexivec.functions.text import contains_text
 from lexivec.schema import check_top_k
 
 KEY = ["subject", "predicate", "object"]
-#: Frontiers of up to so many entities, as counted, go to the triples whole; larger ones are found by shared character triples.
-FRONTIER = 10_000
+#: Frontiers of up to so many entities, as counted, go to the triples whole; larger ones are found by the characters they begin with.
+FRONTIER, GRAM = 10_000, 3
 
 
 def dedup(triples: DataFrame) -> DataFrame:
@@ -24,15 +24,25 @@ def dedup(triples: DataFrame) -> DataFrame:
 
 
 def _grams(text: Column) -> Column:
+    """All runs of 0 to GRAM characters of a text, in lower case."""
     low = F.lower(text)
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - 2, F.lit(1))), lambda i: F.substring(low, i, 3)))
+
+    def runs(n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - n + 1, F.lit(1))), lambda i: F.substring(low, i, F.lit(n)))
+
+    return F.array_distinct(F.concat(F.array(F.lit("")), *[runs(n) for n in range(1, GRAM + 1)]))
+
+
+def _begin(text: Column) -> Column:
+    """The run that a text holds if it holds ``text``: its first GRAM characters, or all of a shorter one."""
+    return F.substring(F.lower(text), 1, GRAM)
 
 
 def matches(triples: DataFrame, frontier: DataFrame, exact: bool = False) -> DataFrame:
     """(qid, triple): triples whose subject or object contains (or, if ``exact``, equals) an entity of the qid's frontier.
 
     Containment has no equality key, so a small frontier is broadcast; of a large one each entity meets, by an
-    equality join, only triples that hold its first three characters, and containment is checked there.
+    equality join, only triples that hold the characters it begins with, and containment is checked there.
     """
     ends = F.array_distinct(F.array("subject", "object"))
     if exact:
@@ -41,12 +51,11 @@ def matches(triples: DataFrame, frontier: DataFrame, exact: bool = False) -> Dat
     holds = contains_text(F.col("subject"), F.col("entity")) | contains_text(F.col("object"), F.col("entity"))
     if frontier.count() <= FRONTIER:
         return triples.join(F.broadcast(frontier), holds).select("qid", *KEY, "doc_id", "seq").distinct()
-    short, long = frontier.where(F.length("entity") < 3), frontier.where(F.length("entity") >= 3)
+    keyed = frontier.withColumn("_first", _begin(F.col("entity")))
+    # only runs that some entity begins with are kept of the triples'
     gram = triples.withColumn("_gram", F.explode(F.array_union(_grams(F.col("subject")), _grams(F.col("object")))))
-    keyed = long.withColumn("_first", F.substring(F.lower("entity"), 1, 3))
-    far = gram.join(keyed, (F.col("_gram") == F.col("_first")) & holds).select("qid", *KEY, "doc_id", "seq")
-    near = triples.join(short, holds).select("qid", *KEY, "doc_id", "seq")
-    return far.unionByName(near).distinct()
+    gram = gram.join(keyed.select(F.col("_first").alias("_gram")).distinct(), "_gram", "left_semi")
+    return gram.join(keyed, (F.col("_gram") == F.col("_first")) & holds).select("qid", *KEY, "doc_id", "seq").distinct()
 
 
 def neighbourhood(triples: DataFrame, entities: DataFrame, depth: int = 1, exact: bool = False, cut: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
@@ -54,11 +63,11 @@ def neighbourhood(triples: DataFrame, entities: DataFrame, depth: int = 1, exact
 
     The endpoints of a hop are the next hop's entities; a hop's triples include those of the hop before, so the last
     hop is the answer and walking stops when one adds nothing. A depth under 1 counts as 1. ``cut`` (checkpoint
-    by default where a folder is set) ends the lineage of each hop.
+    where a folder is set, else persist) keeps each hop from being worked out again for the next.
     """
     spark = triples.sparkSession
     if cut is None:
-        cut = (lambda df: df.checkpoint()) if spark.sparkContext.getCheckpointDir() else (lambda df: df)
+        cut = (lambda df: df.checkpoint()) if spark.sparkContext.getCheckpointDir() else (lambda df: df.persist())
     known = matches(triples, entities.select("qid", "entity"), exact)
     size = None
     for _ in range(1, depth):
@@ -108,9 +117,14 @@ def graph_hits(triples: DataFrame, queries: DataFrame, k: int | None = 5) -> Dat
 
 def expand_entities(triples: DataFrame, queries: DataFrame) -> DataFrame:
     """(qid, entities): the neighbours of names that the query's text contains."""
-    names = entity_counts(triples).select("name")
-    asked = F.broadcast(queries.select("qid", "query")) if queries.count() <= FRONTIER else queries.select("qid", "query")
-    held = names.join(asked, contains_text(F.col("query"), F.col("name"))).select("qid", F.col("name").alias("entity"))
+    names, asked = entity_counts(triples).select("name"), queries.select("qid", "query")
+    holds = contains_text(F.col("query"), F.col("name"))
+    if queries.count() <= FRONTIER:
+        held = names.join(F.broadcast(asked), holds)
+    else:
+        gram = asked.withColumn("_gram", F.explode(_grams(F.col("query"))))
+        held = names.withColumn("_first", _begin(F.col("name"))).join(gram, (F.col("_gram") == F.col("_first")) & holds)
+    held = held.select("qid", F.col("name").alias("entity"))
     near = matches(triples, held, exact=True)
     return near.select("qid", F.explode(F.array("subject", "object")).alias("e")).groupBy("qid").agg(F.array_sort(F.collect_set("e")).alias("entities"))
 

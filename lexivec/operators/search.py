@@ -1,12 +1,19 @@
-"""Vector, keyword and BM25 search of batches of queries."""
+"""Vector, keyword and BM25 search of batches of queries.
+
+A batch of at most ``BATCH`` queries goes to the chunks: each task scores its chunks against all of it by matrix products over Arrow
+batches and keeps the k best of each query as it reads, so k rows per query and task move. A larger batch is dealt into blocks and the
+chunks into slices; every block meets every slice in a group of its own, scored by the same code. Texts are cut into words once,
+in the JVM.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,42 +21,174 @@ from pyspark.sql.window import Window
 from lexivec.functions.text import word_set, words
 from lexivec.functions.vector import cosine, dot, has_vector, l2
 from lexivec.schema import check_top_k
+from lexivec.workers import ship
 
 #: A batch of up to so many queries, as counted, travels to the chunks whole; a larger one is cut into blocks.
 BATCH = 4096
+#: Chunks of a slice that a block of queries meets; chunks scored at a time; words of a matrix product.
+SLICE, PIECE, WORDS = 65_536, 512, 1024
 
 
 def metadata_filter(chunks: DataFrame, filters: dict | None) -> DataFrame:
-    """Equality on metadata before any scoring; a value of None asks that the key be missing. A key that is a column is
-    compared there, so that the comparison reaches the scan."""
+    """Conditions on metadata before any scoring. A value asks for equality; None, that the key be missing; a list, for one of its values.
+
+    A dict has conditions by name: ``gte``, ``gt``, ``lte``, ``lt`` (numbers compare as numbers, else as text, so ISO dates do, too), ``ne``,
+    ``in``, and ``contains`` for one of the values of a list column or of a comma-separated text. A key that is a column is compared there,
+    so that the comparison reaches the scan.
+    """
     if not filters:
         return chunks
+    kinds = dict(chunks.dtypes)
 
     def field(k: str) -> Column:
-        return F.col(k) if k in chunks.columns else F.col("metadata")[k]
+        return F.col(k) if k in kinds else F.col("metadata")[k]
+
+    def text(v) -> Column:
+        return F.lit(None if v is None else str(v))
 
-    return chunks.where(reduce(lambda a, b: a & b, [field(k).eqNullSafe(F.lit(None if v is None else str(v))) for k, v in filters.items()]))
+    def one(k: str, v) -> Column:
+        if isinstance(v, (list, tuple, set)):
+            return F.coalesce(field(k).isin([str(x) for x in v if x is not None]), F.lit(False)) | (field(k).isNull() if None in v else F.lit(False))
+        if isinstance(v, dict):
+            return reduce(lambda a, b: a & b, [condition(k, op, x) for op, x in v.items()], F.lit(True))
+        return field(k).eqNullSafe(text(v))
+
+    def condition(k: str, op: str, v) -> Column:
+        if op == "ne":
+            return ~field(k).eqNullSafe(text(v))
+        if op == "in":
+            return one(k, list(v))
+        if op == "contains":
+            values = field(k) if kinds.get(k, "").startswith("array") else F.transform(F.split(field(k), ","), lambda x: F.trim(x))
+            return F.coalesce(F.array_contains(values, F.lit(v if kinds.get(k, "").startswith("array") else str(v))), F.lit(False))
+        number = isinstance(v, (int, float)) and not isinstance(v, bool)
+        own = field(k).try_cast("double") if number and kinds.get(k, "string") == "string" else field(k)
+        value = F.lit(v if number else str(v))
+        compare = {"gte": own >= value, "gt": own > value, "lte": own <= value, "lt": own < value}
+        if op not in compare:
+            raise ValueError(f"no condition named {op!r}; there are ne, in, contains, {', '.join(compare)}")
+        return F.coalesce(compare[op], F.lit(False))
+
+    return chunks.where(reduce(lambda a, b: a & b, [one(k, v) for k, v in filters.items()]))
 
 
 def _order(score: str, ascending: bool, keys: list[str]) -> list:
     return [F.asc(score) if ascending else F.desc(score), *keys]
 
 
-def top_k(scored: DataFrame, k: int | None, ascending: bool = False, tie: str = "seq") -> DataFrame:
-    """The k best of each qid with their rank. The rank limit is applied in each task before the shuffle, too."""
-    k = check_top_k(k)
+def top_k(scored: DataFrame, k: int | None, ascending: bool = False, tie: str = "seq", offset: int = 0) -> DataFrame:
+    """The k best of each qid with their rank, after the first ``offset``. The rank limit is applied in each task before the shuffle, too."""
+    k, offset = check_top_k(k), check_top_k(offset)
     by = Window.partitionBy("qid").orderBy(*_order("score", ascending, [tie]))
-    return scored.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+    ranked = scored.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= offset + k)
+    return ranked.where(F.col("rank") > offset) if offset else ranked
 
 
 def with_queries(chunks: DataFrame, queries: DataFrame) -> DataFrame:
-    """Every chunk beside every query: the whole small batch at each chunk, or blocks of a large one by an equality join."""
+    """Every chunk beside every query: the whole small batch at each chunk, or blocks of a large one by an equality join on block and slice."""
     n = queries.count()
     if n <= BATCH:
         return chunks.crossJoin(F.broadcast(queries))
-    blocks = -(-n // BATCH)
-    dealt = queries.withColumn("_block", F.pmod(F.xxhash64("qid"), F.lit(blocks)))
-    return chunks.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))).join(dealt, "_block").drop("_block")
+    a, b = _dealt(chunks, queries, n)
+    return a.join(b, ["_block", "_slice"]).drop("_block", "_slice")
+
+
+def _dealt(chunks: DataFrame, queries: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """Chunks with a slice, once for each block; queries with a block, once for each slice."""
+    blocks, slices = -(-n // BATCH), -(-max(1, chunks.count()) // SLICE)
+    every = lambda m: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(m - 1).cast("bigint")))
+    own = chunks.withColumn("_slice", F.pmod(F.xxhash64("chunk_id"), F.lit(slices))).withColumn("_block", every(blocks))
+    return own, queries.withColumn("_block", F.pmod(F.xxhash64("qid"), F.lit(blocks))).withColumn("_slice", every(slices))
+
+
+def half_up(x: np.ndarray, digits: int) -> np.ndarray:
+    """Rounded as Spark's ``round`` does; no negative zero."""
+    return np.sign(x) * np.floor(np.abs(x) * 10.0**digits + 0.5) / 10.0**digits + 0.0
+
+
+class _Best:
+    """The k best chunks of each query so far. Higher is better here; equal scores go by seq."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.least = k, np.full(n, -np.inf)
+        self.row, self.seq, self.score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        self.ids: pa.Array | None = None
+
+    def add(self, score: np.ndarray, able: np.ndarray, ids: pa.Array, seq: np.ndarray) -> None:
+        """``score`` and ``able`` by (query, chunk)."""
+        if score.shape[1] > self.k:
+            masked = np.where(able, score, -np.inf)
+            self.least = np.maximum(self.least, np.partition(masked, -self.k, axis=1)[:, -self.k])
+        row, at = np.nonzero(able & (score >= self.least[:, None]))
+        if not len(row):
+            return
+        own = ids.take(pa.array(at))
+        self.row, self.seq, self.score = np.append(self.row, row), np.append(self.seq, seq[at]), np.append(self.score, score[row, at])
+        self.ids = own if self.ids is None else pa.concat_arrays([self.ids, own])
+        order = np.lexsort((self.seq, -self.score, self.row))
+        ranked = self.row[order]
+        first = np.searchsorted(ranked, ranked)
+        kept = order[np.arange(len(order)) - first < self.k]
+        self.row, self.seq, self.score, self.ids = self.row[kept], self.seq[kept], self.score[kept], self.ids.take(pa.array(kept))
+
+    def batch(self, qids: pa.Array, sign: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([qids.take(pa.array(self.row)), self.ids, pa.array(self.seq), pa.array(sign * self.score + 0.0)], names=["qid", "chunk_id", "seq", "score"])
+
+
+#: From queries (a table whose first column is qid) a function that scores a batch of chunks (chunk_id, seq, ...): (scores, which are hits).
+Scorer = Callable[[pa.Table], Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]]]
+
+
+def _search(chunks: DataFrame, queries: DataFrame, scorer: Scorer, k: int, ascending: bool = False) -> DataFrame:
+    """(qid, chunk_id, seq, score, rank) of the k best chunks (chunk_id, seq, ...) of each query (qid, ...)."""
+    ids, sign = dict(chunks.dtypes)["chunk_id"], -1 if ascending else 1
+    schema = f"qid {dict(queries.dtypes)['qid']}, chunk_id {ids}, seq bigint, score double"
+    if k == 0:
+        return chunks.sparkSession.createDataFrame([], f"{schema}, rank int")
+    ship(chunks.sparkSession)
+    n = queries.count()
+
+    def best_of(asked: pa.Table, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score, best = scorer(asked), _Best(asked.num_rows, k)
+        for batch in batches:
+            for i in range(0, batch.num_rows, PIECE):
+                piece = batch.slice(i, PIECE)
+                found, able = score(piece)
+                best.add(sign * found, able, piece.column(0), piece.column(1).to_numpy(zero_copy_only=False))
+        if best.ids is not None:
+            yield best.batch(asked.column(0).combine_chunks() if asked.num_rows else pa.array([]), sign)
+
+    if n <= BATCH:
+        asked = queries.toArrow()
+        found = chunks.mapInArrow(lambda batches: best_of(asked, batches), schema)
+    else:
+        own, dealt = _dealt(chunks, queries, n)
+
+        def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+            asked = b.drop_columns(["_block", "_slice"])
+            out = [*best_of(asked, a.drop_columns(["_block", "_slice"]).to_batches())]
+            empty = pa.table({"qid": asked.column(0).slice(0, 0), "chunk_id": a.column("chunk_id").slice(0, 0), "seq": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+            return pa.Table.from_batches(out) if out else empty
+
+        found = own.groupBy("_block", "_slice").cogroup(dealt.groupBy("_block", "_slice")).applyInArrow(meet, schema)
+    return top_k(found, k, ascending)
+
+
+def _flat(lists: pa.Array | pa.ChunkedArray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Of a list column: all elements, the row of each, and the rows' lengths."""
+    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    values = lists.flatten()
+    return values, np.repeat(np.arange(len(sizes)), sizes), sizes
+
+
+def _matrix(lists: pa.Array | pa.ChunkedArray, width: int = 0) -> np.ndarray:
+    """Vectors as rows, filled up with zeros; a null component counts as one."""
+    values, row, sizes = _flat(lists)
+    x = np.zeros((len(sizes), max(width, sizes.max(initial=0))))
+    within = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    x[row, within] = pc.fill_null(values.cast(pa.float64()), 0.0).to_numpy(zero_copy_only=False)
+    return x
 
 
 def vector_scores(chunks: DataFrame, queries: DataFrame, metric: str = "cosine", digits: int = 9) -> DataFrame:
@@ -60,71 +199,95 @@ def vector_scores(chunks: DataFrame, queries: DataFrame, metric: str = "cosine",
     return pairs.select("qid", "chunk_id", "seq", F.round(f(F.col("embedding"), F.col("query_vector")), digits).alias("score"))
 
 
-def vector_search(chunks: DataFrame, queries: DataFrame, k: int | None = 5, filters: dict | None = None, metric: str = "cosine", digits: int = 9) -> DataFrame:
-    """(qid, chunk_id, seq, score, rank): the k best chunks of each query, exactly; ties by seq.
+def vector_search(chunks: DataFrame, queries: DataFrame, k: int | None = 5, filters: dict | None = None, metric: str = "cosine", digits: int = 9, single: bool = False) -> DataFrame:
+    """(qid, chunk_id, seq, score, rank): the k best chunks of each query, exactly; ties by seq. L2 sorts upwards.
 
-    A batch of at most ``BATCH`` queries is scored by matrix products in Arrow batches, which leave k rows per query and
-    batch; more go through expressions in blocks. L2 sorts upwards.
+    ``single`` takes components in single precision, as index files hold them.
     """
-    k = check_top_k(k)
-    chunks = metadata_filter(chunks, filters)
-    asked = queries.select(F.col("qid").cast("string").alias("qid"), F.col("query_vector").cast("array<double>").alias("query_vector"))
-    some = asked.limit(BATCH + 1).collect()
-    kind = dict(queries.dtypes)["qid"]
-    if k == 0 or len(some) > BATCH:
-        return top_k(vector_scores(chunks, queries, metric, digits), k, metric == "l2")
-    usable = chunks.where(has_vector(F.col("embedding"))).select(F.col("chunk_id").cast("string").alias("chunk_id"), F.col("seq").cast("bigint").alias("seq"), F.col("embedding").cast("array<double>").alias("embedding"))
-    width = max([0, *(len(r["query_vector"] or []) for r in some)])
-    q = np.zeros((len(some), width))
-    for i, r in enumerate(some):
-        q[i, : len(r["query_vector"] or [])] = r["query_vector"] or []
-    qids = np.array([r["qid"] for r in some], object)
-    norms = np.sqrt((q * q).sum(1))
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows or not len(q):
-                continue
-            vectors = batch.column(2).to_pylist()
-            x = np.zeros((len(vectors), max(width, *map(len, vectors))))
-            for i, v in enumerate(vectors):
-                x[i, : len(v)] = [0.0 if e is None else e for e in v]
-            full = np.zeros((len(q), x.shape[1]))
-            full[:, :width] = q
-            score = full @ x.T
+    if metric not in ("cosine", "ip", "l2"):
+        raise ValueError(f"no metric named {metric!r}")
+    kind = "array<float>" if single else "array<double>"
+    usable = metadata_filter(chunks, filters).where(has_vector(F.col("embedding")))
+    usable = usable.select("chunk_id", F.col("seq").cast("bigint").alias("seq"), F.col("embedding").cast(kind).alias("embedding"))
+    asked = queries.select("qid", F.col("query_vector").cast(kind).alias("query_vector"))
+
+    def scorer(table: pa.Table):
+        q = _matrix(table.column(1))
+
+        def score(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+            x = _matrix(batch.column(2), q.shape[1])
+            full = np.pad(q, ((0, 0), (0, x.shape[1] - q.shape[1])))
+            s = full @ x.T
             if metric == "cosine":
-                n = norms[:, None] * np.sqrt((x * x).sum(1))[None, :]
-                score = np.divide(score, n, out=np.zeros_like(score), where=n != 0)
+                n = np.sqrt((full * full).sum(1))[:, None] * np.sqrt((x * x).sum(1))[None, :]
+                s = np.divide(s, n, out=np.zeros_like(s), where=n != 0)
             elif metric == "l2":
-                score = np.maximum((full * full).sum(1)[:, None] - 2 * score + (x * x).sum(1)[None, :], 0)
-            score = np.round(score, digits) + 0.0  # no negative zero
-            seq = batch.column(1).to_numpy(zero_copy_only=False)
-            sign = 1 if metric == "l2" else -1
-            best = np.stack([np.lexsort((seq, sign * s))[:k] for s in score])
-            rows = np.repeat(np.arange(len(q)), best.shape[1])
-            at = pa.array(best.ravel())
-            yield pa.RecordBatch.from_arrays([pa.array(qids[rows], pa.string()), batch.column(0).take(at), batch.column(1).take(at), pa.array(score[rows, best.ravel()])], names=["qid", "chunk_id", "seq", "score"])
+                s = np.maximum((full * full).sum(1)[:, None] - 2 * s + (x * x).sum(1)[None, :], 0)
+            return half_up(s, digits), np.ones(s.shape, bool)
+
+        return score
+
+    return _search(usable, asked, scorer, check_top_k(k), metric == "l2")
+
+
+def index_size(vectors: DataFrame) -> DataFrame:
+    """(n_vectors, dimensions)."""
+    return vectors.agg(F.count("embedding").alias("n_vectors"), F.max(F.size("embedding")).alias("dimensions"))
 
-    found = usable.mapInArrow(search, "qid string, chunk_id string, seq bigint, score double")
-    ids = dict(chunks.dtypes)["chunk_id"]
-    return top_k(found.select(F.col("qid").cast(kind).alias("qid"), F.col("chunk_id").cast(ids).alias("chunk_id"), "seq", "score"), k, metric == "l2")
 
+class _Vocabulary:
+    """The words of a batch of queries, each query's weights of its words, and products of them with what chunks hold."""
 
-def text_search(chunks: DataFrame, queries: DataFrame, k: int | None = 5, filters: dict | None = None, digits: int = 12) -> DataFrame:
-    """(qid, chunk_id, seq, score, rank) by the Jaccard similarity of word sets; chunks that share no word are no hits.
+    def __init__(self, lists: pa.ChunkedArray, weights: pa.ChunkedArray | None = None):
+        values, self.row, self.sizes = _flat(lists)
+        coded = values.dictionary_encode()
+        self.known, self.at = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+        self.weight = np.ones(len(self.row)) if weights is None else _flat(weights)[0].to_numpy(zero_copy_only=False)
 
-    queries: (qid, query). Words of chunks meet words of queries by an equality join; a chunk's matches are summed where the chunk lies
-    before they move.
+    def product(self, lists: pa.Array, of: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """The sum over words of weight * of(counts (word, chunk), sizes of the chunks), by (query, chunk), and the sizes."""
+        values, row, sizes = _flat(lists)
+        found = pc.fill_null(pc.index_in(values, value_set=self.known), -1).to_numpy(zero_copy_only=False)
+        row, found = row[found >= 0], found[found >= 0]
+        used, place = np.unique(found, return_inverse=True)
+        out = np.zeros((len(self.sizes), len(sizes)))
+        where = np.full(len(self.known), -1)
+        where[used] = np.arange(len(used))
+        asked = where[self.at]
+        for a in range(0, len(used), WORDS):
+            b = min(len(used), a + WORDS)
+            own, mine = (place >= a) & (place < b), (asked >= a) & (asked < b)
+            held = np.bincount((place[own] - a) * len(sizes) + row[own], minlength=(b - a) * len(sizes)).reshape(b - a, len(sizes))
+            q = np.zeros((len(self.sizes), b - a))
+            q[self.row[mine], asked[mine] - a] = self.weight[mine]
+            out += q @ of(held, sizes)
+        return out, sizes
+
+
+def text_search(chunks: DataFrame, queries: DataFrame, k: int | None = 5, filters: dict | None = None, digits: int = 12, fields: dict[str, float] | None = None) -> DataFrame:
+    """(qid, chunk_id, seq, score, rank) by the Jaccard similarity of word sets; chunks that share no word are no hits. queries: (qid, query).
+
+    ``fields`` names text columns with the boost of each; the score is the boosted sum of their similarities.
     """
-    chunks = metadata_filter(chunks, filters)
-    asked = queries.select("qid", word_set(F.col("query")).alias("qw"))
-    asked = asked.select("qid", F.size("qw").alias("qn"), F.explode("qw").alias("word"))
-    asked = F.broadcast(asked) if queries.count() <= BATCH else asked
-    own = chunks.select("chunk_id", "seq", word_set(F.col("content")).alias("cw"))
-    own = own.select("chunk_id", "seq", F.size("cw").alias("cn"), F.explode("cw").alias("word"))
-    met = own.join(asked, "word").groupBy("qid", "chunk_id", "seq", "qn", "cn").agg(F.count("*").alias("both"))
-    score = F.round(F.col("both") / (F.col("qn") + F.col("cn") - F.col("both")), digits)
-    return top_k(met.select("qid", "chunk_id", "seq", score.alias("score")), k)
+    boosts = fields or {"content": 1.0}
+    sets = [F.coalesce(word_set(F.col(c)), F.array().cast("array<string>")).alias(f"w{i}") for i, c in enumerate(boosts)]
+    own = metadata_filter(chunks, filters).select("chunk_id", F.col("seq").cast("bigint").alias("seq"), *sets)
+    asked = queries.select("qid", word_set(F.col("query")).alias("w"))
+
+    def scorer(table: pa.Table):
+        known = _Vocabulary(table.column(1))
+
+        def score(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+            total, met = 0.0, False
+            for i, boost in enumerate(boosts.values()):
+                both, sizes = known.product(batch.column(2 + i), lambda held, _: held)
+                union = known.sizes[:, None] + sizes[None, :] - both
+                total, met = total + boost * np.divide(both, union, out=np.zeros_like(both), where=union > 0), met | (both > 0)
+            return half_up(total, digits), met
+
+        return score
+
+    return _search(own, asked, scorer, check_top_k(k))
 
 
 def term_counts(chunks: DataFrame) -> DataFrame:
@@ -136,19 +299,33 @@ def term_counts(chunks: DataFrame) -> DataFrame:
 def bm25_search(chunks: DataFrame, queries: DataFrame, k: int | None = 5, filters: dict | None = None, k1: float = 1.2, b: float = 0.75, digits: int = 6) -> DataFrame:
     """(qid, chunk_id, seq, score, rank) by BM25 with idf = ln(1 + (N - df + 0.5) / (df + 0.5)).
 
-    Only the queries' words are counted; their document frequencies, at most one row per query word, go back to the matches.
+    One pass counts the chunks, their words and, of the queries' words alone, in how many chunks each occurs; a second one scores.
     """
-    chunks = metadata_filter(chunks, filters)
+    own = metadata_filter(chunks, filters).select("chunk_id", F.col("seq").cast("bigint").alias("seq"), words(F.coalesce(F.col("content"), F.lit(""))).alias("w"))
     asked = queries.select("qid", F.explode(word_set(F.col("query"))).alias("word"))
     few = queries.count() <= BATCH
-    vocabulary = asked.select("word").distinct()
-    sizes = chunks.select(F.size(words(F.col("content"))).alias("n")).agg(F.count("*").alias("n_docs"), F.avg("n").alias("mean")).first()
-    if not sizes["n_docs"]:
-        return top_k(asked.select("qid", F.lit("").alias("chunk_id"), F.lit(0).cast("bigint").alias("seq"), F.lit(0.0).alias("score")).limit(0), k)
-    terms = term_counts(chunks).join(F.broadcast(vocabulary) if few else vocabulary, "word")
-    df = terms.groupBy("word").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.lit(sizes["n_docs"]) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    asked = asked.join(df.select("word", idf.alias("idf")), "word")
-    met = terms.join(F.broadcast(asked) if few else asked, "word")
-    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n_words") / F.lit(sizes["mean"])))
-    return top_k(met.groupBy("qid", "chunk_id", "seq").agg(F.round(F.sum(part), digits).alias("score")), k)
+    # no word is empty: that row stands for the chunk itself
+    vocabulary = asked.select("word").distinct().unionByName(chunks.sparkSession.range(1).select(F.lit("").alias("word")))
+    held = own.select(F.size("w").alias("n"), F.explode(F.concat(F.array(F.lit("")), F.array_distinct("w"))).alias("word"))
+    counts = held.join(F.broadcast(vocabulary) if few else vocabulary, "word").groupBy("word").agg(F.count("*").alias("df"), F.sum("n").alias("total"))
+    if few:
+        counts = chunks.sparkSession.createDataFrame(counts.toArrow(), counts.schema)
+    sizes = counts.where("word = ''").first()
+    n_docs, mean = (sizes["df"], sizes["total"] / sizes["df"]) if sizes else (0, 0.0)
+    idf = F.log(1 + (F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weighted = asked.join(F.broadcast(counts) if few else counts, "word").groupBy("qid").agg(F.collect_list(F.struct("word", idf.alias("idf"))).alias("t"))
+    weighted = weighted.select("qid", F.col("t.word").alias("w"), F.col("t.idf").alias("idf"))
+
+    def scorer(table: pa.Table):
+        known = _Vocabulary(table.column(1), table.column(2))
+
+        def part(tf: np.ndarray, n: np.ndarray) -> np.ndarray:
+            return tf * (k1 + 1) / (tf + k1 * (1 - b + b * n[None, :] / max(mean, 1e-300)))
+
+        def score(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+            found, _ = known.product(batch.column(2), part)
+            return half_up(found, digits), found > 0
+
+        return score
+
+    return _search(own, weighted, scorer, check_top_k(k))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexivec.functions.text import filled_lines, words
@@ -192,6 +194,14 @@ def hybrid_retrieve_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("qid", "chunk_id", "score", "rank", F.array_join("methods", "+").alias("methods"))
 
 
+@query
+def rewrite_passthrough(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user turn as it is."""
+    u = table(spark, sf_dir, "conversations").where("role = 'user'").withColumn("qid", F.col("conv_id") * 1000 + F.col("turn"))
+    r = u.select("qid", F.explode(rewrite.passthrough(F.col("text"))).alias("rewritten"))
+    return r.select("qid", F.md5(F.col("rewritten").cast("binary")).alias("rewritten_md5"))
+
+
 def _rewritten(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user turn with the assistant's turn after it as the model's answer."""
     c = table(spark, sf_dir, "conversations")
@@ -201,12 +211,6 @@ def _rewritten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.withColumn("qid", F.col("conv_id") * 1000 + F.col("turn"))
 
 
-@query
-def rewrite_passthrough(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = _rewritten(spark, sf_dir).select("qid", F.explode(rewrite.passthrough(F.col("query"))).alias("rewritten"))
-    return r.select("qid", F.md5(F.col("rewritten").cast("binary")).alias("rewritten_md5"))
-
-
 @query
 def rewrite_multi_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = _rewritten(spark, sf_dir).select("qid", F.posexplode(rewrite.multi_query(F.col("query"), F.col("answer"))).alias("pos", "rewritten"))
@@ -241,14 +245,20 @@ def entity_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def multi_query_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = benchmark_queries(spark, sf_dir)
-    rewritten = b.select("qid", F.concat(F.array("query"), F.slice(filled_lines(F.regexp_replace("query", r"\. ", "\n")), 1, 2)).alias("rewritten"))
-    return retrieve.multi_query_retrieve(documents(spark, sf_dir), rewritten, 5)
+    """Hybrid retrieval of each benchmark text and of its first two sentences, fused."""
+    sentences = F.slice(filled_lines(F.regexp_replace("query", r"\. ", "\n")), 1, 2)
+    rewritten = hybrid_queries(spark, sf_dir).select("qid", F.concat(F.array("query"), sentences).alias("rewritten"), "query_vector")
+    return retrieve.multi_query_retrieve(with_vectors(spark, sf_dir), rewritten, 5)
+
+
+def place() -> Column:
+    """Chunks numbered by document, then by where they start; no text has 2 ** 32 characters."""
+    return F.col("doc_id") * F.lit(1 << 32) + F.col("start_char")
 
 
 def _ranked(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
     """Keyword hits among chunks, with their contents."""
-    c = chunks(spark, sf_dir).withColumn("seq", F.col("doc_id") * 1_000_000 + F.col("start_char")).withColumn("chunk_id", F.col("seq"))
+    c = chunks(spark, sf_dir).withColumn("seq", place()).withColumn("chunk_id", F.col("seq"))
     hits = search.text_search(c, benchmark_queries(spark, sf_dir), k, digits=9)
     return hits.join(c.select("chunk_id", "doc_id", "content", "start_char", "end_char"), "chunk_id")
 
@@ -319,8 +329,10 @@ def score_tolerance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def full_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = chunks(spark, sf_dir).withColumn("seq", F.col("doc_id") * 1_000_000 + F.col("start_char")).withColumn("chunk_id", F.col("seq"))
-    out = retrieve.run_query(c, benchmark_queries(spark, sf_dir), top_k=3)
+    """Each benchmark text asked together with its first three sentences as a model's variants."""
+    c = chunks(spark, sf_dir).withColumn("seq", place()).withColumn("chunk_id", F.col("seq"))
+    asked = benchmark_queries(spark, sf_dir).withColumn("strategies", F.array(F.lit("multi_query"))).withColumn("answer", F.regexp_replace("query", r"\. ", "\n"))
+    out = retrieve.run_query(c, asked, top_k=3)
     return out.select("qid", F.md5(F.col("answer").cast("binary")).alias("answer_md5"), F.size("sources").cast("bigint").alias("n_sources"), F.size("rewritten_queries").cast("bigint").alias("n_rewritten"))
 
 
@@ -438,7 +450,9 @@ def _stream_base(spark: SparkSession) -> str:
         return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-    return tempfile.mkdtemp(prefix="lexivec-stream-")
+    base = tempfile.mkdtemp(prefix="lexivec-stream-")
+    atexit.register(shutil.rmtree, base, ignore_errors=True)
+    return base
 
 
 @query
@@ -447,7 +461,7 @@ def ingest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
     # a file source reads folders; the table may be one file in the folder of all tables
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
-    pattern = f"{sf_dir}/documents.parquet" if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory() else f"{sf_dir}/documents*.parquet"
+    pattern = f"{sf_dir}/documents.parquet" if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory() else f"{sf_dir}/documents.parque[t]"
     streams.ingest_stream(spark, pattern, schema, f"{base}/out", f"{base}/state").awaitTermination()
     out = spark.read.schema("chunk_id string, doc_id bigint, content string, lang string, source string, n_chars bigint, start_char int, end_char int").parquet(f"{base}/out")
     return out.select("doc_id", "start_char", "end_char", F.md5(F.col("content").cast("binary")).alias("content_md5"))

@@ -2,7 +2,7 @@
 
 D = "d AS (SELECT doc_id AS chunk_id, doc_id, text AS content, lang, source, doc_id AS seq FROM documents)"
 WS = r"list_filter(string_split_regex(lower({0}), '\s+'), lambda x: x <> '')"
-C = """c AS (SELECT doc_id, lang, source, s AS start_char, least(s + 512, length(text)) AS end_char, substr(text, s + 1, 512) AS content, doc_id * 1000000 + s AS seq
+C = """c AS (SELECT doc_id, lang, source, s AS start_char, least(s + 512, length(text)) AS end_char, substr(text, s + 1, 512) AS content, doc_id * 4294967296 + s AS seq
   FROM (SELECT doc_id, lang, source, text, unnest(range(0, CAST(ceil(greatest(length(text) - 512, 0) / 448) AS BIGINT) + 1)) * 448 AS s FROM documents WHERE length(text) > 0))"""
 B = "q AS (SELECT item_id AS qid, text AS query FROM benchmark)"
 
@@ -66,7 +66,12 @@ def _windowed(step_days: int, width_days: int) -> str:
 SELECT event_type, value, unnest(list_transform(range(0, {width_days // step_days}), lambda i: date_trunc('day', ts) - to_days(CAST(i AS INTEGER) * {step_days}))) AS window_start FROM events) GROUP BY ALL"""
 
 
-NAME_ENDS = "SELECT qid, subject, predicate, object FROM {0}"
+
+def _variants(n: int) -> str:
+    """Views v0 (id, l: a benchmark text and its first n sentences) and q (qid of id and place, query)."""
+    return f"""v0 AS (SELECT item_id AS id, list_concat([text], ({LINES.format("replace(text, '. ', chr(10))")})[1:{n}]) AS l FROM benchmark),
+q AS (SELECT {{'id': id, 'v': i}} AS qid, l[i] AS query FROM (SELECT id, l, unnest(range(1, len(l) + 1)) AS i FROM v0))"""
+
 
 ORACLES = {
     "chunk_fixed_stride": f"WITH {C} SELECT doc_id, CAST(start_char AS INTEGER) AS start_char, CAST(end_char AS INTEGER) AS end_char, md5(content) AS content_md5 FROM c",
@@ -91,7 +96,7 @@ a AS (SELECT qid, CAST(seq AS VARCHAR) AS chunk_id, rank FROM v), b AS (SELECT q
     "hybrid_retrieve_graph": f"""WITH {D}, {T}, q AS (SELECT item_id AS qid, text AS query FROM benchmark UNION ALL SELECT n_nationkey + 1000000, n_name FROM nation), {_jaccard("d", "q", 10)},
 g AS (SELECT qid, concat_ws('-', 'graph', subject, predicate, object) AS chunk_id, row_number() OVER (PARTITION BY qid ORDER BY seq) AS rank FROM t JOIN q ON contains(lower(subject), lower(query)) OR contains(lower(object), lower(query)) QUALIFY rank <= 5),
 b AS (SELECT qid, CAST(seq AS VARCHAR) AS chunk_id, rank FROM jac), {_rrf([("b", "text"), ("g", "graph")], 5)} SELECT qid, chunk_id, score, rank, methods FROM fused""",
-    "rewrite_passthrough": f"WITH {R} SELECT qid, md5(query) AS rewritten_md5 FROM r",
+    "rewrite_passthrough": "SELECT conv_id * 1000 + turn AS qid, md5(text) AS rewritten_md5 FROM conversations WHERE role = 'user'",
     "rewrite_multi_query": f"WITH {R} " + POSED.format(f"SELECT qid, list_concat([query], ({LINES.format('answer')})[1:3]) AS l FROM r"),
     "rewrite_hyde": f"WITH {R} " + POSED.format(f"SELECT qid, [query, {STRIP.format('answer')}] AS l FROM r"),
     "rewrite_step_back": f"WITH {R} " + POSED.format(f"SELECT qid, [query, ({LINES.format('answer')})[1]] AS l FROM r"),
@@ -99,9 +104,10 @@ b AS (SELECT qid, CAST(seq AS VARCHAR) AS chunk_id, rank FROM jac), {_rrf([("b",
     "entity_expansion": f"""WITH {T}, q AS (SELECT CAST(n_nationkey AS BIGINT) AS qid, 'who trades with ' || n_name AS query FROM nation), names AS (SELECT DISTINCT unnest([subject, object]) AS name FROM t),
 h AS (SELECT qid, name FROM names JOIN q ON contains(lower(query), lower(name))), e AS (SELECT qid, unnest([subject, object]) AS e FROM t JOIN h ON lower(subject) = lower(name) OR lower(object) = lower(name)),
 l AS (SELECT qid, list_sort(list(DISTINCT e)) AS l FROM e GROUP BY qid) SELECT qid, len(l) AS n, md5(array_to_string(l, ',')) AS entities_md5 FROM l""",
-    "multi_query_fusion": f"""WITH {D}, v0 AS (SELECT item_id AS id, list_concat([text], ({LINES.format("replace(text, '. ', chr(10))")})[1:2]) AS l FROM benchmark),
-q AS (SELECT {{'id': id, 'v': i}} AS qid, l[i] AS query FROM (SELECT id, l, unnest(range(1, len(l) + 1)) AS i FROM v0)), {_jaccard("d", "q", 10)},
-f AS (SELECT qid.id AS qid, seq AS chunk_id, round(sum(1.0 / (60 + rank) ORDER BY qid.v, rank), 12) AS score, min(qid.v * 1000000 + rank) AS f FROM jac GROUP BY ALL)
+    "multi_query_fusion": f"""WITH {D}, {_variants(2)}, {_jaccard("d", "q", 10)}, vq AS (SELECT item_id AS id, CAST(embedding AS DOUBLE[]) AS qv FROM benchmark JOIN embeddings ON item_id = vec_id),
+v AS (SELECT {{'id': id, 'v': CAST(1 AS BIGINT)}} AS qid, seq, row_number() OVER (PARTITION BY id ORDER BY round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), qv), 9) DESC, seq) AS rank FROM d JOIN embeddings ON chunk_id = vec_id, vq QUALIFY rank <= 10),
+a AS (SELECT qid, CAST(seq AS VARCHAR) AS chunk_id, rank FROM v), b AS (SELECT qid, CAST(seq AS VARCHAR) AS chunk_id, rank FROM jac), {_rrf([("a", "vector"), ("b", "text")], 5)},
+f AS (SELECT qid.id AS qid, chunk_id, round(sum(1.0 / (60 + rank) ORDER BY qid.v, rank), 12) AS score, min(qid.v * 1000000 + rank) AS f FROM fused GROUP BY ALL)
 SELECT qid, chunk_id, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, f) AS INTEGER) AS rank FROM f QUALIFY rank <= 5""",
     "chunk_search": f"WITH {RANKED} SELECT qid, doc_id, CAST(start_char AS INTEGER) AS start_char, score, CAST(rank AS INTEGER) AS rank FROM ranked",
     "rerank_topk": f"""WITH {RANKED}, s AS (SELECT qid, chunk_id, round(len(list_intersect(w, list_distinct({WS.format("content")}))) / len(w), 9) AS score FROM ranked JOIN (SELECT qid, list_distinct({WS.format("query")}) AS w FROM q) USING (qid))
@@ -120,11 +126,13 @@ SELECT qid, round(CASE WHEN ideal > 0 THEN dcg / ideal ELSE 0 END, 9) AS ndcg FR
 SELECT qid, r AS ratio, r >= 0.6 AS passes FROM (SELECT qid, round(len(list_intersect(a, b)) / least(len(a), len(b)), 9) AS r FROM a JOIN b USING (qid))""",
     "score_tolerance": f"""WITH x AS ({_vector("list_cosine_similarity(v, qv)", 5)}), y AS ({_vector("list_inner_product(v, qv)", 5)})
 SELECT qid, bool_and(CASE WHEN greatest(abs(x.score), abs(y.score)) = 0 THEN true ELSE abs(x.score - y.score) / greatest(abs(x.score), abs(y.score)) <= 0.1 END) AS passes FROM x JOIN y USING (qid, rank) GROUP BY qid""",
-    "full_query": f"""WITH {RANKED.replace(_jaccard("c", "q", 10), _jaccard("c", "q", 24))}, f AS (SELECT * FROM ranked QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(1.0 / (60 + rank), 12) DESC, rank) <= 12),
-s AS (SELECT f.* EXCLUDE (rank, score), row_number() OVER (PARTITION BY qid ORDER BY round(len(list_intersect(w, list_distinct({WS.format("content")}))) / len(w), 12) DESC, seq) AS place FROM f JOIN (SELECT qid, list_distinct({WS.format("query")}) AS w FROM q) USING (qid)),
+    "full_query": f"""WITH {C}, {_variants(3)}, {_jaccard("c", "q", 12)}, u AS (SELECT qid.id AS qid, seq, round(sum(1.0 / (60 + rank) ORDER BY qid.v, rank), 12) AS score, min(qid.v * 1000000 + rank) AS f FROM jac GROUP BY ALL),
+f AS (SELECT qid, c.* FROM (SELECT qid, seq FROM u QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, f) <= 12) JOIN c USING (seq)),
+s AS (SELECT f.*, row_number() OVER (PARTITION BY qid ORDER BY round(len(list_intersect(w, list_distinct({WS.format("content")}))) / len(w), 12) DESC, seq) AS place FROM f JOIN (SELECT id AS qid, list_distinct({WS.format("l[1]")}) AS w FROM v0) USING (qid)),
 t AS (SELECT * EXCLUDE (place), place AS rank FROM s WHERE place <= 3),
 o AS ({_overlaps("t")}), b AS (SELECT *, sum(len({WS.format("content")})) OVER (PARTITION BY qid ORDER BY rank) AS used FROM o QUALIFY used <= 2048),
-n AS (SELECT qid, content, row_number() OVER (PARTITION BY qid ORDER BY doc_id, start_char) AS i FROM b) SELECT qid, md5(string_agg(content || ' [' || i || ']', chr(10) ORDER BY i)) AS answer_md5, count(*) AS n_sources, CAST(1 AS BIGINT) AS n_rewritten FROM n GROUP BY qid""",
+n AS (SELECT qid, content, row_number() OVER (PARTITION BY qid ORDER BY doc_id, start_char) AS i FROM b), a AS (SELECT qid, md5(string_agg(content || ' [' || i || ']', chr(10) ORDER BY i)) AS answer_md5, count(*) AS n_sources FROM n GROUP BY qid)
+SELECT qid, answer_md5, n_sources, len(l) AS n_rewritten FROM a JOIN v0 ON id = qid""",
     "upsert_replace": f"WITH {D}, {HALVES} SELECT chunk_id, md5(content) AS content_md5, seq FROM base WHERE chunk_id NOT IN (SELECT chunk_id FROM batch) UNION ALL SELECT chunk_id, md5(content), seq FROM batch",
     "upsert_ignore": f"WITH {D}, {HALVES} SELECT chunk_id, md5(content) AS content_md5, seq FROM base UNION ALL SELECT chunk_id, md5(content), seq FROM batch WHERE chunk_id NOT IN (SELECT chunk_id FROM base)",
     "delete_by_doc": "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)",

@@ -34,31 +34,50 @@ def hybrid_retrieve(chunks: DataFrame, queries: DataFrame, top_k: int | None = 5
     return fusion.fused_top(lists, n, k)
 
 
-def multi_query_retrieve(chunks: DataFrame, rewritten: DataFrame, top_k: int | None = 5, filters: dict | None = None, k: int = 60) -> DataFrame:
-    """(qid, chunk_id, score, rank, methods): keyword hits of every variant in ``rewritten`` (qid, rewritten array), fused variant by variant."""
+def multi_query_retrieve(chunks: DataFrame, rewritten: DataFrame, top_k: int | None = 5, filters: dict | None = None, k: int = 60, triples: DataFrame | None = None, embed: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(qid, chunk_id, score, rank): hybrid retrieval of every variant in ``rewritten`` (qid, rewritten array[, query_vector]), fused across variants.
+
+    With ``embed``, each variant has its own vector; else a query_vector goes with the first variant, the query itself.
+    """
     n = check_top_k(top_k)
-    variants = rewritten.select("qid", F.posexplode("rewritten").alias("variant", "query"))
-    asked = variants.select(F.struct("qid", "variant").alias("qid"), "query")
-    hits = search.text_search(chunks, asked.withColumn("qid", F.to_json("qid")), 2 * n, filters)
+    own = ["query_vector"] if "query_vector" in rewritten.columns else []
+    asked = rewritten.select("qid", *own, F.posexplode("rewritten").alias("variant", "query"))
+    if embed is not None:
+        asked = asked.withColumn("query_vector", embed(F.col("query")))
+    elif own:
+        asked = asked.withColumn("query_vector", F.when(F.col("variant") == 0, F.col("query_vector")))
     key = F.from_json("qid", f"qid {dict(rewritten.dtypes)['qid']}, variant int")
-    hits = hits.select(key.alias("q"), "chunk_id", "rank")
-    flat = hits.select("q.qid", "chunk_id", (F.col("q.variant") * 1_000_000 + F.col("rank")).alias("place"), "rank")
-    # one list whose rows keep their own rank: summed per variant, first appearance by variant
-    terms = F.transform(F.array_sort(F.collect_list(F.struct("place", "rank"))), lambda x: 1.0 / (F.lit(k) + x["rank"]))
-    fused = flat.groupBy("qid", "chunk_id").agg(F.round(F.aggregate(terms, F.lit(0.0), lambda s, x: s + x), 12).alias("score"), F.min("place").alias("first"))
-    ranked = search.top_k(fused.withColumnRenamed("first", "seq"), n)
-    return ranked.select("qid", "chunk_id", "score", "rank")
+    hits = hybrid_retrieve(chunks, asked.withColumn("qid", F.to_json(F.struct("qid", "variant"))).drop("variant"), n, filters, triples, k)
+    flat = hits.select(key.alias("q"), "chunk_id", "rank").select("q.qid", "chunk_id", F.struct("q.variant", "rank").alias("at"))
+    # one list whose rows keep their own rank: summed variant by variant; equal scores by first appearance
+    terms = F.transform(F.array_sort(F.collect_list("at")), lambda x: 1.0 / (F.lit(k) + x["rank"]))
+    fused = flat.groupBy("qid", "chunk_id").agg(F.round(F.aggregate(terms, F.lit(0.0), lambda s, x: s + x), 12).alias("score"), F.min("at").alias("first"))
+    return search.top_k(fused, n, tie="first").select("qid", "chunk_id", "score", "rank")
+
 
+def pseudo_chunks(chunks: DataFrame, triples: DataFrame, queries: DataFrame, top_k: int) -> DataFrame:
+    """The triples that queries hit, as chunks with the columns of ``chunks``; what a triple has not is null."""
+    kinds = dict(chunks.dtypes)
+    hits = graph.graph_hits(triples, queries, top_k).select("chunk_id", "content").distinct()
+    other = {"doc_id": F.lit("").cast(kinds["doc_id"]) if kinds["doc_id"] == "string" else F.lit(None).cast(kinds["doc_id"])}
+    return hits.select(*[F.col(c) if c in ("chunk_id", "content") else other.get(c, F.lit(None).cast(t)).alias(c) for c, t in kinds.items()])
 
-def run_query(chunks: DataFrame, requests: DataFrame, triples: DataFrame | None = None, top_k: int = 5, scorer: Callable[[Column, Column], Column] = rerank.coverage, budget: int = 2048, filters: dict | None = None) -> DataFrame:
+
+def run_query(chunks: DataFrame, requests: DataFrame, triples: DataFrame | None = None, top_k: int = 5, scorer: Callable[[Column, Column], Column] = rerank.coverage, budget: int = 2048, filters: dict | None = None, client: Callable[[Column], Column] | None = None, embed: Callable[[Column], Column] | None = None) -> DataFrame:
     """(qid, answer, sources, rewritten_queries) of requests (qid, query[, query_vector, strategies, answer, entities]):
-    rewrite, retrieve, rerank, assemble, answer from the sources."""
+    rewrite, retrieve with every variant, rerank, assemble, answer: by the client, if there is one, else from the sources."""
     asked = requests if "strategies" in requests.columns else requests.withColumn("strategies", F.array(F.lit("passthrough")))
-    rewritten = rewrite.rewrite(asked).select("qid", "query", "rewritten")
-    hits = hybrid_retrieve(chunks, requests, 4 * top_k, filters, triples)
-    found = hits.select("qid", "chunk_id").join(chunks.withColumn("chunk_id", F.col("chunk_id").cast("string")), "chunk_id").join(requests.select("qid", "query"), "qid")
+    own = ["query_vector"] if "query_vector" in requests.columns else []
+    rewritten = rewrite.rewrite(asked, client=client).select("qid", "query", "rewritten", *own)
+    hits = multi_query_retrieve(chunks, rewritten, 4 * top_k, filters, triples=triples, embed=embed)
+    known = chunks.withColumn("chunk_id", F.col("chunk_id").cast("string")).select("chunk_id", "doc_id", "content", "start_char", "end_char", "seq")
+    if triples is not None:
+        variants = rewritten.select("qid", F.explode("rewritten").alias("query"))
+        known = known.unionByName(pseudo_chunks(known, triples, variants.select(F.sha2("query", 256).alias("qid"), "query").distinct(), 4 * top_k))
+    found = hits.select("qid", "chunk_id").join(known, "chunk_id").join(requests.select("qid", "query"), "qid")
     ranked = rerank.rerank(found.select("qid", "query", "chunk_id", "doc_id", "content", "start_char", "end_char", "seq"), scorer, top_k)
-    answered = context.answer_by_extract(context.assemble(ranked, top_k, budget))
+    assembled = context.assemble(ranked, top_k, budget)
+    answered = context.answer_by_extract(assembled) if client is None else context.answer_by_model(assembled, requests, client)
     return rewritten.select("qid", F.col("rewritten").alias("rewritten_queries")).join(answered, "qid", "left").select("qid", F.coalesce("answer", F.lit("")).alias("answer"), "sources", "rewritten_queries")
 
 
@@ -81,17 +100,17 @@ def ingest(corpus: Corpus, source: str, kind: str = "text", metadata: dict | Non
         extra = F.create_map(*[F.lit(str(x)) for pair in metadata.items() for x in pair])
         docs = docs.withColumn("metadata", F.map_concat(F.map_filter("metadata", lambda k, _: ~k.isin([*map(str, metadata)])), extra))
     docs = docs.withColumn("ingest_seq", F.lit(corpus.version()).cast("bigint"))
-    chunks = prepare_chunks(docs, corpus.next_seq(), embed=embed)
+    chunks = corpus.staged(prepare_chunks(docs, corpus.next_seq(), embed=embed))  # a chunk has one seq, in whatever is made of it
     stored = upsert(corpus.table("chunks"), chunks, on_conflict)
     held = corpus.table("documents")
-    tables = {"chunks": stored, "documents": held.join(docs.select("doc_id"), "doc_id", "left_anti").select(*docs.columns[:0], *held.columns).unionByName(docs.select(*held.columns))}
+    tables = {"chunks": stored, "documents": held.join(docs.select("doc_id"), "doc_id", "left_anti").select(*held.columns).unionByName(docs.select(*held.columns))}
     if extract:
         tables["triples"] = insert_triples(corpus.table("triples"), extract(chunks))
     job = F.sha2(F.concat_ws("|", F.lit(source), F.lit(kind), F.lit(corpus.version()).cast("string")), 256)
     ids = docs.select("doc_id").join(chunks.select("doc_id", "chunk_id", "start_char"), "doc_id").groupBy().agg(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "start_char", "chunk_id"))), lambda x: x["chunk_id"]).alias("chunk_ids"))
     row = ids.select(job.alias("job_id"), F.lit("done").alias("status"), "chunk_ids")
-    v = corpus.commit(**tables, jobs=corpus.table("jobs").unionByName(row))
-    return spark.read.parquet(f"{corpus.path}/v{v}/jobs").where(F.col("job_id") == F.lit(_job_id(source, kind, v - 1)))
+    v = corpus.commit(append={"jobs": row}, **tables)
+    return corpus.table("jobs", v).where(F.col("job_id") == F.lit(_job_id(source, kind, v - 1)))
 
 
 def _job_id(source: str, kind: str, version: int) -> str:

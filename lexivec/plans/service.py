@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexivec.operators import corpus as tables
 from lexivec.operators import graph, search
 from lexivec.operators.corpus import Corpus
 from lexivec.operators.embedding import hash_embedding
+from lexivec.operators.rerank import coverage, rerank
 from lexivec.plans import retrieve
 from lexivec.schema import IngestRequest, QueryRequest
 from lexivec.sources import readers
@@ -24,13 +27,17 @@ def health(spark: SparkSession) -> DataFrame:
 
 
 class Service:
-    def __init__(self, corpus: Corpus, audit: str | None = None):
-        self.corpus, self.spark, self.audit = corpus, corpus.spark, audit
+    """Over a corpus; with a model client, rewriting and answers come from it, with a scorer, reranking does."""
+
+    def __init__(self, corpus: Corpus, audit: str | None = None, client: Callable[[Column], Column] | None = None, scorer: Callable[[Column, Column], Column] = coverage):
+        self.corpus, self.spark, self.audit, self.client, self.scorer = corpus, corpus.spark, audit, client, scorer
 
     def _asked(self, request: QueryRequest) -> DataFrame:
         row = self.spark.createDataFrame([("q", request.query, list(request.rewrite_strategies))], "qid string, query string, strategies array<string>")
         if self.audit:
             row.withColumn("at", F.current_timestamp()).write.mode("append").parquet(self.audit)
+        if "entity_expand" in request.rewrite_strategies:
+            row = row.join(graph.expand_entities(self.corpus.table("triples"), row), "qid", "left")
         return row.withColumn("query_vector", hash_embedding(F.col("query"), 64))
 
     def _triples(self, request: QueryRequest) -> DataFrame | None:
@@ -50,9 +57,15 @@ class Service:
     def query(self, body: dict) -> DataFrame:
         """(answer, sources, rewritten_queries)."""
         request = QueryRequest.parse(body)
-        out = retrieve.run_query(self.corpus.table("chunks"), self._asked(request), self._triples(request), request.top_k, filters=request.filters)
+        out = retrieve.run_query(self.corpus.table("chunks"), self._asked(request), self._triples(request), request.top_k, self.scorer, filters=request.filters, client=self.client, embed=lambda text: hash_embedding(text, 64))
         return out.select("answer", "sources", "rewritten_queries")
 
+    def rerank(self, query: str, documents: list[str], top_k: int | None = None) -> DataFrame:
+        """(index, score, text) of documents by the scorer, best first; ``index`` is the place in the request."""
+        rows = self.spark.createDataFrame([(i, d) for i, d in enumerate(documents)], "seq bigint, content string")
+        ranked = rerank(rows.withColumn("qid", F.lit("q")).withColumn("query", F.lit(query)), self.scorer, top_k)
+        return ranked.orderBy("rank").select(F.col("seq").cast("int").alias("index"), "score", F.col("content").alias("text"))
+
     def ingest(self, body: dict, kind: str = "text", extract=None) -> DataFrame:
         request = IngestRequest.parse(body)
         return retrieve.ingest(self.corpus, request.source, kind, request.metadata, extract=extract)

@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, fields
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
 DOCUMENT = "doc_id string, content string, metadata map<string,string>, source string, ingest_seq bigint"
 CHUNK = "chunk_id string, doc_id string, content string, embedding array<double>, metadata map<string,string>, start_char int, end_char int, seq bigint"
 TRIPLE = "subject string, predicate string, object string, doc_id string, seq bigint"
@@ -13,6 +17,32 @@ JOB = "job_id string, status string, chunk_ids array<string>"
 STRATEGIES = ("passthrough", "multi_query", "hyde", "step_back", "entity_expand")
 
 
+#: Replies of the service's calls.
+SOURCE = "doc_id string, chunk_id string, content string, score double, metadata map<string,string>"
+RANKED = "index int, score double, text string"
+HIT = "id bigint, score double"
+
+
+def differences(df: DataFrame, ddl: str) -> list[tuple[str, str | None, str | None]]:
+    """(field, wanted type, found type) wherever a table's schema is not the one wanted; none if it conforms. Order doesn't count."""
+    wanted = {f.name: f.dataType.simpleString() for f in StructType.fromDDL(ddl)}
+    found = dict(df.dtypes)
+    return [(c, wanted.get(c), found.get(c)) for c in sorted({*wanted, *found}) if wanted.get(c) != found.get(c)]
+
+
+def check_schema(df: DataFrame, ddl: str) -> DataFrame:
+    """``df``, if it has that schema."""
+    if bad := differences(df, ddl):
+        raise ValueError("; ".join(f"{c}: wanted {w}, found {f}" for c, w, f in bad))
+    return df
+
+
+def request_errors(requests: DataFrame, required: tuple[str, ...] = ("query",)) -> DataFrame:
+    """``requests`` with ``errors``: the required fields that are null, each as its message. For batches; single requests are parsed below."""
+    messages = F.array(*[F.when(F.col(c).isNull(), F.lit(f"{c}: field required")) for c in required])
+    return requests.withColumn("errors", F.filter(messages, lambda m: m.isNotNull()))
+
+
 def check_top_k(top_k: int | None, default: int = 5) -> int:
     """Null means the default; a negative count is refused rather than counted from the end."""
     k = default if top_k is None else top_k
@@ -42,7 +72,7 @@ class QueryRequest:
         own["rewrite_strategies"] = tuple(own.get("rewrite_strategies") or ("passthrough",))
         if bad := set(own["rewrite_strategies"]) - set(STRATEGIES):
             raise ValueError(f"unknown strategies: {', '.join(sorted(bad))}")
-        own["filters"] = {k: None if v is None else str(v) for k, v in (own.get("filters") or {}).items()}
+        own["filters"] = {k: v if v is None or isinstance(v, (dict, list)) else str(v) for k, v in (own.get("filters") or {}).items()}
         return cls(**own)
 
 
@@ -57,4 +87,7 @@ class IngestRequest:
             raise ValueError("source: field required")
         if extra := set(body) - {"source", "metadata"}:
             raise ValueError(f"unknown fields: {', '.join(sorted(extra))}")
-        return cls(body["source"], dict(body.get("metadata") or {}))
+        metadata = body.get("metadata") or {}
+        if not isinstance(metadata, dict) or any(isinstance(v, (dict, list)) for v in metadata.values()):
+            raise ValueError("metadata: an object of plain values required")
+        return cls(body["source"], dict(metadata))

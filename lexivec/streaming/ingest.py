@@ -33,7 +33,7 @@ def upsert_stream(docs: DataFrame, corpus, checkpoint: str) -> StreamingQuery:
     from lexivec.plans.retrieve import prepare_chunks
 
     def apply(batch: DataFrame, _: int) -> None:
-        chunks = prepare_chunks(batch, corpus.next_seq())
+        chunks = corpus.staged(prepare_chunks(batch, corpus.next_seq()))
         old = corpus.table("chunks").join(batch.select("doc_id"), "doc_id", "left_anti").select(*corpus.table("chunks").columns)
         docs = corpus.table("documents")
         new = batch.withColumn("ingest_seq", F.lit(corpus.version()).cast("bigint")).select(*docs.columns)
