@@ -6,15 +6,13 @@ import atexit
 import shutil
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import lexivec
+from lexivec.workers import ship
 
 #: Rows and bytes handed to Python at a time, the same for every operator: what one plan sets holds for plans built before it too.
 ARROW_ROWS, ARROW_BYTES = 512, 32 << 20
@@ -87,25 +85,9 @@ def sent(df: DataFrame, rows: int, width: int) -> DataFrame:
     return F.broadcast(df) if rows * width <= BROADCAST_BYTES else df
 
 
-def _ship(spark: SparkSession) -> None:
-    """Send this library to the Python workers, once for each application."""
-    context = spark.sparkContext
-    if getattr(context, "_lexivec_shipped", False):
-        return
-    root = Path(lexivec.__file__).parent
-    folder = tempfile.mkdtemp(prefix="lexivec-")  # on the driver, which serves the file to executors as they come
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    archive = f"{folder}/lexivec-{uuid.uuid4().hex}.zip"
-    with zipfile.ZipFile(archive, "w") as out:
-        for path in sorted(root.rglob("*.py")):
-            out.write(path, path.relative_to(root.parent))
-    context.addPyFile(archive)
-    context._lexivec_shipped = True
-
-
 def short_batches(spark: SparkSession) -> None:
     """Make the Python workers ready: the library is there, and one Arrow batch of texts takes a bounded share of memory."""
-    _ship(spark)
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
