@@ -1,11 +1,13 @@
 """Exact top-k by inner product with no random access.
 
 Vectors are cut into blocks; in a block every component has its values sorted. For a query, each component is a list: read from the top where the
-query's component is positive, from the bottom where it is negative. Lists are read in steps, from one entry each on. What was read gives every
-candidate a lower bound (what was seen, with the worst value for the rest) and an upper bound (what was seen, with the last value read for the rest);
-both are carried on from step to step. A candidate whose upper bound falls below the k-th lower bound, or below the k-th score that an
-earlier block of the task has given the query, is out for good. Reading stops when the candidates left are few (``FEW`` for each one wanted, or one in
-``SHARE`` of the block), and their scores are resolved; in the worst case the lists are read to their ends.
+query's component is positive, from the bottom where it is negative, all to the same depth. What was read gives every
+candidate a lower bound (what was seen, with the worst value for the rest) and an upper bound (what was seen, with the last value read for the rest).
+No upper bound is below the sum of the values read last, so until that sum falls below the k-th score known (the k-th lower bound here, or the
+k-th score that earlier blocks of the task have given) reading goes on without looking at candidates. From there on it goes in steps, each half of what is left: outsiders, whose
+upper bound is below that score, are out for good, and the k-th lower bound of the rest may raise it. Reading stops when the candidates left are few
+(``FEW`` for each one wanted, or one in ``SHARE`` of the block), and their scores are resolved; in the worst case the lists are read to their ends.
+A task's first block is read in pieces of growing size, so that the k-th score is soon known.
 
 Candidate blocks meet the queries' blocks as they lie if the queries are small, as measured, and are then broadcast; else in a grid of query blocks and
 slices of candidate blocks, by an equality join. Each pair gives at most k rows per query; the best k of these are the answer.
@@ -28,49 +30,56 @@ from pyspark.sql.window import Window
 
 from lexivec.llm.runtime import BROADCAST_BYTES, durable, short_batches
 
-#: Rows and bytes of a block. Candidates left per wanted one, and their share of a block, at which reading stops.
-CANDIDATES, QUERIES, BLOCK_BYTES = 4096, 16384, 16 << 20
+#: Rows and bytes of a block, rows of the first piece, queries whose lists are read together.
+CANDIDATES, QUERIES, BLOCK_BYTES, FIRST, TOGETHER = 4096, 16384, 16 << 20, 256, 256
+#: Candidates left per wanted one, and their share of a block, at which reading stops.
 FEW, SHARE = 4, 16
 
 
-def depths(n: int) -> list[int]:
-    """How far lists of n entries are read in each step: twice as far each time up to half of them, then a sixteenth more."""
-    first = [1 << i for i in range(max(1, n // 2).bit_length()) if 1 << i < n / 2]
-    return sorted({*first, *(max(1, n * i // 16) for i in range(8, 17))})
+def _exact(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """x in the narrowest type whose products and sums of integers stay exact."""
+    most = float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) * x.shape[1]
+    return x.astype(np.float32) if most < 1 << 24 else x
 
 
 class Block:
-    """Candidates with their sorted lists."""
+    """Candidates with the values of their sorted lists."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray):
-        self.ids, self.x = ids, x
-        self.down = np.ascontiguousarray(np.argsort(-x, axis=0, kind="stable").T)  # one row for each component
-        self.sorted = np.take_along_axis(np.ascontiguousarray(x.T), self.down, 1)
+        self.ids, self.x = ids, np.ascontiguousarray(x.T)  # one row for each component
+        self.sorted = np.ascontiguousarray(np.sort(self.x, axis=1)[:, ::-1])  # from the top
 
-    def best(self, query_id: int, q: np.ndarray, k: int, floor: float = -np.inf) -> tuple[np.ndarray, np.ndarray, int]:
+    def last_sums(self, q: np.ndarray) -> np.ndarray:
+        """For each query and depth, the sum of the values read last: what a candidate seen nowhere may still reach."""
+        return np.maximum(q, 0) @ self.sorted + np.minimum(q, 0) @ self.sorted[:, ::-1]
+
+    def best(self, query_id: int, q: np.ndarray, k: int, floor: float = -np.inf, sums: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int]:
         """(candidate ids, scores, entries read of each list) of the query's best k here that score ``floor`` or more."""
-        n, used = len(self.ids), np.flatnonzero(q)
-        live = np.flatnonzero(self.ids != query_id)
-        down, value = self.down[used], self.sorted[used] * q[used, None]
-        turned = np.flatnonzero(q[used] < 0)  # these lists begin at the bottom
-        down[turned], value[turned] = down[turned, ::-1], value[turned, ::-1]
-        got, seen, at = np.zeros(n), np.zeros((n, len(used))), 0
-        for depth in depths(n) if len(used) else ():
-            new = down[:, at:depth]
-            got += np.bincount(new.ravel(), value[:, at:depth].ravel(), n)
-            np.put_along_axis(seen.T, new, 1.0, 1)
-            at, worst, last = depth, value[:, -1], value[:, depth - 1]
-            known = seen[live] @ np.stack([worst, last], 1)
-            low, high = got[live] + worst.sum() - known[:, 0], got[live] + last.sum() - known[:, 1]
+        n = len(self.ids)
+        sums = self.last_sums(q[None, :])[0] if sums is None else sums
+        worst = np.where(q > 0, self.sorted[:, -1], self.sorted[:, 0])[:, None]
+        up, low_end, high_end = (q > 0)[:, None], np.array(-np.inf, self.x.dtype), np.array(np.inf, self.x.dtype)
+        # the first depth at which an unseen candidate can't qualify, if a score is known
+        depth = 0 if floor == -np.inf else min(n, int(np.searchsorted(-sums, -floor, "right")))
+        live, x = np.arange(n), self.x
+        while True:
+            depth = min(n, depth + max(1, (n - depth) // 2)) if n - depth > n // SHARE else n
+            top, bottom = self.sorted[:, depth - 1, None], self.sorted[:, n - depth, None]
+            # a component read already lies beyond the last value read; one that isn't may at most reach it
+            high = q @ np.clip(x, np.where(up, top, low_end), np.where((q < 0)[:, None], bottom, high_end))
+            held = np.flatnonzero((high >= floor) & (self.ids[live] != query_id))
+            live, x, high = live[held], x[:, held], high[held]
             if len(live) > k:
-                floor = max(floor, np.partition(low, len(low) - k)[len(low) - k])
-            live = live[high >= floor]
-            if len(live) <= max(FEW * k, n // SHARE):
+                low = q @ np.where(np.where(up, x >= top, x <= bottom), x, worst)
+                floor = max(floor, float(np.partition(low, len(low) - k)[len(low) - k]))
+                held = np.flatnonzero(high >= floor)
+                live, x = live[held], x[:, held]
+            if depth == n or len(live) <= max(FEW * k, n // SHARE):
                 break
-        score = self.x[live] @ q
+        score = q @ x
         order = np.lexsort((self.ids[live], -score))[:k]
         order = order[score[order] >= floor]
-        return self.ids[live[order]], score[order], at
+        return self.ids[live[order]], score[order], depth
 
 
 def blocks(vectors: DataFrame, size: int, name: str) -> DataFrame:
@@ -100,16 +109,24 @@ def _search(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
     best: dict[int, np.ndarray] = {}  # the k best scores so far of each query of a block
     for batch in batches:
         for w, c_ids, c_x, block, q_ids, q_x in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+            ids, asks = np.frombuffer(c_ids, np.int64), np.frombuffer(q_ids, np.int64)
             x, q = (np.frombuffer(v).reshape(-1, w) for v in (c_x, q_x))
-            asks, held = np.frombuffer(q_ids, np.int64), Block(np.frombuffer(c_ids, np.int64), x)
-            tops = best.setdefault(block, np.full((len(asks), k), -np.inf))
-            out = []
-            for i, ask in enumerate(asks.tolist()):
-                ids, score, _ = held.best(ask, q[i], k, tops[i].min())
-                tops[i] = np.sort(np.concatenate([tops[i], score]))[-k:]
-                out.append((np.full(len(ids), ask), ids, score))
+            x, q = _exact(x, q), _exact(q, x)
+            cuts = [0, len(ids)]
+            if block not in best:
+                best[block] = np.full((len(asks), k), -np.inf)
+                cuts = [0, *(c for i in range(20) if (c := FIRST * ((2 << i) - 1)) < len(ids) // 2), len(ids)]
+            tops, out = best[block], []
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                held = Block(ids[a:b], x[a:b])
+                for i in range(0, len(asks), TOGETHER):
+                    sums = held.last_sums(q[i : i + TOGETHER])
+                    for j, ask in enumerate(asks[i : i + TOGETHER].tolist(), i):
+                        found, score, _ = held.best(ask, q[j], k, float(tops[j].min()), sums[j - i])
+                        tops[j] = np.sort(np.concatenate([tops[j], score]))[-k:]
+                        out.append((np.full(len(found), ask), found, score))
             row, found, score = (np.concatenate(y) for y in zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(found, pa.int64()), pa.array(score.astype(np.int64))], names=["query_id", "vec_id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(found, pa.int64()), pa.array(score.astype(np.float64).astype(np.int64))], names=["query_id", "vec_id", "score"])
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
