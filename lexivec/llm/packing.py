@@ -7,7 +7,8 @@ into full ones; the one window that stays partly filled is merged with those of
 ``merge_width`` partitions to a group. Only that last window of a group is padded.
 
 Defined cases: a null text is empty; an empty text is the end mark alone; a null doc_id stays null;
-repeated rows are separate documents; other columns are ignored; an empty table gives no rows.
+repeated rows are separate documents; of windows that fit equally well the one opened first is taken; a very long text is encoded whole and cut into as
+many windows as it fills; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -16,14 +17,14 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexivec.llm.runtime import durable, full_text, short_batches
+from lexivec.llm.runtime import durable, full_text, gathered, short_batches
 
 WINDOW = 2048
 END_ID = 1
@@ -31,10 +32,14 @@ OPEN_WINDOWS = 32
 MERGE_WIDTH = 32
 #: Units a worker remembers, and the longest one it does.
 CACHE_UNITS = 600_000
+#: Rows and bytes encoded together: what they share is looked up once.
+TOGETHER = 2048, 8 << 20
 CACHE_LENGTH = 48
 
 PIECE = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 _SPACE_RUN = re.compile(r"\s ")
+#: The same for Arrow, whose \s is ASCII: all that is white space to Python, then a space.
+_AFTER_SPACE = r"[\t-\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] "
 _CUT = re.compile(r"(?<=\S)(?= )")
 
 
@@ -65,6 +70,7 @@ class UnitEncoder:
         for token, i in vocab.items():
             self.bytes_in[i] = len(token)
         self.known: dict[str, bytes] = {}
+        self.again: set[str] = set()  # units met again after they were learnt
 
     @staticmethod
     def units(text: str) -> list[str]:
@@ -96,19 +102,70 @@ class UnitEncoder:
             out[u] = np.array(e.ids, "<u4").tobytes()
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        split = [self.cut(x) for x in texts]
+    def ids_of(self, units: list[str]) -> list[bytes]:
+        """The ids of different units, learnt if need be."""
         if len(self.known) > CACHE_UNITS:
-            self.known = {}
-        new = set(chain.from_iterable(split)).difference(self.known)
-        self.known.update(self.learn([*new]))
-        out = [b"".join(map(self.known.__getitem__, units)) for units in split]
+            self.known = {u: self.known[u] for u in self.again if u in self.known} if len(self.again) < CACHE_UNITS // 2 else {}
+            self.again = set()
+        self.known[""] = b""
+        new = [u for u in units if u not in self.known]
+        self.again.update(units)
+        self.again.difference_update(new)
+        self.known.update(self.learn(new))
+        out = [*map(self.known.__getitem__, units)]
         for u in new:
             if len(u) > CACHE_LENGTH:
                 del self.known[u]
         return out
 
+    def encode(self, texts: list[str] | pa.StringArray) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers.
+
+        Units are cut and told apart by Arrow; only different ones are looked up, and ids are laid out by their numbers.
+        """
+        texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
+        odd = pc.match_substring_regex(texts, _AFTER_SPACE)
+        for x in self.literals:
+            odd = pc.or_(odd, pc.match_substring(texts, x))
+        at = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+        plain = np.flatnonzero(~odd.to_numpy(zero_copy_only=False))
+        out: list[bytes] = [b""] * len(texts)
+        for i in at.tolist():
+            units = self.cut(texts[i].as_py())
+            found = dict(zip(every := list(dict.fromkeys(units)), self.ids_of(every), strict=True))
+            out[i] = b"".join(map(found.__getitem__, units))
+        if len(plain):
+            cut = pc.split_pattern(texts.take(pa.array(plain)), " ")
+            flat, ends = cut.flatten(), np.cumsum(pc.list_value_length(cut).to_numpy(zero_copy_only=False))
+            first = np.append(0, ends[:-1])
+            coded = flat.dictionary_encode()
+            code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            names = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary), " ")[0].as_py().split(" ")
+            heads, which = np.unique(code[first], return_inverse=True)  # what a text begins with has no space in front
+            code[first] = len(names) + which
+            used = np.bincount(code, minlength=len(names))[: len(names)] > 0
+            begun = [names[i] for i in heads.tolist()]
+            table = self.ids_of([" " + x if u else "" for x, u in zip(names, used.tolist(), strict=True)]) + self.ids_of(begun)
+            size = np.array([len(x) for x in table], np.int64) // 4
+            start, every = np.cumsum(size) - size, np.frombuffer(b"".join(table), "<u4")
+            own = size[code]
+            stop = np.cumsum(own)
+            data = every[np.repeat(start[code] - (stop - own), own) + np.arange(stop[-1])].tobytes()
+            cuts = (4 * stop[ends - 1]).tolist()
+            for i, a, b in zip(plain.tolist(), [0, *cuts], cuts, strict=False):
+                out[i] = data[a:b]
+        return out
+
+
+_encoders: dict[str | None, UnitEncoder] = {}
+
+
+def encoder_of(path: str | None) -> UnitEncoder:
+    """The worker's encoder of a file: a process that takes several tasks learns its units once."""
+    if path not in _encoders:
+        _encoders[path] = UnitEncoder(path)
+    return _encoders[path]
+
 
 class Packer:
     """Places pieces, given as (doc_id, start, doc_tokens, ids), into windows; full ones come out as rows."""
@@ -183,10 +240,10 @@ def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, window: i
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        encoder, packer = UnitEncoder(tokenizer_path), Packer(part << 36, window, open_windows)
+        encoder, packer = encoder_of(tokenizer_path), Packer(part << 36, window, open_windows)
         end = np.array([END_ID], "<u4").tobytes()
-        for batch in batches:
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist()), strict=True):
+        for batch in gathered(batches, *TOGETHER):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1)), strict=True):
                 packer.add(doc_id, 0, len(ids) // 4 + 1, ids + end)
             yield _table(packer.rows, None, 0)
             packer.rows = []
@@ -225,9 +282,9 @@ def packed_sequences(docs: DataFrame, pieces: DataFrame, tokenizer_path: str | N
     short_batches(docs.sparkSession)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = UnitEncoder(tokenizer_path), np.array([END_ID], "<u4").tobytes()
+        encoder, end = encoder_of(tokenizer_path), np.array([END_ID], "<u4").tobytes()
         for batch in batches:
-            ids = [np.frombuffer(x + end, "<u4").astype("i4") for x in encoder.encode(batch.column(1).to_pylist())]
+            ids = [np.frombuffer(x + end, "<u4").astype("i4") for x in encoder.encode(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tolist() for x in ids], pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     ids = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), full_text().alias("text")).mapInArrow(encode, "doc_id bigint, ids array<int>")

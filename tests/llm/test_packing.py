@@ -8,7 +8,6 @@ from tokenizers import Tokenizer
 from lexivec.llm import packing, queries
 
 WHOLE = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-WHOLE.encode_special_tokens = True
 ODD = ["", " ", "  ", "a  b", " a", "a ", "a \n b", "a\n\n b  c\t d", " x   y", "\U0001f600 \U0001f600", "it's  don't", "x" * 3000, "1 2  3\r\n4", "<|endoftext|> a", "　a b　 c"]
 
 
@@ -46,6 +45,14 @@ def test_units_are_exact():
         assert np.frombuffer(ids, "<u4").tolist() == WHOLE.encode(text, add_special_tokens=False).ids, text
 
 
+def test_what_is_forgotten_is_learnt_again(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_UNITS", 6)
+    encoder = packing.UnitEncoder()
+    for text in (*ODD, "a b c d e f g h a b", "c d", *ODD, "a b z y x w"):
+        assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == WHOLE.encode(text, add_special_tokens=False).ids, text
+        assert len(encoder.known) <= 6 + len(set(encoder.cut(text)))
+
+
 def test_many_partitions(docs_of):
     text = dict(enumerate([*ODD, *["some words here"] * 40, None]))
     rows = packing.pack_documents(docs_of(text.items()).repartition(7), window=64, open_windows=3, merge_width=3).collect()
