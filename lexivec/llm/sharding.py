@@ -7,11 +7,12 @@ Groups larger than a shard fill one after another. Documents without a link then
 along a line in three classes of size, largest first, and the line is cut where each shard's even share is full, so shards differ by about one
 small document.
 
-No group, shard or class is ever gathered in a task: positions on a line come from sums over a fixed number of
+No group, shard or class is gathered in a task, nor joined by a key that can't be split: positions on a line come from sums over a fixed number of
 cells (hash buckets), which the driver adds up, and running sums within one cell. A group's members spread over ``SPLITS`` cells.
 
 Defined cases: a null text has no bytes, size 1, and is linked with empty texts; a null doc_id hashes as
-null; repeated rows are documents of their own; other columns are ignored; an empty table gives no rows.
+null; repeated rows are documents of their own, linked as equal texts are; a very long text may alone make its shard the largest; of shards that hold equally much of a
+group a hash picks one; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexivec.llm.runtime import durable, full_text
+from lexivec.llm.runtime import discard, durable, full_text
 
 SHARDS, ROUNDS = 8, 4
 #: Cells of a line: so many by group, and a group's members over so many.
@@ -76,7 +77,8 @@ def propagate(linked: DataFrame, room: int, shards: int, rounds: int) -> DataFra
             return linked
         is_open = F.array_contains(F.array(*[F.lit(s) for s in able]), F.col("shard"))
         held = linked.groupBy("g", "shard").agg(F.sum("size").alias("held"))
-        target = held.where(is_open).groupBy("g").agg(F.max_by("shard", F.struct("held", F.xxhash64("g", "shard"))).alias("target"))
+        # written, so that the join meets plain rows by g and adaptive execution can split a group's
+        target = durable(held.where(is_open).groupBy("g").agg(F.max_by("shard", F.struct("held", F.xxhash64("g", "shard"))).alias("target")))
         # a large part of a group that sits in a full shard stays: at most 8 such parts to a shard
         stays = held.where(~is_open & (F.col("held") * 8 > room)).select("g", "shard")
         aimed = linked.join(target, "g", "left").join(F.broadcast(stays.withColumn("stays", F.lit(True))), ["g", "shard"], "left")
@@ -84,7 +86,8 @@ def propagate(linked: DataFrame, room: int, shards: int, rounds: int) -> DataFra
         aimed = aimed.withColumn("target", F.coalesce("target", "shard")).withColumn("moved_size", F.when(F.col("moves"), F.col("size")).otherwise(F.lit(0)))
         line = _line(aimed, ["target"], "moved_size")
         accepted = F.col("moves") & (F.col("at") + F.col("size") <= _by_shard(quota, F.col("target")))
-        linked = durable(line.withColumn("moved", accepted).withColumn("shard", F.when(accepted, F.col("target")).otherwise(F.col("shard"))).select(*linked.columns, "moved"))
+        before, linked = linked, durable(line.withColumn("moved", accepted).withColumn("shard", F.when(accepted, F.col("target")).otherwise(F.col("shard"))).select(*linked.columns, "moved"))
+        discard(before, target)
         still = linked.where("moved").isEmpty()
         linked = linked.drop("moved")
         if still:
@@ -117,7 +120,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS)
     rows = durable(rows.withColumn("cell", _cell(F.col("g"))).withColumn("split", _split(F.col("row"))))
     sums = rows.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("size"), F.count("*").alias("n")).first()
     room = sums["size"] // shards
-    several = rows.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
+    several = durable(rows.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g"))
     linked = durable(rows.join(several, "g"))
     loose = rows.join(several, "g", "left_anti")
     linked = propagate(linked, room, shards, rounds)

@@ -41,3 +41,27 @@ def test_odd_rows(docs_of):
     rows = [(None, None), (1, ""), (1, ""), (2, "é\U0001f600"), (None, "x" * 10_000)]
     check(rows, sharding.shard_documents(docs_of(rows)).collect())
     assert sharding.shard_documents(docs_of([])).count() == 0
+
+
+def test_fewer_edges_are_cut_than_by_hash(docs_of):
+    """Against a plain propagation on the driver: as many groups stay whole, and far more than by chance."""
+    rows = [(i, f"group {i // 6} " * (1 + i % 7 // 6)) for i in range(1200)]
+    got = sharding.shard_documents(docs_of(rows).repartition(5)).collect()
+    load = check(rows, got)
+    groups = defaultdict(list)
+    for r in got:
+        groups[r.text_crc32, r["size"]].append(r.shard)
+    cut = sum(len(s) * (len(s) - 1) // 2 - sum(n * (n - 1) // 2 for n in Counter(s).values()) for s in groups.values())
+
+    room, shard, load_of = sum(load) // 8, {}, Counter()
+    members = defaultdict(list)
+    for i, t in rows:
+        members[t].append(i)
+    for t, own in sorted(members.items(), key=lambda x: -len(x[1]) * len(x[0])):  # each group whole where there is most room
+        best = min(range(8), key=lambda s: load_of[s])
+        for i in own:
+            to = best if load_of[best] + len(t) + 1 <= room + len(t) else min(range(8), key=lambda s: load_of[s])
+            shard[i], load_of[to] = to, load_of[to] + len(t) + 1
+    plain = sum(shard[a] != shard[b] for own in members.values() for k, a in enumerate(own) for b in own[k + 1 :])
+    every = sum(len(own) * (len(own) - 1) // 2 for own in members.values())
+    assert cut <= plain + 0.1 * every and cut < 0.2 * every  # by hash, seven eighths are cut
