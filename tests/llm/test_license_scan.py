@@ -31,9 +31,71 @@ def test_unknown(model):
         assert license_scan.classify(model, t)[0] == license_scan.UNKNOWN, t
 
 
-def test_calibration(model):
-    p = license_scan.classify(model, "Released under the MIT License.")[1]
-    assert 0.5 <= p <= 1
+def test_calibration_on_paragraphs_that_training_did_not_see(spark, model):
+    """Licence lines with other words around them, and lines of a larger table: how likely the model calls its choice is how often it is right."""
+    rng = random.Random(11)
+    lines = [x for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").limit(150).collect() for x in (r.text or "").split("\n") if x.strip()]
+    plain = [x for x in lines if not any(license_scan.confirms(f, license_scan.words_of(x)) >= license_scan.LEAST_SHARE for f in license_scan.TEMPLATES)][:600]
+    said = [(f, " ".join([*rng.choice(plain).split()[:3], *t.split(), "here"])) for f, own in license_scan.TEMPLATES.items() for t in own for _ in range(4)]
+    sure, right = [], []
+    for want, text in [*said, *((license_scan.UNKNOWN, x) for x in plain)]:
+        p = model.probabilities(license_scan.features(license_scan.words_of(text)))
+        sure.append(p.max())
+        right.append(license_scan.FAMILIES[int(p.argmax())] == want)
+    assert abs(sum(sure) / len(sure) - sum(right) / len(right)) < 0.1 and sum(right) > 0.9 * len(right)
+
+
+def brute(model, text):
+    """All windows of each block: the least that hold enough of a template, widened by lines that add pairs, and their single lines; then the most telling first."""
+    out = []
+    for block in license_scan.blocks(text):
+        n, words = len(block), [license_scan.words_of(x) for _, _, x in block]
+
+        def pairs(a, b, words=words):
+            flat = [w for own in words[a : b + 1] for w in own]
+            return set(zip(flat, flat[1:], strict=False))
+
+        spans = set()
+        for t, (_, wanted) in enumerate(license_scan._ALL):
+            enough = [(a, b) for a in range(n) for b in range(a, n) if len(pairs(a, b) & wanted) >= license_scan._ENOUGH[t]]
+            for a, b in enough:
+                if any((c, d) != (a, b) and a <= c and d <= b for c, d in enough):
+                    continue
+                while True:
+                    ahead = b + 1 < n and pairs(a, b + 1) & wanted > pairs(a, b) & wanted
+                    behind = a > 0 and pairs(a - 1, b) & wanted > pairs(a, b) & wanted
+                    if not ahead and not behind:
+                        break
+                    a, b = a - bool(behind), b + bool(ahead)
+                spans.add((a, b))
+        spans |= {(k, k) for a, b in spans for k in range(a, b + 1)}
+        best = []
+        for a, b in spans:
+            family = license_scan.classify(model, " ".join(x for _, _, x in block[a : b + 1]))[0]
+            if family != license_scan.UNKNOWN:
+                best.append((-max(len(pairs(a, b) & t) for t in license_scan._PAIRS[family]), b - a, a, b, family))
+        taken = set()
+        for _, _, a, b, family in sorted(best):
+            if taken.isdisjoint(range(a, b + 1)):
+                taken.update(range(a, b + 1))
+                out.append((family, block[a][0], block[b][1]))
+    return sorted(out, key=lambda x: x[1])
+
+
+def test_findings_match_brute_force_over_all_windows(docs_of, model):
+    rng = random.Random(12)
+    texts = []
+    for _ in range(40):
+        lines = []
+        for _ in range(rng.randint(1, 3)):
+            words = rng.choice([t for own in license_scan.TEMPLATES.values() for t in own]).split()
+            cut = sorted(rng.sample(range(1, len(words)), min(len(words) - 1, rng.randint(0, 3)))) if len(words) > 1 else []
+            lines += [" ".join(words[a:b]) for a, b in zip([0, *cut], [*cut, len(words)], strict=True)]
+            lines += rng.sample(["", "int x;", "plain prose of a file", "see the readme"], rng.randint(0, 2))
+        texts.append("\n".join(lines))
+    got = {r.doc_id: r.findings for r in license_scan.scan_documents(docs_of(enumerate(texts)), model).collect()}
+    for i, text in enumerate(texts):
+        assert got[i] == ",".join(f"{f}:{a}:{b}" for f, a, b in brute(model, text)), text
 
 
 def test_spans_and_odd_rows(docs_of, model):
