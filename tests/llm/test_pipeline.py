@@ -2,6 +2,8 @@ import zlib
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from lexivec.llm import packing, secret_scan, toxicity
 
@@ -47,3 +49,21 @@ def test_empty_documents(spark, sf_dir, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{sf_dir}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_odd_rows_through_every_stage(spark, sf_dir, docs_of, tmp_path):
+    """Nulls in any column, empty and very long texts, ties, repeated rows, clashing columns."""
+    long = " ".join(f"w{i % 977}x{i}" for i in range(40_000))
+    rows = [(None, None), (None, "a text with no id, token=abcdefgh"), (1, ""), (1, None), (2, long), (2, long), (3, long + " end"), (4, "six words are in this text"), (4, "six other words of that id"), (5, "six words are in this text")]
+    docs = docs_of(rows).withColumn("n_chars", F.lit(None).cast("bigint"))
+    spark.read.parquet(f"{sf_dir}/labels.parquet").limit(0).write.parquet(f"{tmp_path}/labels.parquet")
+    kept = corpus_pipeline.reject_toxic(spark, docs, str(tmp_path))
+    assert kept.count() == len(rows) and kept.dtypes == docs.dtypes
+    once = corpus_pipeline.drop_near_duplicates(spark, kept, str(tmp_path))
+    assert once.dtypes == docs.dtypes
+    want = [(1, ""), (1, None), (2, long), (4, "six other words of that id"), (4, "six words are in this text"), (None, None), (None, "a text with no id, token=abcdefgh")]
+    assert sorted(((r.doc_id, r.text) for r in once.collect()), key=repr) == sorted(want, key=repr)
+    clean = corpus_pipeline.redact_secrets(spark, once, str(tmp_path))
+    assert {r.text for r in clean.where("doc_id is null").collect()} == {None, "a text with no id, [SECRET]"} and clean.count() == 7
+    pieces = corpus_pipeline.pack(spark, clean, str(tmp_path)).collect()
+    assert sum(r.length for r in pieces if r.doc_id == 1) == 2 and sum(r.length for r in pieces if r.doc_id == 2) == next(r.doc_tokens for r in pieces if r.doc_id == 2)
