@@ -63,7 +63,8 @@ def _folder(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/lexivec-{spark.sparkContext.applicationId}"
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, in whatever store it lies."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
@@ -72,12 +73,12 @@ def discard(*tables: DataFrame) -> None:
     """Remove tables that ``durable`` wrote and nothing to come reads."""
     for table in tables:
         if path := table.__dict__.get("_lexivec_path"):
-            _remove(table.sparkSession, path)
+            remove(table.sparkSession, path)
 
 
 def clear(spark: SparkSession) -> None:
     """Remove all that ``durable`` wrote in this application. For callers that have written the results they want to keep."""
-    _remove(spark, _folder(spark))
+    remove(spark, _folder(spark))
 
 
 def sent(df: DataFrame, rows: int, width: int) -> DataFrame:
