@@ -53,6 +53,24 @@ def source_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("doc_id", F.col("metadata")["url"].alias("url"), F.md5(F.col("content").cast("binary")).alias("content_md5"))
 
 
+@query("SELECT CAST(doc_id AS VARCHAR) AS doc_id, md5(text) AS content_md5 FROM documents")
+def source_database(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, put into a database and read from it by ranges of the key. The database is one in this JVM's memory, so this query is for local sessions."""
+    url = f"jdbc:derby:memory:lexivec{uuid.uuid4().hex}"
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    d.write.jdbc(f"{url};create=true", "docs")
+    found = readers.load(spark, "database", f"{url} docs")
+    return found.select("doc_id", F.md5(F.col("content").cast("binary")).alias("content_md5"))
+
+
+@query("SELECT item_id, md5(text || chr(10)) AS content_md5, 'text' AS kind, CAST(strlen(text) + 1 AS VARCHAR) AS length FROM benchmark")
+def source_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = _folder(spark)
+    table(spark, sf_dir, "benchmark").select("item_id", "text").repartition(4, "item_id").write.partitionBy("item_id").text(base)
+    docs = readers.load(spark, "blobs", f"{base}/*/*.txt")
+    return docs.select(F.regexp_extract("source", r"item_id=(\d+)", 1).cast("bigint").alias("item_id"), F.md5(F.col("content").cast("binary")).alias("content_md5"), F.col("metadata")["kind"].alias("kind"), F.col("metadata")["length"].alias("length"))
+
+
 @query("SELECT item_id, text AS query, CAST(5 AS INTEGER) AS expected_top_k FROM benchmark")
 def source_queries_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The benchmark as a JSON array of queries, written and read; joined back by text."""

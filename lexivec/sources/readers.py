@@ -8,8 +8,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexivec.functions.text import chunk_id
-
 Loader = Callable[[SparkSession, str], DataFrame]
 _loaders: dict[str, Loader] = {}
 
@@ -63,6 +61,28 @@ def read_table(spark: SparkSession, path: str, text: str = "text", key: str = "d
     return df.select(F.col(key).cast("string").alias("doc_id"), F.col(text).alias("content"), F.create_map(*pairs).alias("metadata"), F.col("source"))
 
 
+def read_database(spark: SparkSession, url: str, table: str, text: str = "text", key: str = "doc_id", parts: int = 8, quote: str = '"', properties: dict | None = None) -> DataFrame:
+    """Documents of a database table with an integer key, read by ``parts`` connections, each a range of the key. Filters on columns go to the database."""
+    options = {"url": url} | (properties or {})
+    df = spark.read.format("jdbc").options(dbtable=table, **options).load()
+    columns = {c.lower(): c for c in df.columns}  # databases differ in the case of names
+    own = f"{quote}{columns[key.lower()]}{quote}"
+    low, high = spark.read.format("jdbc").options(query=f"SELECT MIN({own}) AS low, MAX({own}) AS high FROM {table}", **options).load().first()
+    if low is not None and parts > 1:
+        ranges = {"partitionColumn": columns[key.lower()], "lowerBound": low, "upperBound": high + 1, "numPartitions": parts}
+        df = spark.read.format("jdbc").options(dbtable=table, **options, **ranges).load()
+    return df.select(F.col(columns[key.lower()]).cast("string").alias("doc_id"), F.col(columns[text.lower()]).alias("content"), F.create_map(F.lit("table"), F.lit(table)).alias("metadata"), F.lit(url).alias("source"))
+
+
+def read_blobs(spark: SparkSession, path: str) -> DataFrame:
+    """Objects of a store as documents: bytes that are UTF-8 as text, others as base64; the metadata has what they are and how large."""
+    raw = spark.read.format("binaryFile").load(path)
+    plain = F.expr("is_valid_utf8(cast(content as string))")
+    text = F.when(plain, F.col("content").cast("string")).otherwise(F.base64("content"))
+    metadata = F.create_map(F.lit("kind"), F.when(plain, "text").otherwise("binary"), F.lit("length"), F.col("length").cast("string"))
+    return raw.select(*_document(text, F.col("path"), metadata))
+
+
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """Fetched pages as documents: tags dropped, the url as source."""
     text = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " "), r"(?s)<[^>]*>", " ")
@@ -100,4 +120,6 @@ loader("text")(read_text_files)
 loader("string")(lambda spark, source: read_strings(spark, [source]))
 loader("table")(read_table)
 loader("pages")(read_pages)
-__all__ = ["chunk_id", "list_vectors", "load", "loader", "read_pages", "read_queries", "read_strings", "read_table", "read_text_files", "read_vectors"]
+loader("blobs")(read_blobs)
+#: A source of this kind is named by a JDBC url and a table, with a space between.
+loader("database")(lambda spark, source: read_database(spark, *source.rsplit(" ", 1)))
