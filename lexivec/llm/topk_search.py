@@ -137,6 +137,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
         out = df.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
         return out.where(F.col("vec_id").isNotNull() & (F.size(F.coalesce("embedding", F.array().cast("array<double>"))) > 0)).where(fine)
 
+    if k < 1:
+        raise ValueError(f"k must be 1 or more, not {k}")
     spark = vectors.sparkSession
     short_batches(spark)
     candidates = durable(blocks(usable(vectors), CANDIDATES, "c"))
