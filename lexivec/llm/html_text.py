@@ -12,7 +12,7 @@ Text: character references decoded, white space within a block turned into one s
 order by one space.
 
 Defined cases: a null html is empty and gives an empty text; a null url is a host of its own name ''; a null page_id stays null; repeated rows
-are extracted each, and count once for the template; equal pages get equal texts; very long, deep or malformed pages are read in one pass; other columns are
+are extracted each, and count once for the template; equal pages of a host get equal texts, and no choice depends on order; very long, deep or malformed pages are read in one pass; other columns are
 ignored; an empty table gives no rows.
 """
 

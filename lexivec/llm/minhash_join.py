@@ -14,8 +14,9 @@ that both have, so once, and only if two bounds on its intersection allow the th
 its bitmaps (a shingle whose bit the other set lacks isn't in the other set). So no link that joins components is lost, and few pairs are confirmed in vain.
 
 Defined cases: a null text is empty; a set without shingles is linked with nothing; a null doc_id takes part and
-sorts first as nothing (its component is null unless others share it); repeated rows share a class; other columns are ignored;
-an empty table gives no rows.
+sorts first as nothing (its component is null unless others share it); repeated rows share a class; a very long text is hashed in pieces that end
+between words, and its set is compared whole; of a key's equally central classes the first by number is the pivot, which changes no result; other columns are
+ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
