@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexivec.llm.runtime import discard, durable, full_text, sent, short_batches
+from lexivec.llm.runtime import discard, durable, full_text, sent, short_batches, tidy
 from lexivec.llm.words import mixed, shingles, word_hashes
 
 WORDS = 5
@@ -164,7 +164,7 @@ class _Join:
         short_batches(spark)
         bytes_of = full_text().cast("binary")
         self.texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), bytes_of.alias("text"), *[_print().alias("print")] * prints)
-        self.rows = durable(self.texts.mapInArrow(_read, "doc_id bigint, n_shingles bigint, mark binary, signed binary" + ", print binary" * prints))
+        self.rows = durable(self.texts.mapInArrow(tidy(_read), "doc_id bigint, n_shingles bigint, mark binary, signed binary" + ", print binary" * prints))
         grouped = self.rows.where("mark is not null").groupBy("mark").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("signed").alias("signed"))
         self.classes = durable(grouped.withColumn("cid", F.monotonically_increasing_id()))
         self.labels: DataFrame | None = None
@@ -172,7 +172,7 @@ class _Join:
 
     def members(self) -> DataFrame:
         """(key, cid, score) of keys with two classes or more; score adds up how many share each of a class's keys."""
-        keys = self.classes.select("cid", "signed").mapInArrow(_keys, "key bigint, cid bigint")
+        keys = self.classes.select("cid", "signed").mapInArrow(tidy(_keys), "key bigint, cid bigint")
         shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
         found = durable(keys.join(shared, "key"))
         return found.select("key", "cid").join(found.groupBy("cid").agg(F.sum("n").alias("score")), "cid")
@@ -182,7 +182,7 @@ class _Join:
         wanted = durable(members.select("cid").distinct().join(self.classes.select("cid", "mark", "first_id"), "cid"))
         wanted = sent(wanted, wanted.count(), MARKED)
         texts = self.texts.join(wanted, self.texts["doc_id"].eqNullSafe(wanted["first_id"])).select("cid", "mark", "text")
-        return durable(texts.mapInArrow(_sets, _SETS).dropDuplicates(["cid"]))
+        return durable(texts.mapInArrow(tidy(_sets), _SETS).dropDuplicates(["cid"]))
 
     def confirmed(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """The pairs (a < b) that are near by signature and linked by their full sets."""
@@ -190,9 +190,9 @@ class _Join:
         both = pairs.join(sizes.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("signed").alias("sa")), "a")
         both = both.join(sizes.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("signed").alias("sb")), "b")
         could = both.where(100 * F.least("na", "nb") >= SHARE * F.greatest("na", "nb")).select("a", "b", "sa", "sb")
-        near = could.mapInArrow(_near, "a bigint, b bigint")
+        near = could.mapInArrow(tidy(_near), "a bigint, b bigint")
         full = near.join(sets.select(F.col("cid").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("cid").alias("b"), F.col("own").alias("y")), "b")
-        return full.select("a", "b", "x", "y").mapInArrow(_linked, "a bigint, b bigint")
+        return full.select("a", "b", "x", "y").mapInArrow(tidy(_linked), "a bigint, b bigint")
 
     def labelled(self, members: DataFrame) -> DataFrame:
         if self.labels is None:

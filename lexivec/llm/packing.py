@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexivec.llm.runtime import durable, full_text, gathered, short_batches
+from lexivec.llm.runtime import durable, full_text, gathered, short_batches, tidy
 
 WINDOW = 2048
 END_ID = 1
@@ -157,16 +157,6 @@ class UnitEncoder:
         return out
 
 
-_encoders: dict[str | None, UnitEncoder] = {}
-
-
-def encoder_of(path: str | None) -> UnitEncoder:
-    """The worker's encoder of a file: a process that takes several tasks learns its units once."""
-    if path not in _encoders:
-        _encoders[path] = UnitEncoder(path)
-    return _encoders[path]
-
-
 class Packer:
     """Places pieces, given as (doc_id, start, doc_tokens, ids), into windows; full ones come out as rows."""
 
@@ -240,7 +230,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, window: i
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        encoder, packer = encoder_of(tokenizer_path), Packer(part << 36, window, open_windows)
+        encoder, packer = UnitEncoder(tokenizer_path), Packer(part << 36, window, open_windows)
         end = np.array([END_ID], "<u4").tobytes()
         for batch in gathered(batches, *TOGETHER):
             for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1)), strict=True):
@@ -268,7 +258,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, window: i
             yield pa.RecordBatch.from_arrays(_table(packer.rows, None, 0).columns[:7], names=[x.split()[0] for x in PIECE.split(", ")])
 
     held = PIECE + ", merge_group bigint, rest array<struct<doc_id:bigint,start:bigint,total:bigint,ids:binary>>"
-    first = durable(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), full_text().alias("text")).mapInArrow(pack, held))
+    first = durable(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), full_text().alias("text")).mapInArrow(tidy(pack), held))
     left = first.where(F.col("merge_group").isNotNull()).select("merge_group", "rest")
     merged = left.repartition("merge_group").sortWithinPartitions("merge_group").mapInArrow(merge, PIECE)
     return first.where(F.col("merge_group").isNull()).drop("merge_group", "rest").unionByName(merged)
@@ -282,7 +272,7 @@ def packed_sequences(docs: DataFrame, pieces: DataFrame, tokenizer_path: str | N
     short_batches(docs.sparkSession)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = encoder_of(tokenizer_path), np.array([END_ID], "<u4").tobytes()
+        encoder, end = UnitEncoder(tokenizer_path), np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             ids = [np.frombuffer(x + end, "<u4").astype("i4") for x in encoder.encode(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tolist() for x in ids], pa.list_(pa.int32()))], names=["doc_id", "ids"])

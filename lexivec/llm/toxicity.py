@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexivec.llm.runtime import discard, durable, full_text, hash_bound, short_batches
+from lexivec.llm.runtime import discard, durable, full_text, hash_bound, short_batches, tidy
 
 SAMPLE_DOCS, SAMPLE_CHARS = 3000, 12_000_000
 GRAMS = (5, 5)
@@ -37,7 +37,7 @@ LEAST_POSITIVES, LEAST_CHANCE = 4, 0.7
 LEAST_EVIDENCE = 11
 STEPS, RATE, DECAY = 300, 0.2, 1e-4
 #: Words a worker remembers, and n-grams it counts before it hands them on.
-CACHE_WORDS, HELD_GRAMS = 400_000, 200_000
+CACHE_WORDS, HELD_GRAMS = 200_000, 200_000
 _GAP = re.compile(r"[\W\d_]+")
 
 
@@ -100,7 +100,7 @@ def gram_counts(sample: DataFrame) -> DataFrame:
         if held:
             yield out()
 
-    found = sample.select("side", "text").mapInArrow(count, "gram string, a bigint, b bigint")
+    found = sample.select("side", "text").mapInArrow(tidy(count), "gram string, a bigint, b bigint")
     return found.groupBy("gram").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
 
 
@@ -121,7 +121,7 @@ def sparse_rows(sample: DataFrame, bare: Model) -> DataFrame:
             found = pa.array([sorted(bare.rows(x)) for x in batch.column(2).to_pylist()], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), found], names=["side", "doc_id", "found"])
 
-    return sample.select("side", "doc_id", "text").mapInArrow(find, "side int, doc_id bigint, found array<int>")
+    return sample.select("side", "doc_id", "text").mapInArrow(tidy(find), "side int, doc_id bigint, found array<int>")
 
 
 def risk_gradient(sides: list[tuple[np.ndarray, np.ndarray, int]], w: np.ndarray, bias: float, prior: float) -> tuple[np.ndarray, float]:
@@ -218,9 +218,10 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             found = pa.array([bare.score(x) for x in batch.column(2).to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), found], names=["doc_id", "held_out", "score"])
+        bare.known.clear()
 
     out = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), full_text().alias("text"))
-    out = out.mapInArrow(score, "doc_id bigint, held_out boolean, score double")
+    out = out.mapInArrow(tidy(score), "doc_id bigint, held_out boolean, score double")
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
@@ -232,5 +233,6 @@ def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array([bare.score(x or "") < 0.5 for x in batch.column(at).to_pylist()], pa.bool_()))
+        bare.known.clear()
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(tidy(keep), docs.schema)
