@@ -1,5 +1,7 @@
 """SQL that gives the rows of those queries that SQL can express."""
 
+from lexivec.llm import quality_rules
+
 _SPANS = """
 SELECT doc_id, '{kind}' AS kind, {no} AS no, list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(ms[1:i-1], lambda m: length(m))), 0) AS s, length(ms[i]) AS n, {least} AS fit
 FROM (SELECT doc_id, ms, gaps, unnest(range(1, len(ms) + 1)) AS i FROM (
@@ -46,4 +48,40 @@ SELECT w.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(other) AS compon
 FROM w LEFT JOIN n ON n.doc_id = w.doc_id JOIN c ON c.doc_id = w.doc_id GROUP BY w.doc_id
 """
 
-ORACLES = {"op1_secret_scans": SECRETS, "op7_topk_search": TOP_K, "op9_minhash_near_dedup": NEAR_DUPLICATES}
+RANKED = r"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, ts, CAST(len(ts) AS BIGINT) AS n FROM (SELECT doc_id, list_transform(
+    regexp_extract_all(coalesce(text, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS ts FROM documents) WHERE len(ts) > 0),
+c AS (SELECT count(*) AS nd, CAST(sum(n) AS BIGINT) AS nt FROM d),
+p AS (SELECT row, doc_id, n, t, count(*) AS tf FROM (SELECT row, doc_id, n, unnest(ts) AS t FROM d) GROUP BY ALL),
+w AS (SELECT t, CAST(floor(1000 * ln(CAST(2 * nd + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM p, c GROUP BY t, nd),
+q AS (SELECT item_id, t, count(*) AS r FROM (SELECT item_id, unnest(list_transform(regexp_extract_all(coalesce(text, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'),
+    lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))) AS t FROM benchmark) GROUP BY ALL),
+s AS (SELECT item_id, row, doc_id, CAST(sum(r * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * nd) // nt)))) AS BIGINT) AS score
+  FROM q JOIN p USING (t) JOIN w USING (t), c GROUP BY item_id, row, doc_id),
+o AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM o WHERE rank <= 10
+"""
+
+
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+_CHARS = "CAST(length(regexp_replace({0}, '[\\x20\\x09-\\x0D]+', '', 'g')) AS BIGINT)"
+_SYMBOLS = "CAST(length({0}) - length(translate({0}, '#*$%&|<>', '')) AS BIGINT)"
+QUALITY = f"""
+WITH t AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, list_filter(string_split_regex(t, {_quoted(quality_rules.SPACE)}), lambda x: x <> '') AS ws, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, {_quoted(quality_rules.WORD)})) AS ls FROM t),
+g AS (SELECT row, i, array_to_string(ws[i:i+4], ' ') AS g FROM (SELECT row, ws, unnest(range(1, len(ws) - 3)) AS i FROM w WHERE len(ws) >= 5)),
+m AS (SELECT row, i FROM (SELECT row, i, count(*) OVER (PARTITION BY row, g) AS n FROM g) WHERE n > 1),
+r AS (SELECT row, count(DISTINCT i + k) AS n_repeat_words FROM m, range(0, 5) AS x(k) GROUP BY row),
+k AS (SELECT row, string_agg(l, '') AS l FROM (SELECT DISTINCT row, l FROM (SELECT row, unnest(ls) AS l FROM w)
+  WHERE (regexp_matches(l, {_quoted(quality_rules.ENDS)}) OR length(l) >= 100 AND regexp_matches(l, {_quoted(quality_rules.INNER)})) AND 100 * {_SYMBOLS.format("l")} <= 10 * {_CHARS.format("l")} AND NOT regexp_matches(l, {_quoted(quality_rules.NAVIGATES)})
+  AND NOT (length(l) <= 200 AND regexp_matches(l, {_quoted(quality_rules.BOILERPLATE)}))) GROUP BY row),
+b AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, {_CHARS.format("t")} AS word_chars, {_SYMBOLS.format("t")} AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
+  CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, {_CHARS.format("coalesce(l, '')")} AS left_chars FROM w LEFT JOIN r USING (row) LEFT JOIN k USING (row))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, word_chars - left_chars AS lost_chars,
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND 100 * (word_chars - left_chars) <= 40 * word_chars AS kept FROM b
+"""
+
+ORACLES = {"op1_secret_scans": SECRETS, "op7_topk_search": TOP_K, "op9_minhash_near_dedup": NEAR_DUPLICATES, "op11_lexical_search": RANKED, "op12_quality_rules": QUALITY}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexivec.llm import fingerprint, html_text, license_scan, minhash_join, packing, piece_codec, secret_scan, sharding, topk_search, toxicity
+from lexivec.llm import fingerprint, html_text, lexical_rank, license_scan, minhash_join, packing, piece_codec, quality_rules, secret_scan, sharding, token_alignment, topk_search, toxicity
 from lexivec.llm.oracles import ORACLES
 
 
@@ -60,6 +60,18 @@ def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.encode_documents(_table(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_rank.rank(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(_table(spark, sf_dir, "documents")).drop("text", "lines", "cleaned_text")
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.count_links(_table(spark, sf_dir, "documents"))[0]
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpus_pipeline import run
 
@@ -69,7 +81,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     ops = (
         op1_secret_scans, op2_fingerprints, op3_license_scans, op4_packing, op5_sharding,
-        op6_html_extraction, op7_topk_search, op8_toxicity, op9_minhash_near_dedup, op10_piece_codec, pipeline,
+        op6_html_extraction, op7_topk_search, op8_toxicity, op9_minhash_near_dedup, op10_piece_codec,
+        op11_lexical_search, op12_quality_rules, op13_token_alignment, pipeline,
     )
     return {f.__name__: f for f in ops}
 

@@ -54,14 +54,14 @@ def durable(df: DataFrame, rows: int | None = None) -> DataFrame:
     spark = df.sparkSession
     if rows is not None:
         df = df.coalesce(1 + rows // ROWS_A_FILE)
-    path = f"{_folder(spark)}/{uuid.uuid4().hex}"
+    path = f"{scratch(spark)}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     read = spark.read.schema(df.schema).parquet(path)
     read.__dict__["_lexivec_path"] = path
     return read
 
 
-def _folder(spark: SparkSession) -> str:
+def scratch(spark: SparkSession) -> str:
     """This application's own folder within the shared one."""
     return f"{shared_dir(spark)}/lexivec-{spark.sparkContext.applicationId}"
 
@@ -81,7 +81,7 @@ def discard(*tables: DataFrame) -> None:
 
 def clear(spark: SparkSession) -> None:
     """Remove all that ``durable`` wrote in this application. For callers that have written the results they want to keep."""
-    remove(spark, _folder(spark))
+    remove(spark, scratch(spark))
 
 
 def sent(df: DataFrame, rows: int, width: int) -> DataFrame:

@@ -114,6 +114,14 @@ def word_hashes(data: bytes) -> np.ndarray:
     return np.concatenate(out)
 
 
+def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of each span of at most a piece of bytes; equal spans have equal hashes wherever they lie."""
+    power, inverse = _tables(len(data))
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_LETTER[data] * power[: len(data)], out=total[1:])
+    return mixed((total[end] - total[start]) * inverse[start])
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(31))) * _MIX
     return h ^ (h >> np.uint64(29))
