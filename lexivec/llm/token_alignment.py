@@ -31,6 +31,8 @@ from lexivec.llm.runtime import durable, full_text, scratch, short_batches, tidy
 
 #: Units a worker remembers, the longest that it does, and characters of a text cut into units together.
 CACHE_UNITS, CACHE_LENGTH, SLICE = 400_000, 48, 1 << 20
+#: Texts whose units are learnt together, units encoded in one run.
+TEXTS, RUN = 64, 32
 #: Keys counted together, keys of a shard's chunk, and bytes of shards that executors map at a time.
 TOGETHER, CHUNK, ROUND_BYTES = 4 << 20, 2 << 20, 2 << 30
 SPACE = "▁"
@@ -64,16 +66,24 @@ class Aligner:
         self.a = Tokenizer.from_file(a_path)
         self.a.encode_special_tokens = True
         letters = byte_letters()
-        self.a_bytes = {i: bytes(map(letters.__getitem__, t)) if all(c in letters for c in t) else t.encode() for t, i in self.a.get_vocab().items()}
+        names = sorted((i, t) for t, i in self.a.get_vocab().items())
+        self.a_bytes = [b""] * (names[-1][0] + 1)
+        for i, t in names:
+            self.a_bytes[i] = bytes(map(letters.__getitem__, t)) if all(c in letters for c in t) else t.encode()
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         size = self.b.get_piece_size()
         names = [self.b.id_to_piece(i) for i in range(size)]
         self.b_bytes = [bytes([int(n[3:5], 16)]) if self.b.is_byte(i) else n.replace(SPACE, " ").encode() for i, n in enumerate(names)]
+        self.a_size, self.b_size = (np.array([*map(len, x)]) for x in (self.a_bytes, self.b_bytes))
+        #: How ids are written within their part of a group, at the end of the A part, at the end of the group.
+        self.bar = max(len(self.a_bytes), size)
+        self.texts = [b"%d%b" % (i, mark) for mark in (b",", b"|", b";") for i in range(self.bar)]
         self.space = self.b.piece_to_id(SPACE)
         #: No piece runs on over a space that follows another character, and a space may stand alone: only then units can be cut.
         self.cuts = not any(re.search(f"[^{SPACE}]{SPACE}", n) for i, n in enumerate(names) if not self.b.is_byte(i)) and self.space != self.b.unk_id()
-        self.known: dict[str, tuple] = {}
+        self.known: dict[str, tuple | None] = {}
         self.again: set[str] = set()
+        self.new: list[str] = []  # learnt last
 
     def slices(self, text: str) -> Iterator[list[str]]:
         """The units of space + text, some at a time."""
@@ -84,30 +94,57 @@ class Aligner:
             yield _CUT.split(text[at:end]) if self.cuts else [text[at:end]]
             at = end
 
-    def align(self, unit: str, a: list[int], b: list[int]) -> tuple[bytes | None, bytes, int]:
-        """(groups, link keys, number of A tokens) of a unit; no groups where the bytes differ."""
-        a_parts, b_parts = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        whole = unit.encode()
-        if b"".join(a_parts) != whole or b"".join(b_parts) != whole:
-            return None, b"", 0
-        i = j = first_i = first_j = 0
-        a_end, b_end = len(a_parts[0]), len(b_parts[0])
-        groups, keys = [], []
-        while True:
-            keys.append(b[j] << 32 | a[i])
-            if a_end == b_end:
-                groups.append(",".join(map(str, a[first_i : i + 1])) + "|" + ",".join(map(str, b[first_j : j + 1])))
-                first_i, first_j = i + 1, j + 1
-                if first_i == len(a):
-                    break
-            step_a, step_b = a_end <= b_end, b_end <= a_end
-            if step_a:
-                i += 1
-                a_end += len(a_parts[i])
-            if step_b:
-                j += 1
-                b_end += len(b_parts[j])
-        return ";".join(groups).encode(), np.array(keys, "<i8").tobytes(), len(a)
+    def encode(self, units: list[str]) -> tuple[list[int], list[int]]:
+        """The A and B ids of units, laid end to end. Units that may follow each other in a text are encoded in runs."""
+        runs, run = [], []
+        for u in units:
+            plain = self.cuts and len(u) > 1 and not u[1].isspace() and not u[-1].isspace()
+            if not plain or len(run) == RUN:
+                runs.append("".join(run))
+                run = []
+            if plain:
+                run.append(u)
+            else:
+                runs.append(u)
+        runs = [r for r in (*runs, "".join(run)) if r]
+        a = [i for e in self.a.encode_batch_fast(runs, add_special_tokens=False) for i in e.ids]
+        b = [i for r, ids in zip(runs, self.b.encode([r[1:] for r in runs], num_threads=1), strict=True) for i in (ids if r != " " else (self.space,))]
+        return a, b
+
+    def align(self, units: list[str]) -> Iterator[tuple[bytes, bytes, int] | None]:
+        """(groups, each ended by a semicolon, link keys, number of A tokens) of each unit; None where the bytes differ."""
+        whole = [u.encode() for u in units]
+        flat_a, flat_b = self.encode(units)
+        together = b"".join(whole)
+        if b"".join(map(self.a_bytes.__getitem__, flat_a)) != together or b"".join(map(self.b_bytes.__getitem__, flat_b)) != together:
+            if len(units) == 1:
+                yield None
+            else:
+                half = len(units) // 2
+                yield from self.align(units[:half])
+                yield from self.align(units[half:])
+            return
+        ids_a, ids_b = np.array(flat_a, np.int64), np.array(flat_b, np.int64)
+        end_a, end_b = np.cumsum(self.a_size[ids_a]), np.cumsum(self.b_size[ids_b])
+        unit_ends = np.cumsum([*map(len, whole)])
+        both = np.union1d(end_a, end_b)  # each stretch between two ends is a link
+        keys = (ids_b[np.searchsorted(end_b, both)] << 32 | ids_a[np.searchsorted(end_a, both)]).astype("<i8").tobytes()
+        key_cuts = (8 * (np.searchsorted(both, unit_ends) + 1)).tolist()
+        # a group is its A tokens, then its B tokens
+        common = np.intersect1d(end_a, end_b, assume_unique=True)
+        last_a, last_b = np.searchsorted(end_a, common), np.searchsorted(end_b, common)
+        at_a = np.arange(len(ids_a)) + np.append(0, last_b + 1)[np.searchsorted(common, end_a)]
+        at_b = np.arange(len(ids_b)) + last_a[np.searchsorted(common, end_b)] + 1
+        order = np.empty(len(ids_a) + len(ids_b), np.int64)
+        order[at_a], order[at_b] = ids_a, ids_b
+        order[at_a[last_a]] += self.bar
+        order[at_b[last_b]] += 2 * self.bar
+        texts = [*map(self.texts.__getitem__, order.tolist())]
+        a_cuts, b_cuts = np.searchsorted(end_a, unit_ends) + 1, np.searchsorted(end_b, unit_ends) + 1
+        text_cuts = (a_cuts + b_cuts).tolist()
+        sizes = np.diff(a_cuts, prepend=0).tolist()
+        for i, j, k, m, n in zip([0, *text_cuts], text_cuts, [0, *key_cuts], key_cuts, sizes, strict=False):
+            yield b"".join(texts[i:j]), keys[k:m], n
 
     def learn(self, units: list[str]) -> None:
         """Align those units that are not known."""
@@ -115,42 +152,51 @@ class Aligner:
         if len(self.known) > CACHE_UNITS:
             keep = self.again if len(self.again) < CACHE_UNITS // 2 else set()
             self.known, self.again = {u: self.known[u] for u in keep if u in self.known}, set()
-        new = [u for u in distinct if u not in self.known]
+        new = self.new = [u for u in distinct if u not in self.known]
         self.again.update(distinct.difference(new))
         for k in range(0, len(new), 4096):
             part = new[k : k + 4096]
-            a_ids = [e.ids for e in self.a.encode_batch_fast(part, add_special_tokens=False)]
-            b_ids = self.b.encode([u[1:] for u in part], num_threads=1)
-            for u, a, b in zip(part, a_ids, b_ids, strict=True):
-                self.known[u] = self.align(u, a, b if u != " " else [self.space])
+            self.known.update(zip(part, self.align(part), strict=True))
+
+    def documents(self, texts: list[str]) -> list[tuple]:
+        """``document`` of each text; the units of short ones are learnt together."""
+        out: list[tuple] = []
+        for first in range(0, len(texts), TEXTS):
+            part = texts[first : first + TEXTS]
+            cut = [next(self.slices(t)) if t and len(t) < SLICE // TEXTS else None for t in part]
+            self.learn([u for units in cut if units for u in units])
+            out += [self.document([units] if units else self.slices(t) if t else ()) for t, units in zip(part, cut, strict=True)]
+            for u in [u for u in self.new if len(u) > CACHE_LENGTH]:
+                self.known.pop(u, None)
+        return out
 
-    def document(self, text: str) -> tuple:
-        """(n_a, n_b, n_groups, n_links, groups_sha256, keys, repeats); keys are different and in order."""
+    def document(self, slices: Iterator[list[str]]) -> tuple:
+        """(n_a, n_b, n_groups, n_links, groups_sha256, keys, repeats) of a text, given as slices of its units; keys are different and in order."""
         none = np.zeros(0, np.int64)
         digest, n_a, n_groups, n_links, found = hashlib.sha256(), 0, 0, 0, []
-        if not text:
-            return 0, 0, 0, 0, "", none, none
-        for units in self.slices(text):
-            self.learn(units)
+        for units in slices:
+            if any(u not in self.known for u in units):
+                self.learn(units)
             held = [*map(self.known.__getitem__, units)]
-            for u in set(units):
-                if len(u) > CACHE_LENGTH:
-                    del self.known[u]
-            if any(h[0] is None for h in held):
+            if None in held:
                 return 0, 0, 0, 0, "", none, none
-            groups = b";".join([h[0] for h in held])
-            digest.update(groups if not n_groups else b";" + groups)
-            n_groups += groups.count(b";") + 1
-            n_a += sum([h[2] for h in held])
-            keys = np.frombuffer(b"".join([h[1] for h in held]), "<i8")
+            groups, keys, sizes = zip(*held, strict=True)
+            groups, keys = b"".join(groups), np.frombuffer(b"".join(keys), "<i8")
+            digest.update(groups[:-1] if not n_groups else b";" + groups[:-1])
+            n_groups += groups.count(b";")
+            n_a += sum(sizes)
             n_links += len(keys)
-            found.append(np.unique(keys, return_counts=True))
+            found.append(summed(keys))
+        if not found:
+            return 0, 0, 0, 0, "", none, none
         keys, repeats = found[0] if len(found) == 1 else summed(*(np.concatenate(x) for x in zip(*found, strict=True)))
         return n_a, n_links + n_groups - n_a, n_groups, n_links, digest.hexdigest(), keys, repeats
 
 
-def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(different keys in order, the sum of each one's counts)."""
+def summed(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(different keys in order, the sum of each one's counts; how many there are, if none are given)."""
+    if counts is None:
+        return np.unique(keys, return_counts=True)
     if not len(keys):
         return keys, counts
     order = np.argsort(keys, kind="stable")
@@ -165,7 +211,7 @@ def align_documents(docs: DataFrame, a_path: str | None = None, b_path: str | No
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = Aligner(a_path, b_path)
         for batch in batches:
-            rows = [aligner.document(t.as_py()) for t in batch.column(1)]
+            rows = aligner.documents(batch.column(1).to_pylist())
             *numbers, digests, keys, repeats = zip(*rows, strict=True) if rows else [[]] * 7
             ends = pa.array(np.cumsum([0, *map(len, keys)]).astype(np.int32))
             flat, times = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (keys, repeats))
