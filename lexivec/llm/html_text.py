@@ -40,8 +40,10 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
 DROPPED = {"script", "style", "head", "title", "nav", "footer", "aside", "form", "noscript", "template", "iframe", "object", "svg", "canvas", "button", "select", "textarea", "dialog", "menu", "audio", "video", "map", "input", "noembed", "noframes"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
-#: What is content in an article even where it recurs.
-CONTENT = {"article", "main", "body", "html", "p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "dl", "dt", "dd", "table", "thead", "tbody", "tr", "td", "th", "pre", "blockquote", "figure", "figcaption", "br", "hr", "img", *INLINE}
+#: What may be template: blocks of a page's frame. What recurs in any other element (inline ones, headings, paragraphs, cells, items) is content.
+CONTAINERS = {"div", "section", "header", "footer", "aside", "nav", "ul", "ol", "dl", "center", "address", "details", "fieldset", "figure"}
+#: Text in these, but for links, makes a container content.
+PROSE = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "td", "th", "caption", "pre", "blockquote", "figcaption", "summary"}
 #: Start tags that end an open paragraph, and those that end an open element of their own kind.
 ENDS_P = {"address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul"}
 SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
@@ -66,11 +68,13 @@ _TAG = re.compile(
     r"|<[!?/][^>]*(?:>|\Z)",
     re.S,
 )
-_ATTR = re.compile(r"(?:^|[\s\"'/])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+#: One attribute, as ``_TAG`` reads it.
+_ATTR = re.compile(r"([^\s/>=]++)(?:\s*+=\s*+(?:\"([^\"]*+)(?:\"|\Z)|'([^']*+)(?:'|\Z)|([^\s>\"'][^\s>]*+)))?+")
+#: Whether it is worth while to read the attributes.
+_NAMES = re.compile(r"class|id|role|hidden|style", re.I)
 _PART = re.compile(r"[-_]+")
-_MAIN = re.compile(r"role\s*=\s*[\"']?main\b")
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for t in RAW}
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+_HIDDEN = re.compile(r"(?:^|;)\s*display\s*:\s*none(?![\w-])", re.I)
 
 
 @dataclass(slots=True)
@@ -79,6 +83,18 @@ class Node:
     attrs: str = ""
     parts: list = field(default_factory=list)  # of texts and nodes
     hash: int = 0
+    bare: bool = False  # has text outside of links
+    prose: bool = False  # has such text in a paragraph, heading, item or cell
+    read: dict | None = None
+
+    def attributes(self) -> dict[str, str]:
+        """Values by name in lower case; of attributes with one name the first holds."""
+        if self.read is None:
+            self.read = {}
+            if self.attrs and _NAMES.search(self.attrs):
+                for m in _ATTR.finditer(self.attrs):
+                    self.read.setdefault(m[1].lower(), html.unescape(m[2] or m[3] or m[4] or ""))
+        return self.read
 
 
 class _Open:
@@ -166,12 +182,20 @@ def walk(root: Node) -> Iterator[tuple[Node, list[Node]]]:
 
 
 def set_hashes(root: Node) -> None:
-    """A node's hash covers its tag, attributes, texts and the hashes of its children."""
+    """A node's hash covers its tag, attributes, texts and the hashes of its children. Where its text lies is noted beside."""
     for node, _ in walk(root):
         h = xxhash.xxh3_64(f"{node.tag} {node.attrs.strip()}")
+        bare = prose = False
         for p in node.parts:
-            h.update(f"\0{' '.join(p.split())}" if isinstance(p, str) else p.hash.to_bytes(8, "little"))
+            if isinstance(p, str):
+                h.update(f"\0{' '.join(p.split())}")
+                bare = bare or not p.isspace()
+            else:
+                h.update(p.hash.to_bytes(8, "little"))
+                bare, prose = bare or p.bare, prose or p.prose
         node.hash = h.intdigest()
+        node.bare = bare and node.tag != "a" and node.tag not in DROPPED
+        node.prose = node.bare and (prose or node.tag in PROSE)
 
 
 def _names_boilerplate(name: str) -> bool:
@@ -181,16 +205,20 @@ def _names_boilerplate(name: str) -> bool:
 
 def _marked(node: Node) -> bool:
     """Whether a class, id or role of the element is, as a whole, a name of boilerplate."""
-    if not node.attrs:
-        return False
-    return any(_names_boilerplate(x) for m in _ATTR.finditer(node.attrs) for x in html.unescape(m[2] or m[3] or m[4] or "").lower().split())
+    own = node.attributes()
+    return any(_names_boilerplate(x) for name in ("class", "id", "role") if name in own for x in own[name].lower().split())
+
+
+def _hidden(node: Node) -> bool:
+    own = node.attributes()
+    return "hidden" in own or own.get("aria-hidden", "").strip().lower() == "true" or bool(_HIDDEN.search(own.get("style", "")))
 
 
 def boilerplate(node: Node, in_article: bool, names: bool = True) -> bool:
     """Whether structure says that the subtree isn't the article's text. A header within an article is its own."""
     if node.tag in ("html", "body", "main"):
         return False
-    return node.tag in DROPPED or (node.tag == "header" and not in_article) or bool(node.attrs and _HIDDEN.search(node.attrs)) or (names and _marked(node))
+    return node.tag in DROPPED or (node.tag == "header" and not in_article) or _hidden(node) or (names and _marked(node))
 
 
 def articles(root: Node) -> list[Node]:
@@ -201,8 +229,8 @@ def articles(root: Node) -> list[Node]:
         node, within = stack.pop()
         if node is not root and boilerplate(node, False, False):
             continue
-        named = bool(node.attrs) and _marked(node)
-        kind = "main" if node.attrs and _MAIN.search(node.attrs) else node.tag
+        named = _marked(node)
+        kind = "main" if "main" in node.attributes().get("role", "").lower().split() else node.tag
         if kind == "article":
             found["named" if named else "wrapped" if within else "article"].append(node)
             continue
@@ -213,16 +241,14 @@ def articles(root: Node) -> list[Node]:
 
 
 def removable(root: Node) -> list[Node]:
-    """The subtrees that may be template: all elements outside a marked article, containers within it."""
-    inside: dict[int, bool] = {}
+    """The subtrees that may be template: containers without prose; within a marked article only those all of whose text is links."""
     tops = articles(root)
-    marked = {id(t) for t in tops if t.tag in ("article", "main")}
+    marked = {id(t) for t in tops if t.tag in ("article", "main") or t.attributes().get("role")}
     out, stack = [], [(root, False)]
     while stack:
         node, within = stack.pop()
         within = within or id(node) in marked
-        inside[id(node)] = within
-        if node.tag not in ("#root", "html", "body", "head", "article", "main") and not (within and node.tag in CONTENT):
+        if node.tag in CONTAINERS and id(node) not in marked and not (node.bare if within else node.prose):
             out.append(node)
         stack += [(p, within) for p in node.parts if isinstance(p, Node)]
     return out
@@ -267,7 +293,7 @@ def extract(pages: DataFrame) -> DataFrame:
             for where, content, source in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 root = parse(source)
                 set_hashes(root)
-                own = {n.hash for n in removable(root) if n.tag not in VOID}
+                own = {n.hash for n in removable(root)}
                 hosts += [where] * len(own)
                 contents += [content] * len(own)
                 hashes += [h - (1 << 63) for h in own]

@@ -1,4 +1,5 @@
 import html as std
+import random
 import re
 import time
 
@@ -86,18 +87,66 @@ def test_template_goes_and_repeated_content_stays(text_of):
         return f"<body><div><div class=top>Site name</div><p>Own text {i}</p><p>Same words</p><section>Join us</section></div></body>"
 
     got = text_of(*[("http://a.example/x", page(i)) for i in range(12)], ("http://b.example", page(99)))
-    assert all(got[i] == f"Own text {i}" for i in range(12))  # outside a marked article whatever recurs is template
+    assert all(got[i] == f"Own text {i} Same words" for i in range(12))
     assert got[12] == "Site name Own text 99 Same words Join us"
-    article = "<article><p>The.</p><p>Body {}</p><div>Follow the blog</div></article>"
+    article = "<article><p>The.</p><p>Body {}</p><div>Follow the rule</div><div><a href=/x>Follow</a> <a href=/y>Share</a></div></article>"
     got = text_of(*[("http://a.example/x", article.format(i)) for i in range(12)])
-    assert all(got[i] == f"The. Body {i}" for i in range(12))
+    assert all(got[i] == f"The. Body {i} Follow the rule" for i in range(12))
+
+
+def test_recurring_words_of_the_text_stay(text_of):
+    """Inline elements, headings, cells, items and paragraphs are content, whatever the page is built of."""
+    page = "<body><h1>Title {0}</h1><p>Rule {0} does <em>not</em> apply.</p><h2>Summary</h2><table><tr><td>key{0}</td><td>Yes</td></tr></table><ul><li>One</li></ul><div><p>Thanks.</p></div></body>"
+    got = text_of(*[("http://a.example/x", page.format(i)) for i in range(20)])
+    assert all(got[i] == f"Title {i} Rule {i} does not apply. Summary key{i} Yes One Thanks." for i in range(20))
+    page = "<main><h1>T {0}</h1><div>Contact the author before use.</div><p>Text {0}</p></main>"
+    got = text_of(*[("http://b.example/x", page.format(i)) for i in range(20)])
+    assert all(got[i] == f"T {i} Contact the author before use. Text {i}" for i in range(20))
+
+
+def brute_template(pages):
+    """By host: the sources of div and section blocks without markup that are on 5 different pages."""
+    held = {}
+    for host, source in set(pages):
+        for block in set(re.findall(r"<(?:div|section)>[^<]*</(?:div|section)>", source)):
+            held.setdefault((host, block), set()).add(source)
+    return {k for k, v in held.items() if len(v) >= 5}
+
+
+def test_template_counts_are_those_of_brute_force(text_of):
+    rng = random.Random(11)
+    pages = []
+    for i in range(150):
+        host = f"h{rng.randint(0, 3)}.example"
+        blocks = [rng.choice([f"<div>frame {rng.randint(0, 12)}</div>", f"<section>part {rng.randint(0, 12)}</section>", f"<p>text {rng.randint(0, 5)}</p>"]) for _ in range(rng.randint(1, 6))]
+        pages.append((host, "<body>" + "".join(blocks) + f"<p>own {i // 2}</p></body>"))
+    template = brute_template(pages)
+    got = text_of(*[(f"http://{host}/x", source) for host, source in pages])
+    for i, (host, source) in enumerate(pages):
+        blocks = re.findall(r"<(?:div|section|p)>[^<]*</(?:div|section|p)>", source)
+        assert got[i] == " ".join(re.sub("<[^>]*>", "", b) for b in blocks if (host, b) not in template), source
+    assert template
+
+
+ATTRIBUTES = {
+    "<p title='The hidden cost of tea'>One.</p><section aria-label=\"A hidden gem\">Two.</section><p data-x='display:none'>Three.</p><p>Four</p>": "One. Two. Three. Four",
+    "<p>See <a title=\"a hidden place\">this place</a> now.</p>": "See this place now.",
+    "<p title='class=ad'>kept</p><p alt=\"role='main' id=cookie-banner\">kept</p>": "kept kept",
+    "<p HIDDEN>h</p><p hidden=''>h</p><p aria-hidden=TRUE>h</p><p style='color:red; DISPLAY : none'>h</p><p aria-hidden=false>v</p><p style='display:block'>v</p>": "v v",
+    "<p class=ad class=text>gone</p><p class=text class=ad>kept</p>": "kept",
+}
+
+
+@pytest.mark.parametrize("source,want", ATTRIBUTES.items())
+def test_attributes_are_read_before_they_are_judged(source, want):
+    assert one(source) == want
 
 
 @pytest.mark.parametrize("most", [0, 10_000])
 def test_template_does_not_depend_on_the_host_size(text_of, monkeypatch, most):
     monkeypatch.setattr(html_text, "HOST_ROWS", most)
-    own = ["<article><p>Text {}</p><div>Follow the blog</div></article>".format(i) for i in range(6)]
-    other = ["<article><p>Other {}</p><div>{}</div></article>".format(i, "four pages" if i < 4 else f"d{i}") for i in range(400)]
+    own = ["<article><p>Text {}</p><div><a>Follow the blog</a></div></article>".format(i) for i in range(6)]
+    other = ["<article><p>Other {}</p><div><a>{}</a></div></article>".format(i, "four pages" if i < 4 else f"d{i}") for i in range(400)]
     got = text_of(*[("http://a.example/x", x) for x in own + other], *[("http://b.example/x", x) for x in own[:4]])
     assert [got[i] for i in range(6)] == [f"Text {i}" for i in range(6)]
     assert all(got[6 + i] == f"Other {i} " + ("four pages" if i < 4 else f"d{i}") for i in range(400))
