@@ -37,7 +37,7 @@ SYMBOLS, CHUNKS, DISTANCE = 64, 11, 21
 #: intersection * 100 >= SHARE * union
 SHARE = 85
 #: Bytes of an (id, id) row, and of one with a mark and an id more, as Spark holds it.
-PAIR, MARKED = 24, 64
+PAIR, MARKED = 24, 96
 #: A set's bitmap has so many 64-bit words.
 WORDS_OF_BITS = 16
 
@@ -159,13 +159,15 @@ def _print() -> Column:
 
 
 class _Join:
-    def __init__(self, docs: DataFrame, prints: bool = False):
+    def __init__(self, docs: DataFrame):
         spark = docs.sparkSession
         short_batches(spark)
         bytes_of = full_text().cast("binary")
-        self.texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), bytes_of.alias("text"), *[_print().alias("print")] * prints)
-        self.rows = durable(self.texts.mapInArrow(tidy(_read), "doc_id bigint, n_shingles bigint, mark binary, signed binary" + ", print binary" * prints))
-        grouped = self.rows.where("mark is not null").groupBy("mark").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("signed").alias("signed"))
+        self.texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), bytes_of.alias("text"), _print().alias("print"))
+        self.rows = durable(self.texts.mapInArrow(tidy(_read), "doc_id bigint, n_shingles bigint, mark binary, signed binary, print binary"))
+        # one text of each class, by doc_id and print: ids may be null or repeat
+        one = F.min(F.struct("doc_id", "print")).alias("one")
+        grouped = self.rows.where("mark is not null").groupBy("mark").agg(F.min("doc_id").alias("first_id"), one, F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("signed").alias("signed"))
         self.classes = durable(grouped.withColumn("cid", F.monotonically_increasing_id()))
         self.labels: DataFrame | None = None
         self.n_labels = 0
@@ -179,9 +181,11 @@ class _Join:
 
     def set_table(self, members: DataFrame) -> DataFrame:
         """(cid, own): full sets of the classes that share a key, from one text of each."""
-        wanted = durable(members.select("cid").distinct().join(self.classes.select("cid", "mark", "first_id"), "cid"))
+        one = self.classes.select("cid", "mark", F.col("one.doc_id").alias("one_id"), F.col("one.print").alias("one_print"))
+        wanted = durable(members.select("cid").distinct().join(one, "cid"))
         wanted = sent(wanted, wanted.count(), MARKED)
-        texts = self.texts.join(wanted, self.texts["doc_id"].eqNullSafe(wanted["first_id"])).select("cid", "mark", "text")
+        met = self.texts["doc_id"].eqNullSafe(wanted["one_id"]) & (self.texts["print"] == wanted["one_print"])
+        texts = self.texts.join(wanted, met).select("cid", "mark", "text")
         return durable(texts.mapInArrow(tidy(_sets), _SETS).dropDuplicates(["cid"]))
 
     def confirmed(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -311,7 +315,7 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
 
     Rows are told apart by doc_id and text, so neither ids that repeat nor null ids drop or keep a row of another group.
     """
-    join = _Join(docs, prints=True)
+    join = _Join(docs)
     join.run()
     gone = join.gone().select(F.col("doc_id").alias("__lexivec_gone_id"), F.col("print").alias("__lexivec_gone"))
     own = docs.withColumn("__lexivec_print", _print()).withColumn("__lexivec_null", F.col("text").isNull())

@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 
@@ -110,3 +111,20 @@ def test_keys_meet_within_the_distance():
         row[at] ^= rng.integers(1, 256, len(at)).astype(np.uint8)
     x, y = minhash_join.index_keys(a), minhash_join.index_keys(b)
     assert all(set(p) & set(q) for p, q in zip(x.tolist(), y.tolist(), strict=True))
+
+
+def test_many_null_and_repeated_ids_cost_no_more_than_others(spark, docs_of):
+    """Each wanted class meets one text: 10,000 texts without ids, and as many with one id, in pairs that are near copies."""
+    def near(i):
+        words = [f"w{i}x{k}" for k in range(60)]
+        return " ".join(words), " ".join([*words, "end"])
+
+    texts = [t for i in range(5_000) for t in near(i)]
+    began = time.monotonic()
+    for own in (None, 7):
+        join = minhash_join._Join(docs_of([(own, t) for t in texts]))
+        sets = join.set_table(minhash_join.durable(join.members()))
+        assert sets.count() == 10_000
+        found = minhash_join.near_duplicates(docs_of([(own, t) for t in texts]))
+        assert found.count() == 10_000 and found.where("component_id IS DISTINCT FROM doc_id").count() == 0
+    assert time.monotonic() - began < 120
