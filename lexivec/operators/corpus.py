@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexivec.operators.graph import KEY
-from lexivec.schema import JOB
+from lexivec.schema import JOB, JOB_CHUNK
 
 
-def _one_per_key(rows: DataFrame, keys: list[str], last: bool) -> DataFrame:
-    by = Window.partitionBy(*keys).orderBy(F.desc("seq") if last else F.asc("seq"))
+def one_per_key(rows: DataFrame, keys: list[str], last: bool, order: str = "seq") -> DataFrame:
+    by = Window.partitionBy(*keys).orderBy(F.desc(order) if last else F.asc(order))
     return rows.withColumn("_n", F.row_number().over(by)).where("_n = 1").drop("_n")
 
 
@@ -22,18 +22,22 @@ def upsert(base: DataFrame, new: DataFrame, on_conflict: str = "replace", key: s
     """One row per key. ``replace``: the batch's last row takes the place of a stored one, at the batch's seq;
     ``ignore``: a stored row stays, and of a new key the batch's first."""
     if on_conflict == "replace":
-        fresh = _one_per_key(new, [key], last=True)
+        fresh = one_per_key(new, [key], last=True)
         return base.join(fresh.select(key), key, "left_anti").select(*base.columns).unionByName(fresh.select(*base.columns))
     if on_conflict == "ignore":
-        fresh = _one_per_key(new.join(base.select(key), key, "left_anti"), [key], last=False)
+        fresh = one_per_key(new.join(base.select(key), key, "left_anti"), [key], last=False)
         return base.unionByName(fresh.select(*base.columns))
     raise ValueError(f"on_conflict must be 'replace' or 'ignore', not {on_conflict!r}")
 
 
 def insert_triples(base: DataFrame, new: DataFrame) -> DataFrame:
     """New (subject, predicate, object) only; the first of each, whatever its document."""
-    fresh = new.join(base.select(*KEY), KEY, "left_anti")
-    return base.unionByName(_one_per_key(fresh, KEY, last=False).select(*base.columns))
+    return base.unionByName(new_triples(base, new))
+
+
+def new_triples(base: DataFrame, new: DataFrame) -> DataFrame:
+    """Those of ``new`` that ``base`` lacks."""
+    return one_per_key(new.join(base.select(*KEY), KEY, "left_anti"), KEY, last=False).select(*base.columns)
 
 
 def delete_documents(rows: DataFrame, gone: DataFrame | list | str | int) -> DataFrame:
@@ -59,6 +63,10 @@ class Corpus:
     A version is a file ``commits/<number>`` that names the folders of each table. It is written aside and renamed, so a write that fails half way
     changes nothing and the version before stays; of two writers of the same version, the later is refused. Tables that a commit doesn't change, and
     rows it appends to, are named again, not written again. Readers of a version keep reading it until ``vacuum``.
+
+    Changed and deleted rows are not written again either: a commit writes the new rows and, beside them, the keys that are gone
+    (folders ``<table>.gone.<column>``). A key is gone from what older commits wrote, never from its own commit's rows; readers leave such rows out by an
+    anti-join. So a commit costs what it changes. ``compact`` writes tables whole again, once many folders have come together. A null key is never gone.
     """
 
     TABLES = {
@@ -66,7 +74,10 @@ class Corpus:
         "chunks": "chunk_id string, doc_id string, content string, embedding array<double>, metadata map<string,string>, start_char int, end_char int, seq bigint",
         "triples": "subject string, predicate string, object string, doc_id string, seq bigint",
         "jobs": JOB,
+        "job_chunks": JOB_CHUNK,
     }
+    #: What tells rows of a table apart, and which of a batch's rows with one key is the last.
+    KEYS = {"documents": ("doc_id", "ingest_seq"), "chunks": ("chunk_id", "seq")}
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -90,27 +101,66 @@ class Corpus:
         path, fs = self._at(f"commits/{v:012d}")
         stream = fs.open(path)
         try:
-            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+            return {name: [] for name in self.TABLES} | json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
 
     def table(self, name: str, version: int | None = None) -> DataFrame:
         schema, folders = self.TABLES[name], self._folders(self.version() if version is None else version)[name]
-        if not folders:
+        written, gone = [f for f in folders if ".gone." not in f], [f for f in folders if ".gone." in f]
+        if not written:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*[f"{self.path}/{f}" for f in folders])
-
-    def commit(self, append: dict[str, DataFrame] | None = None, **tables: DataFrame) -> int:
-        """Write the given tables whole and the appended rows beside what is there, then name the new version."""
+        rows = self.spark.read.schema(schema).parquet(*[f"{self.path}/{f}" for f in written])
+        if not gone:
+            return rows
+        columns, at = rows.columns, F.regexp_extract("_metadata.file_path", r"/data/(\d+)-[0-9a-f]{32}/[^/]*/[^/]*$", 1).cast("bigint")
+        rows = rows.withColumn("_at", at)
+        for key in sorted({f.rsplit(".", 1)[1] for f in gone}):
+            marks = self.spark.read.schema(f"{key} string").parquet(*[f"{self.path}/{f}" for f in gone if f.endswith(f".gone.{key}")])
+            marks = marks.select(F.col(key).alias("_key"), at.alias("_gone")).groupBy("_key").agg(F.max("_gone").alias("_gone"))
+            rows = rows.join(marks, (rows[key] == marks["_key"]) & (rows["_at"] < marks["_gone"]), "left_anti")
+        return rows.select(*columns)
+
+    def commit(self, append: dict[str, DataFrame] | None = None, gone: dict[tuple[str, ...], DataFrame] | None = None, **tables: DataFrame) -> int:
+        """Write the given tables whole, the appended rows and the keys that are gone beside what is there, then name the new version.
+
+        ``gone`` has, by the names of the tables they are gone from, keys as the only column of a table, named as there.
+        """
         v = self.version() + 1
         named, own = self._folders(v - 1), f"data/{v}-{uuid.uuid4().hex}"
         for name, df in [*tables.items(), *(append or {}).items()]:
             columns = [c.split()[0] for c in self.TABLES[name].replace("map<string,string>", "map").split(", ")]
             df.select(*columns).write.parquet(f"{self.path}/{own}/{name}")
             named[name] = [*(named[name] if name not in tables else []), f"{own}/{name}"]
+        for names, keys in (gone or {}).items():
+            (key,) = keys.columns
+            folder = f"{own}/{'-'.join(names)}.gone.{key}"
+            keys.where(F.col(key).isNotNull()).select(F.col(key).cast("string")).distinct().write.parquet(f"{self.path}/{folder}")
+            for name in names:
+                named[name] = [*named[name], folder]
         self._publish(v, named)
         return v
 
+    def upsert(self, on_conflict: str = "replace", **batches: DataFrame) -> int:
+        """Documents or chunks that take the place of stored ones (``replace``), or come in where their key is new (``ignore``)."""
+        append, gone = {}, {}
+        for name, new in batches.items():
+            key, order = self.KEYS[name]
+            if on_conflict == "replace":
+                append[name] = one_per_key(new, [key], last=True, order=order)
+                gone[(name,)] = new.select(key)
+            elif on_conflict == "ignore":
+                append[name] = one_per_key(new.join(self.table(name).select(key), key, "left_anti"), [key], last=False, order=order)
+            else:
+                raise ValueError(f"on_conflict must be 'replace' or 'ignore', not {on_conflict!r}")
+        return self.commit(append=append, gone=gone)
+
+    def compact(self, folders: int = 8) -> int:
+        """Write those tables whole that ``folders`` folders or more make up, so that readers have no keys to leave out; the version, new or as it was."""
+        named = self._folders(self.version())
+        many = [n for n, own in named.items() if len(own) >= folders]
+        return self.commit(**{n: self.table(n) for n in many}) if many else self.version()
+
     def staged(self, df: DataFrame) -> DataFrame:
         """``df`` written once and read back, for rows that several tables of one commit are made from. ``vacuum`` removes it."""
         path = f"{self.path}/data/staged-{uuid.uuid4().hex}"
@@ -142,5 +192,8 @@ class Corpus:
         return 0 if top is None else top + 1
 
     def delete(self, doc_ids: DataFrame | list[str]) -> None:
-        """From every table at once; unknown ids succeed."""
-        self.commit(**{n: delete_documents(self.table(n), doc_ids) for n in ("documents", "chunks", "triples")})
+        """From every table at once, by their ids alone; unknown ids succeed."""
+        if not isinstance(doc_ids, DataFrame):
+            ids = [doc_ids] if isinstance(doc_ids, str) else doc_ids
+            doc_ids = self.spark.createDataFrame([(str(i),) for i in ids], "doc_id string")
+        self.commit(gone={("documents", "chunks", "triples"): doc_ids.select("doc_id")})

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,8 +12,9 @@ from lexivec import schema
 from lexivec.functions.text import chunk_id
 from lexivec.operators import context, corpus, embedding, graph, rerank, rewrite, search
 from lexivec.operators.corpus import Corpus
+from lexivec.operators.vector_index import VectorIndex
 from lexivec.plans import cache, retrieve, service
-from lexivec.plans.catalog import _ranked, _stream_base, benchmark_queries, chunks, documents, place, table, triples
+from lexivec.plans.catalog import _ranked, _stream_base, benchmark_queries, chunks, documents, place, table, triples, vectors
 from lexivec.plans.catalog_analytics import query, running_totals
 from lexivec.plans.oracles import RANKED, B, C, D, T, WS, _assembled, _jaccard
 from lexivec.sources import readers
@@ -233,7 +235,8 @@ def ingest_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = Corpus(spark, _folder(spark))
     job = retrieve.ingest(made, f"{sf_dir}/documents.parquet", "table", embed=lambda text: F.array(F.length(text).cast("double"))).first()["job_id"]
     every = retrieve.job_status(made, job).unionByName(retrieve.job_status(made, "none"))
-    return every.select("status", F.size("chunk_ids").cast("bigint").alias("n_chunks"), F.size(F.array_distinct("chunk_ids")).cast("bigint").alias("n_distinct"))
+    held = retrieve.job_chunks(made, job).groupBy("job_id").agg(F.countDistinct("chunk_id").alias("n_distinct"))
+    return every.join(held, "job_id", "left").select("status", "n_chunks", F.coalesce("n_distinct", F.lit(0).cast("bigint")).alias("n_distinct"))
 
 
 @query("SELECT CAST(doc_id AS VARCHAR) AS doc_id, source, lang FROM documents")
@@ -291,6 +294,25 @@ def commit_appends(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.table("documents").groupBy(F.col("source").alias("lang")).agg(F.count("*").alias("n"))
 
 
+@query("""SELECT 'replaced' AS step, CAST(doc_id AS VARCHAR) AS doc_id, md5(CASE WHEN doc_id % 100 = 0 THEN 'new: ' || text ELSE text END) AS content_md5 FROM documents
+UNION ALL SELECT 'deleted', CAST(doc_id AS VARCHAR), md5(CASE WHEN doc_id % 100 = 0 THEN 'new: ' || text ELSE text END) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)
+UNION ALL SELECT 'back', CAST(doc_id AS VARCHAR), md5(CASE WHEN doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) AND doc_id % 100 = 0 THEN 'new: ' || text ELSE text END) FROM documents
+UNION ALL SELECT 'whole', CAST(doc_id AS VARCHAR), md5(CASE WHEN doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) AND doc_id % 100 = 0 THEN 'new: ' || text ELSE text END) FROM documents""")
+def merge_on_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents stored, each hundredth replaced, some deleted, all put back that are gone, then written whole; the documents after each step."""
+    made, d = Corpus(spark, _folder(spark)), table(spark, sf_dir, "documents")
+    rows = d.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").alias("content"), F.create_map(F.lit("lang"), "lang").alias("metadata"), "source", F.lit(0).cast("bigint").alias("ingest_seq"))
+    gone = table(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").cast("string").alias("doc_id"))
+    made.commit(documents=rows)
+    steps = {"replaced": made.upsert(documents=rows.where("doc_id % 100 = 0").withColumn("content", F.concat(F.lit("new: "), "content")))}
+    made.delete(gone)
+    steps["deleted"] = made.version()
+    steps["back"] = made.upsert("ignore", documents=rows)
+    steps["whole"] = made.compact(2)
+    every = [made.table("documents", v).select(F.lit(name).alias("step"), "doc_id", F.md5(F.col("content").cast("binary")).alias("content_md5")) for name, v in steps.items()]
+    return reduce(DataFrame.unionByName, every)
+
+
 @query("SELECT user_id, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY user_id")
 def stream_running_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals of each user's events, kept as state over a stream; the last a user's state says."""
@@ -312,3 +334,37 @@ def upsert_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = documents(spark, sf_dir)
     new = d.where("lang = 'en'").withColumn("content", F.concat(F.lit("new: "), "content")).withColumn("seq", F.col("seq") + 1)
     return corpus.upsert(d, new).select("chunk_id", F.md5(F.col("content").cast("binary")).alias("content_md5"))
+
+
+def _asked_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each twentieth vector, turned a little, as a query."""
+    e = table(spark, sf_dir, "embeddings").where("vec_id % 20 = 0")
+    return e.select(F.col("vec_id").alias("qid"), F.transform(F.col("embedding").cast("array<double>"), lambda x, i: x + F.when(i % 2 == 0, 0.01).otherwise(-0.01)).alias("query_vector"))
+
+
+@query("""WITH q AS (SELECT vec_id AS qid, list_transform(CAST(embedding AS DOUBLE[]), lambda x, i: x + CASE WHEN i % 2 = 1 THEN 0.01 ELSE -0.01 END) AS qv FROM embeddings WHERE vec_id % 20 = 0),
+r AS (SELECT qid, vec_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM (SELECT qid, vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), qv), 9) AS score FROM embeddings, q))
+SELECT qid, string_agg(vec_id, ',' ORDER BY rank) AS exact, true AS recall_met FROM r WHERE rank <= 5 GROUP BY qid""")
+def vector_index_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each query's five nearest by exact search, and whether the stored index finds nine in ten of them all or more."""
+    v, q = vectors(spark, sf_dir), _asked_vectors(spark, sf_dir)
+    exact = search.vector_search(v, q, 5).select("qid", "chunk_id", "rank")
+    found = VectorIndex(spark, _folder(spark)).build(v).search(q, 5).select("qid", "chunk_id", F.lit(1).alias("hit"))
+    met = exact.join(found, ["qid", "chunk_id"], "left")
+    share = met.agg((F.count("hit") >= 0.9 * F.count("*")).alias("recall_met"))
+    said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))), lambda x: x["chunk_id"].cast("string")), ",")
+    return met.groupBy("qid").agg(said.alias("exact")).crossJoin(F.broadcast(share))
+
+
+@query("""WITH q AS (SELECT vec_id AS qid, list_transform(CAST(embedding AS DOUBLE[]), lambda x, i: x + CASE WHEN i % 2 = 1 THEN 0.01 ELSE -0.01 END) AS qv FROM embeddings WHERE vec_id % 20 = 0),
+r AS (SELECT qid, vec_id AS chunk_id, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM (SELECT qid, vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), qv), 9) AS score FROM embeddings, q WHERE vec_id % 3 <> 0 OR vec_id % 2 = 0))
+SELECT qid, chunk_id, score, rank FROM r WHERE rank <= 5""")
+def vector_index_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index built from some vectors, with the others added, a third removed and half of those put back; all cells probed, so the rows are exact."""
+    v = vectors(spark, sf_dir)
+    index = VectorIndex(spark, _folder(spark)).build(v.where("chunk_id % 5 <> 0"))
+    index.add(v.where("chunk_id % 5 = 0"))
+    index.remove(v.where("chunk_id % 3 = 0").select("chunk_id"))
+    index.add(v.where("chunk_id % 6 = 0"))
+    index.compact()
+    return index.search(_asked_vectors(spark, sf_dir), 5, probes=1 << 20, refine=1 << 20).select("qid", "chunk_id", "score", "rank")

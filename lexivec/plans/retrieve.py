@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lexivec.operators import context, fusion, graph, rerank, rewrite, search
 from lexivec.operators.chunking import fixed_stride
-from lexivec.operators.corpus import Corpus, insert_triples, upsert
+from lexivec.operators.corpus import Corpus, new_triples, one_per_key
 from lexivec.operators.embedding import hash_embedding
 from lexivec.schema import check_top_k
 from lexivec.sources import readers
@@ -90,9 +90,9 @@ def prepare_chunks(docs: DataFrame, first_seq: int = 0, size: int = 512, overlap
 
 
 def ingest(corpus: Corpus, source: str, kind: str = "text", metadata: dict | None = None, on_conflict: str = "replace", embed: Callable[[Column], Column] | None = None, extract: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Load, chunk, embed and store a source; gives the job's row (job_id, status, chunk_ids).
+    """Load, chunk, embed and store a source; gives the job's row (job_id, status, n_chunks).
 
-    Documents, chunks and triples become current together or not at all. The request's metadata is added to the documents' own and wins.
+    Documents, chunks and triples become current together or not at all; what is written is the source's own, whatever the corpus holds. The request's metadata is added to the documents' own and wins.
     """
     spark = corpus.spark
     docs = readers.load(spark, kind, source)
@@ -101,16 +101,21 @@ def ingest(corpus: Corpus, source: str, kind: str = "text", metadata: dict | Non
         docs = docs.withColumn("metadata", F.map_concat(F.map_filter("metadata", lambda k, _: ~k.isin([*map(str, metadata)])), extra))
     docs = docs.withColumn("ingest_seq", F.lit(corpus.version()).cast("bigint"))
     chunks = corpus.staged(prepare_chunks(docs, corpus.next_seq(), embed=embed))  # a chunk has one seq, in whatever is made of it
-    stored = upsert(corpus.table("chunks"), chunks, on_conflict)
-    held = corpus.table("documents")
-    tables = {"chunks": stored, "documents": held.join(docs.select("doc_id"), "doc_id", "left_anti").select(*held.columns).unionByName(docs.select(*held.columns))}
+    job = _job_id(source, kind, corpus.version())
+    rows = chunks.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").select(F.lit(job).alias("job_id"), "doc_id", "start_char", "chunk_id")
+    done = chunks.agg(F.lit(job).alias("job_id"), F.lit("done").alias("status"), F.count("*").alias("n_chunks"))
+    append = {"chunks": chunks, "documents": docs, "jobs": done, "job_chunks": rows}
+    gone = {("documents",): docs.select("doc_id")}
+    if on_conflict == "replace":
+        append["chunks"], gone[("chunks",)] = one_per_key(chunks, ["chunk_id"], last=True), chunks.select("chunk_id")
+    elif on_conflict == "ignore":
+        append["chunks"] = one_per_key(chunks.join(corpus.table("chunks").select("chunk_id"), "chunk_id", "left_anti"), ["chunk_id"], last=False)
+    else:
+        raise ValueError(f"on_conflict must be 'replace' or 'ignore', not {on_conflict!r}")
     if extract:
-        tables["triples"] = insert_triples(corpus.table("triples"), extract(chunks))
-    job = F.sha2(F.concat_ws("|", F.lit(source), F.lit(kind), F.lit(corpus.version()).cast("string")), 256)
-    ids = docs.select("doc_id").join(chunks.select("doc_id", "chunk_id", "start_char"), "doc_id").groupBy().agg(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "start_char", "chunk_id"))), lambda x: x["chunk_id"]).alias("chunk_ids"))
-    row = ids.select(job.alias("job_id"), F.lit("done").alias("status"), "chunk_ids")
-    v = corpus.commit(append={"jobs": row}, **tables)
-    return corpus.table("jobs", v).where(F.col("job_id") == F.lit(_job_id(source, kind, v - 1)))
+        append["triples"] = new_triples(corpus.table("triples"), extract(chunks))
+    v = corpus.commit(append=append, gone=gone)
+    return corpus.table("jobs", v).where(F.col("job_id") == F.lit(job))
 
 
 def _job_id(source: str, kind: str, version: int) -> str:
@@ -120,7 +125,12 @@ def _job_id(source: str, kind: str, version: int) -> str:
 
 
 def job_status(corpus: Corpus, job_id: str) -> DataFrame:
-    """(job_id, status, chunk_ids); an id that no job has is ``unknown``."""
+    """(job_id, status, n_chunks); an id that no job has is ``unknown``. ``job_chunks`` has the chunks."""
     asked = corpus.spark.createDataFrame([(job_id,)], "job_id string")
     found = asked.join(corpus.table("jobs"), "job_id", "left")
-    return found.select("job_id", F.coalesce("status", F.lit("unknown")).alias("status"), F.coalesce("chunk_ids", F.array().cast("array<string>")).alias("chunk_ids"))
+    return found.select("job_id", F.coalesce("status", F.lit("unknown")).alias("status"), F.coalesce("n_chunks", F.lit(0).cast("bigint")).alias("n_chunks"))
+
+
+def job_chunks(corpus: Corpus, job_id: str) -> DataFrame:
+    """(job_id, doc_id, start_char, chunk_id): what a job has made, a row for each chunk."""
+    return corpus.table("job_chunks").where(F.col("job_id") == F.lit(job_id))

@@ -12,7 +12,9 @@ DOCUMENT = "doc_id string, content string, metadata map<string,string>, source s
 CHUNK = "chunk_id string, doc_id string, content string, embedding array<double>, metadata map<string,string>, start_char int, end_char int, seq bigint"
 TRIPLE = "subject string, predicate string, object string, doc_id string, seq bigint"
 SCORED = "qid string, chunk_id string, seq bigint, score double, rank int, retrieval_method string"
-JOB = "job_id string, status string, chunk_ids array<string>"
+#: A job's chunks are rows of their own: an ingest may have any number of them.
+JOB = "job_id string, status string, n_chunks bigint"
+JOB_CHUNK = "job_id string, doc_id string, start_char int, chunk_id string"
 
 STRATEGIES = ("passthrough", "multi_query", "hyde", "step_back", "entity_expand")
 

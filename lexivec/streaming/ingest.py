@@ -9,6 +9,10 @@ from pyspark.sql.streaming import StreamingQuery
 from lexivec.operators.chunking import fixed_stride
 
 
+#: Batches of an upserting stream after which its tables are written whole.
+COMPACT = 64
+
+
 def stream_chunks(docs: DataFrame, size: int = 512, overlap: int = 64) -> DataFrame:
     """Chunks of a stream of documents (doc_id, content, ...): stateless, so any output mode and trigger will do."""
     return fixed_stride(docs, size, overlap)
@@ -27,17 +31,19 @@ def ingest_stream(spark: SparkSession, path: str, schema: str, out: str, checkpo
 def upsert_stream(docs: DataFrame, corpus, checkpoint: str) -> StreamingQuery:
     """Keep a corpus' chunks current with a stream of documents (doc_id, content, metadata, source).
 
-    A batch that is run again replaces its own rows with equal ones.
+    A batch writes its own documents and chunks and the ids of its documents, which are gone from what older batches wrote; every ``COMPACT`` batches
+    the tables are written whole. A batch that is run again replaces its own rows with equal ones.
     """
-    from lexivec.operators.corpus import upsert
+    from lexivec.operators.corpus import one_per_key
     from lexivec.plans.retrieve import prepare_chunks
 
-    def apply(batch: DataFrame, _: int) -> None:
+    def apply(batch: DataFrame, number: int) -> None:
         chunks = corpus.staged(prepare_chunks(batch, corpus.next_seq()))
-        old = corpus.table("chunks").join(batch.select("doc_id"), "doc_id", "left_anti").select(*corpus.table("chunks").columns)
-        docs = corpus.table("documents")
-        new = batch.withColumn("ingest_seq", F.lit(corpus.version()).cast("bigint")).select(*docs.columns)
-        corpus.commit(chunks=upsert(old, chunks), documents=upsert(docs.withColumn("seq", F.lit(0)), new.withColumn("seq", F.lit(1)), key="doc_id").drop("seq"))
+        new = batch.withColumn("ingest_seq", F.lit(corpus.version()).cast("bigint"))
+        append = {"chunks": one_per_key(chunks, ["chunk_id"], last=True), "documents": one_per_key(new, ["doc_id"], last=True, order="ingest_seq")}
+        corpus.commit(append=append, gone={("documents", "chunks"): batch.select("doc_id")})
+        if number % COMPACT == COMPACT - 1:
+            corpus.compact()
 
     return docs.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

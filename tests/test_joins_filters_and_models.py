@@ -127,7 +127,7 @@ def test_the_later_of_two_writers_is_refused(spark, tmp_path, monkeypatch):
 def test_unchanged_tables_are_named_again_and_vacuum_removes(spark, tmp_path):
     made = corpus(spark, tmp_path, "one", "two")
     first = made._folders(1)["documents"]
-    made.commit(append={"jobs": spark.createDataFrame([("j", "done", [])], schema.JOB)})
+    made.commit(append={"jobs": spark.createDataFrame([("j", "done", 0)], schema.JOB)})
     assert made._folders(2)["documents"] == first
     made.delete(["0"])
     assert made.table("documents", 1).count() == 2

@@ -97,7 +97,7 @@ def served(spark, tmp_path_factory):
 
 def test_service(spark, served):
     s, job = served
-    assert job.status == "done" and len(job.chunk_ids) == 2
+    assert job.status == "done" and job.n_chunks == 2
     assert s.job(job.job_id).first().status == "done" and s.job("none").first().status == "unknown"
     hits = s.retrieve({"query": "keyword index", "top_k": 1}).collect()
     assert "keyword" in hits[0].content and hits[0].metadata["lang"] == "en"
