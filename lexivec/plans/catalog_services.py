@@ -9,14 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexivec import schema
-from lexivec.functions.text import chunk_id
+from lexivec.functions.text import chunk_id, words
 from lexivec.operators import context, corpus, embedding, graph, rerank, rewrite, search
 from lexivec.operators.corpus import Corpus
+from lexivec.operators.text_index import STOP_WORDS, TextIndex, analysed_words
 from lexivec.operators.vector_index import VectorIndex
 from lexivec.plans import cache, retrieve, service
 from lexivec.plans.catalog import _ranked, _stream_base, benchmark_queries, chunks, documents, place, table, triples, vectors
 from lexivec.plans.catalog_analytics import query, running_totals
-from lexivec.plans.oracles import RANKED, B, C, D, T, WS, _assembled, _jaccard
+from lexivec.plans.oracles import ORACLES, RANKED, B, C, D, T, WS, _assembled, _jaccard
 from lexivec.sources import readers
 from lexivec.sources.settings import Settings
 
@@ -368,3 +369,42 @@ def vector_index_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     index.add(v.where("chunk_id % 6 = 0"))
     index.compact()
     return index.search(_asked_vectors(spark, sf_dir), 5, probes=1 << 20, refine=1 << 20).select("qid", "chunk_id", "score", "rank")
+
+
+@query(ORACLES["bm25_search"])
+def bm25_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows as ``bm25_search``, from stored postings with block bounds."""
+    index = TextIndex(spark, _folder(spark)).add(documents(spark, sf_dir))
+    return index.bm25(benchmark_queries(spark, sf_dir), 5).select("qid", "chunk_id", "score", "rank")
+
+
+def _phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three words from the third on of each benchmark text."""
+    b = benchmark_queries(spark, sf_dir)
+    return b.select("qid", F.array_join(F.slice(words(F.col("query")), 3, 3), " ").alias("query"))
+
+
+@query(f"""WITH {D}, {B}, w AS (SELECT chunk_id, unnest(ws) AS t, unnest(range(1, len(ws) + 1)) AS i FROM (SELECT chunk_id, {WS.format("content")} AS ws FROM d)),
+p AS (SELECT qid, len(ph) AS m, unnest(ph) AS t, unnest(range(1, len(ph) + 1)) AS j FROM (SELECT qid, list_slice({WS.format("query")}, 3, 5) AS ph FROM q)),
+h AS (SELECT qid, chunk_id, i - j AS start FROM w JOIN p USING (t) GROUP BY qid, chunk_id, i - j, m HAVING count(*) = m)
+SELECT qid, chunk_id, count(*) AS n FROM h GROUP BY qid, chunk_id""")
+def phrase_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each document holds three words of each benchmark text in a row."""
+    return TextIndex(spark, _folder(spark)).add(documents(spark, sf_dir)).phrases(_phrases(spark, sf_dir)).select("qid", "chunk_id", "n")
+
+
+def _kept(column: str) -> str:
+    """A text's words as the analyser leaves them."""
+    bare = f"list_transform({WS.format(f'strip_accents(lower({column}))')}, lambda w: regexp_replace(w, '^[^\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+$', '', 'g'))"
+    return f"list_transform({bare}, lambda w: CASE WHEN w <> '' AND w NOT IN ({', '.join(map(repr, STOP_WORDS))}) THEN w END)"
+
+
+@query(f"""WITH {D}, {B}, w AS (SELECT chunk_id, unnest(ws) AS t, unnest(range(1, len(ws) + 1)) AS i FROM (SELECT chunk_id, {_kept("content")} AS ws FROM d)),
+p AS (SELECT qid, len(ph) AS m, unnest(ph) AS t FROM (SELECT qid, list_distinct(list_filter({_kept(f"array_to_string(list_slice({WS.format('query')}, 3, 5), ' ')")}, lambda w: w IS NOT NULL)) AS ph FROM q)),
+h AS (SELECT qid, chunk_id, m, i, t FROM w JOIN p USING (t)),
+e AS (SELECT a.qid, a.chunk_id, a.i FROM h a JOIN h b ON a.qid = b.qid AND a.chunk_id = b.chunk_id AND b.i BETWEEN a.i - 7 AND a.i GROUP BY a.qid, a.chunk_id, a.i, a.m HAVING count(DISTINCT b.t) = a.m)
+SELECT qid, chunk_id, count(*) AS n FROM e GROUP BY qid, chunk_id""")
+def near_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where three words of each benchmark text, without marks and punctuation, stand within eight places, in any order."""
+    index = TextIndex(spark, _folder(spark), analysed_words()).add(documents(spark, sf_dir))
+    return index.near(_phrases(spark, sf_dir), 8).select("qid", "chunk_id", "n")
