@@ -92,3 +92,54 @@ def test_delete_forms(spark):
     gone = spark.createDataFrame([("d1",), ("zz",)], "doc_id string")
     for form in ("d1", ["d1", "zz"], gone):
         assert sorted(r.chunk_id for r in corpus.delete_documents(rows, form).collect()) == ["b", "c"]
+
+
+def test_names_in_texts_are_those_of_plain_search(spark):
+    rng = random.Random(2)
+    texts = ["".join(rng.choices("abAB ", k=rng.randint(0, 12))).lower() for _ in range(300)] + [None, ""]
+    names = ["", "a", "ab", "aba", "b b", "bb", "zz", "ba", "aaaa"]
+    rows = spark.createDataFrame([(i, t, texts[-i - 1]) for i, t in enumerate(texts)], "i int, s string, o string").repartition(3)
+    for own in (names, names[1:], [], [""]):
+        got = {(r["i"], r["_name"]) for r in graph.held_names(rows, ["s", "o"], own).collect()}
+        assert got == {(i, n) for i, t in enumerate(texts) for n in own if any(x is not None and n in x for x in (t, texts[-i - 1]))}
+
+
+def test_walks_take_new_names_only_and_give_what_whole_walks_give(spark, monkeypatch):
+    rng = random.Random(4)
+    names = [f"n{i}" for i in range(25)]
+    rows = [(rng.choice(names), "p", rng.choice(names), "d", i) for i in range(30)]
+    t = spark.createDataFrame(rows, "subject string, predicate string, object string, doc_id string, seq bigint")
+    e = spark.createDataFrame([(1, "N1"), (2, "n20"), (3, "none"), (3, None)], "qid int, entity string")
+    asked = []
+    plain = graph.matches
+    monkeypatch.setattr(graph, "matches", lambda triples, frontier, exact=False: asked.append({(r["qid"], (r["entity"] or "").lower()) for r in frontier.collect()}) or plain(triples, frontier, exact))
+    for exact in (True, False):
+        for depth in (1, 2, 3, 9):
+            asked.clear()
+            got = {(r["qid"], r["subject"], r["object"]) for r in graph.neighbourhood(t, e, depth, exact).collect()}
+            held = lambda name, end: name == end if exact else name in end
+            known = {(q, s, o) for q, n in ((1, "n1"), (2, "n20")) for s, _, o, *_ in rows if held(n, s) or held(n, o)}
+            for _ in range(depth - 1):
+                known |= {(q, s, o) for q, a, b in known for n in (a, b) for s, _, o, *_ in rows if held(n, s) or held(n, o)}
+            assert got == known
+            assert sum(map(len, asked)) == len(set().union(*asked))  # no name twice
+
+
+def test_paths_from_both_ends_are_those_from_one(spark):
+    rng = random.Random(6)
+    names = "abcdefg"
+    edges = sorted({(rng.choice(names), rng.choice(names)) for _ in range(18)})
+    t = spark.createDataFrame([(a, "p", b, "d", i) for i, (a, b) in enumerate(edges)] * 2, "subject string, predicate string, object string, doc_id string, seq bigint")
+    pairs = [(i, a, b) for i, (a, b) in enumerate((a, b) for a in "abc" for b in "aefg")]
+
+    def walk(path, target, most):
+        if path[-1] == target:
+            yield path
+        elif len(path) <= most:
+            for a, b in edges:
+                if a == path[-1] and b not in path:
+                    yield from walk([*path, b], target, most)
+
+    for most in (1, 2, 3, 4):
+        got = sorted((r["qid"], r["hops"], r["path"]) for r in graph.paths(t, spark.createDataFrame(pairs, "qid int, source string, target string"), most).collect())
+        assert got == sorted((q, len(p) - 1, p) for q, a, b in pairs if a != b for p in walk([a], b, most))
