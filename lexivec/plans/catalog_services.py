@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexivec import schema
+from lexivec import contracts, schema
 from lexivec.functions.text import chunk_id, words
 from lexivec.operators import context, corpus, embedding, graph, rerank, rewrite, search
 from lexivec.operators.corpus import Corpus
@@ -408,3 +408,28 @@ def near_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where three words of each benchmark text, without marks and punctuation, stand within eight places, in any order."""
     index = TextIndex(spark, _folder(spark), analysed_words()).add(documents(spark, sf_dir))
     return index.near(_phrases(spark, sf_dir), 8).select("qid", "chunk_id", "n")
+
+
+@query("""SELECT conv_id, turn, CASE (conv_id + turn) % 7
+  WHEN 0 THEN CASE WHEN text IS NULL THEN 'query: field required' ELSE '' END
+  WHEN 1 THEN CASE WHEN text IS NULL THEN 'query: field required|' ELSE '' END || 'top_k: at least 0 required'
+  WHEN 2 THEN 'query: field required|top_k: integer required'
+  WHEN 3 THEN CASE WHEN text IS NULL THEN 'query: field required|' ELSE '' END || 'role: unknown field'
+  WHEN 4 THEN CASE WHEN text IS NULL THEN 'query: field required|' ELSE '' END || 'rewrite_strategies[1]: one of passthrough, multi_query, hyde, step_back, entity_expand required'
+  WHEN 5 THEN 'body: object required'
+  ELSE 'body: not JSON' END AS errors FROM conversations""")
+def request_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn of the conversations as the body of a query call, sound or with one of several faults, and what the contract says of it."""
+    c = table(spark, sf_dir, "conversations")
+    kind, q = F.col("conv_id") + F.col("turn"), F.col("text").alias("query")
+    bodies = [
+        F.to_json(F.struct(q, F.lit(5).alias("top_k"), F.array(F.lit("hyde")).alias("rewrite_strategies"))),
+        F.to_json(F.struct(q, F.lit(-1).alias("top_k"))),
+        F.to_json(F.struct(F.lit("5").alias("top_k"))),
+        F.to_json(F.struct(q, F.col("role"))),
+        F.to_json(F.struct(q, F.array(F.lit("passthrough"), F.lit("other")).alias("rewrite_strategies"))),
+        F.get_json_object(F.to_json(F.struct(F.array("text").alias("t"))), "$.t"),
+        F.concat(F.lit("{"), F.col("text")),
+    ]
+    body = F.get(F.array(*bodies), (kind % 7).cast("int"))
+    return c.select("conv_id", "turn", F.array_join(contracts.errors(contracts.QUERY_REQUEST, body), "|").alias("errors"))
