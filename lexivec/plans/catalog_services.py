@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lexivec import contracts, schema
 from lexivec.functions.text import chunk_id, words
-from lexivec.operators import context, corpus, embedding, graph, rerank, rewrite, search
+from lexivec.operators import chunking, context, corpus, embedding, graph, rerank, rewrite, search
 from lexivec.operators.corpus import Corpus
 from lexivec.operators.text_index import STOP_WORDS, TextIndex, analysed_words
 from lexivec.operators.vector_index import VectorIndex
@@ -433,3 +433,12 @@ def request_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     ]
     body = F.get(F.array(*bodies), (kind % 7).cast("int"))
     return c.select("conv_id", "turn", F.array_join(contracts.errors(contracts.QUERY_REQUEST, body), "|").alias("errors"))
+
+
+@query(r"""WITH l AS (SELECT doc_id, lang, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i, string_split(text, chr(10)) AS ls FROM documents)
+SELECT doc_id, lang, CAST(start AS INTEGER) AS start_char, CAST(start + length(line) AS INTEGER) AS end_char, md5(line) AS content_md5
+FROM (SELECT *, coalesce(list_sum(list_transform(ls[1:i-1], lambda x: length(x) + 1)), 0) AS start FROM l) WHERE regexp_matches(line, '[^ \t\n\x0b\f\r]')""")
+def chunk_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by the chunker of paragraphs, a table function."""
+    docs = table(spark, sf_dir, "documents").withColumnRenamed("text", "content")
+    return chunking.chunk(docs, "paragraphs").select("doc_id", "lang", "start_char", "end_char", F.md5(F.col("content").cast("binary")).alias("content_md5"))
