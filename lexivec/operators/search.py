@@ -25,8 +25,8 @@ from lexivec.workers import ship
 
 #: A batch of up to so many queries, as counted, travels to the chunks whole; a larger one is cut into blocks.
 BATCH = 4096
-#: Chunks of a slice that a block of queries meets; chunks scored at a time; words of a matrix product.
-SLICE, PIECE, WORDS = 65_536, 512, 1024
+#: Chunks of a slice that a block of queries meets, and their bytes; chunks scored at a time; words of a matrix product.
+SLICE, SLICE_BYTES, PIECE, WORDS = 65_536, 64 << 20, 512, 1024
 
 
 def metadata_filter(chunks: DataFrame, filters: dict | None) -> DataFrame:
@@ -93,9 +93,23 @@ def with_queries(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     return a.join(b, ["_block", "_slice"]).drop("_block", "_slice")
 
 
+def _bytes(df: DataFrame) -> Column:
+    """About how many bytes a row's texts and lists take."""
+    sizes = []
+    for c, kind in df.dtypes:
+        if kind == "string":
+            sizes.append(F.octet_length(c))
+        elif kind == "array<string>":
+            sizes.append(F.aggregate(c, F.lit(0).cast("bigint"), lambda n, x: n + 4 + F.coalesce(F.octet_length(x), F.lit(0))))
+        elif kind.startswith("array"):
+            sizes.append(8 * F.size(c))
+    return reduce(lambda a, b: a + b, [F.coalesce(s, F.lit(0)) for s in sizes], F.lit(16).cast("bigint"))
+
+
 def _dealt(chunks: DataFrame, queries: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
-    """Chunks with a slice, once for each block; queries with a block, once for each slice."""
-    blocks, slices = -(-n // BATCH), -(-max(1, chunks.count()) // SLICE)
+    """Chunks with a slice, once for each block; queries with a block, once for each slice. A slice holds about ``SLICE`` chunks or ``SLICE_BYTES`` of them."""
+    rows, size = chunks.agg(F.count("*"), F.coalesce(F.sum(_bytes(chunks)), F.lit(0))).first()
+    blocks, slices = -(-n // BATCH), max(1, -(-rows // SLICE), -(-size // SLICE_BYTES))
     every = lambda m: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(m - 1).cast("bigint")))
     own = chunks.withColumn("_slice", F.pmod(F.xxhash64("chunk_id"), F.lit(slices))).withColumn("_block", every(blocks))
     return own, queries.withColumn("_block", F.pmod(F.xxhash64("qid"), F.lit(blocks))).withColumn("_slice", every(slices))

@@ -126,3 +126,17 @@ def test_measures(spark):
     assert not evaluate.overlap_ratio(r, none, key="doc_id").first().passes
     assert evaluate.within_tolerance(r, r).first().passes
     assert not evaluate.within_tolerance(r, r.where("rank = 1")).first().passes
+
+
+def test_slices_are_bounded_by_bytes(spark, monkeypatch):
+    """Long texts make more slices; the rows are the same."""
+    c = spark.createDataFrame([(f"c{i}", i, f"w{i % 7} w{i % 11} " + "long " * (i % 50), [float(i % 3), 1.0]) for i in range(120)], "chunk_id string, seq bigint, content string, embedding array<double>")
+    q = spark.createDataFrame([(i, f"w{i} long", [1.0, float(i)]) for i in range(9)], "qid int, query string, query_vector array<double>")
+    rows = lambda df: sorted((r["qid"], r["rank"], r["chunk_id"], r["score"]) for r in df.collect())
+    searches = (search.text_search, search.bm25_search, search.vector_search)
+    want = [rows(f(c, q, 4)) for f in searches]
+    monkeypatch.setattr(search, "BATCH", 4)
+    monkeypatch.setattr(search, "SLICE_BYTES", 2000)
+    assert [rows(f(c, q, 4)) for f in searches] == want
+    own, _ = search._dealt(c.select("chunk_id", "content"), q, 9)
+    assert own.select("_slice").distinct().count() > 5
