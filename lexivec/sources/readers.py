@@ -8,6 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexivec.sources.archives import read_archives
+
 Loader = Callable[[SparkSession, str], DataFrame]
 _loaders: dict[str, Loader] = {}
 
@@ -121,5 +123,6 @@ loader("string")(lambda spark, source: read_strings(spark, [source]))
 loader("table")(read_table)
 loader("pages")(read_pages)
 loader("blobs")(read_blobs)
+loader("archives")(read_archives)
 #: A source of this kind is named by a JDBC url and a table, with a space between.
 loader("database")(lambda spark, source: read_database(spark, *source.rsplit(" ", 1)))
