@@ -1,12 +1,11 @@
 """Exact top-k by inner product with no random access.
 
-Vectors are cut into blocks; in a block every component has its values sorted. For a query, each component is a list: read from the top where the
-query's component is positive, from the bottom where it is negative, all to the same depth. What was read gives every
-candidate a lower bound (what was seen, with the worst value for the rest) and an upper bound (what was seen, with the last value read for the rest).
-No upper bound is below the sum of the values read last, so until that sum falls below the k-th score known (the k-th lower bound here, or the
-k-th score that earlier blocks of the task have given) reading goes on without looking at candidates. From there on it goes in steps, each half of what is left: outsiders, whose
-upper bound is below that score, are out for good, and the k-th lower bound of the rest may raise it. Reading stops when the candidates left are few
-(``FEW`` for each one wanted, or one in ``SHARE`` of the block), and their scores are resolved; in the worst case the lists are read to their ends.
+Vectors are cut into blocks; in a block every component is a list of (candidate, value) entries in order of value. A query reads the lists of its components
+other than 0 in turns of equal depth, from the top where its component is positive, from the bottom where it is negative. What was read is added up for each candidate met, and
+which of its entries were: with the least value of the lists for the rest this bounds its score from below, with the values read last from above. Nobody not met yet can have more than the sum of
+the values read last; until that falls below the k-th score known (the k-th lower bound here, or the k-th score that earlier blocks of the task have given),
+reading goes on. From there on outsiders, whose upper bound is below that score, are out for good, and the k-th lower bound of the rest may raise it. Reading stops when nobody
+but few candidates is left (``FEW`` for each one wanted, or one in ``SHARE`` of the block), and their scores are resolved; in the worst case the lists are read to their ends.
 A task's first block is read in pieces of growing size, so that the k-th score is soon known.
 
 Candidate blocks meet the queries' blocks as they lie if the queries are small, as measured, and are then broadcast; else in a grid of query blocks and
@@ -30,8 +29,8 @@ from pyspark.sql.window import Window
 
 from lexivec.llm.runtime import BROADCAST_BYTES, durable, short_batches
 
-#: Rows and bytes of a block, rows of the first piece, queries whose lists are read together.
-CANDIDATES, QUERIES, BLOCK_BYTES, FIRST, TOGETHER = 4096, 16384, 16 << 20, 256, 256
+#: Rows and bytes of a block, rows of the first piece, turns in which lists are read to their ends.
+CANDIDATES, QUERIES, BLOCK_BYTES, FIRST, TURNS = 4096, 16384, 16 << 20, 256, 12
 #: Candidates left per wanted one, and their share of a block, at which reading stops.
 FEW, SHARE = 4, 16
 
@@ -43,40 +42,46 @@ def _exact(x: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 class Block:
-    """Candidates with the values of their sorted lists."""
+    """Candidates with a list of (candidate, value) for each component, in order of value."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray):
-        self.ids, self.x = ids, np.ascontiguousarray(x.T)  # one row for each component
-        self.sorted = np.ascontiguousarray(np.sort(self.x, axis=1)[:, ::-1])  # from the top
+        self.ids, self.x = ids, x
+        order = np.argsort(-x.T, axis=1, kind="stable")
+        self.order, self.values = order.astype(np.int32), np.take_along_axis(np.ascontiguousarray(x.T), order, 1)
 
-    def last_sums(self, q: np.ndarray) -> np.ndarray:
-        """For each query and depth, the sum of the values read last: what a candidate seen nowhere may still reach."""
-        return np.maximum(q, 0) @ self.sorted + np.minimum(q, 0) @ self.sorted[:, ::-1]
-
-    def best(self, query_id: int, q: np.ndarray, k: int, floor: float = -np.inf, sums: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int]:
+    def best(self, query_id: int, q: np.ndarray, k: int, floor: float = -np.inf) -> tuple[np.ndarray, np.ndarray, int]:
         """(candidate ids, scores, entries read of each list) of the query's best k here that score ``floor`` or more."""
-        n = len(self.ids)
-        sums = self.last_sums(q[None, :])[0] if sums is None else sums
-        worst = np.where(q > 0, self.sorted[:, -1], self.sorted[:, 0])[:, None]
-        up, low_end, high_end = (q > 0)[:, None], np.array(-np.inf, self.x.dtype), np.array(np.inf, self.x.dtype)
-        # the first depth at which an unseen candidate can't qualify, if a score is known
-        depth = 0 if floor == -np.inf else min(n, int(np.searchsorted(-sums, -floor, "right")))
-        live, x = np.arange(n), self.x
-        while True:
-            depth = min(n, depth + max(1, (n - depth) // 2)) if n - depth > n // SHARE else n
-            top, bottom = self.sorted[:, depth - 1, None], self.sorted[:, n - depth, None]
-            # a component read already lies beyond the last value read; one that isn't may at most reach it
-            high = q @ np.clip(x, np.where(up, top, low_end), np.where((q < 0)[:, None], bottom, high_end))
-            held = np.flatnonzero((high >= floor) & (self.ids[live] != query_id))
-            live, x, high = live[held], x[:, held], high[held]
+        n, known = len(self.ids), floor > -np.inf
+        down, up = np.flatnonzero(q < 0), np.flatnonzero(q > 0)
+        lists = np.concatenate([up, down])
+        weights, places = q[lists].astype(np.float64), np.arange(len(lists))[:, None]
+        worst = weights * np.concatenate([self.values[up, -1], self.values[down, 0]])
+        low, seen, live, depth = np.full(n, worst.sum()), np.zeros((n, len(lists)), bool), None, 0
+        while depth < n and len(lists):
+            start, depth = depth, min(n, depth + -(-n // TURNS))
+            met = np.concatenate([self.order[up, start:depth], self.order[down, n - depth : n - start]])
+            read = np.concatenate([self.values[up, start:depth], self.values[down, n - depth : n - start]])
+            low += np.bincount(met.ravel(), (weights[:, None] * read - worst[:, None]).ravel(), n)
+            seen[met, places] = True
+            last = weights * np.concatenate([read[: len(up), -1], read[len(up) :, 0]])
+            if depth == n:
+                break
+            if live is None:
+                others = np.empty(0) if known else low[self.ids != query_id]
+                if len(others) > k:
+                    floor = max(floor, float(np.partition(others, len(others) - k)[len(others) - k]))
+                if last.sum() >= floor:
+                    continue  # someone not met yet may still qualify
+                live = np.flatnonzero(seen.any(axis=1) & (self.ids != query_id))
+            high = low[live] + (~seen[live]).astype(np.float64) @ (last - worst)
             if len(live) > k:
-                low = q @ np.where(np.where(up, x >= top, x <= bottom), x, worst)
-                floor = max(floor, float(np.partition(low, len(low) - k)[len(low) - k]))
-                held = np.flatnonzero(high >= floor)
-                live, x = live[held], x[:, held]
-            if depth == n or len(live) <= max(FEW * k, n // SHARE):
+                floor = max(floor, float(np.partition(low[live], len(live) - k)[len(live) - k]))
+            live = live[high >= floor]
+            if len(live) <= max(FEW * k, n // SHARE):
                 break
-        score = q @ x
+        if live is None:
+            live = np.flatnonzero(self.ids != query_id)
+        score = self.x[live] @ q
         order = np.lexsort((self.ids[live], -score))[:k]
         order = order[score[order] >= floor]
         return self.ids[live[order]], score[order], depth
@@ -119,12 +124,10 @@ def _search(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
             tops, out = best[block], []
             for a, b in zip(cuts, cuts[1:], strict=False):
                 held = Block(ids[a:b], x[a:b])
-                for i in range(0, len(asks), TOGETHER):
-                    sums = held.last_sums(q[i : i + TOGETHER])
-                    for j, ask in enumerate(asks[i : i + TOGETHER].tolist(), i):
-                        found, score, _ = held.best(ask, q[j], k, float(tops[j].min()), sums[j - i])
-                        tops[j] = np.sort(np.concatenate([tops[j], score]))[-k:]
-                        out.append((np.full(len(found), ask), found, score))
+                for j, ask in enumerate(asks.tolist()):
+                    found, score, _ = held.best(ask, q[j], k, float(tops[j].min()))
+                    tops[j] = np.sort(np.concatenate([tops[j], score]))[-k:]
+                    out.append((np.full(len(found), ask), found, score))
             row, found, score = (np.concatenate(y) for y in zip(*out, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(found, pa.int64()), pa.array(score.astype(np.float64).astype(np.int64))], names=["query_id", "vec_id", "score"])
 
