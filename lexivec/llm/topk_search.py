@@ -46,39 +46,41 @@ class Block:
 
     def __init__(self, ids: np.ndarray, x: np.ndarray):
         self.ids, self.x = ids, x
-        order = np.argsort(-x.T, axis=1, kind="stable")
-        self.order, self.values = order.astype(np.int32), np.take_along_axis(np.ascontiguousarray(x.T), order, 1)
+        self.order = np.argsort(-x.T, axis=1, kind="stable")
+        self.values = np.take_along_axis(np.ascontiguousarray(x.T), self.order, 1)
+        self.place = np.empty(x.shape, np.int16 if len(ids) < 1 << 15 else np.int32)  # where in each list a candidate's entry is
+        self.place[self.order, np.arange(x.shape[1])[:, None]] = np.arange(len(ids))
 
     def best(self, query_id: int, q: np.ndarray, k: int, floor: float = -np.inf) -> tuple[np.ndarray, np.ndarray, int]:
         """(candidate ids, scores, entries read of each list) of the query's best k here that score ``floor`` or more."""
         n, known = len(self.ids), floor > -np.inf
         down, up = np.flatnonzero(q < 0), np.flatnonzero(q > 0)
         lists = np.concatenate([up, down])
-        weights, places = q[lists].astype(np.float64), np.arange(len(lists))[:, None]
+        weights = q[lists].astype(np.float64)
         worst = weights * np.concatenate([self.values[up, -1], self.values[down, 0]])
-        low, seen, live, depth = np.full(n, worst.sum()), np.zeros((n, len(lists)), bool), None, 0
+        sums, live, depth = np.zeros(n), None, 0
         while depth < n and len(lists):
             start, depth = depth, min(n, depth + -(-n // TURNS))
             met = np.concatenate([self.order[up, start:depth], self.order[down, n - depth : n - start]])
             read = np.concatenate([self.values[up, start:depth], self.values[down, n - depth : n - start]])
-            low += np.bincount(met.ravel(), (weights[:, None] * read - worst[:, None]).ravel(), n)
-            seen[met, places] = True
+            sums += np.bincount(met.ravel(), (weights[:, None] * read).ravel(), n)
             last = weights * np.concatenate([read[: len(up), -1], read[len(up) :, 0]])
             if depth == n:
                 break
-            if live is None:
-                others = np.empty(0) if known else low[self.ids != query_id]
-                if len(others) > k:
-                    floor = max(floor, float(np.partition(others, len(others) - k)[len(others) - k]))
-                if last.sum() >= floor:
-                    continue  # someone not met yet may still qualify
-                live = np.flatnonzero(seen.any(axis=1) & (self.ids != query_id))
-            high = low[live] + (~seen[live]).astype(np.float64) @ (last - worst)
-            if len(live) > k:
-                floor = max(floor, float(np.partition(low[live], len(live) - k)[len(live) - k]))
-            live = live[high >= floor]
-            if len(live) <= max(FEW * k, n // SHARE):
-                break
+            if live is None and known and last.sum() >= floor:
+                continue  # someone not met yet may still qualify
+            some = np.flatnonzero(self.ids != query_id) if live is None else live
+            at = self.place if len(some) == n else self.place[some]
+            rest = ((at >= np.where(q > 0, depth, 0).astype(at.dtype)) & (at < np.where(q < 0, n - depth, n).astype(at.dtype))).astype(self.x.dtype)  # entries not read yet
+            ends = np.zeros((len(q), 2), self.x.dtype)
+            ends[lists, 0], ends[lists, 1] = last, worst
+            high, low = (sums[some, None] + rest @ ends).T
+            if len(some) > k:
+                floor = max(floor, float(np.partition(low, len(low) - k)[len(low) - k]))
+            if last.sum() < floor:
+                live = some[high >= floor]
+                if len(live) <= max(FEW * k, n // SHARE):
+                    break
         if live is None:
             live = np.flatnonzero(self.ids != query_id)
         score = self.x[live] @ q
