@@ -91,9 +91,14 @@ def source_vector_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schema.check_schema(found, schema.HIT).select("id", F.round("score", 6).alias("score"))
 
 
-@query("SELECT unnest(['benchmark', 'conversations', 'customer', 'documents', 'embeddings', 'events', 'labels', 'lineitem', 'nation', 'orders', 'pages', 'part', 'region', 'supplier']) AS name")
+_STORED = "benchmark conversations customer documents embeddings events labels lineitem nation orders pages part region supplier".split()
+
+
+@query(" UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS n FROM {n}" for n in _STORED))
 def source_index_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(n,) for n in readers.list_vectors(spark, sf_dir)], "name string")
+    """The stored sets by name, each read and counted."""
+    sets = [readers.read_vectors(spark, sf_dir, n).agg(F.count("*").alias("n")).select(F.lit(n).alias("name"), "n") for n in readers.list_vectors(spark, sf_dir)]
+    return reduce(DataFrame.unionByName, sets)
 
 
 @query("SELECT count(*) AS n_vectors, CAST(max(len(embedding)) AS INTEGER) AS dimensions FROM embeddings")
@@ -101,10 +106,13 @@ def index_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.index_size(table(spark, sf_dir, "embeddings"))
 
 
-@query("SELECT CAST(9 AS INTEGER) AS top_k, false AS graph_enabled, CAST(512 AS INTEGER) AS chunk_size, CAST(60 AS INTEGER) AS rrf_k")
+@query("SELECT doc_id, CAST(9 AS INTEGER) AS top_k, false AS graph_enabled, CAST(60 AS INTEGER) AS rrf_k, 1 + CAST(ceil(greatest(length(text) - 256, 0) / 192.0) AS BIGINT) AS n_chunks FROM documents WHERE length(text) > 0")
 def settings_from_env(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = Settings.load({"LEXIVEC_TOP_K": "9", "LEXIVEC_GRAPH_ENABLED": "no"})
-    return spark.createDataFrame([(s.top_k, s.graph_enabled, s.chunk_size, s.rrf_k)], "top_k int, graph_enabled boolean, chunk_size int, rrf_k int")
+    """All documents cut as the environment's settings say."""
+    s = Settings.load({"LEXIVEC_TOP_K": "9", "LEXIVEC_GRAPH_ENABLED": "no", "LEXIVEC_CHUNK_SIZE": "256"})
+    cut = chunking.fixed_stride(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content")), s.chunk_size, s.chunk_overlap)
+    said = (F.lit(s.top_k).alias("top_k"), F.lit(s.graph_enabled).alias("graph_enabled"), F.lit(s.rrf_k).alias("rrf_k"))
+    return cut.groupBy("doc_id").agg(F.count("*").alias("n_chunks")).select("doc_id", *said, "n_chunks")
 
 
 # Requests and replies
