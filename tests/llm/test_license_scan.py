@@ -149,3 +149,64 @@ def test_wrapped_notices(docs_of, model, family):
         _, start, end = rows[i].findings.split(":")
         part = text[int(start) : int(end)]
         assert part in notice and part.count("\n") >= 1
+
+
+NOTICE = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+TOLD_APART = [
+    (NOTICE.format("Affero General Public License", 3), "agpl-3.0"),
+    (NOTICE.format("General Public License", 2), "gpl-2.0-or-later"),
+    (NOTICE.format("General Public License", 3), "gpl-3.0"),
+    (NOTICE.format("Lesser General Public License", 3), "lgpl-3.0"),
+    (NOTICE.format("Lesser General Public License", 2.1), "lgpl"),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.", "cc-by-nc-sa"),
+    ("This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.", "cc-by-nd"),
+    ("Licensed under CC BY-NC-ND 4.0.", "cc-by-nc-nd"),
+    ("This is not released under the MIT License.", "unknown"),
+    ("Never released under the BSD License.", "unknown"),
+    ("The MIT license does not apply here.", "unknown"),
+    ("Licensed under the Apache License, Version 1.1.", "unknown"),
+    ("She studied the MIT License at length in her course on law", "unknown"),
+    ("There is NO WARRANTY. Released under the MIT License.", "mit"),
+    ("MIT License", "mit"),
+    ("The MIT License (MIT)", "mit"),
+    ("License: MIT", "mit"),
+    ("Mozilla Public License 2.0", "mpl-2.0"),
+    ("SPDX-License-Identifier: GPL-3.0-only", "gpl-3.0"),
+    ("SPDX-License-Identifier: GPL-2.0+", "gpl-2.0-or-later"),
+    ("License: BSD-2-Clause", "bsd"),
+]
+
+
+@pytest.mark.parametrize(("text", "family"), TOLD_APART)
+def test_licences_named_alike_are_told_apart(docs_of, model, text, family):
+    """As a line, and wrapped among others."""
+    assert license_scan.classify(model, text)[0] == family
+    words = text.split()
+    wrapped = "\n".join(["int x;", *(" ".join(words[i : i + 9]) for i in range(0, len(words), 9)), "int y;"])
+    rows = license_scan.scan_documents(docs_of([(0, text), (1, wrapped)]), model).collect()
+    assert all(r.families == ("" if family == "unknown" else family) for r in rows), rows
+    assert all(0.5 <= float(p) <= 1 for r in rows for p in filter(None, r.probabilities.split(",")))
+
+
+def test_a_denial_in_the_line_before(docs_of, model):
+    rows = license_scan.scan_documents(docs_of([(0, "This file is not\nreleased under the MIT License."), (1, "It does not.\nReleased under the MIT License."), (2, "not\n\nReleased under the MIT License.")]), model).collect()
+    assert {r.doc_id: r.families for r in rows} == {0: "", 1: "mit", 2: "mit"}
+
+
+def test_templates_that_training_left_out_are_told_by_calibrated_probabilities(spark):
+    """Without one text of each family that has several: how likely the model calls its choice of those is about how often it is right."""
+    lines = [r.text.split("\n")[0] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").where("text <> ''").collect()]
+    own = dict(license_scan.TEMPLATES)
+    left_out = [(f, texts[1]) for f, texts in own.items() if len(texts) > 2]
+    try:
+        license_scan.TEMPLATES.update({f: tuple(t for t in texts if (f, t) not in left_out) for f, texts in own.items()})
+        model = license_scan.train(lines[: len(lines) // 2])
+    finally:
+        license_scan.TEMPLATES.update(own)
+    unseen = [(license_scan.UNKNOWN, x) for x in lines[len(lines) // 2 :] if not any(license_scan.confirms(f, license_scan.words_of(x)) >= license_scan.LEAST_SHARE for f in own)]
+    gaps = []
+    for cases in (left_out, unseen):  # both kinds count alike
+        said = [(want, model.probabilities(license_scan.features(license_scan.words_of(t)))) for want, t in cases]
+        right = sum(license_scan.FAMILIES[int(p.argmax())] == want for want, p in said) / len(said)
+        gaps.append(sum(float(p.max()) for _, p in said) / len(said) - right)
+    assert abs(sum(gaps) / 2) < 0.15, gaps
