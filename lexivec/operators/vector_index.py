@@ -3,7 +3,7 @@
 ``build`` trains the cells and the codes on a bounded sample, then every vector is written to the folder of its cell
 (``vectors/cell=<n>``) with a code of ``parts`` bytes. A search looks up, for each query, its ``probes`` nearest cells and reads no other folder
 (partition pruning); there it reads codes only, keeps the ``refine`` best candidates of each query as it goes, and fetches the vectors of
-those alone for their exact scores. Added vectors are assigned to the cells that are there and appended; removed ids are kept aside and left out
+those alone for their exact scores. A search that keeps all vectors of all cells as candidates scores the vectors right away. Added vectors are assigned to the cells that are there and appended; removed ids are kept aside and left out
 of reading, and ``compact`` writes the vectors without them.
 
 Vectors are compared by cosine: they are brought to length 1 before they are assigned and coded. Null and empty vectors
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexivec.functions.vector import cosine, has_vector
-from lexivec.operators.search import BATCH, _Best, _matrix, top_k
+from lexivec.operators.search import BATCH, _Best, _matrix, top_k, vector_search
 from lexivec.schema import check_top_k
 from lexivec.workers import ship
 
@@ -248,6 +248,10 @@ class VectorIndex:
             rows = rows.where(F.col("cell").isin(cells))
         return rows.join(gone, (rows["chunk_id"] == gone["_key"]) & (rows["_at"] < gone["_gone"]), "left_anti").drop("_at")
 
+    def _held(self) -> int:
+        """How many vectors there are, with those removed but not yet written out."""
+        return sum(self.spark.read.parquet(f"{self.path}/{f}").count() for f in self._named()[1]["vectors"])
+
     def search(self, queries: DataFrame, k: int | None = 5, probes: int | None = None, refine: int = 10, digits: int = 9) -> DataFrame:
         """(qid, chunk_id, seq, score, rank): of queries (qid, query_vector) the k best by cosine among ``refine`` * k candidates of the ``probes`` nearest cells (as many as training has found enough, if not given)."""
         n = check_top_k(k)
@@ -257,7 +261,10 @@ class VectorIndex:
         if n == 0:
             return self.spark.createDataFrame([], f"qid {kind}, chunk_id {ids}, seq bigint, score double, rank int")
         ship(self.spark)
-        model, count = self.model(), asked.count()
+        model = self.model()
+        if (probes or model.probes) >= len(model.cells) and n * refine >= self._held():
+            return vector_search(self._read(), asked, n, digits=digits)
+        count = asked.count()
         blocks = max(1, -(-count // BATCH))
         own = asked.withColumn("_block", F.pmod(F.xxhash64("qid"), F.lit(blocks)))
         found = [self._candidates(model, own.where(F.col("_block") == b).drop("_block"), n * refine, probes or model.probes, kind, ids) for b in range(blocks)]

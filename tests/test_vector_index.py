@@ -76,6 +76,15 @@ def test_blocks_of_queries_and_a_shuffled_shortlist_give_the_same(spark, tmp_pat
     assert found(index.search(q, 3)) == want
 
 
+def test_a_search_of_everything_makes_no_shortlist(spark, tmp_path):
+    x = clustered(200, 5)
+    v, q = table(spark, x), asked(spark, x[:30])
+    got = VectorIndex(spark, f"{tmp_path}/x").build(v, cells=5).search(q, 3, probes=5, refine=1 << 20)
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    want = search.vector_search(v, q, 3)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_odd_rows(spark, tmp_path):
     rows = [(1, 1, [1.0, 0.0]), (2, 2, None), (3, 3, []), (4, 4, [0.0, 0.0]), (5, 5, [1.0, 0.0]), (5, 6, [1.0, 0.0]), (6, 7, [None, 1.0])]
     v = spark.createDataFrame(rows, VECTOR).withColumn("cell", F.lit("x"))
