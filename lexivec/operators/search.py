@@ -25,8 +25,8 @@ from lexivec.workers import ship
 
 #: A batch of up to so many queries, as counted, travels to the chunks whole; a larger one is cut into blocks.
 BATCH = 4096
-#: Chunks of a slice that a block of queries meets, and their bytes; chunks scored at a time; words of a matrix product.
-SLICE, SLICE_BYTES, PIECE, WORDS = 65_536, 64 << 20, 512, 1024
+#: Chunks of a slice that a block of queries meets, and their bytes; chunks scored at a time, pairs scored at a time; words of a matrix product.
+SLICE, SLICE_BYTES, PIECE, PAIRS, WORDS = 65_536, 64 << 20, 512, 1 << 19, 1024
 
 
 def metadata_filter(chunks: DataFrame, filters: dict | None) -> DataFrame:
@@ -120,6 +120,11 @@ def half_up(x: np.ndarray, digits: int) -> np.ndarray:
     return np.sign(x) * np.floor(np.abs(x) * 10.0**digits + 0.5) / 10.0**digits + 0.0
 
 
+def piece(queries: int) -> int:
+    """How many chunks are scored at a time against so many queries."""
+    return max(1, min(PIECE, PAIRS // max(1, queries)))
+
+
 class _Best:
     """The k best chunks of each query so far. Higher is better here; equal scores go by seq."""
 
@@ -128,21 +133,23 @@ class _Best:
         self.row, self.seq, self.score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         self.ids: pa.Array | None = None
 
-    def add(self, score: np.ndarray, able: np.ndarray, ids: pa.Array, seq: np.ndarray) -> None:
-        """``score`` and ``able`` by (query, chunk)."""
+    def add(self, score: np.ndarray, able: np.ndarray, ids: pa.Array, seq: np.ndarray, who: np.ndarray | None = None) -> None:
+        """``score`` and ``able`` by (query, chunk), of the queries ``who`` (all, if not given)."""
+        least = self.least if who is None else self.least[who]
         if score.shape[1] > self.k:
-            masked = np.where(able, score, -np.inf)
-            self.least = np.maximum(self.least, np.partition(masked, -self.k, axis=1)[:, -self.k])
-        row, at = np.nonzero(able & (score >= self.least[:, None]))
+            least = np.maximum(least, np.partition(np.where(able, score, -np.inf), -self.k, axis=1)[:, -self.k])
+        row, at = np.nonzero(able & (score >= least[:, None]))
         if not len(row):
             return
         own = ids.take(pa.array(at))
-        self.row, self.seq, self.score = np.append(self.row, row), np.append(self.seq, seq[at]), np.append(self.score, score[row, at])
+        self.row, self.seq, self.score = np.append(self.row, row if who is None else who[row]), np.append(self.seq, seq[at]), np.append(self.score, score[row, at])
         self.ids = own if self.ids is None else pa.concat_arrays([self.ids, own])
         order = np.lexsort((self.seq, -self.score, self.row))
         ranked = self.row[order]
-        first = np.searchsorted(ranked, ranked)
-        kept = order[np.arange(len(order)) - first < self.k]
+        place = np.arange(len(order)) - np.searchsorted(ranked, ranked)
+        kept = order[place < self.k]
+        last = order[place == self.k - 1]
+        self.least[self.row[last]] = self.score[last]
         self.row, self.seq, self.score, self.ids = self.row[kept], self.seq[kept], self.score[kept], self.ids.take(pa.array(kept))
 
     def batch(self, qids: pa.Array, sign: int) -> pa.RecordBatch:
@@ -163,12 +170,12 @@ def _search(chunks: DataFrame, queries: DataFrame, scorer: Scorer, k: int, ascen
     n = queries.count()
 
     def best_of(asked: pa.Table, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score, best = scorer(asked), _Best(asked.num_rows, k)
+        score, best, step = scorer(asked), _Best(asked.num_rows, k), piece(asked.num_rows)
         for batch in batches:
-            for i in range(0, batch.num_rows, PIECE):
-                piece = batch.slice(i, PIECE)
-                found, able = score(piece)
-                best.add(sign * found, able, piece.column(0), piece.column(1).to_numpy(zero_copy_only=False))
+            for i in range(0, batch.num_rows, step):
+                part = batch.slice(i, step)
+                found, able = score(part)
+                best.add(sign * found, able, part.column(0), part.column(1).to_numpy(zero_copy_only=False))
         if best.ids is not None:
             yield best.batch(asked.column(0).combine_chunks() if asked.num_rows else pa.array([]), sign)
 

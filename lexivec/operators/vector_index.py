@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexivec.functions.vector import cosine, has_vector
-from lexivec.operators.search import BATCH, _Best, _matrix, top_k, vector_search
+from lexivec.operators.search import BATCH, _Best, _matrix, piece, top_k, vector_search
 from lexivec.schema import check_top_k
 from lexivec.workers import ship
 
@@ -98,6 +98,10 @@ class Model:
         codes = [nearest(rest[:, a:b], book) for a, b, book in zip(self.edges, self.edges[1:], self.books, strict=False)]
         return cell, np.stack(codes, 1).astype(np.uint8) if codes else np.zeros((len(x), 0), np.uint8)
 
+    def decode(self, cell: int, code: np.ndarray) -> np.ndarray:
+        """The vectors that codes of a cell stand for."""
+        return self.cells[cell] + np.concatenate([np.zeros((len(code), 0)), *[book[code[:, i]] for i, book in enumerate(self.books)]], 1)
+
     def tables(self, q: np.ndarray) -> np.ndarray:
         """By (query, part, entry): what an entry adds to the product with the query."""
         out = np.zeros((len(q), len(self.books), 256))
@@ -286,25 +290,22 @@ class VectorIndex:
         near = model.order(q)[:, :probes]
         of_cell: dict[int, np.ndarray] = {c: np.flatnonzero((near == c).any(1)) for c in np.unique(near).tolist()}
         qids = table.column(0).combine_chunks() if table.num_rows else pa.array([])
-        base = q @ model.cells.T
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            tables, best = model.tables(q), _Best(len(q), most)
+            best = _Best(len(q), most)
             for batch in batches:
                 cells = batch.column(3).to_numpy()
                 for cell in np.unique(cells).tolist():
                     at, who = np.flatnonzero(cells == cell), of_cell.get(cell)
                     if who is None:
                         continue
-                    part = batch.take(pa.array(at))
-                    code = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).reshape(len(at), -1)
-                    score = np.repeat(base[who, cell][:, None], len(at), 1)
-                    for i in range(code.shape[1]):
-                        score += tables[who, i][:, code[:, i]]
-                    full, able = np.zeros((len(q), len(at))), np.zeros((len(q), len(at)), bool)
-                    full[who], able[who] = score, True
-                    held = pa.StructArray.from_arrays([part.column(0), pa.array(np.full(len(at), cell, np.int32))], names=["chunk_id", "cell"])
-                    best.add(full, able, held, part.column(1).fill_null(0).to_numpy(zero_copy_only=False))
+                    asking, step = q[who], piece(len(who))
+                    for i in range(0, len(at), step):
+                        part = batch.take(pa.array(at[i : i + step]))
+                        code = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).reshape(part.num_rows, -1)
+                        score = asking @ model.decode(cell, code).T
+                        held = pa.StructArray.from_arrays([part.column(0), pa.array(np.full(part.num_rows, cell, np.int32))], names=["chunk_id", "cell"])
+                        best.add(score, np.ones(score.shape, bool), held, part.column(1).fill_null(0).to_numpy(zero_copy_only=False), who)
             if best.ids is not None:
                 yield best.batch(qids, 1)
 

@@ -1,6 +1,7 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,6 +86,19 @@ def test_a_search_of_everything_makes_no_shortlist(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_the_best_of_some_queries_are_kept_without_arrays_of_all():
+    rng = np.random.default_rng(5)
+    whole, some = search._Best(40, 3), search._Best(40, 3)
+    for i in range(6):
+        who, score, seq = np.sort(rng.choice(40, 9, replace=False)), rng.integers(0, 9, (9, 7)).astype(float), 7 * i + np.arange(7)
+        full, able = np.zeros((40, 7)), np.zeros((40, 7), bool)
+        full[who], able[who] = score, True
+        whole.add(full, able, pa.array(seq), seq)
+        some.add(score, np.ones(score.shape, bool), pa.array(seq), seq, who)
+    assert some.batch(pa.array(range(40)), 1).equals(whole.batch(pa.array(range(40)), 1)) and some.least.max() > 0
+    assert all(search.piece(n) * n <= max(n, search.PAIRS) for n in (1, 200, 1024, 4096, 1 << 20))
+
+
 def test_odd_rows(spark, tmp_path):
     rows = [(1, 1, [1.0, 0.0]), (2, 2, None), (3, 3, []), (4, 4, [0.0, 0.0]), (5, 5, [1.0, 0.0]), (5, 6, [1.0, 0.0]), (6, 7, [None, 1.0])]
     v = spark.createDataFrame(rows, VECTOR).withColumn("cell", F.lit("x"))
