@@ -1,6 +1,6 @@
 """A stored positional word index: BM25 by block bounds, phrases, words near each other.
 
-Chunks are dealt into segments of at most ``SEGMENT`` chunks where they lie, and a segment into blocks of ``BLOCK``. For each word and block there is one row of
+Chunks are dealt into blocks of ``BLOCK`` where they lie, and a task inverts a few blocks at a time, a segment of about ``WORDS`` words. For each word and block there is one row of
 postings: the slots of the chunks that hold it, its frequency in each, their lengths, its positions, and for bounds the greatest
 frequency and the least length. Rows are laid out by word, in ``BUCKETS`` folders, so a search reads the folders of its words only, and within them the
 row groups that may hold them; a very frequent word is many rows, written by several tasks. Added chunks are further segments.
@@ -20,6 +20,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,8 +29,8 @@ from lexivec.operators.search import BATCH, _Best, _flat, half_up, metadata_filt
 from lexivec.schema import check_top_k
 from lexivec.workers import ship
 
-#: Chunks of a segment and of a block; folders of the words.
-SEGMENT, BLOCK, BUCKETS = 4096, 512, 64
+#: Chunks of a segment at most and of a block, words after which a segment ends with its block (and at twice as many at once), rows that are looked at together; folders of the words.
+SEGMENT, BLOCK, WORDS, ROWS, BUCKETS = 4096, 512, 1 << 19, 64, 64
 POSTING = "word string, block string, n int, slots array<int>, seqs array<bigint>, tfs array<int>, lengths array<int>, positions array<int>, most_tf int, least_length int"
 #: English words that an analyser may leave out. Fixed values.
 STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "if", "in", "into", "is", "it", "no", "not", "of", "on", "or", "such", "that", "the", "their", "then", "there", "these", "they", "this", "to", "was", "will", "with")
@@ -255,8 +256,10 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[dict]
 
 
 def _invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Chunks (block, slot, seq, length, words), rows of a block together or not, to postings; a task holds ``SEGMENT`` chunks at a time."""
+    """Chunks (block, slot, seq, length, words), rows of a block together or not, to postings; a task holds a segment at a time."""
     held: list[pa.RecordBatch] = []
+    n_rows = n_words = 0
+    last = None
 
     def out() -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(held).combine_chunks()
@@ -290,10 +293,15 @@ def _invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield whole.slice(i, 4096)
 
     for batch in batches:
-        for i in range(0, batch.num_rows, BLOCK):
-            held.append(batch.slice(i, BLOCK))
-        if sum(b.num_rows for b in held) >= SEGMENT:
-            yield from out()
-            held = []
+        names = batch.column("block").to_pylist()
+        borders = [i for i in range(1, len(names)) if names[i] != names[i - 1]]
+        cuts = sorted({*range(0, len(names), ROWS), *borders, len(names)})
+        for i, end in zip(cuts, cuts[1:], strict=False):
+            if n_rows + end - i > SEGMENT or n_words >= 2 * WORDS or (n_words >= WORDS and names[i] != last):
+                yield from out()
+                held, n_rows, n_words = [], 0, 0
+            part, last = batch.slice(i, end - i), names[end - 1]
+            held.append(part)
+            n_rows, n_words = n_rows + part.num_rows, n_words + (pc.sum(pc.list_value_length(part.column("words"))).as_py() or 0)
     if held:
         yield from out()

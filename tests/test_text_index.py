@@ -93,3 +93,14 @@ def test_empty_tables(spark, tmp_path):
     index = TextIndex(spark, f"{tmp_path}/x").add(table(spark, [(1, None), (2, "one")]))
     assert index.bm25(asked(spark, "two")).count() == 0 and index.phrases(asked(spark).limit(0)).count() == 0
     assert index.statistics() == (2, 0.5)
+
+
+def test_a_segment_ends_after_so_many_words_in_whatever_batches_they_come(monkeypatch):
+    monkeypatch.setattr(text_index, "WORDS", 1000)
+    n = 6000
+    lists = [[f"w{(i * j) % 50}" for j in range(i % 7)] for i in range(n)]
+    batch = pa.RecordBatch.from_pydict({"block": [f"b-{i // 512}" for i in range(n)], "slot": pa.array([i % 512 for i in range(n)], pa.int32()), "seq": list(range(n)), "length": pa.array([len(x) for x in lists], pa.int32()), "words": lists})
+    made = [b.to_pylist() for b in text_index._invert(iter([batch]))]
+    assert max(sum(sum(r["tfs"]) for r in rows) for rows in made) <= 2 * 1000 + 6 * 64
+    got = sorted((r["word"], r["block"], s, q, tf) for rows in made for r in rows for s, q, tf in zip(r["slots"], r["seqs"], r["tfs"], strict=True))
+    assert got == sorted((w, f"b-{i // 512}", i % 512, i, x.count(w)) for i, x in enumerate(lists) for w in set(x))
