@@ -92,3 +92,17 @@ def test_sessions_by_timers(spark, tmp_path):
     # a pause as long as the gap parts sessions; of rows of one time the closing one is last
     assert got == {(1, at(0), at(9), 2, False), (1, at(19), at(20), 3, True), (1, at(21), at(21), 1, False), (2, at(3), at(3), 1, True), (None, at(4), at(4), 1, False), (5, at(7), at(7), 1, False)} and spark.read.parquet(f"{tmp_path}/out").count() == 7
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", None) != correlate._ROCKS
+
+
+def test_sessions_of_many_keys_share_calls_of_state(spark, tmp_path):
+    far = [(9, at(90000), "end")]
+    rows = [(2**53 + i, at(m), "p" if i % 3 == 0 and m == 3 else "v") for i in range(900) for m in (1, 2, 3, 30)]
+    for some in (rows[::2], rows[1::2], far):
+        spark.createDataFrame(some, SCHEMA).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    live = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    query = correlate.start_timed(spark, correlate.timed_sessions(live, "user_id", F.col("kind") == "p", 600, "1 hour").writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True))
+    query.awaitTermination()
+    got = sorted((r.user_id, r.session_start, r.session_end, r.n, r.closed) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    assert got == sorted(x for i in range(900) for x in ((2**53 + i, at(1), at(3), 3, i % 3 == 0), (2**53 + i, at(30), at(30), 1, False)))
+    # a state for each bucket, not for each key
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) <= 3 * correlate.BUCKETS
