@@ -24,11 +24,12 @@ def fixed_stride(docs: DataFrame, size: int = 512, overlap: int = 64, text: str
         raise ValueError(f"overlap must be at least 0 and under the size, not {overlap} of {size}")
     step, n = size - overlap, F.length(text)
     last = F.ceil(F.greatest(n - size, F.lit(0)) / step).cast("int")
-    starts = F.transform(F.sequence(F.lit(0), last), lambda i: i * step)
-    cut = docs.where(n > 0).withColumn("start_char", F.explode(starts))
-    end = F.least(F.col("start_char") + size, n).cast("int")
+    # the windows themselves are exploded: a row for each that held the whole text would cost its length squared
+    windows = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct((i * step).alias("start"), F.substring(F.col(text), i * step + 1, F.lit(size)).alias("text")))
     rest = [c for c in docs.columns if c not in (text, key)]
-    return cut.select(chunk_id(F.col(key), F.col("start_char")).alias("chunk_id"), key, F.substring(text, F.col("start_char") + 1, F.lit(size)).alias(text), *rest, F.col("start_char").cast("int").alias("start_char"), end.alias("end_char"))
+    cut = docs.where(n > 0).withColumn("_length", n).select(key, *rest, "_length", F.explode_outer(windows).alias("_window"))
+    start = F.col("_window.start").cast("int")
+    return cut.select(chunk_id(F.col(key), start).alias("chunk_id"), key, F.col("_window.text").alias(text), *rest, start.alias("start_char"), F.least(start + size, F.col("_length")).cast("int").alias("end_char"))
 
 
 class _Paragraphs:

@@ -69,3 +69,9 @@ def test_embedders(spark):
     short = model_embedding(lambda: lambda texts: [[float(len(t))] for t in texts][:1])
     got = [r[0] for r in d.coalesce(1).select(short(F.col("content"))).collect()]
     assert got == [[11.0], None]
+
+
+def test_windows_are_cut_without_a_row_of_the_whole_text_for_each(spark):
+    plan = fixed_stride(docs(spark, ALPHABET), 10, 2)._jdf.queryExecution().executedPlan().toString()
+    made = next(x for x in plan.splitlines() if "Generate" in x)
+    assert "content" not in made.rsplit("), [", 1)[1]
