@@ -33,7 +33,9 @@ MERGE_WIDTH = 32
 #: Units a worker remembers, and the longest one it does.
 CACHE_UNITS = 600_000
 #: Rows and bytes encoded together: what they share is looked up once.
-TOGETHER = 2048, 8 << 20
+TOGETHER = 1024, 4 << 20
+#: Units that go to the library in one text, and such texts at a time.
+RUN, RUNS = 512, 16
 CACHE_LENGTH = 48
 
 PIECE = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
@@ -69,8 +71,16 @@ class UnitEncoder:
         self.bytes_in = np.zeros(max(vocab.values()) + 1, np.int64)  # a byte-level token has a character per byte
         for token, i in vocab.items():
             self.bytes_in[i] = len(token)
-        self.known: dict[str, bytes] = {}
-        self.again: set[str] = set()  # units met again after they were learnt
+        self.forget()
+
+    def forget(self, kept: np.ndarray | None = None) -> None:
+        """Keep only these of the known units. They lie in arrays: as Python objects each would take ten times the memory."""
+        if kept is None:
+            self.known, self.sizes, self.ids = pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(0, "<u4")
+        else:
+            self.known, self.ids = self.known.filter(pa.array(kept)), self.ids[np.repeat(kept, self.sizes)]
+            self.sizes = self.sizes[kept]
+        self.again = np.zeros(len(self.known), bool)  # those met again since
 
     @staticmethod
     def units(text: str) -> list[str]:
@@ -86,37 +96,59 @@ class UnitEncoder:
             return [text]
         return [u for i, part in enumerate(self.literal.split(text)) for u in ([part] if i % 2 else self.units(part) if part else [])]
 
-    def learn(self, units: list[str]) -> dict[str, bytes]:
-        """The ids of units. Those that may follow each other in a text are encoded in runs and cut apart by their bytes."""
-        out: dict[str, bytes] = {}
-        plain = [u for u in units if not self.wide and len(u) > 1 and u[0] == " " and not u[1].isspace() and not u[-1].isspace()]
-        runs = [plain[i : i + 512] for i in range(0, len(plain), 512)]
-        for run, e in zip(runs, self.tokenizer.encode_batch_fast(["".join(r) for r in runs], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, "<u4")
-            ends = np.cumsum([len(u.encode()) for u in run])
-            cuts = (4 * (np.searchsorted(np.cumsum(self.bytes_in[ids]), ends) + 1)).tolist()
-            data = ids.tobytes()
-            out.update(zip(run, map(data.__getitem__, map(slice, [0, *cuts], cuts)), strict=False))
-        other = [u for u in units if u not in out]
-        for u, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
-            out[u] = np.array(e.ids, "<u4").tobytes()
-        return out
-
-    def ids_of(self, units: list[str]) -> list[bytes]:
-        """The ids of different units, learnt if need be."""
+    def encoded(self, texts: list[str], at_once: int) -> Iterator[np.ndarray]:
+        """The library's ids in turn. So many answers at once are in memory, each a few hundred bytes an id."""
+        for i in range(0, len(texts), at_once):
+            for e in self.tokenizer.encode_batch_fast(texts[i : i + at_once], add_special_tokens=False):
+                yield np.array(e.ids, "<u4")
+
+    def learn(self, new: pa.StringArray) -> np.ndarray:
+        """Add units to the known ones; returns where they are there. Those that may follow each other in a text are encoded in runs and cut apart by their bytes."""
+        units = new.to_pylist()
+        fit = [not self.wide and len(u) > 1 and u[0] == " " and not u[1].isspace() and not u[-1].isspace() for u in units]
+        plain = [u for u, x in zip(units, fit, strict=True) if x]
+        other = [u for u, x in zip(units, fit, strict=True) if not x]
+        length = pc.binary_length(new.filter(pa.array(fit, pa.bool_()))).to_numpy(zero_copy_only=False).astype(np.int64)
+        sizes, ids = [self.sizes], [self.ids]
+        for i, own in enumerate(self.encoded(["".join(plain[i : i + RUN]) for i in range(0, len(plain), RUN)], RUNS)):
+            cuts = np.searchsorted(np.cumsum(self.bytes_in[own]), np.cumsum(length[i * RUN : (i + 1) * RUN])) + 1
+            sizes.append(np.diff(cuts, prepend=0))
+            ids.append(own)
+        for own in self.encoded(other, RUN * RUNS):
+            sizes.append(np.array([len(own)]))
+            ids.append(own)
+        run = np.array(fit, bool)
+        at = len(self.known) + np.where(run, np.cumsum(run) - 1, len(plain) + np.cumsum(~run) - 1)
+        self.known = pa.concat_arrays([self.known, pa.array(plain, pa.string()), pa.array(other, pa.string())])
+        self.sizes, self.ids = np.concatenate(sizes), np.concatenate(ids)
+        self.again = np.append(self.again, np.zeros(len(units), bool))
+        return at
+
+    def places(self, units: pa.StringArray) -> np.ndarray:
+        """Where different units are among the known ones; they are learnt if need be."""
         if len(self.known) > CACHE_UNITS:
-            self.known = {u: self.known[u] for u in self.again if u in self.known} if len(self.again) < CACHE_UNITS // 2 else {}
-            self.again = set()
-        self.known[""] = b""
-        new = [u for u in units if u not in self.known]
-        self.again.update(units)
-        self.again.difference_update(new)
-        self.known.update(self.learn(new))
-        out = [*map(self.known.__getitem__, units)]
-        for u in new:
-            if len(u) > CACHE_LENGTH:
-                del self.known[u]
-        return out
+            self.forget(self.again if self.again.sum() < CACHE_UNITS // 2 else None)
+        found = pc.index_in(units, value_set=self.known)
+        new, at = found.is_null().to_numpy(zero_copy_only=False), found.fill_null(0).to_numpy().astype(np.int64)
+        self.again[at[~new]] = True
+        if new.any():
+            at[new] = self.learn(units.filter(pa.array(new)))
+        return at
+
+    def joined(self, units: pa.StringArray, code: np.ndarray, ends: list[int]) -> Iterator[bytes]:
+        """The ids of texts, given as different units, the numbers of those in them, and where each text's end."""
+        at = self.places(units)
+        start, size = (np.cumsum(self.sizes) - self.sizes)[at], self.sizes[at]
+        for a, b in zip([0, *ends], ends, strict=False):
+            first, own = start[code[a:b]], size[code[a:b]]
+            stop = np.cumsum(own)
+            where = np.repeat(first - (stop - own), own)
+            yield self.ids[where + np.arange(len(where))].tobytes()
+        if (short := pc.less_equal(pc.utf8_length(self.known), CACHE_LENGTH).to_numpy(zero_copy_only=False)).all():
+            return
+        again = self.again[short]
+        self.forget(short)
+        self.again = again
 
     def encode(self, texts: list[str] | pa.StringArray) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers.
@@ -130,30 +162,28 @@ class UnitEncoder:
         at = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
         plain = np.flatnonzero(~odd.to_numpy(zero_copy_only=False))
         out: list[bytes] = [b""] * len(texts)
-        for i in at.tolist():
-            units = self.cut(texts[i].as_py())
-            found = dict(zip(every := list(dict.fromkeys(units)), self.ids_of(every), strict=True))
-            out[i] = b"".join(map(found.__getitem__, units))
+
+        def lay(which: np.ndarray, ids: Iterator[bytes]) -> None:
+            for i, x in zip(which.tolist(), ids, strict=True):
+                out[i] = x
+
+        if len(at):
+            cut = pa.array([self.cut(texts[i].as_py()) for i in at.tolist()], pa.list_(pa.string()))
+            coded = cut.flatten().dictionary_encode()
+            lay(at, self.joined(coded.dictionary, coded.indices.to_numpy(), np.cumsum(pc.list_value_length(cut).to_numpy()).tolist()))
         if len(plain):
             cut = pc.split_pattern(texts.take(pa.array(plain)), " ")
-            flat, ends = cut.flatten(), np.cumsum(pc.list_value_length(cut).to_numpy(zero_copy_only=False))
+            ends = np.cumsum(pc.list_value_length(cut).to_numpy())
             first = np.append(0, ends[:-1])
-            coded = flat.dictionary_encode()
-            code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-            names = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary), " ")[0].as_py().split(" ")
+            coded = cut.flatten().dictionary_encode()
+            names, code = coded.dictionary, coded.indices.to_numpy().copy()
             heads, which = np.unique(code[first], return_inverse=True)  # what a text begins with has no space in front
             code[first] = len(names) + which
             used = np.bincount(code, minlength=len(names))[: len(names)] > 0
-            begun = [names[i] for i in heads.tolist()]
-            table = self.ids_of([" " + x if u else "" for x, u in zip(names, used.tolist(), strict=True)]) + self.ids_of(begun)
-            size = np.array([len(x) for x in table], np.int64) // 4
-            start, every = np.cumsum(size) - size, np.frombuffer(b"".join(table), "<u4")
-            own = size[code]
-            stop = np.cumsum(own)
-            data = every[np.repeat(start[code] - (stop - own), own) + np.arange(stop[-1])].tobytes()
-            cuts = (4 * stop[ends - 1]).tolist()
-            for i, a, b in zip(plain.tolist(), [0, *cuts], cuts, strict=False):
-                out[i] = data[a:b]
+            begun = names.take(pa.array(heads))
+            spaced = pc.binary_join_element_wise(pa.scalar(""), names.filter(pa.array(used)), " ")
+            number = np.append(np.cumsum(used) - 1, used.sum() + np.arange(len(heads)))
+            lay(plain, self.joined(pa.concat_arrays([spaced, begun]), number[code], ends.tolist()))
         return out
 
 

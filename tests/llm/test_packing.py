@@ -82,3 +82,32 @@ def test_special_tokens_as_the_library_has_them(docs_of):
 
 def test_empty(docs_of):
     assert packing.pack_documents(docs_of([])).count() == 0
+
+
+def test_known_units_take_little_memory():
+    import gc
+    import tracemalloc
+
+    import pyarrow as pa
+
+    encoder = packing.UnitEncoder()
+    encoder.encode(["some words"])
+    texts = [" ".join(f"w{i * 977 % 65536:x}q{i:x}" for i in range(a, a + 4000)) for a in range(0, 40_000, 4000)]
+    before = pa.total_allocated_bytes()
+    tracemalloc.start()
+    for i in range(0, len(texts), 2):
+        encoder.encode(texts[i : i + 2])
+    gc.collect()
+    held = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - before
+    tracemalloc.stop()
+    assert len(encoder.known) > 40_000 and held < 80 * len(encoder.known), held / len(encoder.known)
+
+
+def test_runs_across_groups(monkeypatch):
+    monkeypatch.setattr(packing, "RUN", 3)
+    monkeypatch.setattr(packing, "RUNS", 2)
+    encoder = packing.UnitEncoder()
+    texts = [*ODD, " ".join(f"w{i}" for i in range(50)), "a b 　 c w3 w3", " ".join("x" * i for i in range(1, 60)), " ".join("x" * i for i in range(40, 60))]
+    for several in (texts, texts[::-1], *([x] for x in texts)):
+        for text, ids in zip(several, encoder.encode(several), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == WHOLE.encode(text, add_special_tokens=False).ids, text
