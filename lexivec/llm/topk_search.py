@@ -1,10 +1,10 @@
 """Exact top-k by inner product with no random access.
 
-Vectors are cut into blocks; in a block every component is a list of (candidate, value) entries in order of value. A query reads the lists of its components
-other than 0 in turns of equal depth, from the top where its component is positive, from the bottom where it is negative. What was read is added up for each candidate met, and
-which of its entries were: with the least value of the lists for the rest this bounds its score from below, with the values read last from above. Nobody not met yet can have more than the sum of
-the values read last; until that falls below the k-th score known (the k-th lower bound here, or the k-th score that earlier blocks of the task have given),
-reading goes on. From there on outsiders, whose upper bound is below that score, are out for good, and the k-th lower bound of the rest may raise it. Reading stops when nobody
+Vectors are cut into blocks; in a block every component is a list of (candidate, value) entries in order of value. The queries (``TOGETHER`` at a time) read the lists
+in turns of equal depth, together, from the top for those whose component is positive, from the bottom where it is negative. What was read is entered for each candidate met, once for
+all of them: with the values read last for the rest this bounds its score from above, with the least value of the lists from below; a query's bounds are its products with those of the components. Nobody not met yet can have more than the sum of
+the values read last; until that falls below the k-th score known (that of earlier blocks of the task, or if there is none the k-th lower bound here),
+reading goes on. From there on outsiders, whose upper bound is below that score, are out for good. A query stops when nobody
 but few candidates is left (``FEW`` for each one wanted, or one in ``SHARE`` of the block), and their scores are resolved; in the worst case the lists are read to their ends.
 A task's first block is read in pieces of growing size, so that the k-th score is soon known.
 
@@ -31,6 +31,8 @@ from lexivec.llm.runtime import BROADCAST_BYTES, durable, short_batches
 
 #: Rows and bytes of a block, rows of the first piece, turns in which lists are read to their ends.
 CANDIDATES, QUERIES, BLOCK_BYTES, FIRST, TURNS = 4096, 16384, 16 << 20, 256, 12
+#: Queries that read a block's lists together: bounds for so many times a block's candidates are in memory.
+TOGETHER = 256
 #: Candidates left per wanted one, and their share of a block, at which reading stops.
 FEW, SHARE = 4, 16
 
@@ -48,45 +50,67 @@ class Block:
         self.ids, self.x = ids, x
         self.order = np.argsort(-x.T, axis=1, kind="stable")
         self.values = np.take_along_axis(np.ascontiguousarray(x.T), self.order, 1)
-        self.place = np.empty(x.shape, np.int16 if len(ids) < 1 << 15 else np.int32)  # where in each list a candidate's entry is
-        self.place[self.order, np.arange(x.shape[1])[:, None]] = np.arange(len(ids))
 
     def best(self, query_id: int, q: np.ndarray, k: int, floor: float = -np.inf) -> tuple[np.ndarray, np.ndarray, int]:
         """(candidate ids, scores, entries read of each list) of the query's best k here that score ``floor`` or more."""
-        n, known = len(self.ids), floor > -np.inf
-        down, up = np.flatnonzero(q < 0), np.flatnonzero(q > 0)
-        lists = np.concatenate([up, down])
-        weights = q[lists].astype(np.float64)
-        worst = weights * np.concatenate([self.values[up, -1], self.values[down, 0]])
-        sums, live, depth = np.zeros(n), None, 0
-        while depth < n and len(lists):
+        _, found, score, depth = self.best_of(np.array([query_id]), q[None], k, np.array([floor]))
+        return found, score, int(depth[0])
+
+    def best_of(self, asks: np.ndarray, q: np.ndarray, k: int, floors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(rows of q, candidate ids, scores) of each query's best k here that score its floor or more, and the entries it read of each list.
+
+        The queries read the lists together, and what was read is entered once for all: a component of a candidate is bounded by its entry where that was
+        read, else by the value read last, from the top for queries positive there, from the bottom for negative ones. A query's bounds are its products with these.
+        """
+        n, few = len(self.ids), max(FEW * k, len(self.ids) // SHARE)
+        floors, blind, depths = floors.astype(np.float64), floors == -np.inf, np.zeros(len(q), np.int64)
+        up, down = np.flatnonzero((q > 0).any(0)), np.flatnonzero((q < 0).any(0))
+        weights = np.concatenate([np.maximum(q[:, up], 0), np.minimum(q[:, down], 0)], 1)
+        lists, values = (np.concatenate([y[up], y[down, ::-1]]) for y in (self.order, self.values))
+        row = np.arange(len(lists))[:, None]
+        most, least = np.repeat(values[:, :1], n, 1), np.repeat(values[:, -1:], n, 1)  # by list and candidate: bounds that favour and disfavour it
+        unread = np.ones((len(lists), n), bool)
+        reading, out, depth = np.arange(len(q)), [], 0
+        while len(reading):
             start, depth = depth, min(n, depth + -(-n // TURNS))
-            met = np.concatenate([self.order[up, start:depth], self.order[down, n - depth : n - start]])
-            read = np.concatenate([self.values[up, start:depth], self.values[down, n - depth : n - start]])
-            sums += np.bincount(met.ravel(), (weights[:, None] * read).ravel(), n)
-            last = weights * np.concatenate([read[: len(up), -1], read[len(up) :, 0]])
-            if depth == n:
+            met, read = lists[:, start:depth], values[:, start:depth]
+            unread[row, met] = False
+            most[row, met] = least[row, met] = read
+            if depth == n or not len(lists):
+                depths[reading] = depth
+                out += self.resolved(reading, asks[reading], q, np.ones((len(reading), n), bool), k, floors)
                 break
-            if live is None and known and last.sum() >= floor:
-                continue  # someone not met yet may still qualify
-            some = np.flatnonzero(self.ids != query_id) if live is None else live
-            at = self.place if len(some) == n else self.place[some]
-            rest = ((at >= np.where(q > 0, depth, 0).astype(at.dtype)) & (at < np.where(q < 0, n - depth, n).astype(at.dtype))).astype(self.x.dtype)  # entries not read yet
-            ends = np.zeros((len(q), 2), self.x.dtype)
-            ends[lists, 0], ends[lists, 1] = last, worst
-            high, low = (sums[some, None] + rest @ ends).T
-            if len(some) > k:
-                floor = max(floor, float(np.partition(low, len(low) - k)[len(low) - k]))
-            if last.sum() < floor:
-                live = some[high >= floor]
-                if len(live) <= max(FEW * k, n // SHARE):
-                    break
-        if live is None:
-            live = np.flatnonzero(self.ids != query_id)
-        score = self.x[live] @ q
-        order = np.lexsort((self.ids[live], -score))[:k]
-        order = order[score[order] >= floor]
-        return self.ids[live[order]], score[order], depth
+            last = weights[reading] @ read[:, -1]
+            # while someone not met yet may still qualify, nothing can be left out
+            some = reading[(last < floors[reading]) | blind[reading]]
+            if not len(some):
+                continue
+            np.copyto(most, read[:, -1:], where=unread)
+            at = some[blind[some]]
+            if len(at) and n > k:
+                low = weights[at] @ least
+                low[asks[at][:, None] == self.ids] = -np.inf
+                floors[at] = np.maximum(floors[at], np.partition(low, n - k, 1)[:, n - k])
+            live = weights[some] @ most >= floors[some, None]
+            done = live.sum(1) <= few
+            if done.any():
+                depths[some[done]] = depth
+                out += self.resolved(some[done], asks[some[done]], q, live[done], k, floors)
+                reading = np.setdiff1d(reading, some[done])
+        found = [np.concatenate(y) for y in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), self.ids[:0], np.zeros(0)]
+        return *found, depths
+
+    def resolved(self, rows: np.ndarray, asks: np.ndarray, q: np.ndarray, live: np.ndarray, k: int, floors: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(row, candidate ids, scores) of the k best of the candidates left to each of these queries."""
+        live &= asks[:, None] != self.ids
+        out = []
+        for row, left in zip(rows.tolist(), live, strict=True):
+            at = np.flatnonzero(left)
+            score = self.x[at] @ q[row]
+            at, score = at[fit := score >= floors[row]], score[fit]
+            order = np.lexsort((self.ids[at], -score))[:k]
+            out.append((np.full(len(order), row), self.ids[at[order]], score[order]))
+        return out
 
 
 def blocks(vectors: DataFrame, size: int, name: str) -> DataFrame:
@@ -126,10 +150,14 @@ def _search(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
             tops, out = best[block], []
             for a, b in zip(cuts, cuts[1:], strict=False):
                 held = Block(ids[a:b], x[a:b])
-                for j, ask in enumerate(asks.tolist()):
-                    found, score, _ = held.best(ask, q[j], k, float(tops[j].min()))
-                    tops[j] = np.sort(np.concatenate([tops[j], score]))[-k:]
-                    out.append((np.full(len(found), ask), found, score))
+                for at in range(0, len(asks), TOGETHER):
+                    own = slice(at, at + TOGETHER)
+                    row, found, score, _ = held.best_of(asks[own], q[own], k, tops[own].min(1))
+                    for j, y in zip(row + at, score, strict=True):
+                        if y > tops[j, 0]:  # in ascending order
+                            tops[j, 0] = y
+                            tops[j].sort()
+                    out.append((asks[own][row], found, score))
             row, found, score = (np.concatenate(y) for y in zip(*out, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(found, pa.int64()), pa.array(score.astype(np.float64).astype(np.int64))], names=["query_id", "vec_id", "score"])
 

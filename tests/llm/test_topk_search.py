@@ -83,3 +83,23 @@ def test_few_and_none(spark):
 def test_whole_table(spark, sf_dir):
     rows = [(r.vec_id, list(r.embedding)) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()]
     assert got(queries.op7_topk_search(spark, sf_dir)) == brute(rows, lambda q: q % 50 == 0)
+
+
+def test_queries_read_the_lists_together():
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    x = np.floor(256 * rng.normal(0, 1, (2000, 16))).astype(np.float32)
+    x[1000:1004] = x[0]
+    ids = np.arange(2000) * 3
+    block, asked = topk_search.Block(ids, x), np.arange(0, 2000, 10)
+    q = x[asked] * rng.choice([-1, 0, 1], (len(asked), 16), p=[0.3, 0.1, 0.6]).astype(np.float32)
+    q[1] = 0
+    score = q.astype(np.int64) @ x.astype(np.int64).T
+    true = [sorted((-int(s), int(i)) for s, i in zip(own, ids, strict=True) if i != ids[a])[:5] for own, a in zip(score, asked, strict=True)]
+    floors = np.array([-np.inf if j % 3 else -t[2][0] for j, t in enumerate(true)])
+    row, found, scores, depth = block.best_of(ids[asked], q, 5, floors)
+    for j, t in enumerate(true):
+        want = [x for x in t if -x[0] >= floors[j]]
+        assert [(-int(s), i) for i, s in zip(found[row == j].tolist(), scores[row == j].tolist(), strict=True)] == want
+    assert (depth[floors > -np.inf] < 2000).mean() > 0.8
