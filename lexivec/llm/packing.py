@@ -41,7 +41,10 @@ CACHE_LENGTH = 48
 PIECE = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 _SPACE_RUN = re.compile(r"\s ")
 #: The same for Arrow, whose \s is ASCII: all that is white space to Python, then a space.
-_AFTER_SPACE = r"[\t-\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] "
+_SPACES = r"\t-\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_AFTER_SPACE = f"[{_SPACES}] "
+#: Units that may follow each other in a text.
+_PLAIN = rf"(?s)^ [^{_SPACES}](.*[^{_SPACES}])?\z"
 _CUT = re.compile(r"(?<=\S)(?= )")
 
 
@@ -104,11 +107,10 @@ class UnitEncoder:
 
     def learn(self, new: pa.StringArray) -> np.ndarray:
         """Add units to the known ones; returns where they are there. Those that may follow each other in a text are encoded in runs and cut apart by their bytes."""
-        units = new.to_pylist()
-        fit = [not self.wide and len(u) > 1 and u[0] == " " and not u[1].isspace() and not u[-1].isspace() for u in units]
-        plain = [u for u, x in zip(units, fit, strict=True) if x]
-        other = [u for u, x in zip(units, fit, strict=True) if not x]
-        length = pc.binary_length(new.filter(pa.array(fit, pa.bool_()))).to_numpy(zero_copy_only=False).astype(np.int64)
+        run = np.zeros(len(new), bool) if self.wide else pc.match_substring_regex(new, _PLAIN).to_numpy(zero_copy_only=False)
+        fit, unfit = new.filter(pa.array(run)), new.filter(pa.array(~run))
+        plain, other = fit.to_pylist(), unfit.to_pylist()
+        length = pc.binary_length(fit).to_numpy(zero_copy_only=False).astype(np.int64)
         sizes, ids = [self.sizes], [self.ids]
         for i, own in enumerate(self.encoded(["".join(plain[i : i + RUN]) for i in range(0, len(plain), RUN)], RUNS)):
             cuts = np.searchsorted(np.cumsum(self.bytes_in[own]), np.cumsum(length[i * RUN : (i + 1) * RUN])) + 1
@@ -117,11 +119,10 @@ class UnitEncoder:
         for own in self.encoded(other, RUN * RUNS):
             sizes.append(np.array([len(own)]))
             ids.append(own)
-        run = np.array(fit, bool)
         at = len(self.known) + np.where(run, np.cumsum(run) - 1, len(plain) + np.cumsum(~run) - 1)
-        self.known = pa.concat_arrays([self.known, pa.array(plain, pa.string()), pa.array(other, pa.string())])
+        self.known = pa.concat_arrays([self.known, fit, unfit])
         self.sizes, self.ids = np.concatenate(sizes), np.concatenate(ids)
-        self.again = np.append(self.again, np.zeros(len(units), bool))
+        self.again = np.append(self.again, np.zeros(len(new), bool))
         return at
 
     def places(self, units: pa.StringArray) -> np.ndarray:
