@@ -13,6 +13,7 @@ many windows as it fills; other columns are ignored; an empty table gives no row
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -30,7 +31,7 @@ WINDOW = 2048
 END_ID = 1
 OPEN_WINDOWS = 32
 MERGE_WIDTH = 32
-#: Units a worker remembers, and the longest one it does.
+#: Words, rests and other units a worker remembers, and the longest one it does.
 CACHE_UNITS = 600_000
 #: Rows and bytes encoded together: what they share is looked up once.
 TOGETHER = 1024, 4 << 20
@@ -46,19 +47,51 @@ _AFTER_SPACE = f"[{_SPACES}] "
 #: Units that may follow each other in a text.
 _PLAIN = rf"(?s)^ [^{_SPACES}](.*[^{_SPACES}])?\z"
 _CUT = re.compile(r"(?<=\S)(?= )")
+#: The characters by which a byte-level file writes bytes: those that can be seen stand for themselves, the others for U+0100 and on.
+_SEEN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTE_LEVEL = np.zeros(256, "<u4")
+_BYTE_LEVEL[_SEEN] = _SEEN
+_BYTE_LEVEL[np.delete(np.arange(256), _SEEN)] = np.arange(256, 256 + 256 - len(_SEEN))
+#: Bytes of ASCII letters, and those that begin letters of two bytes: all of U+00C0 to U+017F but two, and of U+0400 to U+047F.
+_LETTER, _LEAD = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+_LEAD[[0xC3, 0xC4, 0xC5, 0xD0, 0xD1]] = True
+
+
+def _bytes_of(texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+    """Where texts begin and end in their bytes, and the bytes."""
+    if not len(texts):
+        return np.zeros(1, "<i4"), np.zeros(0, np.uint8)
+    at = np.frombuffer(texts.buffers()[1], "<i4")[texts.offset : texts.offset + len(texts) + 1]
+    held = texts.buffers()[2]
+    return at, np.frombuffer(held, np.uint8)[: at[-1]] if at[-1] else np.zeros(0, np.uint8)
+
+
+def _word_ends(at: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """Where the word ends by which each unit begins: letters, maybe after a space, then the unit's end or an ASCII character; the unit's begin if there is none.
+
+    A pre-token ends there, whatever follows. Units with other letters than those listed above have no such word.
+    """
+    follows = np.zeros(len(data) + 1, bool)  # the second byte of a letter
+    follows[1:-1] = _LEAD[data[:-1]] & (data[1:] & 0xC0 == 0x80) & ~((data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7)))
+    breaks = np.append(np.flatnonzero(~(_LETTER[data] | follows[:-1] | follows[1:])), len(data))
+    start, end = at[:-1].astype(np.int64), at[1:].astype(np.int64)
+    begin = start + ((np.append(data, 0)[start] == 0x20) & (end > start))
+    stop = np.minimum(breaks[np.searchsorted(breaks, begin)], end)
+    return np.where((stop > begin) & ((stop == end) | (np.append(data, 0)[stop] < 0x80)), stop, start)
 
 
 class UnitEncoder:
     """Encodes whole texts with a byte-level BPE file, a unit at a time.
 
     A space that follows a non-space always begins a new pre-token, so the ids of a text are
-    those of its units in turn, and repeated units are encoded once. The literals of the file's added tokens, which the
-    library finds before all else, are units of their own.
+    those of its units in turn. So are those of a unit that begins with a word: of the word, then of the rest. Repeated words, rests and
+    other units are encoded once. The literals of the file's added tokens, which the library finds before all else, are units of their own.
     """
 
     def __init__(self, path: str | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         if path is None:
             import public_tokenizers
@@ -70,6 +103,12 @@ class UnitEncoder:
         self.literal = re.compile("(" + "|".join(map(re.escape, self.literals)) + ")")
         #: Whether a literal may take in what is around it or lie across units; texts with one are then encoded whole.
         self.wide = any(t.lstrip or t.rstrip or t.single_word or re.search(r"\s", t.content) for t in added)
+        #: For words alone: the same model, told by blanks where pre-tokens end. Only for files that cut words as described.
+        self.worded = None
+        said = json.loads(self.tokenizer.pre_tokenizer.__getstate__()) if self.tokenizer.pre_tokenizer else {}
+        if not self.wide and self.tokenizer.normalizer is None and [said.get(k) for k in ("type", "add_prefix_space", "use_regex")] == ["ByteLevel", False, True]:
+            self.worded = Tokenizer(self.tokenizer.model)
+            self.worded.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
         vocab = self.tokenizer.get_vocab()
         self.bytes_in = np.zeros(max(vocab.values()) + 1, np.int64)  # a byte-level token has a character per byte
         for token, i in vocab.items():
@@ -99,36 +138,64 @@ class UnitEncoder:
             return [text]
         return [u for i, part in enumerate(self.literal.split(text)) for u in ([part] if i % 2 else self.units(part) if part else [])]
 
-    def encoded(self, texts: list[str], at_once: int) -> Iterator[np.ndarray]:
+    def encoded(self, texts: list[str], at_once: int, tokenizer=None) -> Iterator[np.ndarray]:
         """The library's ids in turn. So many answers at once are in memory, each a few hundred bytes an id."""
         for i in range(0, len(texts), at_once):
-            for e in self.tokenizer.encode_batch_fast(texts[i : i + at_once], add_special_tokens=False):
+            for e in (tokenizer or self.tokenizer).encode_batch_fast(texts[i : i + at_once], add_special_tokens=False):
                 yield np.array(e.ids, "<u4")
 
+    def word_ends(self, units: pa.StringArray) -> np.ndarray:
+        at, data = _bytes_of(units)
+        if self.worded is None:
+            return at[:-1].astype(np.int64)
+        ends = _word_ends(at, data)
+        own = pc.is_in(units, value_set=pa.array(self.literals, pa.string())).to_numpy(zero_copy_only=False)
+        return np.where(own, at[:-1], ends)
+
+    def parts(self, units: pa.StringArray) -> tuple[pa.StringArray, np.ndarray]:
+        """Units cut after the word they begin with, and how many parts each has."""
+        at, _ = _bytes_of(units)
+        ends = self.word_ends(units)
+        two = (ends > at[:-1]) & (ends < at[1:])
+        cuts = np.insert(at, np.flatnonzero(two) + 1, ends[two].astype("<i4"))
+        return pa.StringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts), units.buffers()[2]), 1 + two
+
+    @staticmethod
+    def spelt(words: pa.StringArray) -> list[str]:
+        """Words as the file writes them, in runs, a blank before each."""
+        at, data = _bytes_of(words)
+        size = np.diff(at).astype(np.int64)
+        out = np.full(len(words) + int(size.sum()), 0x20, "<u4")
+        out[np.arange(int(size.sum())) + np.repeat(np.arange(1, len(words) + 1), size)] = _BYTE_LEVEL[data[at[0] :]]
+        runs = (at[::RUN].astype(np.int64) - at[0] + np.arange(0, len(at), RUN)).tolist()
+        return [out[a:b].tobytes().decode("utf-32-le") for a, b in zip(runs, [*runs[1:], len(out)], strict=True) if b > a]
+
     def learn(self, new: pa.StringArray) -> np.ndarray:
-        """Add units to the known ones; returns where they are there. Those that may follow each other in a text are encoded in runs and cut apart by their bytes."""
-        run = np.zeros(len(new), bool) if self.wide else pc.match_substring_regex(new, _PLAIN).to_numpy(zero_copy_only=False)
-        fit, unfit = new.filter(pa.array(run)), new.filter(pa.array(~run))
-        plain, other = fit.to_pylist(), unfit.to_pylist()
-        length = pc.binary_length(fit).to_numpy(zero_copy_only=False).astype(np.int64)
+        """Add parts to the known ones; returns where they are there. Words, and units that may follow each other in a text, are encoded in runs and cut apart by their bytes."""
+        begin, ends = _bytes_of(new)[0], self.word_ends(new)
+        word = (ends == begin[1:]) & (ends > begin[:-1])
+        run = ~word & (np.zeros(len(new), bool) if self.wide else pc.match_substring_regex(new, _PLAIN).to_numpy(zero_copy_only=False))
+        kinds = [new.filter(pa.array(x)) for x in (word, run, ~(word | run))]
+        plain, other = kinds[1].to_pylist(), kinds[2].to_pylist()
         sizes, ids = [self.sizes], [self.ids]
-        for i, own in enumerate(self.encoded(["".join(plain[i : i + RUN]) for i in range(0, len(plain), RUN)], RUNS)):
-            cuts = np.searchsorted(np.cumsum(self.bytes_in[own]), np.cumsum(length[i * RUN : (i + 1) * RUN])) + 1
-            sizes.append(np.diff(cuts, prepend=0))
-            ids.append(own)
+        for fit, runs, tokenizer in ((kinds[0], self.spelt(kinds[0]), self.worded), (kinds[1], ["".join(plain[i : i + RUN]) for i in range(0, len(plain), RUN)], None)):
+            length = np.diff(_bytes_of(fit)[0]).astype(np.int64)
+            for i, own in enumerate(self.encoded(runs, RUNS, tokenizer)):
+                cuts = np.searchsorted(np.cumsum(self.bytes_in[own]), np.cumsum(length[i * RUN : (i + 1) * RUN])) + 1
+                sizes.append(np.diff(cuts, prepend=0))
+                ids.append(own)
         for own in self.encoded(other, RUN * RUNS):
             sizes.append(np.array([len(own)]))
             ids.append(own)
-        at = len(self.known) + np.where(run, np.cumsum(run) - 1, len(plain) + np.cumsum(~run) - 1)
-        self.known = pa.concat_arrays([self.known, fit, unfit])
+        at = np.empty(len(new), np.int64)
+        at[np.argsort(np.where(word, 0, np.where(run, 1, 2)), kind="stable")] = len(self.known) + np.arange(len(new))
+        self.known = pa.concat_arrays([self.known, *kinds])
         self.sizes, self.ids = np.concatenate(sizes), np.concatenate(ids)
         self.again = np.append(self.again, np.zeros(len(new), bool))
         return at
 
     def places(self, units: pa.StringArray) -> np.ndarray:
-        """Where different units are among the known ones; they are learnt if need be."""
-        if len(self.known) > CACHE_UNITS:
-            self.forget(self.again if self.again.sum() < CACHE_UNITS // 2 else None)
+        """Where different parts are among the known ones; they are learnt if need be."""
         found = pc.index_in(units, value_set=self.known)
         new, at = found.is_null().to_numpy(zero_copy_only=False), found.fill_null(0).to_numpy().astype(np.int64)
         self.again[at[~new]] = True
@@ -138,18 +205,25 @@ class UnitEncoder:
 
     def joined(self, units: pa.StringArray, code: np.ndarray, ends: list[int]) -> Iterator[bytes]:
         """The ids of texts, given as different units, the numbers of those in them, and where each text's end."""
-        at = self.places(units)
-        start, size = (np.cumsum(self.sizes) - self.sizes)[at], self.sizes[at]
+        cut, count = self.parts(units)
+        coded = cut.dictionary_encode()
+        at = self.places(coded.dictionary)[coded.indices.to_numpy()]
+        first, own = (np.cumsum(self.sizes) - self.sizes)[at], self.sizes[at]
+        stop = np.cumsum(own)
+        ids = self.ids[np.repeat(first - (stop - own), own) + np.arange(own.sum())]  # those of the units, in turn
+        bound = np.append(0, stop)[np.append(0, np.cumsum(count))]
+        start, size = bound[:-1], np.diff(bound)
         for a, b in zip([0, *ends], ends, strict=False):
             first, own = start[code[a:b]], size[code[a:b]]
             stop = np.cumsum(own)
             where = np.repeat(first - (stop - own), own)
-            yield self.ids[where + np.arange(len(where))].tobytes()
-        if (short := pc.less_equal(pc.utf8_length(self.known), CACHE_LENGTH).to_numpy(zero_copy_only=False)).all():
-            return
-        again = self.again[short]
-        self.forget(short)
-        self.again = again
+            yield ids[where + np.arange(len(where))].tobytes()
+        if not (short := pc.less_equal(pc.utf8_length(self.known), CACHE_LENGTH).to_numpy(zero_copy_only=False)).all():
+            again = self.again[short]
+            self.forget(short)
+            self.again = again
+        if len(self.known) > CACHE_UNITS:
+            self.forget(self.again if self.again.sum() < CACHE_UNITS // 2 else None)
 
     def encode(self, texts: list[str] | pa.StringArray) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers.

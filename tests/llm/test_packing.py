@@ -111,3 +111,49 @@ def test_runs_across_groups(monkeypatch):
     for several in (texts, texts[::-1], *([x] for x in texts)):
         for text, ids in zip(several, encoder.encode(several), strict=True):
             assert np.frombuffer(ids, "<u4").tolist() == WHOLE.encode(text, add_special_tokens=False).ids, text
+
+
+def test_words_with_other_ends_are_encoded_once():
+    encoder = packing.UnitEncoder()
+    words = [f"{a}{b}{c}é" for a in "Abcdñ" for b in "aeiou" for c in "lmnrs"]
+    texts = [" ".join(["", *[w + end for w in words]]) for end in ("", ".", ",", "!?", "###", ".\nDe", "'s", "1", "\t")]
+    for text, ids in zip(texts, encoder.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == WHOLE.encode(text, add_special_tokens=False).ids, text
+    assert len(encoder.known) <= len(words) + 10  # each word, each end, the empty begin of a text
+
+
+def test_where_words_end():
+    letters = [chr(i) for i in (*range(0x21, 0x250), *range(0x370, 0x530), *range(0x2C0, 0x310), 0x4E00, 0xFF21, 0x1F600)]
+    units = [x for c in letters for x in (f" ab{c}", f"{c}b", f" {c}.", f" a{c}b", f" a.{c}", c, f" a{c}{c}1")]
+    encoder = packing.UnitEncoder()
+    for unit, ids in zip(units, encoder.encode(units), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == WHOLE.encode(unit, add_special_tokens=False).ids, unit
+
+
+def test_any_mixture_of_characters():
+    import random
+
+    draw = random.Random(5)
+    signs = [*"abZ", *"  \n\t.,'1²", *"éñ×÷ÿßŁſȀ", *"жЯ҂Ѿ", *"αΩ", *"中ａ", "́", " ", " ", "\U0001f600", "'s", "'ll", "<|endoftext|>", "<|endof"]
+    texts = ["".join(draw.choices(signs, k=draw.randrange(40))) for _ in range(4000)]
+    encoder = packing.UnitEncoder()
+    for i in range(0, len(texts), 500):
+        for text, ids in zip(texts[i : i + 500], encoder.encode(texts[i : i + 500]), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == WHOLE.encode(text, add_special_tokens=False).ids, text
+    assert encoder.encode([""]) == [b""] and encoder.encode([]) == [] and encoder.encode([" "]) == [np.array([220], "<u4").tobytes()]
+
+
+def test_files_that_cut_otherwise_have_no_words(tmp_path):
+    from tokenizers import normalizers, pre_tokenizers
+
+    for i, change in enumerate(("normalizer", "regex", "letters")):
+        other = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+        if change == "normalizer":
+            other.normalizer = normalizers.NFC()
+        elif change == "regex":
+            other.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "merged_with_next"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        else:
+            other.add_tokens(["PAD"])
+        other.save(f"{tmp_path}/{i}.json")
+        for text, ids in zip(texts := [" PAD PADs", "PAD", "ab12 ab. ab, PAD."], packing.UnitEncoder(f"{tmp_path}/{i}.json").encode(texts), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == other.encode(text, add_special_tokens=False).ids, (change, text)
